@@ -66,11 +66,11 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) ->
     hits = occurrences.join(firsts, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     words = (
         hits.groupBy("doc_id", "row_key", (F.col("pos") / _BITS).cast("int").alias("word"))
-        .agg(F.expr(f"bit_or(shiftleft(1L, pos % {_BITS}))").alias("bits"), F.count_distinct("pos").alias("n"))
+        .agg(F.expr(f"bit_or(shiftleft(1L, pos % {_BITS}))").alias("bits"))
     )
     return (
         words.groupBy("doc_id", "row_key")
-        .agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"), F.sum("n").alias("n_dropped"))
+        .agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"), F.sum(F.bit_count("bits")).alias("n_dropped"))
         .select(
             "doc_id", "row_key", "n_dropped",
             F.expr(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from docspark.llm import line_dedup
+from docspark.llm import chat_format, line_dedup, mixing, packing, tokens
 
 QUERIES = {
+    "op2_token_counts": tokens.op2_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_source_mixing": mixing.op8_source_mixing,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
 }
