@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from docspark.llm import chat_format, line_dedup, mixing, packing, tokens
+from docspark.llm import chat_format, language_id, line_dedup, mixing, packing, quality, tokens
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op2_token_counts": tokens.op2_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_language_id": language_id.op5_language_id,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_chat_format": chat_format.op10_chat_format,
