@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docspark.llm import chat_format, language_id, line_dedup, mixing, packing, quality, tokens
+from docspark.llm import chat_format, language_id, line_dedup, mixing, packing, quality, sketch, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_document_sketch": sketch.op3_document_sketch,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_document_sketch": sketch.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
 }
