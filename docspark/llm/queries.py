@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import chat_format, language_id, line_dedup, mixing, packing, quality, sketch, suffix_dedup, tokens
+from docspark.llm import chat_format, jaccard_join, language_id, line_dedup, mixing, packing, quality, sketch, suffix_dedup, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
