@@ -36,7 +36,7 @@ from docspark.llm.textbytes import Spans, buffers, lowered, mix, slices, words
 HOT = 128
 #: Shingles of a candidate group that a task takes as one block.
 BLOCK = 1_000_000
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,19 +52,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     place = np.arange(len(hashes)) - begins[rows]
     for k in range(size):
         inside = place + k < counts[rows]
-        shingle += np.where(inside, mix(padded[k : k + len(hashes)] + _STEP * np.uint64(k + 1)), np.uint64(0))
+        shingle += np.where(inside, mix(padded[k : k + len(hashes)] + np.uint64(_STEP * (k + 1) % 2**64)), np.uint64(0))
     shingle = mix(shingle)
     # A row with fewer words than a shingle has one shingle, of all its words.
     good = place <= np.maximum(counts[rows] - size, 0)
     shingle, rows = shingle[good], rows[good]
     edges = np.searchsorted(rows, np.arange(n + 1))
-    sets, keys = [], np.zeros(n, np.uint64)
-    for i in range(n):
-        own = np.unique(shingle[edges[i] : edges[i + 1]])
-        sets.append(own)
-        keys[i] = mix(mix(own).sum(dtype=np.uint64) + np.bitwise_xor.reduce(own) * _STEP + np.uint64(len(own))) if len(own) else 0
+    sets = [np.unique(shingle[edges[i] : edges[i + 1]]) for i in range(n)]
     sizes = np.array([len(s) for s in sets], np.int64)
-    return np.concatenate(sets) if sets else shingle, np.r_[0, np.cumsum(sizes)], keys
+    joined, begins = np.concatenate(sets) if sets else shingle, np.r_[0, np.cumsum(sizes)]
+    keys, full = np.zeros(n, np.uint64), np.flatnonzero(sizes)
+    if len(full):
+        spread = mix(joined)
+        keys[full] = mix(np.add.reduceat(spread, begins[:-1][full]) + np.bitwise_xor.reduceat(joined, begins[:-1][full]) * np.uint64(_STEP) + sizes[full].astype(np.uint64))
+    return joined, begins, keys
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
