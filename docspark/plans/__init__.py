@@ -1 +1,5 @@
+"""Queries over the given tables, by subject: each module has QUERIES and ORACLES."""
 
+from docspark.plans import documents, scalars
+
+MODULES = (documents, scalars)
