@@ -1,5 +1,5 @@
 """Queries over the given tables, by subject: each module has QUERIES and ORACLES."""
 
-from docspark.plans import documents, scalars
+from docspark.plans import documents, retrieval, scalars
 
-MODULES = (documents, scalars)
+MODULES = (documents, retrieval, scalars)
