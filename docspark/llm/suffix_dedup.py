@@ -11,7 +11,8 @@ bytes before the phrase repeats if another place agrees on `a` bytes to the left
 
 Equal texts count once, by a 64-bit key, and are removed whole if they have `length` bytes; repeated rows are equal
 texts. Null text is empty. Shorter texts keep all. An empty table gives an empty one; other columns pass through.
-A group holds the places of one dictionary entry, about 300 bytes each.
+A group holds the places of one dictionary entry, about 300 bytes each; places of a task with equal surroundings come as
+one, so a passage or a word that many texts repeat brings a row for each task and for each way it begins or ends.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +85,7 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def phrase_places(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(entry, key, place) of each phrase of each text."""
+    """(entry, key, place, more) of each entry in each text; `more` has its other places there, as bytes: a text may repeat a word thousands of times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,44 +93,90 @@ def phrase_places(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             data, offsets = buffers(batch.column(1))
             for i, j in slices(offsets, 1_000_000):
                 row, first, last, phrase, entry = places(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
-                yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(keys[i + row]), pa.array(_pack(first, last, phrase))], names=["entry", "key", "place"])
-
-    return keyed.select("key", "text").mapInArrow(run, "entry long, key long, place long")
+                if not len(row):
+                    continue
+                order = np.lexsort((phrase, entry, row))
+                row, entry, place = row[order], entry[order], _pack(first, last, phrase)[order]
+                begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (entry[1:] != entry[:-1])])
+                end = np.r_[begin[1:], len(row)]
+                # The others' bytes lie side by side in `place` once the first of each run is left out.
+                rest = np.ones(len(row), bool)
+                rest[begin] = False
+                alone = end - begin == 1
+                where = np.r_[0, np.cumsum(8 * (end - begin - 1))].astype(np.int32)
+                valid = np.packbits(~alone, bitorder="little")
+                more = pa.Array.from_buffers(pa.binary(), len(begin), [pa.py_buffer(valid), pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(place[rest]))])
+                yield pa.RecordBatch.from_arrays([pa.array(entry[begin].view(np.int64)), pa.array(keys[i + row[begin]]), pa.array(place[begin]), more], names=["entry", "key", "place", "more"])
+
+    return keyed.select("key", "text").mapInArrow(run, "entry long, key long, place long, more binary")
 
 
 def repeated_places(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, places) of the phrases whose dictionary entry stands at two places or more."""
     rows = phrase_places(keyed, length)
     # Smallest and largest differ if there are two places: copies of a text don't make one, and partial sums are one row an entry.
-    where = F.xxhash64("key", "place")
-    entries = rows.groupBy("entry").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a < b").select("entry")
-    return rows.join(entries, "entry").groupBy("key").agg(F.collect_set("place").alias("places"))
+    one, other = F.xxhash64("key", "place"), F.when(F.col("more").isNotNull(), F.xxhash64("key", "more"))
+    entries = rows.groupBy("entry").agg(F.min(F.least(one, other)).alias("a"), F.max(F.greatest(one, other)).alias("b")).where("a < b").select("entry")
+    return rows.join(entries, "entry").groupBy("key").agg(F.collect_set(F.struct("place", "more")).alias("places"))
+
+
+_NAMES = ["entry", "key", "place", "context", "twice", "begin", "end"]
+_SCHEMA = "entry long, key long, place long, context binary, twice boolean, begin long, end long"
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(_NAMES, kinds, strict=True)], names=_NAMES)
 
 
 def contexts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(entry, key, place, context) for each of `places` of (key, text, places): the bytes that its strings cover."""
+    """Of (key, text, places): (entry, key, place, context, twice), the bytes that the strings of each place cover, or (key, begin, end).
+
+    Places of a task with one context repeat each other: all of them are answered at once, by `begin` and `end`, and one
+    goes on to the other tasks, with twice set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
             lists = batch.column(2)
+            found = lists.flatten()
             owner = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy()))
-            place = lists.flatten().to_numpy()
+            more, more_at = buffers(found.field("more"))
+            owner = np.r_[owner, np.repeat(owner, np.diff(more_at) // 8)]
+            place = np.r_[found.field("place").to_numpy(), np.frombuffer(more.tobytes(), np.int64)]
             for i in range(0, len(place), 20_000):
                 own, where = owner[i : i + 20_000], place[i : i + 20_000]
-                first, last, phrase = _unpack(where)
-                first, last, phrase = first + offsets[own], last + offsets[own], phrase + offsets[own]
+                start, last, phrase = _unpack(where)
+                first, last, phrase = start + offsets[own], last + offsets[own], phrase + offsets[own]
                 sizes = last + length - first
-                ends = np.cumsum(sizes)
-                index = np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)
-                block = data[index]
-                to = phrase - first + ends - sizes
-                entry = Spans(block).hash(to, to + length - REACH + 1)
-                blob = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(block)])
-                yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(keys[own]), pa.array(where), blob], names=["entry", "key", "place", "context"])
-
-    return texts.select("key", "text", "places").mapInArrow(run, "entry long, key long, place long, context binary")
+                edges = np.r_[0, np.cumsum(sizes)]
+                block = data[np.arange(edges[-1]) + np.repeat(first - edges[:-1], sizes)]
+                spans = Spans(block)
+                to = phrase - first + edges[:-1]
+                entry = spans.hash(to, to + length - REACH + 1).view(np.int64)
+                same = mix(spans.hash(edges[:-1], edges[1:]) + (where & 0xFFFF).astype(np.uint64))
+                _, one, which, count = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+                blob = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(block)])
+                yield _rows(len(one), entry=entry[one], key=keys[own[one]], place=where[one], context=blob.take(pa.array(one)), twice=count > 1)
+                if len(known := np.flatnonzero(count[which] > 1)):
+                    own, begin, end = _merged_rows(own[known], start[known], (start + sizes)[known])
+                    # No entry is theirs: any task will do.
+                    yield _rows(len(own), entry=mix(keys[own].view(np.uint64) + begin.astype(np.uint64)).view(np.int64), key=keys[own], begin=begin, end=end)
+
+    return texts.select("key", "text", "places").mapInArrow(run, _SCHEMA)
+
+
+def _merged_rows(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of intervals of each row, as row, begin and end of their runs."""
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    wide = int(end.max()) + 1
+    # Rows one after another on a line, so that one running maximum serves all.
+    reach = np.maximum.accumulate(end + row * wide) - row * wide
+    new = np.r_[True, (row[1:] != row[:-1]) | (begin[1:] > reach[:-1])]
+    return row[new], begin[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(row) - 1]]
 
 
 def _order(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +195,8 @@ def _filled(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int,
     return np.where(cols < sizes[:, None], data[np.clip(index, 0, max(len(data) - 1, 0))], np.uint8(0))
 
 
-def resolve(entry: np.ndarray, place: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """[from, to) that repeated strings cover around each place, -1 if there are none. Rows of an entry stand together."""
+def resolve(entry: np.ndarray, place: np.ndarray, twice: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """[from, to) that repeated strings cover around each place, -1 if there are none. Rows of an entry stand together; twice: the row stands for more."""
     first, last, phrase = _unpack(place)
     left, least = phrase - first, phrase - last
     group = np.cumsum(np.r_[True, entry[1:] != entry[:-1]]).astype(">u4")
@@ -160,16 +208,15 @@ def resolve(entry: np.ndarray, place: np.ndarray, data: np.ndarray, offsets: np.
     right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for a in range(REACH):
         rows = np.flatnonzero((least <= a) & (a <= left))
-        if len(rows) < 2:
+        if not len(rows):
             continue
         right_class[right_order] = np.cumsum(right_shared < 4 + length - a)
         left_class[left_order] = np.cumsum(left_shared < 4 + a)
         pair = left_class[rows] * (n + 1) + right_class[rows]
         order = np.argsort(pair)
-        same = pair[order][1:] == pair[order][:-1]
-        twice = np.zeros(len(rows), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        hit = rows[twice]
+        begin = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]])
+        several = np.add.reduceat(1 + twice[rows[order]], begin) > 1
+        hit = rows[order[np.repeat(several, np.diff(np.r_[begin, len(rows)]))]]
         low[hit], high[hit] = np.minimum(low[hit], a), np.maximum(high[hit], a)
     # The strings of a place start less than `length` bytes apart, so their union has no gap.
     return np.where(high[:, None] >= 0, np.c_[phrase - high, phrase - low + length], -1)
@@ -182,12 +229,18 @@ def repeated_intervals(found: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def made(rows: pa.Table) -> pa.RecordBatch:
+        def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             rows = rows.combine_chunks()
-            entry, key, place = (rows.column(c).to_numpy() for c in ("entry", "key", "place"))
-            out = resolve(entry, place, *buffers(rows.column("context")), length)
+            known = rows.filter(pa.compute.is_valid(rows.column("begin")))
+            if known.num_rows:
+                yield from known.select(["key", "begin", "end"]).to_batches()
+            rows = rows.filter(pa.compute.is_null(rows.column("begin"))).combine_chunks()
+            if not rows.num_rows:
+                return
+            entry, key, place, twice = (rows.column(c).to_numpy() for c in ("entry", "key", "place", "twice"))
+            out = resolve(entry, place, twice.astype(np.int64), *buffers(rows.column("context")), length)
             hit = out[:, 0] >= 0
-            return pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(out[hit, 0]), pa.array(out[hit, 1])], names=["key", "begin", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(out[hit, 0]), pa.array(out[hit, 1])], names=["key", "begin", "end"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -198,10 +251,10 @@ def repeated_intervals(found: DataFrame, length: int = LENGTH) -> DataFrame:
                 entry = held.column("entry").to_numpy()
                 cut = int(np.searchsorted(entry, entry[-1]))
                 if cut:
-                    yield made(held.slice(0, cut))
+                    yield from made(held.slice(0, cut))
                     held = held.slice(cut)
         if held is not None:
-            yield made(held)
+            yield from made(held)
 
     return dealt.mapInArrow(run, "key long, begin long, end long")
 
