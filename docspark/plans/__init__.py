@@ -1,5 +1,5 @@
 """Queries over the given tables, by subject: each module has QUERIES and ORACLES."""
 
-from docspark.plans import documents, retrieval, scalars
+from docspark.plans import documents, ingest, retrieval, scalars, sessions
 
-MODULES = (documents, retrieval, scalars)
+MODULES = (documents, ingest, retrieval, scalars, sessions)
