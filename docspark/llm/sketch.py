@@ -14,6 +14,8 @@ single row is its own successor; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,31 +81,32 @@ def _range(docs: DataFrame, n: int) -> Column:
     return F.when(doc_id.isNull(), F.lit(0)).otherwise(pick(0, len(cells))).cast("long")
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs with next_<c> of each column in `carried`, from the document that follows by doc_id (after the last: the first)."""
+def with_next(docs: DataFrame, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """prepare(docs) with next_<c> of each column in `carried`, from the document that follows by doc_id (after the last: the first)."""
     spark = docs.sparkSession
-    ranged = docs.withColumn("_range", _range(docs, 4 * partitions(spark)))
+    numbered = docs.withColumn("_range", _range(docs, 4 * partitions(spark)))
+    ranged = prepare(numbered)
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64("text"))
     within = Window.partitionBy("_range").orderBy(order)
     led = ranged.withColumn("_next", F.lead(F.struct(*carried)).over(within))
-    # The first document of each range: found by ids alone, then read.
-    firsts = ranged.select("doc_id", "_range").groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("_first"))
-    firsts = firsts.select(F.col("_range").alias("_at"), F.col("_first.doc_id").alias("_id"))
+    # The first document of each range: found by ids alone, then read. There are as many as ranges, a number that is set above.
+    firsts = numbered.select("doc_id", "_range").groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("_first"))
+    firsts = F.broadcast(firsts.select(F.col("_range").alias("_at"), F.col("_first.doc_id").alias("_id")))
     by_range = Window.orderBy("_at")  # a number for each range
     follows = firsts.select(F.col("_at").alias("_before"), F.coalesce(F.lead("_at").over(by_range), F.first("_at").over(by_range)).alias("_to"))
-    rows = ranged.join(firsts, ranged["doc_id"].eqNullSafe(firsts["_id"]) & (ranged["_range"] == firsts["_at"]))
-    rows = rows.groupBy("_at").agg(F.min_by(F.struct(*carried), order).alias("_row"))
+    rows = numbered.join(firsts, numbered["doc_id"].eqNullSafe(firsts["_id"]) & (numbered["_range"] == firsts["_at"]))
+    rows = prepare(rows).groupBy("_at").agg(F.min_by(F.struct(*carried), order).alias("_row"))
     begins = rows.join(follows, rows["_at"] == follows["_to"]).select("_before", "_row")
     joined = led.join(begins, led["_range"] == begins["_before"])
     following = F.coalesce("_next", "_row")
-    return joined.select(*[F.col(c) for c in docs.columns], *[following[c].alias(f"next_{c}") for c in carried])
+    return joined.select(*[F.col(c) for c in ranged.columns if c != "_range"], *[following[c].alias(f"next_{c}") for c in carried])
 
 
 def op3_document_sketch(spark, sf_dir: str) -> DataFrame:
     from docspark.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_sketch(docs, "text", "sketch"), ["text", "sketch"])
+    docs = with_next(docs, ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch"))
     docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", 1, F.col("n_chars").cast("int") - half), F.substring("next_text", 1, half))

@@ -17,7 +17,7 @@ def brute(text):
 
 def test_odd_documents(spark):
     docs = documents(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = sketch.with_next(sketch.with_sketch(docs, "text", "sketch"), ["text", "sketch"]).collect()
+    got = sketch.with_next(docs, ["text", "sketch"], lambda df: sketch.with_sketch(df, "text", "sketch")).collect()
     assert len(got) == len(rows())
     assert all(r.sketch == brute(r.text) and r.next_sketch == brute(r.next_text) for r in got)
     low = lambda x: (x is not None, x)
