@@ -20,5 +20,7 @@ QUERIES = {
 ORACLES = {
     "op3_document_sketch": sketch.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op7_ngram_jaccard": jaccard_join.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
 }
