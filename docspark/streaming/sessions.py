@@ -84,25 +84,36 @@ def claim_batches(segments: DataFrame) -> DataFrame:
     return segments.select("session_id", "segment_index", "end_s", "text").groupBy("session_id").applyInPandas(one, SCHEMA)
 
 
-def stream_claim_batches(segments: DataFrame, expire_ms: int = 30_000) -> DataFrame:
-    """The same over a stream of final segments; a session that is silent for expire_ms of processing time sends the rest and is forgotten."""
+def stream_claim_batches(segments: DataFrame, expire_ms: int | None = 30_000) -> DataFrame:
+    """The same over a stream of final segments. A row whose text is null ends its session: what is left goes out, and the state goes.
+
+    A session that is silent for expire_ms of processing time ends too; with None, only end rows end one. Expiry wakes
+    the query up again and again, so a query that is to stop by itself (availableNow) takes None.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer = Buffer(state.get[0] if state.exists else None)
-        if state.hasTimedOut:
-            state.remove()
-            rows = list(buffer.tick_to(math.inf))
-        else:
-            rows = []
+        buffer, rows = Buffer(state.get[0] if state.exists else None), []
+        ended = state.hasTimedOut
+        if not ended:
             joined = pd.concat(list(frames)).sort_values("segment_index")
             for i, end, text in joined[["segment_index", "end_s", "text"]].itertuples(index=False):
-                rows += buffer.add(i, end, len(text))
+                if text is None:
+                    ended = True
+                else:
+                    rows += buffer.add(i, end, len(text))
+        if ended:
+            rows += buffer.tick_to(math.inf)
+            if state.exists:
+                state.remove()
+        else:
             state.update((buffer.save(),))
-            state.setTimeoutDuration(expire_ms)
+            if expire_ms is not None:
+                state.setTimeoutDuration(expire_ms)
         yield _frame(key[0], rows)
 
     grouped = segments.select("session_id", "segment_index", "end_s", "text").groupBy("session_id")
-    return grouped.applyInPandasWithState(step, SCHEMA, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return grouped.applyInPandasWithState(step, SCHEMA, STATE, "append", timeout)
 
 
 def session_totals(segments: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:

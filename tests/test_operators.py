@@ -1,0 +1,130 @@
+"""Operators that SQL doesn't check: golden values and plain versions."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docspark.functions import text as T
+from docspark.operators import claims, events, ingest, retrieval
+from docspark.streaming.sessions import CHARS, IDLE, INTERVAL, Buffer
+
+
+@pytest.mark.parametrize("text,want", [("10,248", "10248"), ("1,2,3", "12,3"), ("a,b 1,000,000", "a,b 1000000")])
+def test_normalize_numbers(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(T.normalize_numbers(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("the total price of the order for Yang Wang", "point"), ("How many invoices from July 2016", "aggregate"), ("The average total of all invoices in May 2016", "compute"),
+        ("this order lists all items", "point"), ("What documents do we have in the vault?", "aggregate"), ("invoice 10248 was late", "point"),
+    ],
+)
+def test_classes(spark, text, kind):
+    assert spark.createDataFrame([(text,)], "t string").select(T.classify_query(F.col("t"))).first()[0] == kind
+
+
+@pytest.mark.parametrize("text,want", [("invoices from July 2016", ("2016-07-01", "2016-07-31")), ("2017", ("2017-01-01", "2017-12-31")), ("Q3 2016", ("2016-07-01", "2016-09-30")), ("July", (None, None)), ("q1 march 2020", ("2020-01-01", "2020-03-31"))])
+def test_date_ranges(spark, text, want):
+    row = spark.createDataFrame([(text,)], "t string").select(*[d.cast("string") for d in T.parse_date_range(F.col("t"))]).first()
+    assert tuple(row) == want
+
+
+def test_months_keep_statements_apart(spark):
+    rows = [(1, 0, "all invoices from july 2016"), (1, 1, "all invoices from august 2016"), (1, 2, "All invoices from July 2016!"), (2, 0, "all invoices from july 2016")]
+    df = spark.createDataFrame(rows, "session_id long, segment_index int, text string")
+    assert sorted((r.session_id, r.segment_index) for r in claims.dedup_claims(df).collect()) == [(1, 0), (1, 1), (2, 0)]
+
+
+def plain_mmr(query, vectors, k, weight):
+    unit = lambda x: x / np.linalg.norm(x)
+    query, vectors, out = unit(query), [unit(v) for v in vectors], []
+    while len(out) < min(k, len(vectors)):
+        best, score = None, -math.inf
+        for i, v in enumerate(vectors):
+            if i in out:
+                continue
+            s = v @ query if not out else weight * (v @ query) - (1 - weight) * max(v @ vectors[j] for j in out)
+            if s > score:
+                best, score = i, s
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_mmr(seed):
+    rng = np.random.default_rng(seed)
+    vectors, query = rng.normal(size=(20, 8)), rng.normal(size=8)
+    vectors[7] = vectors[3]
+    assert retrieval.mmr_order(query, vectors, 6, 0.7) == plain_mmr(query, vectors, 6, 0.7)
+
+
+def test_split_text():
+    text = "\n\n".join(f"Paragraph {i} has " + " ".join(f"w{j}" for j in range(i % 40)) for i in range(60)) + "\n\n" + " ".join(f"x{j}" for j in range(300))
+    pieces = ingest.split_text(text, 50, 10)
+    assert all(0 < ingest.count_words(p) <= 50 for p in pieces)
+    words = {w for p in pieces for w in p.split()}
+    assert words == set(text.split())
+    assert ingest.split_text("  \n\n ") == [] and ingest.split_text("one two", 5, 1) == ["one two"]
+    assert all(len(p) <= 10 for p in ingest.split_text("abcdefghij" * 5, 10, 3, len))
+
+
+def test_embedder_errors_stay_with_their_rows(spark):
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return ingest.hashed_embedder(texts)
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None), (4, "good")], "id long, text string").coalesce(1)
+    got = {r.id: r for r in ingest.embed(df, "text", picky).collect()}
+    assert [got[i].error for i in (1, 2, 3, 4)] == [None, "no", None, None] and got[2].embedding is None and got[1].embedding == got[4].embedding
+
+
+def test_text_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("﻿one\r\ntwo\rthree".encode())
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe broken")
+    got = {r.path[-5:]: r.text for r in ingest.read_text_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "one\ntwo\nthree", "b.txt": None}
+
+
+def test_malformed_events(spark):
+    good = '{"event_type":"file.deleted","doc_id":"1","vault_id":"2","deleted_by":"u","timestamp":"2024-01-01T00:00:00Z"}'
+    rows = [good, good[:-5], "[]", "", None, good.replace("deleted_by", "x"), good.replace("file.deleted", "file.moved")]
+    got = events.decode(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
+    assert [r.malformed for r in got] == [False] + [True] * 6
+
+
+def plain_batches(rows):
+    """The live rule, second by second."""
+    out, unchecked, checked = [], [], 0.0
+    rows, t = list(rows), 0
+    end = rows[-1][1] + 20
+    while t <= end:
+        while rows and rows[0][1] <= t:
+            unchecked.append(rows.pop(0))
+        if unchecked and t > checked and (t - unchecked[-1][1] >= IDLE or (t - checked >= INTERVAL and sum(r[2] for r in unchecked) >= CHARS)):
+            out.append((t, unchecked[0][0], unchecked[-1][0]))
+            unchecked, checked = [], float(t)
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_claim_batches_equal_the_clock(seed):
+    rng = random.Random(seed)
+    t, rows = 0.5, []
+    for i in range(60):
+        t = round(t + rng.choice([0.2, 0.7, 1.3, 2.0, 2.4, 5, 9]), 3)
+        rows.append((i, t, rng.choice([3, 10, 40])))
+    buffer, got = Buffer(), []
+    for r in rows:
+        got += buffer.add(*r)
+        buffer = Buffer(buffer.save())
+    got += buffer.tick_to(math.inf)
+    assert [(r[1], r[2], r[3]) for r in got] == plain_batches(rows)
