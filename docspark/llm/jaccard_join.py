@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import materialize, partitions
 from docspark.llm.components import components
-from docspark.llm.textbytes import Spans, buffers, lowered, mix, slices, words
+from docspark.llm.textbytes import Spans, buffers, lowered, mix, slices, tidy, words
 
 #: A hash in one set of HOT or more is hot, as its tasks count it.
 HOT = 128
@@ -78,6 +78,7 @@ def _heads(docs: DataFrame, size: int) -> DataFrame:
     picked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         names = ["doc_id", "row_key", "n", "key", "hot", "n_hot"]
         for batch in batches:
             data, offsets = buffers(batch.column(2))
@@ -116,6 +117,7 @@ def _hash_blocks(docs: DataFrame, size: int, parts: int, hot) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         hot_hashes = hot.value
         for batch in batches:
             data, offsets = buffers(batch.column(0))
@@ -162,6 +164,7 @@ def _shared_hashes(blocks: DataFrame, parts: int) -> DataFrame:
     """Of each block, the hashes that two sets or more hold, with how many as extra; rows with part -1 as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for part, rows in _grouped(batches, "part"):
             if part < 0:
                 yield _blocks([tuple(r[c] for c in _BLOCK_NAMES) for r in rows])
@@ -195,6 +198,7 @@ def _survivors(answers: DataFrame, percent: int) -> DataFrame:
     """(key, n, tokens, prefix) of each set that shares enough: tokens are its shared hashes, rarest first, hot ones last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for _, rows in _grouped(batches, "slice"):
             heads = {r["owner"]: r for r in rows if r["part"] < 0}  # a slice that occurs twice has equal rows
             head = next(iter(heads.values()))
@@ -341,6 +345,7 @@ def _linked_blocks(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b, whole) within each (root, i, j) of (root, i, j, key, n, tokens); whole: the block is all of its candidate group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for name, rows in _grouped(batches, "block"):
             keys, sizes = np.array([r["key"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
             label = linked([np.frombuffer(r["tokens"], np.uint64) for r in rows], sizes, percent)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import materialize, ranked
+from docspark.llm.textbytes import tidy
 
 SIZE = 2048
 
@@ -41,6 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, columns: list[str], end_i
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in picked.schema.fields[:-1])}, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         from docspark.llm.tokens import token_ids
 
         encode, end = token_ids(source.value), np.array([end_id], "<u4").tobytes()
@@ -111,6 +113,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema.fields)}, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         slots = shared.value
         begins = (slots[:, 0] << 48) | slots[:, 1]
         for batch in batches:

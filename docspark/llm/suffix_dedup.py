@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import materialize, partitions
-from docspark.llm.textbytes import Spans, buffers, mix, slices
+from docspark.llm.textbytes import Spans, buffers, mix, slices, tidy
 
 LENGTH, REACH, WIDTH = 200, 120, 16
 #: Rows of groups that are resolved together.
@@ -88,6 +88,7 @@ def phrase_places(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(entry, key, place, more) of each entry in each text; `more` has its other places there, as bytes: a text may repeat a word thousands of times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             keys = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
@@ -137,6 +138,7 @@ def contexts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             keys = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
@@ -227,6 +229,7 @@ def repeated_intervals(found: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = found.repartition(partitions(found.sparkSession), "entry").sortWithinPartitions("entry")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held: pa.Table | None = None
 
         def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -279,6 +282,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated_intervals(contexts(held, length), length).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             texts, lists = batch.column(1), batch.column(2)
             spans, kept = [], []
