@@ -221,7 +221,7 @@ def tokens(text: Column) -> Column:
 def boosted_bag(text: Column, factor: int = 3) -> Column:
     """Distinct words; those that tell statements apart count `factor` times."""
     copies = lambda t: F.concat(F.array(t), *[F.array(F.concat(t, F.lit(f"__{i}"))) for i in range(1, factor)])
-    return F.array_distinct(F.flatten(F.transform(tokens(text), lambda t: F.when(is_discriminator(t), copies(t)).otherwise(F.array(t)))))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(text)), lambda t: F.when(is_discriminator(t), copies(t)).otherwise(F.array(t)))))
 
 
 def remap_speaker(channel: Column, speaker: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as T
 from docspark.operators.documents import is_live
+from docspark.sources.shared import written
 
 FILTERS = ["vault_id", "doc_type", "date_from", "date_to", "customer"]
 LISTED = 50
@@ -26,8 +27,14 @@ def cube(documents: DataFrame) -> DataFrame:
     return documents.groupBy("vault_id", "document_type", "order_date", "customer_id").agg(F.count("*").alias("n"), F.count("total_price").alias("n_priced"), F.sum(F.col("total_price").cast("decimal(18,2)")).alias("total"))
 
 
+def _is_customer(wanted: Column) -> Column:
+    """customer_id is like `wanted`, in any case. A pattern is compiled per row, so only real patterns are matched as such."""
+    plain = F.lower("customer_id") == F.lower(wanted)
+    return F.when(F.rlike(wanted, F.lit(r"[%_\\]")), F.like(F.lower("customer_id"), F.lower(wanted))).otherwise(plain)
+
+
 def _agrees(f: dict[str, Column], dated: bool = True) -> Column:
-    found = (F.col("d.vault_id") == f["vault_id"]) & (f["doc_type"].isNull() | (F.col("document_type") == f["doc_type"])) & (f["customer"].isNull() | F.like(F.lower("customer_id"), F.lower(f["customer"])))
+    found = (F.col("d.vault_id") == f["vault_id"]) & (f["doc_type"].isNull() | (F.col("document_type") == f["doc_type"])) & (f["customer"].isNull() | _is_customer(f["customer"]))
     if dated:
         found &= (f["date_from"].isNull() | (F.col("order_date") >= f["date_from"])) & (f["date_to"].isNull() | (F.col("order_date") <= f["date_to"]))
     return found
@@ -76,9 +83,11 @@ def verify(statements: DataFrame, documents: DataFrame) -> DataFrame:
     """statements that ask for aggregates, with verdict, confidence and explanation.
 
     A statement is supported as soon as its filters parse and the metadata they need is complete, even for no document;
-    the number it asserts isn't compared. Without a filter, only questions for the inventory have an answer.
+    the number it asserts isn't compared. Without a filter, only questions for the inventory have an answer. Each text
+    of a vault is parsed and answered once.
     """
-    parsed = parse(statements.where(T.classify_query(F.col("text")) != "point"))
+    once = written(statements.select("vault_id", "text").distinct())
+    parsed = written(parse(once.where(T.classify_query(F.col("text")) != "point")))
     t = with_totals(parsed, documents)
     text = F.concat_ws("", F.col("position").cast("string"), F.lit(". "), T.document_line(*[F.col(c) for c in ("original_filename", "order_date", "customer_id", "total_price", "entity_id")]))
     lists = listings(parsed, documents).withColumn("line", text).groupBy(*FILTERS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("lines"))
@@ -107,7 +116,10 @@ def verify(statements: DataFrame, documents: DataFrame) -> DataFrame:
         (F.lit(True), "supported", found),
     ]
     verdict, explanation = _ladder(ladder, 1), _ladder(ladder, 2)
-    return t.withColumns({"verdict": verdict, "explanation": explanation}).withColumn("confidence", F.when(F.col("verdict") == "supported", 1.0).otherwise(0.0)).select("statement_id", "vault_id", "intent", "verdict", "confidence", "explanation")
+    answers = t.select(F.col("vault_id").alias("_vault_id"), F.col("text").alias("_text"), "intent", verdict.alias("verdict"), explanation.alias("explanation"))
+    confidence = F.when(F.col("verdict") == "supported", 1.0).otherwise(0.0).alias("confidence")
+    same = F.col("vault_id").eqNullSafe(F.col("_vault_id")) & (F.col("text") == F.col("_text"))
+    return statements.select("statement_id", "vault_id", "text").join(answers, same).select("statement_id", "vault_id", "intent", "verdict", confidence, "explanation")
 
 
 def _ladder(rows: list[tuple], at: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
+from docspark.sources.shared import written
 
 DUPLICATE = 0.8
 EVIDENCE = "array<struct<doc_title:string,section:string,page:int,quote:string,relevance_score:double>>"
@@ -19,17 +20,21 @@ def near_duplicate_pairs(statements: DataFrame, threshold: float = DUPLICATE) ->
     """(a, b, similarity) of texts whose boosted word bags have a Jaccard similarity of `threshold` or more, a < b.
 
     Equal bags count once, as their smallest id. Bags meet on a word of their prefixes, rarest words first, so only
-    bags that can be similar are compared, each pair once a shared prefix word; sizes are compared before the bags.
+    bags that can be similar are compared; a pair whose sizes, or whose words shared so far and words left after the
+    last of them, can't reach the threshold goes before its bags are fetched.
     """
     bags = statements.select("statement_id", F.array_sort(T.boosted_bag(F.col("text"))).alias("bag")).where(F.size("bag") > 0)
-    bags = bags.groupBy("bag").agg(F.min("statement_id").alias("id"))
+    bags = written(bags.groupBy("bag").agg(F.min("statement_id").alias("id")))
     words = bags.select("id", F.size("bag").alias("n"), F.explode("bag").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("df"))
     ranked = words.join(often, "word").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "word")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "word"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word")
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    pairs = a.join(b, "word").where(near).select("a", "b").distinct()
+    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "at", "word")
+    a, b = [prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), "word") for x in "ab"]
+    rest = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))
+    needed = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (F.least("at_a", "at_b") + rest >= needed)
+    met = a.join(b, "word").where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    pairs = met.where(F.col("met") + rest >= needed).select("a", "b")
     sets = bags.select("id", "bag")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
