@@ -23,8 +23,8 @@ def near_duplicate_pairs(statements: DataFrame, threshold: float = DUPLICATE) ->
     bags that can be similar are compared; a pair whose sizes, or whose words shared so far and words left after the
     last of them, can't reach the threshold goes before its bags are fetched.
     """
-    bags = statements.select("statement_id", F.array_sort(T.boosted_bag(F.col("text"))).alias("bag")).where(F.size("bag") > 0)
-    bags = written(bags.groupBy("bag").agg(F.min("statement_id").alias("id")))
+    bags = statements.select("statement_id", F.array_sort(T.boosted_bag(F.col("text"))).alias("bag"))
+    bags = written(bags.groupBy("bag").agg(F.min("statement_id").alias("id"))).where(F.size("bag") > 0)  # before it, the filter would build each bag twice
     words = bags.select("id", F.size("bag").alias("n"), F.explode("bag").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("df"))
     ranked = words.join(often, "word").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))
