@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.operators import claims, events, ingest, retrieval
+from docspark.operators import aggregates, claims, events, ingest, retrieval
 from docspark.streaming.sessions import CHARS, IDLE, INTERVAL, Buffer
 
 
@@ -128,3 +128,27 @@ def test_claim_batches_equal_the_clock(seed):
         buffer = Buffer(buffer.save())
     got += buffer.tick_to(math.inf)
     assert [(r[1], r[2], r[3]) for r in got] == plain_batches(rows)
+
+
+def test_customer_filters_match_names_and_patterns(spark):
+    """Plain names match in any case, % and _ as patterns, and a null filter everything."""
+    docs = spark.createDataFrame([(i, 1, c) for i, c in enumerate(["ACME", "acme", "Acmes", "A_ME", None])], "doc_id long, vault_id long, customer_id string")
+    for wanted, expected in [("ACME", {0, 1}), ("acme%", {0, 1, 2}), ("a_me", {0, 1, 3}), ("none", set())]:
+        found = docs.where(aggregates._is_customer(F.lit(wanted)))
+        assert {r["doc_id"] for r in found.collect()} == expected, wanted
+
+
+def test_near_duplicate_pairs_equal_all_pairs(spark):
+    """Pruning by prefix, size and position loses no pair, also at exactly the threshold."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.sample(words, rng.randint(1, 12))) for _ in range(60)]
+    for text in list(texts):  # one word less, one word more, one replaced
+        parts = text.split()
+        texts += [" ".join(parts[1:]), text + " x1", " ".join(["y1", *parts[1:]])]
+    bags = {i: frozenset(t.split()) for i, t in enumerate(texts) if t.split()}
+    once = {b: min(i for i, x in bags.items() if x == b) for b in set(bags.values())}
+    expected = {(i, j) for x, i in once.items() for y, j in once.items() if i < j and 5 * len(x & y) >= 4 * len(x | y)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "statement_id long, text string")
+    found = claims.near_duplicate_pairs(rows).collect()
+    assert {(r["a"], r["b"]) for r in found} == expected and len(found) == len(expected) and expected
