@@ -133,7 +133,8 @@ def _hash_blocks(docs: DataFrame, size: int, parts: int, hot) -> DataFrame:
                 sets, keys, sizes = sets[np.repeat(first, sizes)], keys[first], sizes[first]
                 owner = np.repeat(np.arange(len(keys), dtype=np.uint16), sizes)
                 is_hot = np.isin(sets, hot_hashes)
-                name = int(mix(keys).sum(dtype=np.uint64).astype(np.int64))
+                # Owners are places within the slice, so the name goes by the keys' order too.
+                name = int(mix(keys + np.arange(1, len(keys) + 1, dtype=np.uint64) * np.uint64(_STEP)).sum(dtype=np.uint64).astype(np.int64))
                 rows = [(name, -1, keys.tobytes(), np.bincount(owner[is_hot], minlength=len(keys)).astype(np.uint64).tobytes() + sets[is_hot].tobytes(), sizes.astype(np.int64).tobytes())]
                 sets, owner = sets[~is_hot], owner[~is_hot]
                 part = ((sets >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)

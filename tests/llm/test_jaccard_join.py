@@ -76,6 +76,18 @@ def test_odd_documents(spark):
     assert run(spark, empty(spark), 4, 85) == []
 
 
+def test_equal_sets_in_another_order(spark):
+    """Partitions that hold the same sets in another order don't mix up their documents."""
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    for _ in range(3):
+        a, b = text(), text()
+        parts = [[a, b], [b, a], [["x", *a[1:]], ["y", *b[1:]]]]
+        docs = [(10 * i + j, " ".join(t)) for i, part in enumerate(parts) for j, t in enumerate(part)]
+        df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 3), "doc_id long, text string")
+        assert run(spark, df, 4, 85) == brute(docs, 4, 85)
+
+
 def test_small_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     assert run(spark, df, 4, 85) == brute([tuple(r) for r in df.collect()], 4, 85)
