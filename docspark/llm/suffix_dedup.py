@@ -11,8 +11,9 @@ bytes before the phrase repeats if another place agrees on `a` bytes to the left
 
 Equal texts count once, by a 64-bit key, and are removed whole if they have `length` bytes; repeated rows are equal
 texts. Null text is empty. Shorter texts keep all. An empty table gives an empty one; other columns pass through.
-A group holds the places of one dictionary entry, about 300 bytes each; places of a task with equal surroundings come as
-one, so a passage or a word that many texts repeat brings a row for each task and for each way it begins or ends.
+A group holds the places of one dictionary entry, up to LARGE; places of a task with equal surroundings come as one.
+Entries with more places have no group: each string of `length` bytes that their places begin is named by a 64-bit hash,
+counted, and the counts are joined back, so a passage at the edge of which all texts differ is held by no task.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from docspark.llm.textbytes import Spans, buffers, mix, slices, tidy
 LENGTH, REACH, WIDTH = 200, 120, 16
 #: Rows of groups that are resolved together.
 TOGETHER = 40_000
+#: Places of an entry that are resolved as a group; strings of entries with more are counted by their hashes.
+LARGE = 40_000
 
 
 def text_key(docs: DataFrame) -> DataFrame:
@@ -113,12 +116,12 @@ def phrase_places(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_places(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, places) of the phrases whose dictionary entry stands at two places or more."""
+    """(key, places) of the phrases whose dictionary entry stands at two places or more; `large` if at more than LARGE, copies included."""
     rows = phrase_places(keyed, length)
     # Smallest and largest differ if there are two places: copies of a text don't make one, and partial sums are one row an entry.
     one, other = F.xxhash64("key", "place"), F.when(F.col("more").isNotNull(), F.xxhash64("key", "more"))
-    entries = rows.groupBy("entry").agg(F.min(F.least(one, other)).alias("a"), F.max(F.greatest(one, other)).alias("b")).where("a < b").select("entry")
-    return rows.join(entries, "entry").groupBy("key").agg(F.collect_set(F.struct("place", "more")).alias("places"))
+    entries = rows.groupBy("entry").agg(F.min(F.least(one, other)).alias("a"), F.max(F.greatest(one, other)).alias("b"), F.sum(1 + F.coalesce(F.octet_length("more") / 8, F.lit(0))).alias("n")).where("a < b").select("entry", (F.col("n") > LARGE).alias("large"))
+    return rows.join(entries, "entry").groupBy("key").agg(F.collect_set(F.struct("place", "more", "large")).alias("places"))
 
 
 _NAMES = ["entry", "key", "place", "context", "twice", "begin", "end"]
@@ -130,11 +133,12 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(_NAMES, kinds, strict=True)], names=_NAMES)
 
 
-def contexts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def contexts(texts: DataFrame, length: int = LENGTH, large: bool = False) -> DataFrame:
     """Of (key, text, places): (entry, key, place, context, twice), the bytes that the strings of each place cover, or (key, begin, end).
 
     Places of a task with one context repeat each other: all of them are answered at once, by `begin` and `end`, and one
-    goes on to the other tasks, with twice set.
+    goes on to the other tasks, with twice set. large: the places of large entries, whose strings go on instead: entry is
+    then a string's hash and place where it begins. The strings of a batch are merged as its contexts are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +152,9 @@ def contexts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             more, more_at = buffers(found.field("more"))
             owner = np.r_[owner, np.repeat(owner, np.diff(more_at) // 8)]
             place = np.r_[found.field("place").to_numpy(), np.frombuffer(more.tobytes(), np.int64)]
+            flag = found.field("large").to_numpy(zero_copy_only=False)
+            mine = np.r_[flag, np.repeat(flag, np.diff(more_at) // 8)] == large
+            owner, place = owner[mine], place[mine]
             for i in range(0, len(place), 20_000):
                 own, where = owner[i : i + 20_000], place[i : i + 20_000]
                 start, last, phrase = _unpack(where)
@@ -160,13 +167,31 @@ def contexts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 entry = spans.hash(to, to + length - REACH + 1).view(np.int64)
                 same = mix(spans.hash(edges[:-1], edges[1:]) + (where & 0xFFFF).astype(np.uint64))
                 _, one, which, count = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
-                blob = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(block)])
-                yield _rows(len(one), entry=entry[one], key=keys[own[one]], place=where[one], context=blob.take(pa.array(one)), twice=count > 1)
+                if large:
+                    for k in range(0, len(one), 5_000):
+                        some = one[k : k + 5_000]
+                        yield from strings(spans, edges[some], (last - first)[some] + 1, keys[own[some]], start[some], count[k : k + 5_000] > 1)
+                else:
+                    blob = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(block)])
+                    yield _rows(len(one), entry=entry[one], key=keys[own[one]], place=where[one], context=blob.take(pa.array(one)), twice=count > 1)
                 if len(known := np.flatnonzero(count[which] > 1)):
                     own, begin, end = _merged_rows(own[known], start[known], (start + sizes)[known])
                     # No entry is theirs: any task will do.
                     yield _rows(len(own), entry=mix(keys[own].view(np.uint64) + begin.astype(np.uint64)).view(np.int64), key=keys[own], begin=begin, end=end)
 
+    def strings(spans: Spans, at: np.ndarray, n: np.ndarray, key: np.ndarray, start: np.ndarray, twice: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+        begin = at[place] + step
+        name = spans.hash(begin, begin + length).view(np.int64)
+        _, one, which, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        several = (count > 1) | (np.bincount(which, twice[place]) > 0)
+        begin = start[place] + step
+        yield _rows(len(one), entry=name[one], key=key[place[one]], place=begin[one], twice=several)
+        if len(known := np.flatnonzero(several[which])):
+            own, begin, end = _merged_rows(place[known], begin[known], begin[known] + length)
+            yield _rows(len(own), entry=mix(key[own].view(np.uint64) + begin.astype(np.uint64)).view(np.int64), key=key[own], begin=begin, end=end)
+
     return texts.select("key", "text", "places").mapInArrow(run, _SCHEMA)
 
 
@@ -262,6 +287,17 @@ def repeated_intervals(found: DataFrame, length: int = LENGTH) -> DataFrame:
     return dealt.mapInArrow(run, "key long, begin long, end long")
 
 
+def repeated_strings(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, begin, end) of repeated strings' unions, from a written table of contexts() of large entries."""
+    known = found.where("begin IS NOT NULL").select("key", "begin", "end")
+    strings = found.where("begin IS NULL").select("entry", "key", "place", "twice")
+    several = strings.groupBy("entry").agg(F.sum(1 + F.col("twice").cast("int")).alias("n")).where("n > 1").select("entry")
+    hits = strings.join(several, "entry")
+    # A place's neighbours bring much the same: strings that begin in one stretch of `length` bytes overlap or touch.
+    runs = hits.groupBy("key", F.floor(F.col("place") / length)).agg(F.min("place").alias("begin"), (F.max("place") + length).alias("end"))
+    return known.unionByName(runs.select("key", "begin", "end"))
+
+
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs of a union of intervals; runs that touch are one."""
     order = np.argsort(begin, kind="stable")
@@ -279,7 +315,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Copies collapse before the texts are shuffled.
     texts = keyed.where(F.octet_length("text") >= length).groupBy("key").agg(F.first("text").alias("text"))
     held = materialize(texts.join(repeated_places(keyed, length), "key"), "repeated-texts")
-    spans = repeated_intervals(contexts(held, length), length).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    found = repeated_intervals(contexts(held, length), length)
+    crowded = held.where(F.exists("places", lambda p: p["large"]))
+    if not crowded.isEmpty():
+        found = found.unionByName(repeated_strings(materialize(contexts(crowded, length, large=True), "strings"), length))
+    spans = found.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()

@@ -65,3 +65,19 @@ def test_whole_small_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs = df.collect()
     assert run(df) == sorted(((r.doc_id, *b) for r, b in zip(docs, brute([r.text for r in docs], 200))), key=str)
+
+
+@pytest.mark.parametrize("large", [0, 3, 20])
+def test_large_entries_have_no_group(spark, large, monkeypatch):
+    """Footers after texts that all differ: no entry brings more rows than LARGE to one task, with the same removals."""
+    monkeypatch.setattr(suffix_dedup, "LARGE", large, raising=False)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    footer = " ".join(word() for _ in range(90))
+    texts = cases(rng) + [" ".join(word() for _ in range(60)) + footer for _ in range(40)] + [footer[:-1] + word() + footer for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = suffix_dedup.text_key(df).select("key", "text")
+    held = keyed.dropDuplicates(["key"]).join(suffix_dedup.repeated_places(keyed), "key")
+    sizes = suffix_dedup.contexts(held).where("begin IS NULL").groupBy("entry").count().agg({"count": "max"}).first()[0]
+    assert (sizes or 0) <= large
+    assert run(df) == sorted(((i, *b) for i, b in enumerate(brute(texts, 200))), key=str)
