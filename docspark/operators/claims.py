@@ -25,6 +25,24 @@ def near_duplicate_pairs(statements: DataFrame, threshold: float = DUPLICATE) ->
     """
     bags = statements.select("statement_id", F.array_sort(T.boosted_bag(F.col("text"))).alias("bag"))
     bags = written(bags.groupBy("bag").agg(F.min("statement_id").alias("id"))).where(F.size("bag") > 0)  # before it, the filter would build each bag twice
+    return _similar(bags, threshold)
+
+
+def near_duplicate_members(statements: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
+    """(statement_id, class_id, n_links) of every text: class_id is the smallest id with the same bag, the one that near_duplicate_pairs names, and n_links the number of its pairs.
+
+    Texts without a word are alone. Copies meet their class by the bag's hash and the bag, in a shuffled join.
+    """
+    bags = written(statements.select("statement_id", F.array_sort(T.boosted_bag(F.col("text"))).alias("bag")))
+    bags = bags.withColumn("_hash", F.xxhash64("bag"))
+    classes = written(bags.where(F.size("bag") > 0).groupBy("_hash", "bag").agg(F.min("statement_id").alias("id")))
+    links = _similar(classes.select("bag", "id"), threshold).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    members = bags.join(classes.join(links, "id", "left"), ["_hash", "bag"], "left")
+    return members.select("statement_id", F.coalesce("id", "statement_id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def _similar(bags: DataFrame, threshold: float) -> DataFrame:
+    """near_duplicate_pairs of (id, bag), a written table of distinct bags that aren't empty."""
     words = bags.select("id", F.size("bag").alias("n"), F.explode("bag").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("df"))
     ranked = words.join(often, "word").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))

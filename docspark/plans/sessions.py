@@ -213,6 +213,13 @@ def near_duplicate_pairs(spark, sf_dir):
     return K.near_duplicate_pairs(docs).withColumn("similarity", F.round("similarity", 9))
 
 
+@query(f"""WITH d AS (SELECT doc_id, {BAG_SQL} AS bag FROM documents), c AS (SELECT bag, min(doc_id) AS id FROM d WHERE len(bag) > 0 GROUP BY 1), w AS (SELECT id, len(bag) AS n, unnest(bag) AS word FROM c),
+  s AS (SELECT x.id AS a, y.id AS b, count(*) AS n, x.n + y.n AS m FROM w x JOIN w y ON x.word = y.word AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n), p AS (SELECT a, b FROM s WHERE n / (m - n) >= 0.8),
+  l AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY 1) SELECT doc_id AS statement_id, coalesce(c.id, doc_id) AS class_id, coalesce(l.n, 0) AS n_links FROM d LEFT JOIN c ON c.bag = d.bag LEFT JOIN l ON l.id = c.id""")
+def near_duplicate_members(spark, sf_dir):
+    return K.near_duplicate_members(read(spark, sf_dir, "documents").select(C("doc_id").alias("statement_id"), "text"))
+
+
 @query(None)
 def dedup_claims(spark, sf_dir):
     return K.dedup_claims(_segments(spark, sf_dir).where("event_id % 4 in (0, 2)").select("session_id", "segment_index", "event_id", "text"))

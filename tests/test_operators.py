@@ -152,3 +152,11 @@ def test_near_duplicate_pairs_equal_all_pairs(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "statement_id long, text string")
     found = claims.near_duplicate_pairs(rows).collect()
     assert {(r["a"], r["b"]) for r in found} == expected and len(found) == len(expected) and expected
+
+
+def test_near_duplicate_members_hold_every_copy(spark):
+    """Copies without another near text have their class, and so has each copy of a linked text."""
+    texts = ["a b c d e", "only copies here", "a b c d e", "only copies here", "e d c b a f", "", None, "alone", "only copies here", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "statement_id long, text string")
+    found = {r["statement_id"]: (r["class_id"], r["n_links"]) for r in claims.near_duplicate_members(rows).collect()}
+    assert found == {0: (0, 1), 1: (1, 0), 2: (0, 1), 3: (1, 0), 4: (4, 1), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (1, 0), 9: (9, 0)}
