@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,27 +59,27 @@ def _similar(bags: DataFrame, threshold: float) -> DataFrame:
 
 
 def dedup_claims(claims: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
-    """Claims of each session less those similar to an earlier one that was kept; order matters, so a session is one group."""
-    bags = claims.withColumn("_bag", T.boosted_bag(F.col("text")))
-    fields = claims.schema
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part, kept, seen = part.sort_values("segment_index"), [], []
-        holders: dict[str, list[int]] = {}
-        for i, bag in enumerate(map(set, part["_bag"])):
-            shared: dict[int, int] = {}
-            for word in bag:
-                for k in holders.get(word, ()):
-                    shared[k] = shared.get(k, 0) + 1
-            if any(n / (len(bag) + len(seen[k]) - n) >= threshold for k, n in shared.items()):
-                continue
-            for word in bag:
-                holders.setdefault(word, []).append(len(seen))
-            seen.append(bag)
-            kept.append(i)
-        return part.iloc[kept][fields.names]
-
-    return bags.groupBy("session_id").applyInPandas(one, fields)
+    """Claims of each session less those similar to an earlier one that was kept; claims without a word stay.
+
+    Equal bags are one, as their first claim. Similar pairs are found as near_duplicate_pairs finds them, with words and
+    ids by session; then in rounds, claims that no earlier undecided claim is similar to are kept and drop the later ones.
+    """
+    fields = claims.columns
+    row, bag = F.struct(*fields), F.array_sort(T.boosted_bag(F.col("text")))
+    bags = claims.select("session_id", "segment_index", row.alias("row"), F.coalesce(bag, F.array().cast("array<string>")).alias("_bag"))
+    bags = written(bags.withColumn("_order", F.struct("session_id", "segment_index", F.xxhash64("row"))))
+    filled = F.size("_bag") > 0
+    first = bags.where(filled).groupBy("session_id", "_bag").agg(F.min("_order").alias("id"), F.min_by("row", "_order").alias("row"))
+    first = written(first.withColumn("bag", F.transform("_bag", lambda w: F.struct(F.col("session_id").alias("s"), w.alias("w")))).select("id", "bag", "row"))
+    edges = written(_similar(first.select("id", "bag"), threshold).select("a", "b"))
+    dropped = edges.select(F.col("b").alias("id")).limit(0)
+    while not edges.isEmpty():
+        keep = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        gone = written(edges.join(keep, "a").select("b").distinct())
+        edges = written(edges.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+        dropped = dropped.unionByName(gone.select(F.col("b").alias("id")))
+    kept = first.join(dropped, "id", "left_anti").select("row").unionByName(bags.where(~filled).select("row"))
+    return kept.select("row.*")
 
 
 def clean_fences(text: Column) -> Column:

@@ -94,14 +94,25 @@ def align_statements(statements: DataFrame, segments: DataFrame) -> DataFrame:
 
     A statement that no segment scores for spans the session.
     """
-    bag = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    bag = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")))
     s = statements.select("statement_id", "session_id", F.col("speaker").alias("_speaker"), bag("text").alias("_words"))
     g = segments.select("session_id", "segment_index", "start_s", "end_s", "speaker", bag("text").alias("words"))
-    score = F.size(F.array_intersect("_words", "words")) + F.when(F.col("speaker") == F.col("_speaker"), 2).otherwise(0)
-    best = F.max_by(F.struct("start_s", "end_s", score.alias("score")), F.struct(score, -F.col("segment_index")))
-    rows = s.join(g, "session_id").groupBy("statement_id").agg(best.alias("best"), F.min_by("start_s", "segment_index").alias("first"), F.max_by("end_s", "segment_index").alias("last"))
-    hit = F.col("best.score") > 0
-    return rows.select("statement_id", F.when(hit, F.col("best.start_s")).otherwise(F.col("first")).alias("start_s"), F.when(hit, F.col("best.end_s")).otherwise(F.col("last")).alias("end_s"))
+    # Of segments that score alike for any statement, and of statements that ask alike, one is enough.
+    asked = s.select("session_id", "_speaker", "_words").distinct()
+    times = F.struct("start_s", "end_s")
+    heard = g.groupBy("session_id", "speaker", "words").agg(F.min("segment_index").alias("segment_index"), F.min_by(times, "segment_index").alias("times"))
+    shared = asked.withColumn("word", F.explode("_words")).join(heard.select("session_id", "speaker", "segment_index", "times", F.explode("words").alias("word")), ["session_id", "word"])
+    shared = shared.groupBy("session_id", "_speaker", "_words", "speaker", "segment_index", "times").agg(F.count("*").alias("score"))
+    shared = shared.withColumn("score", F.col("score") + F.when(F.col("speaker") == F.col("_speaker"), 2).otherwise(0))
+    own = g.where("speaker IS NOT NULL").groupBy("session_id", F.col("speaker").alias("_speaker")).agg(F.min("segment_index").alias("segment_index"), F.min_by(times, "segment_index").alias("times"), F.lit(2).cast("long").alias("score"))
+    picked = ["session_id", "_speaker", "_words", "segment_index", "times", "score"]
+    best = shared.select(*picked).unionByName(asked.join(own, ["session_id", "_speaker"]).select(*picked))
+    best = best.groupBy("session_id", "_speaker", "_words").agg(F.max_by("times", F.struct("score", -F.col("segment_index"))).alias("best"))
+    best = best.select(F.col("session_id").alias("_s"), F.col("_speaker").alias("_p"), F.col("_words").alias("_w"), "best")
+    spans = g.groupBy("session_id").agg(F.min_by("start_s", "segment_index").alias("first"), F.max_by("end_s", "segment_index").alias("last"))
+    rows = s.join(spans, "session_id")
+    rows = rows.join(best, (rows["session_id"] == best["_s"]) & rows["_speaker"].eqNullSafe(best["_p"]) & (rows["_words"] == best["_w"]), "left")
+    return rows.select("statement_id", F.coalesce("best.start_s", "first").alias("start_s"), F.coalesce("best.end_s", "last").alias("end_s"))
 
 
 def trailing_history(turns: DataFrame, n: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.operators import aggregates, claims, events, ingest, retrieval
+from docspark.operators import aggregates, claims, transcripts, events, ingest, retrieval
 from docspark.streaming.sessions import CHARS, IDLE, INTERVAL, Buffer
 
 
@@ -160,3 +160,37 @@ def test_near_duplicate_members_hold_every_copy(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "statement_id long, text string")
     found = {r["statement_id"]: (r["class_id"], r["n_links"]) for r in claims.near_duplicate_members(rows).collect()}
     assert found == {0: (0, 1), 1: (1, 0), 2: (0, 1), 3: (1, 0), 4: (4, 1), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (1, 0), 9: (9, 0)}
+
+
+def test_hot_session_is_not_one_group(spark):
+    """dedup_claims and align_statements equal their plain rules, and neither plan joins or groups by session alone with texts as they are."""
+    from docspark.operators import transcripts
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    texts = [" ".join(rng.sample(words, rng.randint(4, 12))) for _ in range(25)] + ["", "zz"]
+    rows = []
+    for i in range(160):
+        parts = rng.choice(texts).split()
+        if parts and rng.random() < 0.5:
+            parts[rng.randrange(len(parts))] = rng.choice(words)
+        rows.append((i % 2, i, rng.choice([0, 1, 2, None]), " ".join(parts), float(i), i + 0.5))
+    df = spark.createDataFrame(rows, "session_id long, segment_index int, speaker int, text string, start_s double, end_s double")
+    kept = {0: [], 1: []}
+    for session, i, _, text, *_ in rows:
+        bag = set(text.split())
+        if not any(bag & x and 5 * len(bag & x) >= 4 * len(bag | x) for _, x in kept[session]):
+            kept[session].append((i, bag))
+    found = claims.dedup_claims(df)
+    assert sorted(r["segment_index"] for r in found.collect()) == sorted(i for x in kept.values() for i, _ in x)
+    assert found.columns == df.columns and "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+    asked = [(i, i % 2, rng.choice([0, 5, None]), rng.choice([rng.choice(rows)[3], "nothing known", ""])) for i in range(60)]
+    expected = {}
+    for i, session, speaker, text in asked:
+        own = [r for r in rows if r[0] == session]
+        score, _, r = max((len(set(text.split()) & set(r[3].split())) + 2 * (speaker is not None and r[2] == speaker), -r[1], r) for r in own)
+        expected[i] = (r[4], r[5]) if score else (own[0][4], own[-1][5])
+    aligned = transcripts.align_statements(spark.createDataFrame(asked, "statement_id int, session_id long, speaker int, text string"), df)
+    assert {r["statement_id"]: (r["start_s"], r["end_s"]) for r in aligned.collect()} == expected
+    assert "array_intersect" not in aligned._jdf.queryExecution().toString()
