@@ -182,6 +182,33 @@ def lookup_tool(spark, sf_dir):
     return asked.select("query_id").join(got, "query_id", "left").select("query_id", F.when(C("n").isNull(), "No documents found with these IDs.").otherwise(F.concat(C("n").cast("string"), F.lit(" results"))).alias("message"))
 
 
+def _every(name: str) -> str:
+    """A query's SQL over all segments, which ask all vaults."""
+    return ORACLES[name].replace(_IDS, _IDS.replace("event_id % 4 AS vault_id", "event_id // 4 % 4 AS vault_id").replace(" WHERE event_id % 4 IN (0, 2)", ""))
+
+
+def _all_asked(spark, sf_dir):
+    vault = (F.floor(C("event_id") / 4) % 4).alias("vault_id")
+    return read(spark, sf_dir, "segments").select(C("event_id").alias("query_id"), vault, F.array_distinct(T.bare_ids(C("text"))).alias("entity_ids"))
+
+
+@query(_every("entity_search"))
+def entity_search_all(spark, sf_dir):
+    return R.entity_search(_all_asked(spark, sf_dir), read(spark, sf_dir, "chunks")).drop("chunk_index")
+
+
+@query(_every("entity_search_token"))
+def entity_search_token_all(spark, sf_dir):
+    return R.entity_search(_all_asked(spark, sf_dir), read(spark, sf_dir, "chunks"), mode="token").drop("chunk_index")
+
+
+@query(_every("lookup_tool"))
+def lookup_tool_all(spark, sf_dir):
+    asked = _all_asked(spark, sf_dir)
+    got = R.entity_search(asked, read(spark, sf_dir, "chunks")).groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked.select("query_id").join(got, "query_id", "left").select("query_id", F.when(C("n").isNull(), "No documents found with these IDs.").otherwise(F.concat(C("n").cast("string"), F.lit(" results"))).alias("message"))
+
+
 @query(f"""{cte('chunks')}, o AS (SELECT vault_id * 1000 + doc_id % 50 AS output_id, string_agg(content_with_header, chr(10) ORDER BY chunk_id) AS text FROM chunks_v GROUP BY 1),
   b AS (SELECT output_id, unnest(parts[2:]) AS block, unnest(range(len(parts) - 1)) AS position FROM (SELECT output_id, string_split(text, '[Source: ') AS parts FROM o)),
   r AS (SELECT output_id, position, string_split(block, ']')[1] AS title, substr(list_filter(list_transform(string_split(substr(block, length(string_split(block, ']')[1]) + 2), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 1, 300) AS quote FROM b WHERE contains(block, ']'))

@@ -206,6 +206,12 @@ def align_statements(spark, sf_dir):
     return X.align_statements(seg.where("event_id % 4 = 2").select(C("event_id").alias("statement_id"), "session_id", "speaker", "text"), seg)
 
 
+@query(ORACLES["align_statements"].replace(" WHERE event_id % 4 = 2", ""))
+def align_all_statements(spark, sf_dir):
+    seg = _segments(spark, sf_dir)
+    return X.align_statements(seg.select(C("event_id").alias("statement_id"), "session_id", "speaker", "text"), seg)
+
+
 @query(f"""WITH b AS (SELECT {BAG_SQL} AS bag, min(doc_id) AS id FROM documents GROUP BY 1), w AS (SELECT id, len(bag) AS n, unnest(bag) AS word FROM b WHERE len(bag) > 0),
   s AS (SELECT x.id AS a, y.id AS b, count(*) AS n, x.n + y.n AS m FROM w x JOIN w y ON x.word = y.word AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n) SELECT a, b, round(n / (m - n), 9) AS similarity FROM s WHERE n / (m - n) >= 0.8""")
 def near_duplicate_pairs(spark, sf_dir):
@@ -222,7 +228,7 @@ def near_duplicate_members(spark, sf_dir):
 
 @query(None)
 def dedup_claims(spark, sf_dir):
-    return K.dedup_claims(_segments(spark, sf_dir).where("event_id % 4 in (0, 2)").select("session_id", "segment_index", "event_id", "text"))
+    return K.dedup_claims(_segments(spark, sf_dir).select("session_id", "segment_index", "event_id", "text"))
 
 
 @query(f"{_SEG} SELECT event_id, CASE WHEN speaker = 0 THEN 'point' ELSE 'x' END AS k, md5('Entities:' || chr(10) || coalesce(array_to_string(list(text) OVER (PARTITION BY session_id ORDER BY segment_index ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), chr(10)), '') || chr(10) || 'Segments:' || chr(10) || 'Speaker ' || speaker || ': ' || text) AS prompt FROM seg")

@@ -53,3 +53,24 @@ def test_entry_point(spark):
 
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["align_all_statements", "lookup_tool_all"])
+def test_every_segment_has_a_row(spark, name):
+    from docspark.sources.tables import read
+
+    assert QUERIES[name](spark, D).count() == read(spark, D, "segments").count()
+
+
+def test_every_vault_is_asked():
+    for name in ("entity_search_all", "entity_search_token_all", "lookup_tool_all", "align_all_statements"):
+        assert "event_id // 4 % 4 AS vault_id" in ORACLES[name] or name.startswith("align")
+        assert "event_id % 4 IN (0, 2)" not in ORACLES[name] and "event_id % 4 = 2" not in ORACLES[name]
+
+
+def test_dedup_claims_takes_every_segment(spark, monkeypatch):
+    from docspark.operators import claims
+    from docspark.sources.tables import read
+
+    monkeypatch.setattr(claims, "dedup_claims", lambda df: df)
+    assert QUERIES["dedup_claims"](spark, D).count() == read(spark, D, "segments").count()
