@@ -1,41 +1,47 @@
 """Quality rules: plain text statistics, and bands of n-gram perplexity for each language.
 
-The language model is over characters, folded into ALPHABET classes, with modified Kneser-Ney smoothing of order ORDER.
-Spark counts the n-grams of all texts that pass the plain rules, each language by itself; each language's counts, at
-most ALPHABET**ORDER of them whatever the corpus, become sorted arrays of n-gram hashes with log probabilities and
-back-off weights. Hashes are spread evenly, so an index on their leading bits finds each in a few steps.
-
-A text's perplexity is exp of the mean negative log probability of its characters. For each language, the quartiles of
-log perplexity over all texts give a band; texts outside are rejected.
+The language model is over code points, as they are, with modified Kneser-Ney smoothing of order ORDER. Spark counts the
+n-grams of the reference texts, each language by itself: texts that pass the plain rules and have few symbols and
+repeated passages, so that junk is judged by what good text looks like and not by itself. Continuation counts, discounts,
+context weights and probabilities are DataFrame aggregates and joins over n-grams, so the model grows with the corpus and
+no task holds a language. It is stored as sorted arrays of 63-bit n-gram hashes with log probabilities and back-off
+weights beside them, cut into PARTS by the last two code points of the context: all that one code point's probability
+can ask for lies in one part. A model of up to BROADCAST_BYTES is sent to every task, a larger one part by part in passes
+over the texts, whose sums are added up.
+
+A text's perplexity is exp of the mean negative log probability of its code points. For each language, the quartiles of
+log perplexity over its reference texts give a band; texts outside are rejected.
 
 Nulls and odd rows: null text is empty, fails the plain rules and has null perplexity; null lang is a language of its
-own; rows are independent otherwise, so repeated rows and ties change nothing but counts. An empty table gives an
-empty one. Columns of any name pass through.
+own; a language without a reference text has null perplexity and no band, and only the plain rules count. Rows are
+independent otherwise, so repeated rows and ties change nothing but counts. An empty table gives an empty one. Columns of
+any name pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialize
-from docspark.llm.textbytes import Spans, buffers, lead_mask, mix, repeats, slices, space_mask, tidy, total, words
+from docspark.llm.common import free, materialize
+from docspark.llm.textbytes import Spans, buffers, code_points, lead_mask, mix, repeats, slices, space_mask, strings, tidy, total, words
 
-ALPHABET, ORDER = 40, 4
+ORDER = 5
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
+#: Reference texts have at most this many symbols, and repeated words, for 100 words.
+REFERENCE_SYMBOLS, REFERENCE_REPEATS = 1, 5
 #: A band reaches this many times the distance between the quartiles below the lower and above the upper one.
-BELOW, ABOVE = 4.0, 4.0
+BELOW, ABOVE = 8.0, 4.0
 #: Narrowest distance between the quartiles that a band is built on.
 LEAST_SPREAD = 0.02
-#: Bytes of models that are broadcast at once; languages beyond that are scored in passes of their own.
-BROADCAST_BYTES = 200_000_000
-#: Languages whose counts a task holds at once; beyond that it sends what it has.
-HELD = 8
+#: Parts of a model, and bytes of parts that are broadcast at once; further parts are scored in passes of their own.
+PARTS, BROADCAST_BYTES = 256, 100_000_000
+#: N-grams that a task holds before it merges them, and before it sends them.
+HELD = 2_000_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -84,155 +90,203 @@ def base_failed(stats: dict) -> np.ndarray:
     return (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > REPEAT_SHARE * stats["n_words"])
 
 
-def _class_table() -> np.ndarray:
-    """0 white space, 1-26 letters, 27 capitals, 28 digits, 29 period, 30 comma, 31 other ASCII; the rest hashes to 32-39."""
-    table = np.full(256, 31, np.int32)
-    table[[9, 10, 11, 12, 13, 32]] = 0
-    table[97:123] = np.arange(1, 27)
-    table[65:91] = 27
-    table[48:58] = 28
-    table[ord(".")], table[ord(",")] = 29, 30
-    return table
+def is_reference(stats: dict) -> np.ndarray:
+    return ~base_failed(stats) & (100 * stats["n_symbols"] <= REFERENCE_SYMBOLS * stats["n_words"]) & (100 * stats["n_repeat_words"] <= REFERENCE_REPEATS * stats["n_words"])
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.array([pow(0xD1342543DE82EF95, k, 2**64) for k in range(ORDER)], np.uint64)
 
 
-_CLASS = _class_table()
+def gram_hash(grams: np.ndarray) -> np.ndarray:
+    """63-bit hashes of the n-grams that are the rows of a matrix of code points."""
+    spread = mix(grams.astype(np.uint64) + _STEP)
+    return (mix((spread * _POWERS[: grams.shape[1]]).sum(1, dtype=np.uint64) + np.uint64(grams.shape[1])) >> np.uint64(1)).astype(np.int64)
 
 
 def char_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-gram that ends at each character, as a number in base ALPHABET, and each row's number of characters.
+    """All code points with ORDER - 1 spaces before each row's, and where in them each row's own begin."""
+    points, lengths = code_points(data, offsets)
+    ahead = ORDER - 1
+    begins = np.r_[0, np.cumsum(lengths)][:-1]
+    padded = np.full(len(points) + ahead * len(lengths), ord(" "), np.uint32)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    padded[np.arange(len(points)) + ahead * (row + 1)] = points
+    return padded, begins + ahead * np.arange(1, len(lengths) + 1)
+
+
+def distinct_grams(padded: np.ndarray, at: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the ORDER-grams that end at `at`: each one's key and first place within `at`, the number of times, and which one each is.
 
-    White space stands before each text.
+    salt: a number for each of `at`; n-grams of different salts differ.
     """
-    lead = np.flatnonzero(lead_mask(data))
-    first = data[lead]
-    cls = _CLASS[first]
-    other = np.flatnonzero(first >= 0x80)
-    second = data[np.minimum(lead[other] + 1, max(len(data) - 1, 0))].astype(np.int32)
-    cls[other] = 32 + (first[other].astype(np.int32) * 31 + second) % 8
-    begins = np.searchsorted(lead, offsets)
-    code = cls.astype(np.int32)
-    scale = 1
+    spread = mix(padded.astype(np.uint64) + _STEP)
+    whole = spread * _POWERS[ORDER - 1]
     for k in range(1, ORDER):
-        scale *= ALPHABET
-        shifted = np.zeros_like(cls)
-        shifted[k:] = cls[:-k] if k < len(cls) else 0
-        for t in range(k):
-            at = begins[:-1] + t
-            shifted[at[at < begins[1:]]] = 0
-        code += scale * shifted
-    return code, np.diff(begins)
+        whole[k:] += spread[: len(spread) - k] * _POWERS[ORDER - 1 - k]
+    key = mix(whole[at] + salt)
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(key) else np.zeros(0, bool)
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    return ordered[begin], order[begin], np.diff(np.r_[begin, len(key)]), which
+
+
+def _rows_of(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return padded[at[:, None] + np.arange(1 - ORDER, 1)]
+
+
+def _char_places(begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all rows' own code points, and the row of each."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    return np.arange(len(row)) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths), row
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over all texts of docs that pass the plain rules; '' stands for a null lang."""
+    """(lang, gram, n) over all reference texts of docs; '' stands for a null lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        held: dict[str, np.ndarray] = {}
+        ids: dict[str, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merge() -> None:
+            key, lang, count, grams = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(key)
+            new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            held[:] = [(key[order[new]], lang[order[new]], np.add.reduceat(count[order], new), grams[order[new]])]
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                codes = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(counts[codes])], names=["lang", "code", "n"])
+            names = np.array(list(ids), object)
+            for _, lang, count, grams in held:
+                for i in range(0, len(lang), 100_000):
+                    some = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[lang[some]], pa.string()), strings(grams[some]), pa.array(count[some])], names=["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
             data, offsets = buffers(batch.column(0))
-            langs = np.array([x or "" for x in batch.column(1).to_pylist()], object)
+            langs = [x or "" for x in batch.column(1).to_pylist()]
             for i, j in slices(offsets):
                 own, where = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                good = ~base_failed(statistics(own, where))
-                codes, lengths = char_grams(own, where)
-                names, which = np.unique(langs[i:j].astype(str), return_inverse=True)
-                which = np.repeat(np.where(good, which, -1), lengths)
-                for k, name in enumerate(names):
-                    if name not in held and len(held) >= HELD:
+                padded, begins = char_grams(own, where)
+                lengths = np.diff(np.r_[begins, len(padded) + ORDER - 1]) - (ORDER - 1)
+                at, row = _char_places(begins, lengths)
+                good = is_reference(statistics(own, where))[row]
+                at, lang = at[good], np.array([ids.setdefault(x, len(ids)) for x in langs[i:j]], np.int64)[row[good]]
+                key, first, count, _ = distinct_grams(padded, at, mix(lang.astype(np.uint64)))
+                if len(key):
+                    held.append((key, lang[first], count, _rows_of(padded, at[first])))
+                if sum(len(h[0]) for h in held) > HELD:
+                    merge()
+                    if len(held[0][0]) > HELD // 2:
                         yield from sent()
-                    counts = np.bincount(codes[which == k], minlength=ALPHABET**ORDER)
-                    if name in held:
-                        held[name] += counts
-                    elif counts.any():
-                        held[name] = counts
-        yield from sent()
+        if held:
+            merge()
+            yield from sent()
+
+    return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): discounts of counts 1, 2, and 3 or more, from the numbers of n-grams counted 1 to 4 times."""
+    seen = level.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+    y, known = n1 / (n1 + 2 * n2), (n1 > 0) & (n2 > 0) & (n3 > 0)
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    def held(found: Column, least: float, most: float, other: float) -> Column:
+        return F.when(known, F.least(F.greatest(found, F.lit(least)), F.lit(most))).otherwise(other)
 
+    return seen.select("lang", held(1 - 2 * y * n2 / n1, 0.05, 1.0, 0.5).alias("d1"), held(2 - 3 * y * n3 / n2, 0.1, 2.0, 1.0).alias("d2"), held(3 - 4 * y * n4 / n3, 0.15, 3.0, 1.5).alias("d3"))
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts of counts 1, 2, and 3 or more, from the numbers of n-grams counted 1 to 4 times."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3):
-        return np.array([0.5, 1.0, 1.5])
-    y = n1 / (n1 + 2 * n2)
-    found = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(found, [0.05, 0.1, 0.15], [1, 2, 3])
 
+def smoothed(counts: DataFrame) -> DataFrame:
+    """(lang, kind, n, gram, value) of all orders: kind p is an n-gram's log probability, kind b a context's log back-off weight.
 
-def estimate(codes: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For orders 1 to ORDER: codes, log probabilities, and log back-off weights of the codes as contexts of the next order."""
-    levels = [(codes.astype(np.int64), counts.astype(np.int64))]
+    The row with n = 0 has the log probability of a code point that the language hasn't got. counts: a written table.
+    """
+    levels = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
-        levels.insert(0, np.unique(levels[0][0] % ALPHABET**n, return_counts=True))
-    below, below_codes, out = np.full(ALPHABET, 1 / ALPHABET), np.arange(ALPHABET), []
-    for n, (codes, counts) in enumerate(levels, 1):
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
-        d = _discounts(counts)
-        context, inverse = np.unique(codes // ALPHABET, return_inverse=True)
-        whole = np.bincount(inverse, counts)
-        taken = np.minimum(d[np.minimum(counts, 3) - 1], counts)
-        weight = np.bincount(inverse, taken) / whole
-
-        def lower(grams: np.ndarray, n: int = n, codes=below_codes, p=below) -> np.ndarray:
-            return p[np.searchsorted(codes, grams % ALPHABET ** max(1, n - 1))]
-
-        p = (counts - taken) / whole[inverse] + weight[inverse] * lower(codes)
-        if n > 1:  # the weight belongs to the context, which the order below holds
-            out[-1][2][np.searchsorted(below_codes, context)] = np.log(np.maximum(weight, 1e-12))
-        if n < ORDER:  # classes that don't occur, and contexts of the next order that never end an n-gram: the start of a text
-            missing = np.setdiff1d(np.arange(ALPHABET) if n == 1 else levels[n][0] // ALPHABET, codes)
-            at = np.minimum(np.searchsorted(context, missing // ALPHABET), len(context) - 1)
-            known = context[at] == missing // ALPHABET
-            codes, p = np.r_[codes, missing], np.r_[p, np.where(known, weight[at], 1.0) * lower(missing)]
-            order = np.argsort(codes)
-            codes, p = codes[order], p[order]
-        out.append((codes, np.log(p), np.zeros(len(codes))))
-        below, below_codes = p, codes
-    return out
+        # A lower order counts the distinct code points before an n-gram.
+        levels[n] = materialize(levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n")), f"grams-{n}")
+    # One code point more than there are stands for all others.
+    lower, out = levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")).withColumn("suffix", F.lit("")), []
+    for n in range(1, ORDER + 1):
+        taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        own = levels[n].join(F.broadcast(_discounts(levels[n])), "lang")  # a row for each language
+        own = own.select("lang", "gram", "n", F.least(taken, F.col("n")).alias("taken"), F.substring("gram", 1, n - 1).alias("context"), F.substring("gram", 2, n - 1).alias("suffix"))
+        contexts = own.groupBy("lang", "context").agg(F.sum("n").alias("whole"), (F.sum("taken") / F.sum("n")).alias("weight"))
+        p = (F.col("n") - F.col("taken")) / F.col("whole") + F.col("weight") * F.col("p")
+        both = own.join(contexts, ["lang", "context"]).join(lower, ["lang", "suffix"]).select("lang", "gram", p.alias("p"))
+        lower_now = materialize(both, f"smoothed-{n}")
+        out.append(lower_now.select("lang", F.lit("p").alias("kind"), F.lit(n).alias("n"), "gram", F.log("p").alias("value")))
+        if n == 1:
+            rest = contexts.join(lower, "lang").select("lang", F.lit("p").alias("kind"), F.lit(0).alias("n"), F.lit("").alias("gram"), F.log(F.col("weight") * F.col("p")).alias("value"))
+        else:
+            rest = contexts.select("lang", F.lit("b").alias("kind"), F.lit(n - 1).alias("n"), F.col("context").alias("gram"), F.log("weight").alias("value"))
+        out.append(rest)
+        lower = lower_now.withColumnRenamed("gram", "suffix")
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _part(context: np.ndarray) -> np.ndarray:
+    """The part of a model that belongs to a context: rows of two code points, the last ones before a character."""
+    return (gram_hash(context) % PARTS).astype(np.int32)
 
 
 def build_model(counts: DataFrame) -> DataFrame:
-    """(lang, n, keys, log_p, log_b): for each language and order, hashes in ascending order and float arrays beside them, as bytes.
+    """(lang, kind, n, part, keys, entries) of gram_counts(), a written table: hashes in ascending order and values beside them.
 
-    A language's counts, the rows of one group, are bounded by ALPHABET**ORDER.
+    Part -1 has what is shorter than two code points of context and goes with every other part.
     """
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n, (codes, p, b) in enumerate(estimate(part["code"].to_numpy(), part["n"].to_numpy()), 1):
-            keys = mix(codes.astype(np.uint64))
-            order = np.argsort(keys)
-            out.append((part["lang"].iloc[0], n, keys[order].tobytes(), p[order].astype("<f4").tobytes(), b[order].astype("<f4").tobytes()))
-        return pd.DataFrame(out, columns=["lang", "n", "keys", "log_p", "log_b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, n = np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
+            points, lengths = code_points(*buffers(batch.column(3)))
+            begins = np.cumsum(lengths) - lengths
+            hashes, parts = np.zeros(len(n), np.int64), np.full(len(n), -1, np.int32)
+            for k in np.unique(n):
+                mine = np.flatnonzero(n == k)
+                grams = points[begins[mine][:, None] + np.arange(k)]
+                hashes[mine] = gram_hash(grams)
+                for is_p, least in ((True, 3), (False, 2)):
+                    some = (kind[mine] == "p") == is_p
+                    if k >= least and some.any():
+                        parts[mine[some]] = _part(grams[some][:, -3:-1] if is_p else grams[some][:, -2:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(parts), pa.array(hashes), pa.array(batch.column(4).to_numpy().astype(np.float32))], names=["lang", "kind", "n", "part", "key", "entry"])
+
+    flat = smoothed(counts).mapInArrow(run, "lang string, kind string, n int, part int, key long, entry float")
+    both = flat.groupBy("lang", "kind", "n", "part").agg(F.sort_array(F.collect_list(F.struct("key", "entry"))).alias("rows"))
+    return both.select("lang", "kind", "n", "part", F.col("rows.key").alias("keys"), F.col("rows.entry").alias("entries"))
+
 
-    return counts.groupBy("lang").applyInPandas(one, "lang string, n int, keys binary, log_p binary, log_b binary")
+def fit(docs: DataFrame) -> DataFrame:
+    """The model of docs' own reference texts, as a written table."""
+    return materialize(build_model(materialize(gram_counts(docs), "gram-counts")), "kneser-ney")
 
 
 class HashArray:
-    """Sorted hashes with an index on their leading bits."""
-
-    def __init__(self, keys: bytes, log_p: bytes, log_b: bytes):
-        self.keys, self.log_p, self.log_b = np.frombuffer(keys, np.uint64), np.frombuffer(log_p, "<f4"), np.frombuffer(log_b, "<f4")
-        bits = max(1, int(np.ceil(np.log2(len(self.keys) + 1))))
-        self.shift = np.uint64(64 - bits)
-        self.index = np.searchsorted(self.keys >> self.shift, np.arange(2**bits + 1, dtype=np.uint64)).astype(np.int32)
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """The place of each code, or -1."""
-        hashes = mix(codes.astype(np.uint64))
-        bucket = (hashes >> self.shift).astype(np.int64)
+    """Sorted 63-bit hashes with an index on their leading bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(1, int(np.ceil(np.log2(len(keys) + 1))))
+        self.shift = 63 - bits
+        self.index = np.searchsorted(keys >> self.shift, np.arange(2**bits + 1)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        bucket = hashes >> self.shift
         at, end = self.index[bucket], self.index[bucket + 1]
-        found = np.full(len(codes), -1, np.int32)
+        found = np.full(len(hashes), -1, np.int32)
         todo = np.flatnonzero(at < end)
         while len(todo):
             hit = self.keys[at[todo]] == hashes[todo]
@@ -243,86 +297,99 @@ class HashArray:
         return found
 
 
-def log_probability(arrays: list[HashArray], codes: np.ndarray) -> np.ndarray:
-    """Of each ORDER-gram's last character: the longest known n-gram's, times the back-off weights of the contexts that had none."""
-    out, todo = np.zeros(len(codes), np.float32), np.arange(len(codes))
+#: A language's arrays: by kind and n.
+Model = dict[tuple[str, int], HashArray]
+
+
+def log_probability(model: Model, grams: np.ndarray) -> np.ndarray:
+    """Of the last code point of each row: the longest known n-gram's, and the back-off weights of the contexts that had none."""
+    out, todo = np.zeros(len(grams)), np.arange(len(grams))
     for n in range(ORDER, 0, -1):
-        own = codes[todo] % ALPHABET**n
-        at = arrays[n - 1].find(own)
-        known = at >= 0
-        out[todo[known]] += arrays[n - 1].log_p[at[known]]
-        todo, own = todo[~known], own[~known]
-        if n > 1 and len(todo):
-            context = arrays[n - 2].find(own // ALPHABET)
-            out[todo] += np.where(context >= 0, arrays[n - 2].log_b[np.maximum(context, 0)], np.float32(0))
-        elif len(todo):
-            out[todo] -= np.log(np.float32(ALPHABET))
+        own = grams[todo]
+        if ("p", n) in model:
+            at = model["p", n].find(gram_hash(own[:, ORDER - n :]))
+            known = at >= 0
+            out[todo[known]] += model["p", n].values[at[known]]
+            todo, own = todo[~known], own[~known]
+        if n > 1 and len(todo) and ("b", n - 1) in model:
+            at = model["b", n - 1].find(gram_hash(own[:, ORDER - n : -1]))
+            out[todo] += np.where(at >= 0, model["b", n - 1].values[at], np.float32(0))
+    out[todo] += model["p", 0].values[0]
     return out
 
 
-def score(docs: DataFrame, model: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """`columns` of docs (or docs as they are, whose texts then stay where they are), STATS, base_failed and log_perplexity (null for empty text or a language without a model).
-
-    model: a written table of build_model().
-    """
-    spark = docs.sparkSession
-    sizes = model.groupBy("lang").agg(F.sum(F.octet_length("keys") * 2).alias("size")).collect()  # a row for each language
-    groups: list[list[str]] = [[]]
-    held = 0
-    for r in sorted(sizes, key=lambda r: r["lang"]):
-        if groups[-1] and held + r["size"] > BROADCAST_BYTES:
-            groups.append([])
+def _passes(model: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of parts, of all languages, that are sent together; they cover all parts."""
+    sizes = {r["part"]: r["size"] for r in model.groupBy("part").agg(F.sum(F.size("keys") * 12).alias("size")).collect()}  # PARTS rows
+    begins, held = [0], 0
+    for part in range(PARTS):
+        size = sizes.get(part, 0)
+        if held and held + size > BROADCAST_BYTES:
+            begins.append(part)
             held = 0
-        groups[-1].append(r["lang"])
-        held += r["size"]
-    lang = F.coalesce("lang", F.lit(""))
-    out = None
-    for i, names in enumerate(groups):
-        rows = model.where(F.col("lang").isin(names)).collect() if names else []
-        mine = lang.isin(names) if i else ~lang.isin([x for g in groups[1:] for x in g])
-        own, sent = docs if len(groups) == 1 else docs.where(mine), spark.sparkContext.broadcast(sorted(((r["lang"], r["n"], bytes(r["keys"]), bytes(r["log_p"]), bytes(r["log_b"])) for r in rows), key=lambda r: r[:2]))
-        part = _score_in_place(own, sent) if columns is None else _score(own, sent, columns)
-        out = part if out is None else out.unionByName(part)
+        held += size
+    return list(zip(begins, [*begins[1:], PARTS], strict=True))
+
+
+def _sent(model: DataFrame, low: int, high: int) -> dict[str, list[tuple]]:
+    """{lang: [(kind, n, keys, values)]} of the parts from low to high and of part -1, hashes in order over all parts."""
+    rows = model.where((F.col("part") < 0) | F.col("part").between(low, high - 1)).toArrow()
+    held: dict[tuple, list] = {}
+    for lang, kind, n, keys, values in zip(*(rows.column(c).to_pylist() for c in ("lang", "kind", "n")), *(rows.column(c).combine_chunks() for c in ("keys", "entries")), strict=True):
+        held.setdefault((lang, kind, n), []).append((keys.values.to_numpy(), values.values.to_numpy()))
+    out: dict[str, list[tuple]] = {}
+    for (lang, kind, n), found in held.items():
+        keys, values = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(keys)
+        out.setdefault(lang, []).append((kind, n, keys[order], values[order]))
     return out
 
 
-def _score(docs: DataFrame, shared, columns: list[str]) -> DataFrame:
-    picked = docs.select(*columns, F.col("text").alias("_text"), F.coalesce("lang", F.lit("")).alias("_lang"))
-    extra = {s: F.lit(0).cast("long") for s in STATS} | {"base_failed": F.lit(True), "log_perplexity": F.lit(None).cast("double")}
-    schema = picked.drop("_text", "_lang").withColumns(extra).schema
+_MEASURES = {**dict.fromkeys(STATS, "bigint"), "base_failed": "boolean", "reference": "boolean", "chars": "bigint", "log_p": "double"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        measure = _measurer(shared.value)
-        for batch in batches:
-            made = measure(batch.column(len(columns)), batch.column(len(columns) + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=[*columns, *STATS, "base_failed", "log_perplexity"])
-
-    return picked.mapInArrow(run, schema)
 
+def score(docs: DataFrame, model: DataFrame, name: str) -> DataFrame:
+    """docs with `name`, a struct of STATS, base_failed, reference and log_perplexity (null for empty text or a language without a model).
 
-def _score_in_place(docs: DataFrame, shared) -> DataFrame:
-    """docs with the columns of score(): only text and lang go to Python, and only numbers come back."""
-    kind = ", ".join([*[f"{s} long" for s in STATS], "base_failed boolean, log_perplexity double"])
+    Only text and lang go to Python and only numbers come back. model: a written table of build_model().
+    """
+    groups = _passes(model)
+    kind = f"struct<{','.join(f'{k}:{v}' for k, v in _MEASURES.items())}>"
 
-    @F.arrow_udf(kind.join(("struct<", ">")).replace(" ", ":").replace(",:", ","))
-    def measured(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        tidy()
-        measure = _measurer(shared.value)
-        for texts, langs in batches:
-            yield pa.StructArray.from_arrays(measure(texts, langs), names=[*STATS, "base_failed", "log_perplexity"])
+    def measured(low: int, high: int) -> Callable:
+        shared = docs.sparkSession.sparkContext.broadcast((_sent(model, low, high), low, high))
 
-    held = docs.withColumn("_measured", measured("text", F.coalesce("lang", F.lit(""))))
-    return held.select(*[F.col(c) for c in docs.columns], F.col("_measured.*"))
+        @F.arrow_udf(kind)
+        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            tidy()
+            measure = _measurer(*shared.value)
+            for texts, langs in batches:
+                yield pa.StructArray.from_arrays(measure(texts, langs), names=list(_MEASURES))
 
+        return run
 
-def _measurer(rows: list[tuple]):
-    """A function from texts and languages to arrays of STATS, base_failed and log_perplexity; for use within a task."""
-    models: dict[str, list[HashArray]] = {}
-    for lang, _, *arrays in rows:
-        models.setdefault(lang, []).append(HashArray(*arrays))
-    # Few of the possible n-grams occur in a slice: each is looked up once.
-    known = np.zeros(ALPHABET**ORDER, np.float32)
+    lang = F.coalesce("lang", F.lit(""))
+    if len(groups) == 1:
+        held = docs.withColumn(name, measured(*groups[0])("text", lang))
+    else:  # a text's sums over the passes meet by its hash and language
+        key, pair = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+        parts = [docs.select(key.alias("k1"), pair.alias("k2"), lang.alias("l"), measured(*g)("text", lang).alias("m")).distinct() for g in groups]
+        summed = parts[0]
+        for more in parts[1:]:
+            summed = summed.unionByName(more)
+        first = F.first("m").alias("m")
+        summed = summed.groupBy("k1", "k2", "l").agg(first, F.sum("m.log_p").alias("s"))
+        summed = materialize(summed.select("k1", "k2", "l", F.col("m").withField("log_p", F.col("s")).alias(name)), "pass-sums")
+        own = docs.withColumns(dict(zip(keys := [free(x, docs.columns) for x in ("_k1", "_k2", "_l")], (key, pair, lang), strict=True)))
+        held = own.join(summed, (own[keys[0]] == summed["k1"]) & (own[keys[1]] == summed["k2"]) & (own[keys[2]] == summed["l"])).select(*[own[c] for c in docs.columns], summed[name])
+    m = F.col(name)
+    mean = F.when(m["chars"] > 0, -m["log_p"] / m["chars"])
+    return held.withColumn(name, F.struct(*[m[s].alias(s) for s in STATS], m["base_failed"].alias("base_failed"), m["reference"].alias("reference"), mean.alias("log_perplexity")))
+
+
+def _measurer(sent: dict[str, list[tuple]], low: int, high: int) -> Callable:
+    """A function from texts and languages to arrays of _MEASURES, for use within a task; only characters of parts from low to high count in log_p."""
+    models: dict[str, Model] = {lang: {(kind, n): HashArray(keys, values) for kind, n, keys, values in rows} for lang, rows in sent.items()}
 
     def measure(texts: pa.Array, languages: pa.Array) -> list[pa.Array]:
         data, offsets = buffers(texts)
@@ -331,62 +398,67 @@ def _measurer(rows: list[tuple]):
         for i, j in slices(offsets):
             own, where = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             stats = statistics(own, where)
-            codes, lengths = char_grams(own, where)
+            padded, begins = char_grams(own, where)
+            lengths = np.diff(np.r_[begins, len(padded) + ORDER - 1]) - (ORDER - 1)
+            at, row = _char_places(begins, lengths)
             names, which = np.unique(langs[i:j].astype(str), return_inverse=True)
-            by_char, log_p = np.repeat(which, lengths), np.full(len(codes), np.nan, np.float32)
+            # Few of the possible n-grams occur in a slice: each is looked up once.
+            _, first, _, code = distinct_grams(padded, at, mix(which[row].astype(np.uint64)))
+            grams, owner, log_p = _rows_of(padded, at[first]), which[row[first]], np.full(len(first), np.nan)
             for k, name in enumerate(names):
                 if name in models:
-                    at = np.flatnonzero(by_char == k) if len(names) > 1 else slice(None)
-                    present = np.flatnonzero(np.bincount(codes[at], minlength=1))
-                    known[present] = log_probability(models[name], present)
-                    log_p[at] = known[codes[at]]
-            scored = (lengths > 0) & np.isin(which, [k for k, name in enumerate(names) if name in models])
-            mean, begins = np.full(j - i, np.nan), np.cumsum(lengths) - lengths
-            if scored.any():  # each row's own sum: equal texts get equal numbers
-                full = np.flatnonzero(lengths > 0)
-                sums = np.add.reduceat(log_p.astype(np.float64), begins[full])
-                mean[full] = sums / lengths[full]
-            parts.append([*(stats[s] for s in STATS), base_failed(stats), np.where(scored, -mean, np.nan)])
-        joined = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0)] * (len(STATS) + 2)
-        return [pa.array(c.astype(np.int64)) for c in joined[:-2]] + [pa.array(joined[-2].astype(bool)), pa.array(joined[-1].astype(np.float64), from_pandas=True)]
+                    mine = np.flatnonzero(owner == k)
+                    part = _part(grams[mine, -3:-1])
+                    log_p[mine] = np.where((part >= low) & (part < high), log_probability(models[name], grams[mine]), 0)
+            sums, full = np.full(j - i, np.nan), np.flatnonzero(lengths > 0)
+            if len(full):  # each row's own sum: equal texts get equal numbers
+                sums[full] = np.add.reduceat(log_p[code], (np.cumsum(lengths) - lengths)[full])
+            parts.append([*(stats[s] for s in STATS), base_failed(stats), is_reference(stats), lengths, sums])
+        joined = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0)] * len(_MEASURES)
+        kinds = [np.int64] * len(STATS) + [bool, bool, np.int64]
+        return [pa.array(c.astype(t)) for c, t in zip(joined[:-1], kinds, strict=True)] + [pa.array(joined[-1].astype(np.float64), from_pandas=True)]
 
     return measure
 
 
-def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """(lang, lower, upper) of log perplexity, from the quartiles of all texts that pass the plain rules."""
-    q = scored.where(~F.col("base_failed")).groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
+def bands(scored: DataFrame, name: str, below: float = BELOW, above: float = ABOVE) -> DataFrame:
+    """(lang, lower, upper) of log perplexity, from the quartiles of all reference texts of score()."""
+    m = F.col(name)
+    q = scored.where(m["reference"]).groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.percentile_approx(m["log_perplexity"], [0.25, 0.5, 0.75], 10_000).alias("q"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(LEAST_SPREAD))
     return q.select("lang", (F.col("q")[0] - below * spread).alias("lower"), (F.col("q")[2] + above * spread).alias("upper"))
 
 
-def verdict(scored: DataFrame, band: DataFrame) -> DataFrame:
-    """scored with perplexity and kept. A text passes the plain rules and lies in its language's band to be kept."""
-    b = band.select(F.col("lang").alias("_band"), "lower", "upper")
-    inside: Column = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
-    return (
-        scored.join(F.broadcast(b), F.coalesce(scored["lang"], F.lit("")) == b["_band"], "left")  # a row for each language
-        .withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True))))
-        .withColumn("perplexity", F.exp("log_perplexity"))
-        .drop("_band", "lower", "upper", "log_perplexity")
-    )
+def verdict(scored: DataFrame, band: DataFrame, name: str, kept: str) -> DataFrame:
+    """scored with the boolean `kept`: the text passes the plain rules and lies in its language's band, if there is one."""
+    key, limits = free("_band", [*scored.columns, kept]), free("_limits", [*scored.columns, kept])
+    b = band.select(F.col("lang").alias(key), F.struct("lower", "upper").alias(limits))
+    m, lim = F.col(name), F.col(limits)
+    inside = F.coalesce(m["log_perplexity"].between(lim["lower"], lim["upper"]), F.lit(True))
+    joined = scored.join(F.broadcast(b), F.coalesce(scored["lang"], F.lit("")) == b[key], "left")  # a row for each language
+    return joined.withColumn(kept, ~m["base_failed"] & inside).drop(key, limits)
 
 
-def fit(docs: DataFrame) -> DataFrame:
-    """The model of docs' own texts, as a written table."""
-    return materialize(build_model(gram_counts(docs)), "kneser-ney")
+def judged(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs, written with their measures and verdicts; the names of these two columns."""
+    name = free("_measured", docs.columns)
+    kept = free("_kept", [*docs.columns, name])
+    scored = materialize(score(docs, fit(docs), name), "quality-scores")
+    return verdict(scored, bands(scored, name), name, kept), name, kept
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     from docspark.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    scored = materialize(score(docs, fit(docs), ["doc_id", "lang"]), "quality-scores")
-    return verdict(scored, bands(scored)).drop("lang")
+    name = "_measured"
+    scored = materialize(score(docs, fit(docs), name).drop("text"), "quality-scores")
+    m = F.col(name)
+    out = verdict(scored, bands(scored, name), name, "kept")
+    return out.select("doc_id", *[m[s].alias(s) for s in STATS], m["base_failed"].alias("base_failed"), "kept", F.exp(m["log_perplexity"]).alias("perplexity"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """docs without those that the rules reject. Texts are scored twice, for the bands and for the verdict, rather than kept beside their scores."""
-    model = fit(docs)
-    scored = materialize(score(docs, model, ["lang"]), "quality-scores")
-    return verdict(score(docs, model), materialize(bands(scored), "bands")).where("kept").select(*docs.columns)
+    """docs without those that the rules reject."""
+    found, _, kept = judged(docs)
+    return found.where(F.col(kept)).select(*docs.columns)

@@ -126,3 +126,27 @@ def space_mask(data: np.ndarray) -> np.ndarray:
 def lead_mask(data: np.ndarray) -> np.ndarray:
     """True at the first byte of each code point."""
     return (data & 0xC0) != 0x80
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a UTF-8 column, and each row's number of them. What is no character counts as U+FFFD."""
+    lead = np.flatnonzero(lead_mask(data))
+    out = data[lead].astype(np.uint32)
+    wide = np.flatnonzero(out >= 0xC0)
+    if len(wide):
+        first = out[wide]
+        more = 1 + (first >= 0xE0) + (first >= 0xF0)
+        value = first & (0x3F >> more).astype(np.uint32)
+        for k in (1, 2, 3):
+            follows = data[np.minimum(lead[wide] + k, len(data) - 1)].astype(np.uint32) & 0x3F
+            value = np.where(more >= k, value << 6 | follows, value)
+        value[(value > 0x10FFFF) | (value >= 0xD800) & (value <= 0xDFFF)] = 0xFFFD
+        out[wide] = value
+    return out, np.diff(np.searchsorted(lead, offsets))
+
+
+def strings(points: np.ndarray) -> pa.Array:
+    """The rows of a matrix of code points as a column of strings."""
+    sizes = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).sum(1)
+    data = np.ascontiguousarray(points, "<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(points), pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(data))

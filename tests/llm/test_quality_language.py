@@ -1,17 +1,20 @@
 from __future__ import annotations
 
+import functools
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.llm.odd import documents, empty, rows
 
 from docspark.llm import language_id, quality
 from docspark.llm.common import table
-from docspark.llm.textbytes import buffers, mix
+from docspark.llm.textbytes import buffers
 
 
 def brute(text):
@@ -29,84 +32,125 @@ def test_statistics(texts):
     assert [tuple(int(got[s][i]) for s in quality.STATS) for i in range(len(texts))] == [brute(t) for t in texts]
 
 
-def arrays(counts):
-    codes, n = np.array(sorted(counts)), np.array([counts[c] for c in sorted(counts)])
-    out = []
-    for codes, p, b in quality.estimate(codes, n):
-        keys = mix(codes.astype(np.uint64))
-        o = np.argsort(keys)
-        out.append(quality.HashArray(keys[o].tobytes(), p[o].astype("<f4").tobytes(), b[o].astype("<f4").tobytes()))
-    return out
-
+def is_reference(text):
+    n, _, symbols, _, repeated = brute(text)
+    return n >= 20 and 100 * repeated <= 30 * n and 100 * symbols <= n and 100 * repeated <= 5 * n
 
-def test_probabilities_add_up():
-    text = "the cat sat on the mat. THE DOG, 12 été\n" * 3 + "another line, with other words."
-    codes, _ = quality.char_grams(*buffers(pa.array([text, "x y", ""])))
-    model = arrays(Counter(codes.tolist()))
-    for context in {int(c) // 40 for c in codes} | {0, 39 * 1600 + 39 * 40 + 39, 5 * 40 + 1}:
-        p = np.exp(quality.log_probability(model, context * 40 + np.arange(40)).astype(float))
-        assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
 
-
-def kneser_ney(counts, gram):
-    """p(last | rest) by the published recursion, from count dictionaries."""
-    levels = [None] * 5
-    levels[4] = Counter(counts)
-    for n in (3, 2, 1):
+def kneser_ney(texts):
+    """log p of a code point after a context, by the published recursion, from count dictionaries."""
+    levels = {5: Counter(p[i : i + 5] for t in texts for p in ["    " + t] for i in range(len(p) - 4))}
+    for n in (4, 3, 2, 1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
-
+    d, whole, taken = {}, Counter(), Counter()
+    for n, level in levels.items():
+        n1, n2, n3, n4 = (sum(v == k for v in level.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        d[n] = [min(max(a, 0.05 * k), k) for k, a in zip((1, 2, 3), (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))] if n1 and n2 and n3 else [0.5, 1.0, 1.5]
+        for g, v in level.items():
+            whole[g[:-1]] += v
+            taken[g[:-1]] += min(d[n][min(v, 3) - 1], v)
+
+    @functools.cache
     def p(g):
         if not g:
-            return 1 / 40
-        c = levels[len(g)]
-        own = {k: v for k, v in c.items() if k[:-1] == g[:-1]}
-        if not own:
+            return 1 / (len(levels[1]) + 1)
+        if g[:-1] not in whole:
             return p(g[1:])
-        d = quality._discounts(np.array(list(c.values())))
-        cut = lambda v: min(d[min(v, 3) - 1], v)
-        total = sum(own.values())
-        return (own[g] - cut(own[g]) if g in own else 0) / total + sum(map(cut, own.values())) / total * p(g[1:])
+        v = levels[len(g)][g]
+        return ((v - min(d[len(g)][min(v, 3) - 1], v) if v else 0) + taken[g[:-1]] * p(g[1:])) / whole[g[:-1]]
+
+    return p
+
+
+def log_perplexity(p, text):
+    padded = "    " + text
+    return -sum(math.log(p(padded[i : i + 5])) for i in range(len(text))) / len(text)
+
+
+def brute_kept(docs):
+    """(doc_id, kept, log perplexity) of (doc_id, text, lang)."""
+    out, by_lang = [], defaultdict(list)
+    for _, t, lang in docs:
+        if is_reference(t or ""):
+            by_lang[lang].append(t)
+    for lang in {d[2] for d in docs}:
+        p = kneser_ney(by_lang[lang]) if by_lang[lang] else None
+        mine = [(i, t or "", log_perplexity(p, t) if p and t else None) for i, t, own in docs if own == lang]
+        seen = sorted(z for _, t, z in mine if is_reference(t))
+        q = [seen[max(0, math.ceil(len(seen) * k) - 1)] for k in (0.25, 0.75)] if seen else None
+        for i, t, z in mine:
+            n, _, _, _, repeated = brute(t)
+            wide = max(q[1] - q[0], quality.LEAST_SPREAD) if q else 0
+            inside = z is None or not q or q[0] - quality.BELOW * wide <= z <= q[1] + quality.ABOVE * wide
+            out.append((i, n >= 20 and 100 * repeated <= 30 * n and inside, z))
+    return out
+
+
+def test_equals_the_recursion(spark):
+    d = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text, r.lang) for r in table(spark, d, "documents").collect()]
+    want = {i: (k, z) for i, k, z in brute_kept(docs)}
+    got = quality.op1_quality_rules(spark, d).collect()
+    assert {r.doc_id: r.kept for r in got} == {i: k for i, (k, _) in want.items()}
+    assert 0 < sum(k for k, _ in want.values()) < sum(not r.base_failed for r in got)
+    for r in got:
+        z = want[r.doc_id][1]
+        assert (r.perplexity is None) == (z is None) and (z is None or abs(math.log(r.perplexity) - z) < 1e-4)
+
 
-    return p(gram)
+def model_of(spark, texts):
+    filler = " one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    texts = [t + filler for t in texts]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    return texts, {(k, n): quality.HashArray(a, b) for k, n, a, b in quality._sent(quality.fit(docs), 0, quality.PARTS)["en"]}
 
 
-def test_equals_the_recursion():
-    text = "the cat sat on the mat and the rat ate that hat, then they ate. " * 2 + "this is the other one"
-    codes, _ = quality.char_grams(*buffers(pa.array([text])))
-    split = lambda c: tuple(int(c) // 40**k % 40 for k in (3, 2, 1, 0))
-    model = arrays(Counter(codes.tolist()))
-    probe = np.array([*codes[::5].tolist(), 20 * 64000 + 8 * 1600 + 5 * 40 + 24, 26 * 64000 + 1 * 1600 + 20 * 40 + 5, 3 * 64000 + 39])
-    got = np.exp(quality.log_probability(model, probe))
-    want = [kneser_ney(Counter(map(split, codes.tolist())), split(c)) for c in probe]
-    assert np.allclose(got, want, rtol=1e-4)
+def test_probabilities_add_up(spark):
+    texts, model = model_of(spark, ["the cat sat on the mat. THE DOG, 12 été", "日本語 and Ωμέγα, \U0001f600!"])
+    letters = sorted({c for t in texts for c in t})
+    p = kneser_ney(texts)
+    for context in ("    ", "the ", "zzzz", "日本語 ", "été ", "xthe"):
+        grams = np.array([[ord(c) for c in context + x] for x in [*letters, "\u4e00"]], np.uint32)
+        got = np.exp(quality.log_probability(model, grams))
+        assert abs(got.sum() - 1) < 1e-4 and (got > 0).all()
+        assert np.allclose(got, [p(context + x) for x in [*letters, "\u4e00"]], rtol=1e-4)
 
 
 def test_odd_documents(spark):
     docs = documents(spark)
-    scored = quality.score(docs, quality.fit(docs), ["doc_id", "text", "lang"])
-    got = Counter((r.doc_id, r.text, *(r[s] for s in quality.STATS)) for r in scored.collect())
+    for name in ("_measured", "_kept", "_band", "_limits", "n_words", "kept", "perplexity", "lower", "k1", "l", "m", "_K1"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    scored = quality.score(docs, quality.fit(docs), "_measured_")
+    got = Counter((r.doc_id, r.text, *(r["_measured_"][s] for s in quality.STATS)) for r in scored.collect())
     assert got == Counter((r[0], r[1], *brute(r[1] or "")) for r in rows())
-    out = quality.verdict(scored, quality.bands(scored))
-    assert out.count() == len(rows()) and out.where("base_failed and kept").count() == 0
-    assert quality.filter_documents(docs).columns == docs.columns
+    out, _, kept = quality.judged(docs)
+    assert out.count() == len(rows())
+    want = Counter((i, k) for i, k, _ in brute_kept([(r[0], r[1], r[2]) for r in rows()]))
+    assert Counter((r.doc_id, r[kept]) for r in out.collect()) == want
+    left = quality.filter_documents(docs)
+    assert left.columns == docs.columns and {r.n_words for r in left.collect()} == {"mine"}
     assert quality.filter_documents(empty(spark)).count() == 0
 
 
-def test_language_batches_give_the_same(spark, monkeypatch):
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
-    model = quality.fit(docs)
-    one = quality.score(docs, model, ["doc_id"]).collect()
-    monkeypatch.setattr(quality, "BROADCAST_BYTES", 1)
-    assert sorted(quality.score(docs, model, ["doc_id"]).collect()) == sorted(one)
+def test_passes_give_the_same(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").withColumn("_k1", F.lit(1))
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("lang", F.lit("new")))
+    model = quality.fit(table(spark, "/root/testdata/sf0.001", "documents"))
+    one = quality.score(docs, model, "m").collect()
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 100_000)
+    assert len(quality._passes(model)) > 2
+    two = quality.score(docs, model, "m").collect()
+    near = lambda rows: sorted((r.doc_id, r.lang, *r.m[:-1], r.m.log_perplexity and round(r.m.log_perplexity, 6)) for r in rows)
+    assert near(one) == near(two)
 
 
 def test_clean_stay_and_junk_goes(spark):
     d = "/root/testdata/sf0.1"
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    kept = {r["doc_id"] for r in quality.filter_documents(docs).select("doc_id").collect()}
-    scored = quality.score(docs, quality.fit(docs), ["doc_id", "quality"]).where("not base_failed").collect()
-    good, bad = ([r.doc_id in kept for r in scored if r.quality == q] for q in (1, 0))
-    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < sum(good) / len(good) - 0.2
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, d, "labels").collect()}
+    got = [r for r in quality.op1_quality_rules(spark, d).where("not base_failed").collect() if r.doc_id in labels]
+    good, bad = ([r.kept for r in got if labels[r.doc_id] == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.1
 
 
 def test_gram_vectors_by_hand():
