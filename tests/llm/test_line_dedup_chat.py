@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tests.llm.odd import LINE, documents, empty, rows
 
 from docspark.llm import chat_format, line_dedup
@@ -31,10 +32,8 @@ def brute(docs):
 
 
 def run(docs):
-    from pyspark.sql import functions as F
-
-    out = line_dedup.apply_bitmaps(docs, line_dedup.dropped_bitmaps(docs))
-    return sorted(map(tuple, out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect()), key=str)
+    out = line_dedup.apply_bitmaps(docs, line_dedup.dropped_bitmaps(docs), "out")
+    return sorted(map(tuple, out.select("doc_id", "out.n_lines", "out.n_dropped", F.sha2("out.kept_text", 256)).collect()), key=str)
 
 
 def test_odd_documents(spark):
@@ -42,6 +41,27 @@ def test_odd_documents(spark):
     assert run(empty(spark)) == []
 
 
+def test_clashing_names(spark):
+    docs = documents(spark)
+    names = ["_row", "_bits", "_ROW_", "h1", "salt", "pos", "line", "lines", "n_lines", "n_dropped", "kept_text", "dropped", "row_key"]
+    for c in names:
+        docs = docs.withColumn(c, F.lit("mine"))
+    out = line_dedup.apply_bitmaps(docs, line_dedup.dropped_bitmaps(docs), "out")
+    assert out.columns == [*docs.columns, "out"] and {tuple(r) for r in out.select(*names).collect()} == {("mine",) * len(names)}
+    assert sorted(map(tuple, out.select("doc_id", "out.n_lines", "out.n_dropped", F.sha2("out.kept_text", 256)).collect()), key=str) == brute(rows())
+
+
+def test_hot_lines_are_cut_and_runs_are_streamed(spark):
+    docs = [(i if i % 7 else None, f"a line that every document has\nline {i % 50:05d} that some have\n{'x' * 30} {i}\na line that every document has") for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    hot = line_dedup._hot(line_dedup.line_hashes(df), 4).collect()
+    assert len(hot) == 1 and hot[0].salts > 4
+    assert run(df) == brute(docs)
+    plan = line_dedup.dropped_bitmaps(df)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window") :]
+    assert "SortMergeJoin" not in plan and below.index("Sort [h1") < below.index("rangepartitioning") and "ArrowEval" not in plan
+
+
 def test_many_lines_in_one_document(spark):
     docs = [(0, "\n".join(f"shared line number {i % 300:05d} of many" for i in range(2000))), (1, "\n".join(f"shared line number {i:05d} of many" for i in range(150))), (2, "\n".join(f"  SHARED line number {i:05d} of many " for i in range(0, 300, 2))), (3, LINE)]
     assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
