@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import jaccard_join, line_dedup, mixing, packing, quality
-from docspark.llm.common import materialize, table
+from docspark.llm.common import free, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,9 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_level_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three documents share stay in the last one only; every document stays, if only as empty text."""
-    out = line_dedup.apply_bitmaps(docs, line_dedup.dropped_bitmaps(docs))
-    changed = F.col("n_dropped") > 0
-    return out.withColumns({"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
+    name = free("_lines", docs.columns)
+    out = line_dedup.apply_bitmaps(docs, line_dedup.dropped_bitmaps(docs), name)
+    made = F.col(name)
+    changed = made["n_dropped"] > 0
+    return out.withColumns({"text": F.when(changed, made["kept_text"]).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(made["kept_text"]).cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
