@@ -3,6 +3,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -154,12 +155,46 @@ def test_clean_stay_and_junk_goes(spark):
 
 
 def test_gram_vectors_by_hand():
-    letters = language_id.letter_vectors()
-    code = (3 * 64 + 5) * 64 + 7
-    want = np.roll(letters[3], 2) * np.roll(letters[5], 1) * letters[7]
-    assert (language_id.gram_vectors(np.array([code]), letters)[0] == want).all()
-    codes, owner = language_id.grams(*buffers(pa.array(["Ab", "", "é!", None])))
-    assert codes.tolist()[:2] == [1 * 64 + 2, (1 * 64 + 2) * 64] and owner.tolist() == [0, 0, 2, 2]
+    pack = lambda s: ord(s[0]) << 42 | ord(s[1]) << 21 | ord(s[2])
+    vectors = dict(zip("aé日", language_id.letter_vectors(np.array([ord(c) for c in "aé日"])), strict=True))
+    assert {*vectors["a"].tolist()} == {1, -1} and abs(int(vectors["é"].astype(int) @ vectors["日"].astype(int))) < 200
+    want = np.roll(vectors["a"], 2) * np.roll(vectors["é"], 1) * vectors["日"]
+    assert (language_id.gram_vectors(np.array([pack("aé日")]))[0] == want).all()
+    codes, owner, letter = language_id.grams(*buffers(pa.array(["Ab", "", "É!", None, "12"])))
+    assert codes.tolist() == [pack(" ab"), pack("ab "), pack(" é "), pack("é  ")]
+    assert owner.tolist() == [0, 0, 2, 2] and letter.tolist() == [True, False, True, False, False]
+
+
+def brute_languages(learn, ask):
+    """Predictions by summing a vector for each n-gram of each text in turn."""
+    def profile(text):
+        letters = [c.lower()[0] if unicodedata.category(c)[0] in "LM" else " " for c in text or ""]
+        s, out = "".join([" ", *letters, " "]), np.zeros(language_id.DIM)
+        for i in range(len(s) - 2):
+            if s[i : i + 3] != "   ":
+                a, b, c = (language_id.letter_vectors(np.array([ord(x)]))[0].astype(int) for x in s[i : i + 3])
+                out += np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    proto = defaultdict(lambda: np.zeros(language_id.DIM))
+    for text, lang in learn:
+        proto[lang] += profile(text)
+    for text in ask:
+        v = profile(text)
+        cosine = {k: float(v @ p / max(np.linalg.norm(v) * np.linalg.norm(p), 1e-9)) for k, p in proto.items()}
+        best = min(cosine, key=lambda k: (-cosine[k], k)) if any(map(str.isalpha, text or "")) else "und"
+        yield best, max(0.0, cosine[best]) if best != "und" else 0.0
+
+
+def test_predictions_equal_a_plain_version(spark):
+    few = [r for r in table(spark, "/root/testdata/sf0.001", "documents").collect() if r.text][:60]
+    learn = [(r.text[:300], r.lang) for r in few] + [("что это за язык такой", "ru"), ("これは日本語の文章です", "ja"), ("यह हिन्दी है", "hi"), (None, "en")]
+    ask = [r.text[:200] for r in few[:20]] + ["какой язык", "日本語の本", "हिन्दी में", None, "12 34", "", "ÉTÉ ô"]
+    model = language_id.prototypes(spark.createDataFrame(learn, "text string, lang string").repartition(3))
+    got = language_id.predict(spark.createDataFrame(list(enumerate(ask)), "i int, text string"), model, ["i"]).orderBy("i").collect()
+    want = list(brute_languages([x for x in learn if x[0]], ask))
+    assert [r.lang_pred for r in got] == [w[0] for w in want] and [r.lang_pred for r in got[20:23]] == ["ru", "ja", "hi"]
+    assert np.allclose([r.score for r in got], [w[1] for w in want])
 
 
 def test_languages(spark):
