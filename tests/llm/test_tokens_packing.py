@@ -11,6 +11,7 @@ from tests.llm.odd import documents, empty, rows
 from tokenizers import Tokenizer
 
 from docspark.llm import packing, tokens
+from docspark.llm.common import table
 
 WORD_JSON, BYTE_JSON = (open(public_tokenizers.path(n), encoding="utf-8").read() for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -39,13 +40,32 @@ def test_ids_equal_the_library(text):
 
 def test_random_texts_equal_the_library():
     rng, library, encode, words = random.Random(5), Tokenizer.from_str(BYTE_JSON), tokens.token_ids(BYTE_JSON), Tokenizer.from_str(WORD_JSON)
-    merger, cut = tokens.Merger(WORD_JSON), tokens.regex.compile(tokens.WORD_PATTERN)
-    letters = "abcDEF éÉßñ ' 's\n\t 12.,!?-–’\x0b¼ªº×÷ĳŉſƀǅ­"
-    for _ in range(400):
-        t = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
-        assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
-        if not merger.unsure(t):
-            assert sum(len(merger.ids(p)) for p in cut.findall(t.lower())) == len(words.encode(t, add_special_tokens=False).ids), repr(t)
+    count = tokens.token_counter(WORD_JSON, tokens.whole_tokens(WORD_JSON))
+    sets = ["abcDEF éÉßñ ' 's\n\t 12.,!?-–’\x0b¼ªº×÷ĳŉſƀǅ­", "ab  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u200b\u3000'", "яЖΣσς日本語कि\u0301é \nа́👍🏽 .", "ab <|endoftext|>\n <|startoftext|> '"]
+    for n in range(2000):
+        letters = sets[n % 4]
+        parts = ["<|endoftext|>", "<|startoftext|>", " ", "  ", "\n", "a", "'s", "<|"] if n % 4 == 3 else letters
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(60)))
+        assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert count(t) == len(words.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_whole_tables_equal_the_library(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    words, library = Tokenizer.from_str(WORD_JSON), Tokenizer.from_str(BYTE_JSON)
+    got = tokens.op2_token_counts(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {i: (len(t.encode()), n, n > 2048) for i, t in texts.items() for n in [len(words.encode(t, add_special_tokens=False).ids)]}
+    pieces = packing.op6_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
+    ids = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(ids.keys())
+    assert all(r.ids_crc32 == binascii.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in pieces)
+    assert sum(r.length for r in pieces) == sum(map(len, ids.values()))
+    places = defaultdict(list)
+    for r in pieces:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(p)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(p), sorted(p)[1:])) and sum(n for _, n in p) <= 2048 for p in places.values())
+    assert len(places) == best_fit([r.length for r in pieces], 2048)
 
 
 def best_fit(lengths: list[int], size: int) -> int:
