@@ -59,12 +59,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, most: int, each: int = 100_000) -> DataFrame:
     """Add `rank`, from 0 and gapless within keys, without sorting any key's rows in one task.
 
-    Rows of a key are dealt to `buckets` by `spread` (a long); the bucket counts, at most `buckets` a key, give where
-    each bucket's ranks begin, and rows are ordered within their bucket only. df is read twice: pass a written table.
+    most: rows of the largest key. Rows of a key are dealt to buckets by `spread` (a long), so many that even the largest
+    key's have about `each` rows; the bucket counts give where each bucket's ranks begin, and rows are ordered within
+    their bucket only. df is read twice: pass a written table.
     """
+    buckets = max(256, -(-most // each))
     dealt = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     begins = (
         dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))

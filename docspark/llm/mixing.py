@@ -1,16 +1,18 @@
 """Mixing sources to target weights by fitting document counts of each exact length to the words that a source is to give.
 
 A source's target is 0 to 2 times its size. Whole rounds take every document; what then remains of the budget is fitted
-on the source's length histogram: an equal share of each length, then single documents from the longest down, then
-bounded-knapsack dynamic programming over the last few thousand words, which as a rule hits the target exactly. Within a
-length, the documents that come first in a seeded order are taken.
+on the source's length histogram: an equal share of each length, from the longest down, of all but RESERVE words, what
+one length can't hit going on to the next; then bounded-knapsack dynamic programming over the words that remain, fewer
+than RESERVE and the longest document together, which as a rule hits the target exactly. A budget below RESERVE is the
+program's alone and fitted as well as any choice can. Within a length, the documents that come first in a seeded order
+are taken.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import WORD, materialize, ranked
@@ -18,8 +20,8 @@ from docspark.llm.common import WORD, materialize, ranked
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Words that the dynamic programming is left with, or one longest document if that is more.
-LAST_WORDS = 50_000
+#: Words that the shares leave to the dynamic programming.
+RESERVE = 20_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> dict[str | None, float]:
@@ -47,14 +49,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return take
     if budget >= words:
         return np.where(lengths > 0, counts, 0)
-    # Counts times budget may pass 64 bits; Python's integers don't.
-    take = np.array([int(c) * budget // words if n else 0 for n, c in zip(lengths.tolist(), counts.tolist(), strict=True)], np.int64)
-    left, spare = budget - int((take * lengths).sum()), counts - take
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        if lengths[i] and left > LAST_WORDS and spare[i]:
-            k = min(int(spare[i]), (left - LAST_WORDS) // int(lengths[i]))
-            take[i], spare[i], left = take[i] + k, spare[i] - k, left - k * int(lengths[i])
+    order, spare = np.argsort(-lengths, kind="stable"), counts.copy()
+    share, before, taken = max(0, budget - RESERVE), 0, 0
+    for i in order:  # Python's integers: counts times budget may pass 64 bits
+        length, count = int(lengths[i]), int(counts[i])
+        before += length * count
+        if length:
+            take[i] = min(count, (before * share // words - taken) // length)
+            taken += int(take[i]) * length
+    spare -= take
+    left = budget - taken
     # reached[w]: w words can be had; by[w]: the last item of a set that has them. Items double up, so a count of c needs log c.
     reached, by, items = np.zeros(left + 1, bool), np.full(left + 1, -1, np.int64), []
     reached[0] = True
@@ -77,14 +81,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+def words_in(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def mix_plan(sized: DataFrame) -> DataFrame:
-    """(source, size, source_size, target, rounds, extra) of each source and length: every document `rounds` times, `extra` of them once more."""
+    """(source, size, n, source_size, target, rounds, extra) of each source and length: every one of n documents `rounds` times, `extra` of them once more."""
     spark = sized.sparkSession
-    histogram = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+    histogram = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "length-histogram")
     whole = {r["source"]: r["words"] for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}  # a row for each source
     goal = targets(whole)
     shared = spark.sparkContext.broadcast((whole, goal))
@@ -97,20 +101,22 @@ def mix_plan(sized: DataFrame) -> DataFrame:
         rounds = int(target // words) if words else 0
         part = part.sort_values("size")
         extra = fit(part["size"].to_numpy(), part["n"].to_numpy(), round(target) - rounds * words)
-        return part[["source", "size"]].assign(source_size=words, target=target, rounds=rounds, extra=extra)
+        return part[["source", "size", "n"]].assign(source_size=words, target=target, rounds=rounds, extra=extra)
 
     # A group has a row for each length that occurs in a source.
-    return histogram.groupBy("source").applyInPandas(one, "source string, size long, source_size long, target double, rounds long, extra long")
+    return histogram.groupBy("source").applyInPandas(one, "source string, size long, n long, source_size long, target double, rounds long, extra long")
 
 
 def mix(sized: DataFrame, seed: int = 1) -> DataFrame:
-    """sized (doc_id, source, size and any others; a written table) with source_size, target and copies.
+    """sized (doc_id, source, size and others but the names here; best a written table) with source_size, target and copies.
 
     Null sources form a source of their own; empty texts have size 0 and are never taken. Equal rows are interchangeable.
     """
     by_seed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = ranked(sized, ["source", "size"], [by_seed, F.col("doc_id")], F.xxhash64(by_seed))
-    p = materialize(mix_plan(sized), "mix-plan").select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", "rounds", "extra")
+    p = materialize(mix_plan(sized), "mix-plan")
+    most = p.agg(F.max("n")).first()[0] or 0
+    dealt = ranked(sized, ["source", "size"], [by_seed, F.col("doc_id")], F.xxhash64(by_seed), most)
+    p = p.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", "rounds", "extra")
     return (
         dealt.join(p, dealt["source"].eqNullSafe(p["_source"]) & (dealt["size"] == p["_size"]))
         .withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("rounds") + (F.col("rank") < F.col("extra")).cast("long")))
@@ -118,8 +124,15 @@ def mix(sized: DataFrame, seed: int = 1) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """docs, a written table, each row as often as the mix takes it. Columns of any name pass through, held in one struct meanwhile."""
+    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    taken = mix(sized, seed).where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("again"))
+    return taken.select("row.*")
+
+
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
     from docspark.llm.common import table
 
-    sized = materialize(with_size(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "sizes")
+    sized = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
     return mix(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -108,7 +108,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     shared = spark.sparkContext.broadcast(slots)
     plain = [f.name for f in pieces.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     order = ["doc_id", "piece", *[c for c in plain if c not in ("doc_id", "piece")]]
-    dealt = ranked(pieces, ["length"], [F.col(c) for c in order], F.xxhash64("doc_id", "piece"))
+    dealt = ranked(pieces, ["length"], [F.col(c) for c in order], F.xxhash64("doc_id", "piece"), max(counts.values(), default=0))
     names = pieces.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema.fields)}, sequence_id long, offset long"
 
