@@ -36,13 +36,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it: not at all, once or twice."""
-    taken = mixing.mix(mixing.with_size(docs.select(*COLUMNS))).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each document as often as its source's target takes it: not at all, once or twice.
+
+    Null sources are one source; null and empty texts have no words and are never taken; which of the documents of one
+    length are taken follows a seeded order of their ids, and equal rows are interchangeable.
+    """
+    return mixing.mixed(docs).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and offset."""
+    """Pieces of at most 2048 tokens with their sequence and offset.
+
+    Null text is empty and has one piece, the id that closes it; rows of one doc_id and repeated rows are packed each by
+    itself, ties in any order; of the documents' columns doc_id alone is read beside the text.
+    """
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         source = f.read()
     return packing.packed_digests(docs, source)
