@@ -2,20 +2,19 @@
 
 A text's shingles are its runs of five words (all its words, if fewer). Each has a hash below 2**31 - 1; the sketch
 keeps every hash below a fixed fraction of that, so the sketch of a union is the union of sketches, and the share of
-one sketch in another estimates containment however unequal the texts are. A text whose shingles all lie above keeps
-its smallest one, so only texts without a word have an empty sketch. The fingerprint writes the hashes in order, eight
-hex digits each.
+one sketch in another estimates containment however unequal the texts are. A short text may have no hash below. Then
+there is nothing to estimate from, and likeness and containment with it are those of the whole shingle sets, exactly.
+The fingerprint writes the hashes in order, eight hex digits each; a text without a hash below has `=` and its smallest
+hash instead, and a text without a word has none.
 
 Everything is DataFrame code. To pair each document with the next by id, ids are cut into ranges: quantiles of the ids,
 each cut evenly. A window within each range leads to the next text; a range's last document takes the first of the next
-range that has any. Rows of one doc_id follow each other in the order of their text's hash; null ids come first; a
-single row is its own successor; an empty table gives an empty one.
+range that has any. Rows of one doc_id follow each other in the order of their text's hash; null ids come first, also in
+ranges, by their text's hash; a single row is its own successor; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,47 +23,55 @@ from docspark.llm.common import SPACE, partitions
 SHINGLE = 5
 PRIME = 2**31 - 1
 #: One shingle hash in KEEP is retained.
-KEEP = 8
+KEEP = 4
 #: The multipliers of the five words' hashes.
 FACTORS = (1103515245, 1664525019, 1812433253, 1566083941, 1597334677)
 #: Quantiles of the ids whose gaps are cut evenly.
 KNOTS = 64
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: the ascending retained shingle hashes of the column `text`.
+def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with `out`: the ascending distinct shingle hashes of the column `text`.
 
-    Word and shingle hashes are columns of their own, so that no lambda computes them again.
+    Word hashes are a column of their own, so that no lambda computes them again.
     """
-    words, hashes, shingles = f"_{out}_words", f"_{out}_hashes", f"_{out}_shingles"
+    words, hashes = f"_{out}_words", f"_{out}_hashes"
     df = df.withColumn(words, F.expr(f"filter(split({text}, r'{SPACE}'), w -> w <> '')"))
     df = df.withColumn(hashes, F.expr(f"transform({words}, w -> cast(conv(substring(md5(w), 1, 7), 16, 10) as bigint))"))
     terms = " + ".join([f"h * {FACTORS[0]}L", *[f"coalesce(get({hashes}, i + {k}), 0L) * {FACTORS[k]}L" for k in range(1, SHINGLE)]])
-    df = df.withColumn(shingles, F.expr(f"transform(slice({hashes}, 1, greatest(size({hashes}) - {SHINGLE - 1}, 1)), (h, i) -> ({terms}) % {PRIME}L)"))
-    kept = f"filter({shingles}, s -> s < {PRIME // KEEP}L)"
-    df = df.withColumn(out, F.expr(f"array_sort(array_distinct({kept}))"))
-    smallest = F.expr(f"slice(array_sort({shingles}), 1, 1)")
-    return df.withColumn(out, F.when(F.size(out) == 0, smallest).otherwise(F.col(out))).drop(words, hashes, shingles)
+    shingles = F.expr(f"transform(slice({hashes}, 1, greatest(size({hashes}) - {SHINGLE - 1}, 1)), (h, i) -> ({terms}) % {PRIME}L)")
+    return df.withColumn(out, F.array_sort(F.array_distinct(shingles))).drop(words, hashes)
+
 
+def sketch(shingles: Column) -> Column:
+    """The retained ones of ascending shingle hashes."""
+    return F.filter(shingles, lambda s: s < PRIME // KEEP)
 
-def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
 
+def _digits(hashes: Column) -> Column:
+    return F.array_join(F.transform(hashes, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Estimate of the shingle sets' likeness; 1 if neither has any."""
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - shared
-    return F.when(union == 0, 1.0).otherwise(shared / union)
 
+def fingerprint(shingles: Column, kept: Column) -> Column:
+    return F.when(F.size(kept) > 0, _digits(kept)).when(F.size(shingles) > 0, F.concat(F.lit("="), _digits(F.slice(shingles, 1, 1)))).otherwise("")
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimate of the share of a's shingles that b has; 1 if a has none."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+
+def with_likeness(df: DataFrame, a: str, b: str, near: str, inside: str) -> DataFrame:
+    """df with estimates, from shingle columns a and b, of the sets' Jaccard likeness and of the share of a's shingles that b has.
+
+    The sketches are compared, or all shingles if one sketch is empty. Both are 1 if a (and for likeness b too) has no shingle.
+    """
+    x, y, n = (f"_{near}_{k}" for k in ("a", "b", "n"))
+    df = df.withColumns({x: sketch(F.col(a)), y: sketch(F.col(b))})
+    both = (F.size(x) > 0) & (F.size(y) > 0)
+    df = df.withColumns({x: F.when(both, F.col(x)).otherwise(F.col(a)), y: F.when(both, F.col(y)).otherwise(F.col(b))})
+    df = df.withColumn(n, F.size(F.array_intersect(x, y)))
+    union = F.size(x) + F.size(y) - F.col(n)
+    return df.withColumns({near: F.when(union == 0, 1.0).otherwise(F.col(n) / union), inside: F.when(F.size(x) == 0, 1.0).otherwise(F.col(n) / F.size(x))}).drop(x, y, n)
 
 
 def _range(docs: DataFrame, n: int) -> Column:
-    """A number that ascends with doc_id and takes about n values, each for about as many documents."""
+    """A number that ascends with doc_id and takes about n values, each for about as many documents; null ids take `each` more, by their text's hash."""
     bounds = docs.select(F.percentile_approx("doc_id", [i / KNOTS for i in range(KNOTS + 1)], 10_000)).first()[0] or [0]
     bounds, each, doc_id = sorted(set(bounds)), max(1, n // KNOTS), F.col("doc_id")
     # Quantiles are estimates: ids beyond them belong to the ranges at the ends.
@@ -74,67 +81,74 @@ def _range(docs: DataFrame, n: int) -> Column:
         if hi - lo == 1:
             begin, end = cells[lo]
             inside = F.floor((doc_id.cast("double") - float(begin)) * each / float(max(end - begin, 1)))
-            return F.greatest(F.lit(0), F.least(F.lit(each - 1), inside)) + lo * each + 1
+            return F.greatest(F.lit(0), F.least(F.lit(each - 1), inside)) + (lo + 1) * each
         mid = (lo + hi) // 2
         return F.when(doc_id < cells[mid][0], pick(lo, mid)).otherwise(pick(mid, hi))
 
-    return F.when(doc_id.isNull(), F.lit(0)).otherwise(pick(0, len(cells))).cast("long")
+    by_hash = F.floor((F.xxhash64("text") / float(2**64) + 0.5) * each)
+    return F.when(doc_id.isNull(), F.least(F.lit(each - 1), by_hash)).otherwise(pick(0, len(cells))).cast("long")
 
 
-def with_next(docs: DataFrame, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """prepare(docs) with next_<c> of each column in `carried`, from the document that follows by doc_id (after the last: the first)."""
-    spark = docs.sparkSession
-    numbered = docs.withColumn("_range", _range(docs, 4 * partitions(spark)))
-    ranged = prepare(numbered)
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with next_text, from the document that follows by doc_id (after the last: the first)."""
+    numbered = docs.withColumn("_range", _range(docs, 4 * partitions(docs.sparkSession)))
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64("text"))
     within = Window.partitionBy("_range").orderBy(order)
-    led = ranged.withColumn("_next", F.lead(F.struct(*carried)).over(within))
+    led = numbered.withColumn("_next", F.lead(F.struct("text")).over(within))
     # The first document of each range: found by ids alone, then read. There are as many as ranges, a number that is set above.
     firsts = numbered.select("doc_id", "_range").groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("_first"))
     firsts = F.broadcast(firsts.select(F.col("_range").alias("_at"), F.col("_first.doc_id").alias("_id")))
     by_range = Window.orderBy("_at")  # a number for each range
     follows = firsts.select(F.col("_at").alias("_before"), F.coalesce(F.lead("_at").over(by_range), F.first("_at").over(by_range)).alias("_to"))
     rows = numbered.join(firsts, numbered["doc_id"].eqNullSafe(firsts["_id"]) & (numbered["_range"] == firsts["_at"]))
-    rows = prepare(rows).groupBy("_at").agg(F.min_by(F.struct(*carried), order).alias("_row"))
+    rows = rows.groupBy("_at").agg(F.min_by(F.struct("text"), order).alias("_row"))
     begins = rows.join(follows, rows["_at"] == follows["_to"]).select("_before", "_row")
     joined = led.join(begins, led["_range"] == begins["_before"])
-    following = F.coalesce("_next", "_row")
-    return joined.select(*[F.col(c) for c in ranged.columns if c != "_range"], *[following[c].alias(f"next_{c}") for c in carried])
+    return joined.select(*docs.columns, F.coalesce("_next", "_row")["text"].alias("next_text"))
 
 
 def op3_document_sketch(spark, sf_dir: str) -> DataFrame:
     from docspark.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(docs, ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch"))
-    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    docs = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", 1, F.col("n_chars").cast("int") - half), F.substring("next_text", 1, half))
-    docs = with_sketch(docs.withColumn("edited", edited), "edited", "edited_sketch")
-    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    docs = docs.withColumn("edited", edited)
+    for text, out in (("text", "a"), ("edited", "b"), ("next_text", "c")):
+        docs = with_shingles(docs, text, out)
+    docs = with_likeness(with_likeness(docs, "a", "b", "near_edited", "kept_in_edited"), "a", "c", "near_next", "kept_in_next")
+    docs = docs.withColumns({"ka": sketch(F.col("a")), "kb": sketch(F.col("b"))})
     return docs.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"),
-        jaccard(a, b).alias("near_edited"), jaccard(a, c).alias("near_next"), containment(a, b).alias("kept_in_edited"), containment(a, c).alias("kept_in_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("a"), F.col("ka")).alias("fingerprint"), fingerprint(F.col("b"), F.col("kb")).alias("edited_fingerprint"),
+        "near_edited", "near_next", "kept_in_edited", "kept_in_next",
     )
 
 
-def _sql_sketch(text: str) -> str:
+def _sql_shingles(text: str) -> str:
     words = rf"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
     hashes = f"list_transform({words}, lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT)"
     terms = " + ".join(f"coalesce(h[i + {k}], 0) * {f}" for k, f in enumerate(FACTORS))
-    shingles = f"(SELECT list_sort(list(DISTINCT ({terms}) % {PRIME})) FROM (SELECT {hashes} AS h), LATERAL (SELECT unnest(range(1, CASE WHEN len(h) = 0 THEN 1 ELSE greatest(len(h) - {SHINGLE - 2}, 2) END)) AS i))"
-    return f"(SELECT CASE WHEN s IS NULL THEN [] WHEN s[1] < {PRIME // KEEP} THEN list_filter(s, lambda x: x < {PRIME // KEEP}) ELSE s[1:1] END FROM (SELECT {shingles} AS s))"
+    return f"(SELECT coalesce(list_sort(list(DISTINCT ({terms}) % {PRIME})), []) FROM (SELECT {hashes} AS h), LATERAL (SELECT unnest(range(1, CASE WHEN len(h) = 0 THEN 1 ELSE greatest(len(h) - {SHINGLE - 2}, 2) END)) AS i))"
+
+
+def _sql_kept(a: str) -> str:
+    return f"list_filter({a}, lambda x: x < {PRIME // KEEP})"
 
 
-_PRINT = "list_aggregate(list_transform({0}, lambda x: printf('%08x', x)), 'string_agg', '')"
+_PRINT = "CASE WHEN len({0}) > 0 THEN list_aggregate(list_transform({0}, lambda x: printf('%08x', x)), 'string_agg', '') WHEN len({1}) > 0 THEN printf('=%08x', {1}[1]) ELSE '' END"
 _JACCARD = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
 _CONTAINED = "CASE WHEN len({0}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / len({0}) END"
+#: Two sets as they are compared: by their sketches, unless one is empty.
+_PAIRED = "CASE WHEN len(k{0}) > 0 AND len(k{1}) > 0 THEN k{0} ELSE {0} END AS {0}_{1}, CASE WHEN len(k{0}) > 0 AND len(k{1}) > 0 THEN k{1} ELSE {1} END AS {1}_{0}"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id)) AS next_text FROM d),
 e AS (SELECT *, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM n),
-s AS (SELECT *, {_sql_sketch('text')} AS a, {_sql_sketch('edited')} AS b, {_sql_sketch('next_text')} AS c FROM e)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, coalesce({_PRINT.format('a')}, '') AS fingerprint, coalesce({_PRINT.format('b')}, '') AS edited_fingerprint,
-  {_JACCARD.format('a', 'b')} AS near_edited, {_JACCARD.format('a', 'c')} AS near_next, {_CONTAINED.format('a', 'b')} AS kept_in_edited, {_CONTAINED.format('a', 'c')} AS kept_in_next
-FROM s
+s AS (SELECT *, {_sql_shingles('text')} AS a, {_sql_shingles('edited')} AS b, {_sql_shingles('next_text')} AS c FROM e),
+k AS (SELECT *, {_sql_kept('a')} AS ka, {_sql_kept('b')} AS kb, {_sql_kept('c')} AS kc FROM s),
+p AS (SELECT *, {_PAIRED.format('a', 'b')}, {_PAIRED.format('a', 'c')} FROM k)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_PRINT.format('ka', 'a')} AS fingerprint, {_PRINT.format('kb', 'b')} AS edited_fingerprint,
+  {_JACCARD.format('a_b', 'b_a')} AS near_edited, {_JACCARD.format('a_c', 'c_a')} AS near_next, {_CONTAINED.format('a_b', 'b_a')} AS kept_in_edited, {_CONTAINED.format('a_c', 'c_a')} AS kept_in_next
+FROM p
 """

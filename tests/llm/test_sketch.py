@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 
 def brute(text):
     words = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
-    all_ = {sum(f * h for f, h in zip(sketch.FACTORS, words[i : i + 5])) % sketch.PRIME for i in range(max(1, len(words) - 4))} if words else set()
-    return sorted(s for s in all_ if s < sketch.PRIME // sketch.KEEP) or sorted(all_)[:1]
+    return sorted({sum(f * h for f, h in zip(sketch.FACTORS, words[i : i + 5])) % sketch.PRIME for i in range(max(1, len(words) - 4))}) if words else []
+
+
+def compared(a, b):
+    a, b = set(brute(a)), set(brute(b))
+    small = [{s for s in x if s < sketch.PRIME // sketch.KEEP} for x in (a, b)]
+    a, b = small if all(small) else (a, b)
+    return (len(a & b) / len(a | b) if a | b else 1.0, len(a & b) / len(a) if a else 1.0)
 
 
 def test_odd_documents(spark):
     docs = documents(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = sketch.with_next(docs, ["text", "sketch"], lambda df: sketch.with_sketch(df, "text", "sketch")).collect()
+    got = sketch.with_shingles(sketch.with_shingles(sketch.with_next(docs), "text", "a"), "next_text", "b")
+    got = sketch.with_likeness(got, "a", "b", "near", "inside").collect()
     assert len(got) == len(rows())
-    assert all(r.sketch == brute(r.text) and r.next_sketch == brute(r.next_text) for r in got)
+    assert all(r.a == brute(r.text) and r.b == brute(r.next_text) and (r.near, r.inside) == compared(r.text, r.next_text) for r in got)
     low = lambda x: (x is not None, x)
     order = sorted({r.doc_id for r in got}, key=low)
     # Every row leads to a row of its own or the following id, and as many of each text as there are.
@@ -27,12 +34,12 @@ def test_odd_documents(spark):
     after = dict(zip(order, order[1:] + order[:1]))
     texts = {i: {r[1] or "" for r in rows() if r[0] == i} for i in order}
     assert all(r.next_text in texts[r.doc_id] | texts[after[r.doc_id]] for r in got)
-    assert sketch.with_next(empty(spark).select("doc_id", "text"), ["text"]).count() == 0
+    assert sketch.with_next(empty(spark).select("doc_id", "text")).count() == 0
 
 
 def test_one_row_follows_itself(spark):
     docs = spark.createDataFrame([(7, "x y")], "doc_id long, text string")
-    assert sketch.with_next(docs, ["text"]).first().next_text == "x y"
+    assert sketch.with_next(docs).first().next_text == "x y"
 
 
 def test_uneven_ids(spark):
@@ -40,13 +47,34 @@ def test_uneven_ids(spark):
     docs = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
     order = sorted(ids)
     after = dict(zip(order, order[1:] + order[:1]))
-    assert all(int(r.next_text) == after[r.doc_id] for r in sketch.with_next(docs, ["text"]).collect())
+    assert all(int(r.next_text) == after[r.doc_id] for r in sketch.with_next(docs).collect())
+
+
+def test_many_null_ids_are_ranged(spark):
+    docs = spark.createDataFrame([(None, str(i)) for i in range(300)] + [(5, "x")], "doc_id long, text string")
+    got = {r.text: r.next_text for r in sketch.with_next(docs).collect()}
+    ring, at = [], "x"
+    for _ in got:
+        ring.append(at)
+        at = got[at]
+    assert at == "x" and len(set(ring)) == 301
+    assert sketch.with_next(docs).select(sketch._range(docs, 256)).distinct().count() > 4
+
+
+def test_short_texts_are_compared_whole(spark):
+    """A text without a hash below the threshold is still found within a longer one."""
+    long = [" ".join(f"w{i * k}" for i in range(200)) for k in range(1, 40)]
+    df = spark.createDataFrame([(" ".join(t.split()[7:12]), t) for t in long], "s string, t string")
+    df = sketch.with_shingles(sketch.with_shingles(df, "s", "a"), "t", "b")
+    df = sketch.with_likeness(df, "a", "b", "near", "c").withColumn("k", sketch.sketch(F.col("a")))
+    got = df.select("c", F.size("k").alias("n"), sketch.fingerprint(F.col("a"), F.col("k")).alias("f")).collect()
+    assert {r.c for r in got} == {1.0} and {r.n for r in got} == {0, 1} and all(r.f.startswith("=") == (r.n == 0) for r in got)
 
 
 def test_unions_merge(spark):
     a, b = "one two three four five six seven eight " * 3, "red green blue black white pink grey " * 4
     df = spark.createDataFrame([(a, b, a + "\n" + b)], "a string, b string, c string")
     for c in "abc":
-        df = sketch.with_sketch(df, c, f"s{c}")
+        df = sketch.with_shingles(df, c, f"s{c}").withColumn(f"k{c}", sketch.sketch(F.col(f"s{c}")))
     r = df.first()
-    assert set(r.sc) >= {s for s in set(r.sa) | set(r.sb) if s < sketch.PRIME // sketch.KEEP}
+    assert set(r.kc) >= set(r.ka) | set(r.kb) and set(r.kc) - set(r.ka) - set(r.kb) <= set(r.sc) - set(r.sa) - set(r.sb)
