@@ -40,7 +40,7 @@ def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(hashes, F.expr(f"transform({words}, w -> cast(conv(substring(md5(w), 1, 7), 16, 10) as bigint))"))
     terms = " + ".join([f"h * {FACTORS[0]}L", *[f"coalesce(get({hashes}, i + {k}), 0L) * {FACTORS[k]}L" for k in range(1, SHINGLE)]])
     shingles = F.expr(f"transform(slice({hashes}, 1, greatest(size({hashes}) - {SHINGLE - 1}, 1)), (h, i) -> ({terms}) % {PRIME}L)")
-    return df.withColumn(out, F.array_sort(F.array_distinct(shingles))).drop(words, hashes)
+    return df.withColumn(out, F.sort_array(F.array_distinct(shingles))).drop(words, hashes)
 
 
 def sketch(shingles: Column) -> Column:
