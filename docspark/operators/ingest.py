@@ -167,8 +167,8 @@ def embed(rows: DataFrame, column: str, embedder: Callable[[list[str]], list[np.
 
 
 def embed_distinct(rows: DataFrame, column: str, embedder: Callable[[list[str]], list[np.ndarray]] = hashed_embedder) -> DataFrame:
-    """As embed(), each distinct text once."""
-    keyed = rows.withColumn("_sha", F.sha2(column, 256))
+    """As embed(), each distinct text once; null is as empty."""
+    keyed = rows.withColumn("_sha", F.sha2(F.coalesce(column, F.lit("")), 256))
     return keyed.join(embed(keyed.groupBy("_sha").agg(F.first(column).alias("_text")), "_text", embedder).select("_sha", "embedding", "error"), "_sha").drop("_sha")
 
 

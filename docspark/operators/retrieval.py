@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
+from docspark.sources.shared import written
 
 K1, B = 1.2, 0.75
 #: Numbers in query vectors that are sent to every task at once; more queries go by a join.
 SENT = 20_000_000
 SPLIT = r"[^\p{L}\p{N}]+"
+#: Characters of a needle by which it is looked up.
+KEY = 12
 
 
 def live(chunks: DataFrame) -> DataFrame:
@@ -73,17 +76,44 @@ def terms(text: Column) -> Column:
 def bm25_stats(chunks: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunk_id, term, tf, length), (term, df) and one row (n, avgdl), over all chunks, in or out of use.
 
-    only: (term) that matter; others count for lengths alone and aren't shuffled.
+    only: (term) that matter; others count for lengths alone and aren't shuffled. Texts are split once for the terms,
+    whose counts are written, and their words counted once more for the mean length.
     """
+    text = F.lower("content_with_header")
+    sizes = chunks.agg(F.count("*").alias("n"), F.avg(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))).alias("avgdl"))
     split = chunks.select("chunk_id", terms(F.col("content_with_header")).alias("words"))
-    sizes = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
     each = split.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term"))
     if only is not None:
         each = each.join(only.select("term").distinct(), "term", "left_semi")
-    tf = each.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
+    tf = written(each.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf")))
     return tf, tf.groupBy("term").agg(F.count("*").alias("df")), sizes
 
 
+def containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str, by: list[str]) -> DataFrame:
+    """Rows of texts beside the needles that their `text` holds, in any case, where the columns `by` agree; a row for each such pair.
+
+    Texts aren't compared with all needles: each needle has a key, its first KEY characters, and meets the texts that
+    have the key among their substrings of that length, of runs of digits alone if all needles are numbers. Only longer
+    needles are then looked for. An empty needle is in every text of its group.
+    """
+    n = F.char_length("_key")
+    keyed = wanted.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(needle).alias("_needle"), F.lower(F.substring(needle, 1, KEY)).alias("_key")).where("_needle is not null").distinct()
+    kinds = keyed.groupBy(n.alias("n")).agg(F.bool_and(F.rlike("_key", F.lit("^[0-9]*$"))).alias("digits")).collect()  # KEY + 1 rows
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit("[0-9]+"), 0) if all(r["digits"] for r in kinds) else F.array(low)
+
+    def cuts(run: Column) -> Column:
+        none = F.array().cast("array<string>")
+        of = lambda k: F.transform(F.sequence(F.lit(1), F.char_length(run) - (k - 1)), lambda i: F.substr(run, i, F.lit(k)))
+        each = [F.when(F.char_length(run) >= k, of(k)).otherwise(none) for k in sorted({r["n"] for r in kinds} - {0})]
+        return F.concat(F.array(F.lit("")), *each) if any(r["n"] == 0 for r in kinds) else F.concat(*each) if each else none
+
+    found = texts.withColumn("_cut", F.explode(F.array_distinct(F.flatten(F.transform(runs, cuts)))))
+    on = [found[c] == keyed[f"_by_{c}"] for c in by] + [found["_cut"] == keyed["_key"]]
+    hit = found.join(keyed, on).where((F.char_length("_needle") <= KEY) | F.contains(low, F.lower("_needle")))
+    return hit.drop("_cut", "_key", *[f"_by_{c}" for c in by])
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: DataFrame | None = None) -> DataFrame:
     """Best chunks by Okapi BM25 of (query_id, vault_id, query_text); scope: the chunks that may be found."""
     asked = queries.select("query_id", "vault_id", F.explode(F.array_distinct(terms(T.sanitize_query(F.col("query_text"))))).alias("term"))
@@ -98,7 +128,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: DataFrame |
 def entity_search(asked: DataFrame, chunks: DataFrame, k: int = 20, ids: int = 10, mode: str = "contains") -> DataFrame:
     """Chunks that hold one of the first `ids` of (query_id, vault_id, entity_ids).
 
-    "contains" finds an id within longer numbers too; "token" joins whole words, without comparing all with all.
+    "contains" finds an id within longer numbers too; "token" joins whole words. Neither compares all with all.
     """
     each = asked.select("query_id", "vault_id", F.explode(F.slice("entity_ids", 1, ids)).alias("entity"))
     scope = live(chunks).select("chunk_id", "vault_id", "chunk_index", "content_with_header")
@@ -106,7 +136,8 @@ def entity_search(asked: DataFrame, chunks: DataFrame, k: int = 20, ids: int = 1
         words = scope.select("chunk_id", "vault_id", "chunk_index", F.explode(F.array_distinct(F.split("content_with_header", r"[^A-Za-z0-9-]+"))).alias("entity"))
         hits = words.join(each, ["vault_id", "entity"])
     else:
-        hits = scope.join(each, (scope["vault_id"] == each["vault_id"]) & F.contains(F.lower("content_with_header"), F.lower("entity")))
+        held = containing(scope, "content_with_header", each, "entity", ["vault_id"]).select("chunk_id", "vault_id", "chunk_index", F.col("_needle").alias("entity"))
+        hits = held.join(each, ["vault_id", "entity"])
     order = Window.partitionBy("query_id").orderBy("chunk_index", "chunk_id")
     once = hits.select("query_id", "chunk_id", "chunk_index").distinct()
     return once.withColumns({"score": F.lit(1.0), "rank": F.row_number().over(order) - 1}).where(F.col("rank") < k)
@@ -210,7 +241,7 @@ def context(results: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
 def full_document(titles: DataFrame, documents: DataFrame, chunks: DataFrame, most: int = 30_000) -> DataFrame:
     """(title, doc_id, content) of the first document whose name holds the title, its chunks in order."""
     named = documents.select("doc_id", "original_filename")
-    hit = named.join(titles, F.contains(F.lower("original_filename"), F.lower("title")))
+    hit = containing(named, "original_filename", titles, "title", []).withColumnRenamed("_needle", "title")
     first = first_of(hit, ["title"], [F.col("original_filename"), F.col("doc_id")])
     parts = first.join(chunks.where("not is_deleted").select("doc_id", "chunk_index", "chunk_id", "content"), "doc_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "content"))), lambda x: x["content"]), "\n\n")
@@ -218,14 +249,27 @@ def full_document(titles: DataFrame, documents: DataFrame, chunks: DataFrame, mo
     return parts.groupBy("title", "doc_id", "original_filename").agg(text.alias("text")).select("title", "doc_id", T.truncate(whole, most, "\n[truncated]").alias("content"))
 
 
+# The forms in which tool outputs name their sources.
+SOURCE_TAG, CHUNK_HEAD = r"\[Source:\s*(.+?)\]", r"--- Document Chunk \d+[^\n]*?---\n"
+FULL_DOCUMENT, FILTER_LINE = r"=== FULL DOCUMENT:\s*(.+?)\s*===", r"(?m)^\d+\.[ \t]+(\S[^\n]*)$"
+FULL_QUOTE = "Full document retrieved."
+
+
 def citations(outputs: DataFrame) -> DataFrame:
-    """(output_id, position, title, quote) of each source named in tool output text, the first mention of each title.
+    """(output_id, position, title, quote) of the sources that tool outputs (output_id, tool, text) name, the first mention of each title.
 
-    Blocks start with `[Source: title]`; the quote is the first line after it that isn't blank, up to 300 characters.
+    Searches and lookups have chunk blocks with a source tag, quoted by the first line after it that isn't blank; filters
+    have numbered lines, `title — details`, quoted by their details; a full document has its title in a banner. Quotes
+    have up to 300 characters. Other tools cite nothing.
     """
-    blocks = outputs.select("output_id", F.posexplode(F.slice(F.split("text", r"\[Source: "), 2, 1_000_000)).alias("position", "block"))
-    title = F.substring_index("block", "]", 1)
-    body = F.expr("substring(block, length(substring_index(block, ']', 1)) + 2)")
+    rows = outputs.where(F.col("text").isNotNull())
+    block = rows.where(F.col("tool").isin("search_documents", "lookup_entity")).select("output_id", F.posexplode(F.slice(F.split("text", CHUNK_HEAD), 2, 1_000_000)).alias("position", "block"))
+    tag = F.regexp_extract("block", SOURCE_TAG, 0)
+    body = F.expr("substring(block, locate(_tag, block) + length(_tag))")
     line = F.try_element_at(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != ""), F.lit(1))
-    rows = blocks.where(F.col("block").contains("]")).select("output_id", "position", title.alias("title"), F.substring(line, 1, 300).alias("quote"))
-    return first_of(rows, ["output_id", "title"], [F.col("position")])
+    searched = block.withColumn("_tag", tag).where("_tag <> ''").select("output_id", "position", F.trim(F.regexp_extract("block", SOURCE_TAG, 1)).alias("title"), F.coalesce(line, F.lit("")).alias("quote"))
+    listed = rows.where("tool = 'filter_documents'").select("output_id", F.posexplode(F.regexp_extract_all("text", F.lit(FILTER_LINE), 1)).alias("position", "line"))
+    listed = listed.select("output_id", "position", F.trim(F.substring_index("line", " — ", 1)).alias("title"), F.when(F.contains("line", F.lit(" — ")), F.trim(F.expr("substring(line, locate(' — ', line) + 3)"))).otherwise("").alias("quote"))
+    whole = rows.where("tool = 'get_full_document'").select("output_id", F.lit(0).alias("position"), F.regexp_extract("text", FULL_DOCUMENT, 1).alias("title"), F.lit(FULL_QUOTE).alias("quote")).where("title <> ''")
+    every = searched.unionByName(listed).unionByName(whole).withColumn("quote", F.substring("quote", 1, 300))
+    return first_of(every, ["output_id", "title"], [F.col("position")])

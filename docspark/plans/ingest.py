@@ -89,15 +89,17 @@ def metadata_chunks(spark, sf_dir):
     return read(spark, sf_dir, "doc_meta").select("doc_id", *[c.alias(k) for k, c in I.metadata_chunk(m, C("original_filename")).items()])
 
 
-@query("SELECT doc_id, 64 AS dim, 1.0::DOUBLE AS norm, NULL AS error FROM documents WHERE trim(text) <> ''")
+_NORMS = "SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, NULL AS error FROM documents"
+
+
+@query(_NORMS)
 def embed_chunks(spark, sf_dir):
-    rows = I.embed(read(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id", "text"), "text")
-    return _norms(rows)
+    return _norms(I.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
 
 
-@query("SELECT doc_id, 64 AS dim, 1.0::DOUBLE AS norm, NULL AS error FROM documents WHERE trim(text) <> ''")
+@query(_NORMS)
 def embed_distinct(spark, sf_dir):
-    return _norms(I.embed_distinct(read(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id", "text"), "text"))
+    return _norms(I.embed_distinct(read(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
 
 
 def _norms(rows):

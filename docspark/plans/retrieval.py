@@ -73,12 +73,13 @@ def bm25_stats(spark, sf_dir):
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(sizes.withColumn("avgdl", F.round("avgdl", 6))))
 
 
-_IDS = r"asked AS (SELECT event_id AS query_id, event_id % 4 AS vault_id, list_distinct(regexp_extract_all(text, '\b\d{4,}\b')) AS ids FROM segments_v WHERE event_id % 4 IN (0, 2))"
+_IDS = r"asked AS (SELECT event_id AS query_id, event_id // 4 % 4 AS vault_id, list_distinct(regexp_extract_all(text, '\b\d{4,}\b')) AS ids FROM segments_v)"
 
 
 def _asked(spark, sf_dir):
-    segments = read(spark, sf_dir, "segments").where("event_id % 4 in (0, 2)")
-    return segments.select(C("event_id").alias("query_id"), (C("event_id") % 4).alias("vault_id"), F.array_distinct(T.bare_ids(C("text"))).alias("entity_ids"))
+    """Every segment asks for the ids that it names; all vaults are asked."""
+    vault = (F.floor(C("event_id") / 4) % 4).alias("vault_id")
+    return read(spark, sf_dir, "segments").select(C("event_id").alias("query_id"), vault, F.array_distinct(T.bare_ids(C("text"))).alias("entity_ids"))
 
 
 @query(f"{cte('segments', 'chunks')}, {_IDS}, one AS (SELECT query_id, vault_id, unnest(ids) AS id FROM asked), hits AS (SELECT DISTINCT query_id, c.chunk_id, chunk_index FROM one JOIN chunks_v c ON one.vault_id = c.vault_id AND {_LIVE} AND contains(lower(content_with_header), lower(id))) SELECT query_id, chunk_id, 1.0::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_index, chunk_id) - 1 AS rank FROM hits) WHERE rank < 20")
@@ -182,45 +183,30 @@ def lookup_tool(spark, sf_dir):
     return asked.select("query_id").join(got, "query_id", "left").select("query_id", F.when(C("n").isNull(), "No documents found with these IDs.").otherwise(F.concat(C("n").cast("string"), F.lit(" results"))).alias("message"))
 
 
-def _every(name: str) -> str:
-    """A query's SQL over all segments, which ask all vaults."""
-    return ORACLES[name].replace(_IDS, _IDS.replace("event_id % 4 AS vault_id", "event_id // 4 % 4 AS vault_id").replace(" WHERE event_id % 4 IN (0, 2)", ""))
-
-
-def _all_asked(spark, sf_dir):
-    vault = (F.floor(C("event_id") / 4) % 4).alias("vault_id")
-    return read(spark, sf_dir, "segments").select(C("event_id").alias("query_id"), vault, F.array_distinct(T.bare_ids(C("text"))).alias("entity_ids"))
-
-
-@query(_every("entity_search"))
-def entity_search_all(spark, sf_dir):
-    return R.entity_search(_all_asked(spark, sf_dir), read(spark, sf_dir, "chunks")).drop("chunk_index")
-
-
-@query(_every("entity_search_token"))
-def entity_search_token_all(spark, sf_dir):
-    return R.entity_search(_all_asked(spark, sf_dir), read(spark, sf_dir, "chunks"), mode="token").drop("chunk_index")
-
-
-@query(_every("lookup_tool"))
-def lookup_tool_all(spark, sf_dir):
-    asked = _all_asked(spark, sf_dir)
-    got = R.entity_search(asked, read(spark, sf_dir, "chunks")).groupBy("query_id").agg(F.count("*").alias("n"))
-    return asked.select("query_id").join(got, "query_id", "left").select("query_id", F.when(C("n").isNull(), "No documents found with these IDs.").otherwise(F.concat(C("n").cast("string"), F.lit(" results"))).alias("message"))
-
-
-@query(f"""{cte('chunks')}, o AS (SELECT vault_id * 1000 + doc_id % 50 AS output_id, string_agg(content_with_header, chr(10) ORDER BY chunk_id) AS text FROM chunks_v GROUP BY 1),
-  b AS (SELECT output_id, unnest(parts[2:]) AS block, unnest(range(len(parts) - 1)) AS position FROM (SELECT output_id, string_split(text, '[Source: ') AS parts FROM o)),
-  r AS (SELECT output_id, position, string_split(block, ']')[1] AS title, substr(list_filter(list_transform(string_split(substr(block, length(string_split(block, ']')[1]) + 2), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 1, 300) AS quote FROM b WHERE contains(block, ']'))
-  SELECT output_id, position, title, quote FROM (SELECT *, row_number() OVER (PARTITION BY output_id, title ORDER BY position) AS n FROM r) WHERE n = 1""")
+@query(f"""{cte('chunks', 'doc_meta')}, found AS (SELECT doc_id // 50 AS output_id, doc_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY chunk_id) - 1 AS position, content_with_header AS block FROM chunks_v WHERE content_with_header IS NOT NULL),
+  searched AS (SELECT output_id, position, trim(regexp_extract(block, '\[Source:\s*(.+?)\]', 1)) AS title, regexp_extract(block, '\[Source:\s*(.+?)\]', 0) AS tag, block FROM found WHERE regexp_matches(block, '\[Source:\s*(.+?)\]')),
+  quoted AS (SELECT output_id, position, title, coalesce(list_filter(list_transform(string_split(substr(block, strpos(block, tag) + length(tag)), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS quote FROM searched),
+  listed AS (SELECT 1000000000 + doc_id // 40 AS output_id, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) - 1 AS position, original_filename AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE document_type || ', ' || customer_id END AS quote FROM doc_meta_v),
+  whole AS (SELECT 2000000000 + doc_id AS output_id, 0 AS position, original_filename AS title, 'Full document retrieved.' AS quote FROM doc_meta_v)
+  SELECT output_id, position, title, substr(quote, 1, 300) AS quote FROM (SELECT *, row_number() OVER (PARTITION BY output_id, title ORDER BY position) AS n FROM (SELECT * FROM quoted UNION ALL SELECT * FROM listed UNION ALL SELECT * FROM whole)) WHERE n = 1""")
 def extract_citations(spark, sf_dir):
-    outputs = read(spark, sf_dir, "chunks").groupBy((C("vault_id") * 1000 + C("doc_id") % 50).alias("output_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content_with_header"))), lambda x: x["content_with_header"]), "\n").alias("text"))
-    return R.citations(outputs)
-
-
-@query(f"{cte('chunks')} SELECT doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY vault_id, doc_id % 100 ORDER BY chunk_index, chunk_id) AS n FROM chunks_v WHERE NOT is_deleted) WHERE n = 1")
+    """Outputs of all three kinds: 50 chunks a search, 40 documents a filter, one full document."""
+    chunks, docs = read(spark, sf_dir, "chunks").where("content_with_header is not null"), read(spark, sf_dir, "doc_meta")
+    inner = lambda key, text: F.transform(F.array_sort(F.collect_list(F.struct(key, text.alias("x")))), lambda x, i: F.struct(i.alias("i"), x["x"].alias("x")))
+    found = chunks.groupBy(F.floor(C("doc_id") / 50).alias("output_id")).agg(inner("chunk_id", C("content_with_header")).alias("each"))
+    head = lambda x: F.concat(F.lit("--- Document Chunk "), (x["i"] + 1).cast("string"), F.lit(" (relevance: 1.000) ---\n"), x["x"], F.lit("\n"))
+    found = found.select("output_id", F.lit("search_documents").alias("tool"), F.array_join(F.transform("each", head), "\n").alias("text"))
+    line = F.concat("original_filename", F.when(C("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit(" — "), "document_type", F.lit(", "), "customer_id")))
+    listed = docs.groupBy((F.floor(C("doc_id") / 40) + 1_000_000_000).alias("output_id")).agg(inner("doc_id", line).alias("each"))
+    numbered = F.transform("each", lambda x: F.concat((x["i"] + 1).cast("string"), F.lit(". "), x["x"]))
+    listed = listed.select("output_id", F.lit("filter_documents").alias("tool"), F.concat(F.lit("Found documents:\n"), F.array_join(numbered, "\n")).alias("text"))
+    whole = docs.select((C("doc_id") + 2_000_000_000).alias("output_id"), F.lit("get_full_document").alias("tool"), F.concat(F.lit("=== FULL DOCUMENT: "), "original_filename", F.lit(" ===\nits text")).alias("text"))
+    return R.citations(found.unionByName(listed).unionByName(whole))
+
+
+@query(f"{cte('chunks')} SELECT doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY vault_id, doc_id // 100 ORDER BY chunk_index, chunk_id) AS n FROM chunks_v WHERE NOT is_deleted) WHERE n = 1")
 def first_metadata_chunk(spark, sf_dir):
-    return R.first_of(read(spark, sf_dir, "chunks").where("not is_deleted").withColumn("key", C("doc_id") % 100), ["vault_id", "key"], [C("chunk_index"), C("chunk_id")]).select("doc_id", "chunk_id")
+    return R.first_of(read(spark, sf_dir, "chunks").where("not is_deleted").withColumn("key", F.floor(C("doc_id") / 100)), ["vault_id", "key"], [C("chunk_index"), C("chunk_id")]).select("doc_id", "chunk_id")
 
 
 @query(f"{cte('segments')} SELECT session_id, text, segment_index FROM (SELECT *, row_number() OVER (PARTITION BY session_id, text ORDER BY segment_index) AS n FROM segments_v) WHERE n = 1")
@@ -228,13 +214,14 @@ def first_occurrence(spark, sf_dir):
     return R.first_of(read(spark, sf_dir, "segments"), ["session_id", "text"], [C("segment_index")]).select("session_id", "text", "segment_index")
 
 
-_AGG_DOCS = "SELECT query_id, d.doc_id FROM queries_v q JOIN (SELECT doc_id, doc_id % 4 AS vault_id FROM documents WHERE source = 'src1') d USING (vault_id)"
+_AGG_DOCS = "SELECT query_id, d.doc_id FROM (SELECT query_id, vault_id, 'src' || query_id % 25 AS source FROM queries_v) q JOIN (SELECT doc_id, doc_id % 4 AS vault_id, source FROM documents) d USING (vault_id, source)"
 
 
 @query(f"{cte('queries', 'chunks')}, f AS ({_AGG_DOCS}) SELECT query_id, chunk_id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY chunk_index, chunk_id) - 1 AS rank FROM f JOIN chunks_v c USING (doc_id) WHERE NOT is_deleted")
 def aggregate_retrieve(spark, sf_dir):
+    """Each query's filter asks for a source of its own."""
     q, c = _both(spark, sf_dir)
-    found = read(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", (C("doc_id") % 4).alias("vault_id"))
-    pairs = q.select("query_id", "vault_id").join(found, "vault_id").select("query_id", "doc_id")
+    found = read(spark, sf_dir, "documents").select("doc_id", (C("doc_id") % 4).alias("vault_id"), "source")
+    pairs = q.select("query_id", "vault_id", F.concat(F.lit("src"), (C("query_id") % 25).cast("string")).alias("source")).join(found, ["vault_id", "source"]).select("query_id", "doc_id")
     hits = pairs.join(c.where("not is_deleted").select("doc_id", "chunk_id", "chunk_index"), "doc_id")
     return hits.select("query_id", "chunk_id", F.lit(1.0).alias("score"), (F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_index", "chunk_id")) - 1).alias("rank"))

@@ -193,21 +193,15 @@ def conversation_title(spark, sf_dir):
     return read(spark, sf_dir, "turns").groupBy("conv_id").agg(F.substring(first, 1, 60).alias("title"))
 
 
-@query(f"{cte('turns')} SELECT user_id, conv_id FROM (SELECT conv_id % 7 AS user_id, conv_id, row_number() OVER (PARTITION BY conv_id % 7 ORDER BY max(turn) DESC, conv_id DESC) AS n FROM turns_v GROUP BY conv_id) WHERE n <= 50")
+@query(f"{cte('turns')} SELECT user_id, conv_id FROM (SELECT conv_id // 70 AS user_id, conv_id, row_number() OVER (PARTITION BY conv_id // 70 ORDER BY max(turn) DESC, conv_id DESC) AS n FROM turns_v GROUP BY conv_id) WHERE n <= 50")
 def recent_conversations(spark, sf_dir):
-    each = read(spark, sf_dir, "turns").groupBy("conv_id").agg(F.max("turn").alias("latest")).withColumn("user_id", C("conv_id") % 7)
+    each = read(spark, sf_dir, "turns").groupBy("conv_id").agg(F.max("turn").alias("latest")).withColumn("user_id", F.floor(C("conv_id") / 70))
     return each.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("latest"), F.desc("conv_id")))).where("n <= 50").select("user_id", "conv_id")
 
 
-@query(f"""{_SEG}, st AS (SELECT event_id AS statement_id, session_id, speaker, list_distinct(string_split(lower(text), ' ')) AS words FROM seg WHERE event_id % 4 = 2),
+@query(f"""{_SEG}, st AS (SELECT event_id AS statement_id, session_id, speaker, list_distinct(string_split(lower(text), ' ')) AS words FROM seg),
   g AS (SELECT statement_id, start_s, end_s, row_number() OVER (PARTITION BY statement_id ORDER BY len(list_intersect(st.words, string_split(lower(s.text), ' '))) + CASE WHEN s.speaker = st.speaker THEN 2 ELSE 0 END DESC, segment_index) AS n FROM st JOIN seg s USING (session_id)) SELECT statement_id, start_s, end_s FROM g WHERE n = 1""")
 def align_statements(spark, sf_dir):
-    seg = _segments(spark, sf_dir)
-    return X.align_statements(seg.where("event_id % 4 = 2").select(C("event_id").alias("statement_id"), "session_id", "speaker", "text"), seg)
-
-
-@query(ORACLES["align_statements"].replace(" WHERE event_id % 4 = 2", ""))
-def align_all_statements(spark, sf_dir):
     seg = _segments(spark, sf_dir)
     return X.align_statements(seg.select(C("event_id").alias("statement_id"), "session_id", "speaker", "text"), seg)
 
@@ -246,20 +240,20 @@ def extract_statements_rules(spark, sf_dir):
 _KEY = f"'verdict_cache:' || vault_id || ':v1:' || sha256({_FINGER.format(_NORM.format('text'))})"
 
 
-@query(f"{cte('statements')}, k AS (SELECT *, {_KEY} AS cache_key FROM statements_v), cache AS (SELECT cache_key, min(statement_id) AS id FROM k WHERE statement_id % 5 = 0 GROUP BY 1), fresh AS (SELECT cache_key, CASE WHEN id % 2 = 0 THEN 'supported' ELSE 'unverifiable' END AS verdict FROM cache WHERE id % 600 <= 300) SELECT statement_id, f.cache_key IS NOT NULL AS cache_hit, verdict FROM k LEFT JOIN fresh f USING (cache_key)")
+@query(f"{cte('statements')}, k AS (SELECT *, {_KEY} AS cache_key FROM statements_v), cache AS (SELECT cache_key, min(statement_id) AS id FROM k GROUP BY 1), fresh AS (SELECT cache_key, CASE WHEN id % 2 = 0 THEN 'supported' ELSE 'unverifiable' END AS verdict FROM cache WHERE id % 600 <= 300) SELECT statement_id, f.cache_key IS NOT NULL AS cache_hit, verdict FROM k LEFT JOIN fresh f USING (cache_key)")
 def verdict_cache_lookup(spark, sf_dir):
     keyed = read(spark, sf_dir, "statements").withColumn("cache_key", T.verdict_cache_key(C("vault_id"), F.lit("v1"), C("text")))
     now = F.expr("TIMESTAMP '2024-01-01 00:10:00'")
-    cache = keyed.where("statement_id % 5 = 0").groupBy("cache_key").agg(F.min("statement_id").alias("id")).select("cache_key", F.when(C("id") % 2 == 0, "supported").otherwise("unverifiable").alias("verdict"), F.timestamp_seconds(F.unix_timestamp(now) - C("id") % 600).alias("cached_at"))
+    cache = keyed.groupBy("cache_key").agg(F.min("statement_id").alias("id")).select("cache_key", F.when(C("id") % 2 == 0, "supported").otherwise("unverifiable").alias("verdict"), F.timestamp_seconds(F.unix_timestamp(now) - C("id") % 600).alias("cached_at"))
     hits, misses = K.cache_lookup(keyed, cache, now)
     return hits.select("statement_id", F.lit(True).alias("cache_hit"), "verdict").unionByName(misses.select("statement_id", F.lit(False).alias("cache_hit"), F.lit(None).cast("string").alias("verdict")))
 
 
-@query(f"{_SEG}, v AS (SELECT event_id // 2 * 2 AS claim_id, event_id AS heard, CASE WHEN event_id % 3 = 0 THEN 'supported' ELSE 'contradicted' END AS verdict FROM seg WHERE event_id % 5 < 3), l AS (SELECT claim_id, max_by(verdict, heard) AS verdict FROM v GROUP BY 1) SELECT event_id AS claim_id, coalesce(verdict, 'pending') AS verdict FROM seg LEFT JOIN l ON l.claim_id = event_id WHERE event_id % 2 = 0")
+@query(f"{_SEG}, v AS (SELECT event_id // 2 * 2 AS claim_id, event_id AS heard, CASE WHEN event_id % 3 = 0 THEN 'supported' ELSE 'contradicted' END AS verdict FROM seg), l AS (SELECT claim_id, max_by(verdict, heard) AS verdict FROM v GROUP BY 1) SELECT event_id AS claim_id, coalesce(verdict, 'pending') AS verdict FROM seg LEFT JOIN l ON l.claim_id = event_id")
 def claim_status(spark, sf_dir):
     seg = _segments(spark, sf_dir)
-    verdicts = seg.where("event_id % 5 < 3").select((F.floor(C("event_id") / 2) * 2).alias("claim_id"), C("event_id").alias("at"), F.when(C("event_id") % 3 == 0, "supported").otherwise("contradicted").alias("verdict"))
-    return K.claim_status(seg.where("event_id % 2 = 0").select(C("event_id").alias("claim_id")), verdicts)
+    verdicts = seg.select((F.floor(C("event_id") / 2) * 2).alias("claim_id"), C("event_id").alias("at"), F.when(C("event_id") % 3 == 0, "supported").otherwise("contradicted").alias("verdict"))
+    return K.claim_status(seg.select(C("event_id").alias("claim_id")), verdicts)
 
 
 def _responses(spark, sf_dir):
@@ -329,9 +323,13 @@ def claim_evidence(spark, sf_dir):
     return back.select("claim_id", F.size("e").alias("n_evidence"), C("e")[0]["doc_title"].alias("title"), C("e")[0]["quote"].alias("quote"))
 
 
-@query(f"{cte('statements')}, p AS (SELECT *, regexp_extract({_NORM.format('text')}, 'invoice (\\d+)', 1) AS id, regexp_extract({_NORM.format('text')}, '\\$(\\d+)', 1) AS amount FROM statements_v WHERE statement_id % 6 = 5) SELECT statement_id, CASE WHEN o_orderkey % 3 = 0 THEN 'unverifiable' WHEN o_orderkey % 3 = 1 THEN 'supported' ELSE 'contradicted' END AS verdict FROM p JOIN orders ON o_orderkey = statement_id")
+_RULED = rf"""p AS (SELECT *, {_NORM.format('text')} AS plain FROM statements_v), e AS (SELECT *, CASE statement_id % 3 WHEN 0 THEN 'nothing here' WHEN 1 THEN 'invoice ' || regexp_extract(plain, 'invoice (\d+)', 1) || ' total $' || regexp_extract(plain, '\$(\d+)', 1) ELSE 'invoice ' || regexp_extract(plain, 'invoice (\d+)', 1) || ' total $7' END AS evidence,
+  regexp_extract_all(plain, '\b\d{{4,}}\b') AS ids, regexp_extract_all(plain, '\$(\d+(?:\.\d+)?)', 1) AS amounts FROM p)"""
+
+
+@query(f"{cte('statements')}, {_RULED} SELECT statement_id, CASE WHEN len(list_filter(ids, lambda x: contains(evidence, x))) = 0 THEN 'unverifiable' WHEN len(amounts) = 0 OR len(list_filter(amounts, lambda x: contains(evidence, x))) > 0 THEN 'supported' ELSE 'contradicted' END AS verdict FROM e")
 def verify_point_rules(spark, sf_dir):
-    s = read(spark, sf_dir, "statements").where("statement_id % 6 = 5")
+    s = read(spark, sf_dir, "statements")
     plain = T.normalize_numbers(C("text"))
     own = F.concat(F.lit("invoice "), F.regexp_extract(plain, r"invoice (\d+)", 1))
     evidence = F.when(C("statement_id") % 3 == 0, "nothing here").when(C("statement_id") % 3 == 1, F.concat(own, F.lit(" total $"), F.regexp_extract(plain, r"\$(\d+)", 1))).otherwise(F.concat(own, F.lit(" total $7")))

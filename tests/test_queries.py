@@ -55,7 +55,7 @@ def test_entry_point(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["align_all_statements", "lookup_tool_all"])
+@pytest.mark.parametrize("name", ["align_statements", "lookup_tool", "claim_status"])
 def test_every_segment_has_a_row(spark, name):
     from docspark.sources.tables import read
 
@@ -63,9 +63,8 @@ def test_every_segment_has_a_row(spark, name):
 
 
 def test_every_vault_is_asked():
-    for name in ("entity_search_all", "entity_search_token_all", "lookup_tool_all", "align_all_statements"):
-        assert "event_id // 4 % 4 AS vault_id" in ORACLES[name] or name.startswith("align")
-        assert "event_id % 4 IN (0, 2)" not in ORACLES[name] and "event_id % 4 = 2" not in ORACLES[name]
+    for name in ("entity_search", "entity_search_token", "lookup_tool"):
+        assert "event_id // 4 % 4 AS vault_id" in ORACLES[name]
 
 
 def test_dedup_claims_takes_every_segment(spark, monkeypatch):
