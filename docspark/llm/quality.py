@@ -40,8 +40,10 @@ BELOW, ABOVE = 8.0, 4.0
 LEAST_SPREAD = 0.02
 #: Parts of a model, and bytes of parts that are broadcast at once; further parts are scored in passes of their own.
 PARTS, BROADCAST_BYTES = 256, 100_000_000
-#: N-grams that a task holds before it merges them, and before it sends them.
-HELD = 2_000_000
+#: N-grams that a task holds before it merges them; it sends them if more than half of that are left.
+HELD = 1_000_000
+#: Bytes of text that are taken apart at once; the arrays that this needs are some 150 times as large.
+SLICE = 300_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -156,29 +158,29 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             key, lang, count, grams = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(key)
             new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-            held[:] = [(key[order[new]], lang[order[new]], np.add.reduceat(count[order], new), grams[order[new]])]
+            held[:] = [(key[order[new]], lang[order[new]], np.add.reduceat(count[order], new, dtype=np.int64), grams[order[new]])]
 
         def sent() -> Iterator[pa.RecordBatch]:
             names = np.array(list(ids), object)
             for _, lang, count, grams in held:
                 for i in range(0, len(lang), 100_000):
                     some = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[lang[some]], pa.string()), strings(grams[some]), pa.array(count[some])], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[lang[some]], pa.string()), strings(grams[some]), pa.array(count[some].astype(np.int64))], names=["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             langs = [x or "" for x in batch.column(1).to_pylist()]
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 own, where = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 padded, begins = char_grams(own, where)
                 lengths = np.diff(np.r_[begins, len(padded) + ORDER - 1]) - (ORDER - 1)
                 at, row = _char_places(begins, lengths)
                 good = is_reference(statistics(own, where))[row]
-                at, lang = at[good], np.array([ids.setdefault(x, len(ids)) for x in langs[i:j]], np.int64)[row[good]]
+                at, lang = at[good], np.array([ids.setdefault(x, len(ids)) for x in langs[i:j]], np.int32)[row[good]]
                 key, first, count, _ = distinct_grams(padded, at, mix(lang.astype(np.uint64)))
                 if len(key):
-                    held.append((key, lang[first], count, _rows_of(padded, at[first])))
+                    held.append((key, lang[first], count.astype(np.int32), _rows_of(padded, at[first])))
                 if sum(len(h[0]) for h in held) > HELD:
                     merge()
                     if len(held[0][0]) > HELD // 2:
@@ -395,7 +397,7 @@ def _measurer(sent: dict[str, list[tuple]], low: int, high: int) -> Callable:
         data, offsets = buffers(texts)
         langs = np.array(languages.to_pylist(), object)
         parts = []
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, SLICE):
             own, where = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             stats = statistics(own, where)
             padded, begins = char_grams(own, where)
