@@ -224,6 +224,11 @@ def boosted_bag(text: Column, factor: int = 3) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(text)), lambda t: F.when(is_discriminator(t), copies(t)).otherwise(F.array(t)))))
 
 
+def unboosted(word: Column) -> Column:
+    """The word of a boosted bag's element."""
+    return F.regexp_replace(word, "__[0-9]+$", "")
+
+
 def remap_speaker(channel: Column, speaker: Column) -> Column:
     return F.when(channel == 0, 0).otherwise(speaker + 1)
 

@@ -1,7 +1,8 @@
 """Structured answers: counts, sums and lists of documents for tables of statements.
 
-Many statements ask for the same filters. Distinct filters meet a cube of documents by vault, type, day and customer,
-so the join is between the few filters that differ and the cube, not between all statements and all documents.
+Many statements ask for the same filters. Distinct filters meet a cube of documents by vault, day, and type and customer
+or all of either, so the join is between the few filters that differ and the cube, not between all statements and all
+documents, and it is on equal keys but for the dates.
 """
 
 from __future__ import annotations
@@ -24,33 +25,44 @@ def parse(statements: DataFrame, month_first: bool = False) -> DataFrame:
 
 
 def cube(documents: DataFrame) -> DataFrame:
-    return documents.groupBy("vault_id", "document_type", "order_date", "customer_id").agg(F.count("*").alias("n"), F.count("total_price").alias("n_priced"), F.sum(F.col("total_price").cast("decimal(18,2)")).alias("total"))
+    """Documents by vault and day, and by type and customer or all of either (any_type, any_customer)."""
+    by = documents.select("vault_id", "order_date", F.col("document_type").alias("type"), F.lower("customer_id").alias("wanted"), "total_price")
+    sets = [["vault_id", "order_date", *more] for more in (["type", "wanted"], ["type"], ["wanted"], [])]
+    return by.groupingSets(sets, "vault_id", "order_date", "type", "wanted").agg(
+        F.grouping("type").cast("boolean").alias("any_type"), F.grouping("wanted").cast("boolean").alias("any_customer"),
+        F.count("*").alias("n"), F.count("total_price").alias("n_priced"), F.sum(F.col("total_price").cast("decimal(18,2)")).alias("total"),
+    )
+
 
+def wanted(filters: DataFrame, documents: DataFrame) -> DataFrame:
+    """Distinct FILTERS with `wanted`, the customer that is asked for in lower case; a pattern has a row for each of the vault's customers that it matches."""
+    f, pattern = filters.select(*FILTERS).distinct(), F.coalesce(F.rlike("customer", F.lit(r"[%_\\]")), F.lit(False))
+    known = documents.select(F.col("vault_id").alias("_vault"), F.lower("customer_id").alias("wanted")).distinct()
+    like = f.where(pattern).join(known, (F.col("vault_id") == F.col("_vault")) & F.like("wanted", F.lower("customer"))).drop("_vault")
+    return f.where(~pattern).withColumn("wanted", F.lower("customer")).unionByName(like)
 
-def _is_customer(wanted: Column) -> Column:
-    """customer_id is like `wanted`, in any case. A pattern is compiled per row, so only real patterns are matched as such."""
-    plain = F.lower("customer_id") == F.lower(wanted)
-    return F.when(F.rlike(wanted, F.lit(r"[%_\\]")), F.like(F.lower("customer_id"), F.lower(wanted))).otherwise(plain)
 
+def _meets(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (vault_id, any_type, any_customer, type, wanted, ...) that wanted() filters ask for, in any time: an equi-join on all that isn't a range."""
+    some = rows.where((F.col("any_type") | F.col("type").isNotNull()) & (F.col("any_customer") | F.col("wanted").isNotNull()))
+    either = lambda all_, one: F.struct(all_.alias("all"), F.when(all_, "").otherwise(one).alias("one"))
+    d = some.withColumn("_of", F.struct("vault_id", either(F.col("any_type"), F.col("type")).alias("t"), either(F.col("any_customer"), F.col("wanted")).alias("c"))).drop("vault_id", "any_type", "any_customer", "type", "wanted")
+    f = asked.withColumn("_for", F.struct("vault_id", either(F.col("doc_type").isNull(), F.col("doc_type")).alias("t"), either(F.col("customer").isNull(), F.col("wanted")).alias("c"))).drop("wanted")
+    return f.join(d, f["_for"] == d["_of"]).drop("_for", "_of")
 
-def _agrees(f: dict[str, Column], dated: bool = True) -> Column:
-    found = (F.col("d.vault_id") == f["vault_id"]) & (f["doc_type"].isNull() | (F.col("document_type") == f["doc_type"])) & (f["customer"].isNull() | _is_customer(f["customer"]))
-    if dated:
-        found &= (f["date_from"].isNull() | (F.col("order_date") >= f["date_from"])) & (f["date_to"].isNull() | (F.col("order_date") <= f["date_to"]))
-    return found
+
+def _in_time() -> Column:
+    return (F.col("date_from").isNull() | (F.col("order_date") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("order_date") <= F.col("date_to")))
 
 
 def filter_totals(filters: DataFrame, documents: DataFrame, active: bool = True) -> DataFrame:
     """For each distinct row of FILTERS: doc_count, sum_total, undated (had the dates not been asked for) and unpriced."""
-    f = {c: F.col(f"f.{c}") for c in FILTERS}
-    inside = (f["date_from"].isNull() | (F.col("order_date") >= f["date_from"])) & (f["date_to"].isNull() | (F.col("order_date") <= f["date_to"]))
-    on = cube(documents.where(is_live(active))).alias("d")
-    joined = filters.select(*FILTERS).distinct().alias("f").join(on, _agrees(f, dated=False), "left")
-    n, zero = F.coalesce("n", F.lit(0)), F.lit(0).cast("long")
-    return joined.groupBy(*[f[c] for c in FILTERS]).agg(
-        F.sum(F.when(inside, n).otherwise(zero)).alias("doc_count"), F.sum(F.when(inside, F.col("total"))).cast("double").alias("sum_total"),
-        F.sum(F.when(F.col("order_date").isNull(), n).otherwise(zero)).alias("undated"), F.sum(F.when(inside, n - F.coalesce("n_priced", F.lit(0))).otherwise(zero)).alias("unpriced"),
-    )
+    live, inside = documents.where(is_live(active)), _in_time()
+    counted = {"doc_count": F.when(inside, F.col("n")), "undated": F.when(F.col("order_date").isNull(), F.col("n")), "unpriced": F.when(inside, F.col("n") - F.col("n_priced"))}
+    found = _meets(wanted(filters, live), cube(live)).groupBy(*FILTERS).agg(*[F.sum(c).alias(k) for k, c in counted.items()], F.sum(F.when(inside, F.col("total"))).cast("double").alias("sum_total"))
+    every, met = filters.select(*FILTERS).distinct(), found.select(F.struct(*FILTERS).alias("_same"), *counted, "sum_total")
+    joined = every.join(met, F.struct(*[every[c] for c in FILTERS]).eqNullSafe(met["_same"]), "left")
+    return joined.select(*[every[c] for c in FILTERS], *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("doc_count", "undated", "unpriced")], "sum_total")
 
 
 def with_totals(parsed: DataFrame, documents: DataFrame, active: bool = True) -> DataFrame:
@@ -62,11 +74,13 @@ def with_totals(parsed: DataFrame, documents: DataFrame, active: bool = True) ->
 
 def listings(filters: DataFrame, documents: DataFrame, most: int = LISTED) -> DataFrame:
     """FILTERS, position and document of the first `most` documents of each filter by date, id and name, nulls last."""
-    f = {c: F.col(f"f.{c}") for c in FILTERS}
-    joined = filters.select(*FILTERS).distinct().alias("f").join(documents.where(is_live()).alias("d"), _agrees(f))
+    live = documents.where(is_live())
+    kinds = [F.struct(F.lit(t).alias("any_type"), F.lit(c).alias("any_customer")) for t in (False, True) for c in (False, True)]
+    rows = live.select("vault_id", "doc_id", "original_filename", "document_type", "order_date", "customer_id", "total_price", "entity_id", F.col("document_type").alias("type"), F.lower("customer_id").alias("wanted"), F.explode(F.array(*kinds)).alias("_kind"))
+    rows = rows.select("*", "_kind.*").drop("_kind")
     order = [F.col("order_date").asc_nulls_last(), F.col("entity_id").asc_nulls_last(), F.col("original_filename").asc_nulls_last(), F.col("doc_id")]
-    shown = joined.withColumn("position", F.row_number().over(Window.partitionBy(*[f[c] for c in FILTERS]).orderBy(*order))).where(F.col("position") <= most)
-    return shown.select(*[f[c].alias(c) for c in FILTERS], "position", "doc_id", "original_filename", "document_type", "order_date", "customer_id", "total_price", "entity_id")
+    shown = _meets(wanted(filters, live), rows).where(_in_time()).withColumn("position", F.row_number().over(Window.partitionBy(*FILTERS).orderBy(*order))).where(F.col("position") <= most)
+    return shown.select(*FILTERS, "position", "doc_id", "original_filename", "document_type", "order_date", "customer_id", "total_price", "entity_id")
 
 
 def type_inventory(documents: DataFrame) -> DataFrame:
@@ -86,12 +100,14 @@ def verify(statements: DataFrame, documents: DataFrame) -> DataFrame:
     the number it asserts isn't compared. Without a filter, only questions for the inventory have an answer. Each text
     of a vault is parsed and answered once.
     """
+    documents = written(documents.select("vault_id", "doc_id", "original_filename", "document_type", "entity_id", "order_date", "customer_id", "total_price", "status", "deleted_at").where(is_live()))
     once = written(statements.select("vault_id", "text").distinct())
     parsed = written(parse(once.where(T.classify_query(F.col("text")) != "point")))
     t = with_totals(parsed, documents)
     text = F.concat_ws("", F.col("position").cast("string"), F.lit(". "), T.document_line(*[F.col(c) for c in ("original_filename", "order_date", "customer_id", "total_price", "entity_id")]))
     lists = listings(parsed, documents).withColumn("line", text).groupBy(*FILTERS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("lines"))
-    t = t.join(lists, [t[c].eqNullSafe(lists[c]) for c in FILTERS], "left").drop(*[lists[c] for c in FILTERS])
+    lists = lists.select(F.struct(*FILTERS).alias("_listed"), "lines")
+    t = t.join(lists, F.struct(*[t[c] for c in FILTERS]).eqNullSafe(lists["_listed"]), "left").drop("_listed")
     inventory = inventory_text(documents).withColumnRenamed("vault_id", "_vault")
     t = t.join(inventory, t["vault_id"] == inventory["_vault"], "left")
     filtered = F.col("doc_type").isNotNull() | F.col("date_from").isNotNull() | F.col("customer").isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +42,31 @@ def near_duplicate_members(statements: DataFrame, threshold: float = DUPLICATE)
     return members.select("statement_id", F.coalesce("id", "statement_id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
-def _similar(bags: DataFrame, threshold: float) -> DataFrame:
-    """near_duplicate_pairs of (id, bag), a written table of distinct bags that aren't empty."""
-    words = bags.select("id", F.size("bag").alias("n"), F.explode("bag").alias("word"))
+def _similar(bags: DataFrame, threshold: float, word_of: Callable[[Column], Column] = T.unboosted) -> DataFrame:
+    """near_duplicate_pairs of (id, bag), a written table of distinct bags that aren't empty.
+
+    A boosted word and its copies are one word with a weight, so they meet once. `before` is the weight of a bag's rarer
+    words; what two bags share is at most the lesser weights of their common words, counted so far, and the lesser weight
+    of what follows in both.
+    """
+    words = bags.select("id", F.size("bag").alias("n"), F.explode("bag").alias("each"))
+    words = written(words.groupBy("id", "n", word_of(F.col("each")).alias("word")).agg(F.count("*").alias("weight")))
     often = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(often, "word").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "at", "word")
-    a, b = [prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), "word") for x in "ab"]
-    rest = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))
+    rarest = Window.partitionBy("id").orderBy("df", "word").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = words.join(often, "word").withColumn("upto", F.sum("weight").over(rarest))
+    prefix = ranked.where(F.col("upto") - F.col("weight") <= F.col("n") - F.ceil(F.col("n") * threshold)).select("id", "n", "upto", "weight", "word")
+    a, b = [prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("upto").alias(f"upto_{x}"), F.col("weight").alias(f"w_{x}"), "word") for x in "ab"]
+    rest = F.least(F.col("na") - F.col("upto_a"), F.col("nb") - F.col("upto_b"))
+    both = F.least("w_a", "w_b")
     needed = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (F.least("at_a", "at_b") + rest >= needed)
-    met = a.join(b, "word").where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    # Whatever both share before this word they share among what comes up to it.
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (F.least("upto_a", "upto_b") + rest >= needed)
+    met = a.join(b, "word").where(near).groupBy("a", "b", "na", "nb").agg(F.sum(both).alias("met"), F.max("upto_a").alias("upto_a"), F.max("upto_b").alias("upto_b"))
     pairs = met.where(F.col("met") + rest >= needed).select("a", "b")
     sets = bags.select("id", "bag")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("similarity", shared / (F.size("x") + F.size("y") - shared)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return joined.withColumn("similarity", shared / (F.size("x") + F.size("y") - shared)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def dedup_claims(claims: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
@@ -71,7 +82,8 @@ def dedup_claims(claims: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     filled = F.size("_bag") > 0
     first = bags.where(filled).groupBy("session_id", "_bag").agg(F.min("_order").alias("id"), F.min_by("row", "_order").alias("row"))
     first = written(first.withColumn("bag", F.transform("_bag", lambda w: F.struct(F.col("session_id").alias("s"), w.alias("w")))).select("id", "bag", "row"))
-    edges = written(_similar(first.select("id", "bag"), threshold).select("a", "b"))
+    word_of = lambda w: F.struct(w["s"].alias("s"), T.unboosted(w["w"]).alias("w"))
+    edges = written(_similar(first.select("id", "bag"), threshold, word_of).select("a", "b"))
     dropped = edges.select(F.col("b").alias("id")).limit(0)
     while not edges.isEmpty():
         keep = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()

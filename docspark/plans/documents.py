@@ -155,7 +155,7 @@ _STATED = f"s AS (SELECT *, {_NORM.format('lower(text)')} AS low FROM {FILTERED_
 def _answered(column: str, sql: str):
     def run(spark, sf_dir):
         t = A.with_totals(A.parse(read(spark, sf_dir, "statements")), read(spark, sf_dir, "doc_meta"))
-        return t.select("statement_id", F.round(column, 2).alias(column) if "count" not in column else C(column))
+        return t.select("statement_id", F.round(column, 6).alias(column) if "count" not in column else C(column))
 
     name = {"doc_count": "agg_count", "sum_total": "agg_sum", "average_total": "agg_average"}[column]
     QUERIES[name] = run
@@ -163,8 +163,8 @@ def _answered(column: str, sql: str):
 
 
 _answered("doc_count", "doc_count")
-_answered("sum_total", "round(sum_total, 2)")
-_answered("average_total", "round(CASE WHEN doc_count > 0 THEN sum_total / doc_count END, 2)")
+_answered("sum_total", "round(sum_total, 6)")
+_answered("average_total", "round(CASE WHEN doc_count > 0 THEN sum_total / doc_count END, 6)")
 
 
 @query(f"{cte('statements', 'doc_meta')}, {_TOTALS}, {_STATED} SELECT statement_id, {INTENT_SQL} AS intent, undated AS missing_dates, CASE WHEN {INTENT_SQL} IN ('sum', 'average') THEN unpriced ELSE 0 END AS missing_totals FROM s JOIN totals t ON {_SAME} WHERE s.date_from IS NOT NULL")

@@ -134,7 +134,8 @@ def test_customer_filters_match_names_and_patterns(spark):
     """Plain names match in any case, % and _ as patterns, and a null filter everything."""
     docs = spark.createDataFrame([(i, 1, c) for i, c in enumerate(["ACME", "acme", "Acmes", "A_ME", None])], "doc_id long, vault_id long, customer_id string")
     for wanted, expected in [("ACME", {0, 1}), ("acme%", {0, 1, 2}), ("a_me", {0, 1, 3}), ("none", set())]:
-        found = docs.where(aggregates._is_customer(F.lit(wanted)))
+        asked = spark.createDataFrame([(1, None, None, None, wanted)], "vault_id long, doc_type string, date_from date, date_to date, customer string")
+        found = docs.join(aggregates.wanted(asked, docs).select("wanted"), F.lower("customer_id") == F.col("wanted"))
         assert {r["doc_id"] for r in found.collect()} == expected, wanted
 
 
