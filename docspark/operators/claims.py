@@ -140,8 +140,8 @@ def is_cacheable(explanation: Column) -> Column:
 
 
 def cache_lookup(claims: DataFrame, cache: DataFrame, as_of: Column, ttl_s: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Claims (cache_key, ...) with a verdict no older than ttl_s, and the others."""
-    fresh = cache.where(F.unix_timestamp(as_of) - F.unix_timestamp("cached_at") <= ttl_s).select("cache_key", "verdict")
+    """Claims (cache_key, ...) with what the cache (cache_key, cached_at, ...) has no older than ttl_s, and the others."""
+    fresh = cache.where(F.unix_timestamp(as_of) - F.unix_timestamp("cached_at") <= ttl_s).drop("cached_at")
     return claims.join(fresh, "cache_key"), claims.join(fresh, "cache_key", "left_anti")
 
 

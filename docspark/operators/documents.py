@@ -93,11 +93,43 @@ def dashboard(stats: DataFrame) -> DataFrame:
     )
 
 
+def deletions(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """(doc_id, vault_id, at) of the documents that delete events (doc_id, at) hit: the first event counts; unknown ids and documents already deleted are let be."""
+    first = events.groupBy("doc_id").agg(F.min("at").alias("at"))
+    return documents.where("deleted_at is null").select("doc_id", "vault_id").join(first, "doc_id")
+
+
 def apply_deletes(documents: DataFrame, events: DataFrame) -> DataFrame:
-    """documents after delete events (doc_id, at): the first event of a document counts; unknown ids and documents already deleted are let be."""
-    first = events.groupBy("doc_id").agg(F.min("at").alias("_at"))
-    hit = F.col("_at").isNotNull() & F.col("deleted_at").isNull()
-    return documents.join(first, "doc_id", "left").withColumns({"status": F.when(hit, "deleted").otherwise(F.col("status")), "deleted_at": F.when(hit, F.col("_at")).otherwise(F.col("deleted_at"))}).drop("_at")
+    """documents after delete events (doc_id, at)."""
+    hit = deletions(documents, events).select("doc_id", F.col("at").alias("_at"))
+    after = {"status": F.when(F.col("_at").isNotNull(), "deleted").otherwise(F.col("status")), "deleted_at": F.coalesce("_at", "deleted_at"), "updated_at": F.coalesce("_at", "updated_at")}
+    return documents.join(hit, "doc_id", "left").withColumns(after).drop("_at")
+
+
+def delete_chunks(chunks: DataFrame, hit: DataFrame) -> DataFrame:
+    """chunks with those of deletions() marked as deleted; nothing is taken away."""
+    gone = hit.select("doc_id", F.lit(True).alias("_gone"))
+    return chunks.join(gone, "doc_id", "left").withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_gone", F.lit(False))).select(*chunks.columns)
+
+
+def touch_vaults(vaults: DataFrame, changes: DataFrame) -> DataFrame:
+    """vaults whose updated_at is that of their last change (vault_id, at), if that is later."""
+    last = changes.groupBy("vault_id").agg(F.max("at").alias("_at"))
+    return vaults.join(last, "vault_id", "left").withColumn("updated_at", F.greatest("updated_at", F.coalesce("_at", "updated_at"))).select(*vaults.columns)
+
+
+def violations(checks: dict[str, Column]) -> Column:
+    """The names of the checks that fail, by commas; empty if none does. A check that is null fails."""
+    return F.concat_ws(", ", *[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()])
+
+
+def query_checks(text: Column, top_k: Column, role: Column, n_history: Column) -> dict[str, Column]:
+    return {"query": F.char_length(F.trim(text)).between(1, 2000), "top_k": top_k.between(1, 20), "role": role.isin("user", "assistant"), "history": n_history <= 50}
+
+
+def name_check(name: Column, most: int = 255) -> Column:
+    """A vault's name or a session's title: not blank and not too long."""
+    return F.char_length(F.trim(name)).between(1, most)
 
 
 def ingest_outcomes(documents: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """Exact nearest chunks by cosine, within the query's vault. Every task multiplies its chunks with all queries and keeps k of each."""
+    """Exact nearest chunks by cosine, within the query's vault, for queries that have a vector. Every task multiplies its chunks with all queries and keeps k of each."""
+    queries = queries.where("query_vec is not null")
     scope = live(chunks).where("embedding is not null").select("chunk_id", "vault_id", "embedding")
     wide = queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0
     if wide > SENT:
@@ -172,14 +173,14 @@ def mmr_order(query: np.ndarray, vectors: np.ndarray, k: int, weight: float) ->
 def diversify(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 5, weight: float = 0.7) -> DataFrame:
     """Maximal marginal relevance over each query's candidates, which are few; scores stay as they were.
 
-    Up to k candidates pass as they are. Those without a vector follow those chosen.
+    Up to k candidates pass as they are, and so do the first k of a query without a vector. Candidates without a vector follow those chosen.
     """
     rows = ranked.join(chunks.select("chunk_id", "embedding"), "chunk_id", "left").join(queries.select("query_id", "query_vec"), "query_id")
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rank").reset_index(drop=True)
         has = part["embedding"].notna().to_numpy()
-        if len(part) <= k or not has.any():
+        if len(part) <= k or not has.any() or part["query_vec"].iloc[0] is None:
             out = part.head(k) if len(part) > k else part
         else:
             with_vector = part[has].reset_index(drop=True)

@@ -22,10 +22,16 @@ def lexical_grade(query_text: Column, context: Column, least: float = 0.5) -> Co
     return (F.size(seen) >= F.size(words) * least) | F.exists(ids, lambda x: F.contains(context, x))
 
 
+def graded(results: DataFrame, queries: DataFrame, chunks: DataFrame, grader: Callable[[Column, Column], Column] = lexical_grade, most: int = 10) -> DataFrame:
+    """(query_id, relevant, context); without any result, not relevant."""
+    found = R.context(results, chunks, most)
+    relevant = F.coalesce(grader(F.col("query_text"), F.coalesce("context", F.lit(""))) & F.col("context").isNotNull(), F.lit(False))
+    return queries.join(found, "query_id", "left").select("query_id", relevant.alias("relevant"), "context")
+
+
 def grade(results: DataFrame, queries: DataFrame, chunks: DataFrame, grader: Callable[[Column, Column], Column] = lexical_grade) -> DataFrame:
-    """(query_id, relevant); without any result, not relevant."""
-    found = R.context(results, chunks)
-    return queries.join(found, "query_id", "left").select("query_id", F.coalesce(grader(F.col("query_text"), F.coalesce("context", F.lit(""))) & F.col("context").isNotNull(), F.lit(False)).alias("relevant"))
+    """(query_id, relevant)."""
+    return graded(results, queries, chunks, grader).drop("context")
 
 
 def shorten(query_text: Column) -> Column:
@@ -33,41 +39,107 @@ def shorten(query_text: Column) -> Column:
     return F.array_join(F.filter(R.terms(query_text), lambda w: F.char_length(w) >= 4), " ")
 
 
-def corrective(queries: DataFrame, chunks: DataFrame, rounds: int = 3, k: int = 8, rewrite: Callable[[Column], Column] = shorten) -> DataFrame:
-    """(query_id, attempts, relevant): each round searches only for the queries that found nothing relevant, reworded."""
+def next_id(query_text: Column) -> Column:
+    """A retry's query: without the first id that it names."""
+    plain = T.normalize_numbers(query_text)
+    return F.coalesce(F.replace(plain, F.try_element_at(T.bare_ids(plain), F.lit(1)), F.lit("")), plain)
+
+
+def by_first_id(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
+    """Retrieval for claims: the chunks that hold the first id that each names, as a whole word."""
+    ids = queries.select("query_id", "vault_id", T.bare_ids(T.normalize_numbers(F.col("query_text"))).alias("entity_ids"))
+    return R.entity_search(ids, chunks, k, ids=1, mode="token").select("query_id", "chunk_id", "score", "rank")
+
+
+#: A search: rows (query_id, chunk_id, score, rank) of the k best chunks for queries.
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def corrective(queries: DataFrame, chunks: DataFrame, rounds: int = 3, k: int = 8, rewrite: Callable[[Column], Column] = shorten, retrieve: Retriever = R.point_retrieve, grader: Callable[[Column, Column], Column] = lexical_grade, most: int = 10) -> DataFrame:
+    """(query_id, attempts, relevant, context): each round searches only for the queries that found nothing relevant, reworded.
+
+    A query that never finds anything relevant ends with what its last round found.
+    """
     left, done = queries, None
     for attempt in range(1, rounds + 1):
-        graded = written(grade(R.point_retrieve(left, chunks, k), left, chunks))
-        last = attempt == rounds
-        now = graded.where("relevant" if not last else "true").select("query_id", F.lit(attempt).alias("attempts"), "relevant")
+        seen, last = written(graded(retrieve(left, chunks, k), left, chunks, grader, most)), attempt == rounds
+        now = seen.where("relevant" if not last else "true").select("query_id", F.lit(attempt).alias("attempts"), "relevant", "context")
         done = now if done is None else done.unionByName(now)
         if not last:
-            left = left.join(graded.where("not relevant").select("query_id"), "query_id", "left_semi").withColumn("query_text", rewrite(F.col("query_text")))
+            left = left.join(seen.where("not relevant").select("query_id"), "query_id", "left_semi").withColumn("query_text", rewrite(F.col("query_text")))
             left = written(left)
     return done
 
 
-def verify_claims(statements: DataFrame, documents: DataFrame, chunks: DataFrame, judge: Callable[[Column, Column], Column] = K.rule_verdict) -> DataFrame:
-    """(statement_id, verdict, confidence, verification_path) of every statement, each distinct one of a vault judged once.
+def verify_claims(
+    statements: DataFrame, documents: DataFrame, chunks: DataFrame, judge: Callable[[Column, Column], Column] = K.rule_verdict, cache: DataFrame | None = None, as_of: Column | None = None, version: str = "",
+    rounds: int = 2, retrieve: Retriever = by_first_id, rewrite: Callable[[Column], Column] = next_id, grader: Callable[[Column, Column], Column] = lexical_grade,
+) -> DataFrame:
+    """(statement_id, verdict, confidence, verification_path, cache_hit, attempts) of every statement, each distinct one of a vault judged once.
 
-    Aggregates are answered from metadata; the others from chunks that hold one of their ids, by `judge`.
+    What the cache (cache_key, verdict, confidence, cached_at) has of late is taken from there. Aggregates are answered from
+    metadata; the others go through corrective retrieval, and `judge` sees what its last round found.
     """
-    keyed = statements.withColumn("_key", T.verdict_cache_key(F.col("vault_id"), F.lit(""), F.col("text")))
-    once = keyed.groupBy("_key").agg(F.min(F.struct("statement_id", "vault_id", "text")).alias("s")).select("_key", "s.*")
-    aggregate = A.verify(once.drop("_key"), documents).select("statement_id", "verdict", "confidence", F.lit("aggregate_fast").alias("verification_path"))
+    keyed = statements.withColumn("cache_key", T.verdict_cache_key(F.col("vault_id"), F.lit(version), F.col("text")))
+    hits, misses = None, keyed
+    if cache is not None:
+        hits, misses = K.cache_lookup(keyed, cache, F.current_timestamp() if as_of is None else as_of)
+    once = written(misses.groupBy("cache_key").agg(F.min(F.struct("statement_id", "vault_id", "text")).alias("s")).select("cache_key", "s.*"))
+    none = F.lit(0).alias("attempts")
+    aggregate = A.verify(once.drop("cache_key"), documents).select("statement_id", "verdict", "confidence", F.lit("aggregate_fast").alias("verification_path"), none)
     point = once.where(T.classify_query(F.col("text")) == "point")
-    ids = point.select(F.col("statement_id").alias("query_id"), "vault_id", T.bare_ids(T.normalize_numbers(F.col("text"))).alias("entity_ids"))
-    found = R.context(R.entity_search(ids, chunks, ids=3, mode="token").select("query_id", "chunk_id", "score", "rank"), chunks, 15).withColumnRenamed("query_id", "statement_id")
+    found = corrective(point.select(F.col("statement_id").alias("query_id"), "vault_id", F.col("text").alias("query_text")), chunks, rounds, 15, rewrite, retrieve, grader, 15)
     verdict = F.when(F.col("context").isNull(), "unverifiable").otherwise(judge(F.col("text"), F.col("context")))
-    judged = point.join(found, "statement_id", "left").select("statement_id", verdict.alias("verdict"), F.lit("crag").alias("verification_path")).withColumn("confidence", F.when(F.col("verdict") == "unverifiable", 0.0).otherwise(0.7))
-    each = once.select("_key", "statement_id").join(aggregate.unionByName(judged), "statement_id").drop("statement_id")
-    return keyed.select("statement_id", "_key").join(each, "_key").drop("_key")
-
-
-def answer(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, query_class, answer, n_citations, confidence): the context found and the sources that it cites."""
-    results = R.hybrid(queries, chunks, k, 1.0)
-    found = R.context(results, chunks, k)
-    cited = R.citations(found.select(F.col("query_id").alias("output_id"), F.col("context").alias("text"))).groupBy("output_id").agg(F.count("*").alias("n_citations"))
-    joined = queries.join(found, "query_id", "left").join(cited.withColumnRenamed("output_id", "query_id"), "query_id", "left")
-    return joined.select("query_id", T.classify_query(F.col("query_text")).alias("query_class"), F.coalesce(T.truncate(F.col("context"), 300, ""), F.lit("No relevant documents found.")).alias("answer"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.when(F.col("context").isNull(), 0.0).otherwise(0.8).alias("confidence"))
+    judged = point.join(found, point["statement_id"] == found["query_id"]).select("statement_id", verdict.alias("verdict"), F.lit("crag").alias("verification_path"), "attempts")
+    judged = judged.withColumn("confidence", F.when(F.col("verdict") == "unverifiable", 0.0).otherwise(0.7))
+    each = once.select("cache_key", "statement_id").join(aggregate.unionByName(judged), "statement_id").drop("statement_id")
+    out = misses.select("statement_id", "cache_key").join(each, "cache_key").select("statement_id", "verdict", "confidence", "verification_path", F.lit(False).alias("cache_hit"), "attempts")
+    return out if hits is None else out.unionByName(hits.select("statement_id", "verdict", "confidence", F.lit("cache").alias("verification_path"), F.lit(True).alias("cache_hit"), none))
+
+
+def rewrite_query(query: Column, history: Column, rewriter: Callable[[Column, Column], Column] | None = None, most: int = 2000) -> Column:
+    """The query as it stands alone, numbers joined: by the rewriter, or as it is if there is no history or nothing usable comes back (null, blank, too long). Quotes around an answer go."""
+    plain = T.normalize_numbers(F.trim(query))
+    blank = F.trim(F.coalesce(query, F.lit(""))) == ""
+    if rewriter is None:
+        return F.when(blank, query).otherwise(plain)
+    made = F.trim(rewriter(query, history))
+    usable = made.isNotNull() & (made != "") & (F.char_length(made) <= most) & (F.trim(F.coalesce(history, F.lit(""))) != "")
+    return F.when(blank, query).when(usable, T.normalize_numbers(F.btrim(made, F.lit("\"'")))).otherwise(plain)
+
+
+def quote_context(query: Column, context: Column) -> Column:
+    """An answer that needs no model: what was found."""
+    return context
+
+
+def answer(
+    queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, k: int = 5,
+    rewriter: Callable[[Column, Column], Column] | None = None, generate: Callable[[Column, Column], Column] = quote_context,
+) -> DataFrame:
+    """(query_id, query_class, route, answer, n_citations, confidence) of (query_id, vault_id, query_text, query_vec, and history if there is one).
+
+    A query is reworded to stand alone, then routed by its class: aggregates are answered from document metadata, if given,
+    or told what is missing there; all else from chunks of a hybrid search, by `generate` of the query and what was found.
+    """
+    history = F.col("history") if "history" in queries.columns else F.lit(None).cast("string")
+    q = written(queries.withColumn("query_text", rewrite_query(F.col("query_text"), history, rewriter)).withColumn("query_class", T.classify_query(F.col("query_text"))))
+    search, facts = q, None
+    if documents is not None:
+        asked = q.where("query_class <> 'point'").select(F.col("query_id").alias("statement_id"), "vault_id", F.col("query_text").alias("text"))
+        facts = written(A.verify(asked, documents).select(F.col("statement_id").alias("query_id"), F.col("explanation").alias("fact")))
+        search = q.join(facts, "query_id", "left_anti")
+    found = written(R.context(R.hybrid(search, chunks, k, 1.0), chunks, k))
+    outputs = found.select(F.col("query_id").alias("output_id"), F.lit("search_documents").alias("tool"), F.col("context").alias("text"))
+    joined = q.join(found, "query_id", "left")
+    text, route = F.when(F.col("context").isNotNull(), generate(F.col("query_text"), F.col("context"))), F.lit("search")
+    if facts is not None:
+        outputs = outputs.unionByName(facts.select(F.col("query_id").alias("output_id"), F.lit("filter_documents").alias("tool"), F.col("fact").alias("text")))
+        joined = joined.join(facts, "query_id", "left")
+        text, route = F.coalesce("fact", text), F.when(F.col("fact").isNotNull(), "metadata").otherwise(route)
+    cited = R.citations(outputs).groupBy(F.col("output_id").alias("query_id")).agg(F.count("*").alias("n_citations"))
+    out = joined.join(cited, "query_id", "left").withColumns({"_text": text, "route": route})
+    return out.select(
+        "query_id", "query_class", "route", F.coalesce("_text", F.lit("I couldn't find relevant information in the vault.")).alias("answer"),
+        F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.when(F.col("_text").isNull(), 0.0).otherwise(0.8).alias("confidence"),
+    )

@@ -110,13 +110,23 @@ def vault_access(spark, sf_dir):
     return D.vault_access(requests, read(spark, sf_dir, "vaults"), read(spark, sf_dir, "vault_members")).select("o_orderkey", "outcome")
 
 
-@query(f"""{cte('turns')} SELECT conv_id, turn, length(trim(text)) BETWEEN 1 AND 2000 AND 1 + turn % 25 BETWEEN 1 AND 20 AND role IN ('user', 'assistant') AS is_valid,
-  concat_ws(', ', CASE WHEN length(trim(text)) NOT BETWEEN 1 AND 2000 THEN 'query' END, CASE WHEN 1 + turn % 25 > 20 THEN 'top_k' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' END) AS violation FROM turns_v""")
+_HISTORY_SIZE = "count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""{cte('turns')}, h AS (SELECT *, {_HISTORY_SIZE} AS history FROM turns_v), v AS (SELECT conv_id, turn, concat_ws(', ', CASE WHEN coalesce(length(trim(text)), 0) NOT BETWEEN 1 AND 2000 THEN 'query' END, CASE WHEN 1 + turn % 25 > 20 THEN 'top_k' END, CASE WHEN role IS NULL OR role NOT IN ('user', 'assistant') THEN 'role' END, CASE WHEN history > 50 THEN 'history' END) AS violation FROM h)
+  SELECT conv_id, turn, violation = '' AS is_valid, violation FROM v""")
 def validate_queries(spark, sf_dir):
-    n, k = F.char_length(F.trim("text")), 1 + C("turn") % 25
-    broken = {"query": ~n.between(1, 2000), "top_k": ~k.between(1, 20), "role": ~C("role").isin("user", "assistant")}
-    violation = F.concat_ws(", ", *[F.when(c, name) for name, c in broken.items()])
-    return read(spark, sf_dir, "turns").select("conv_id", "turn", (violation == "").alias("is_valid"), violation.alias("violation"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = read(spark, sf_dir, "turns").withColumn("history", F.count("*").over(before))
+    violation = D.violations(D.query_checks(C("text"), 1 + C("turn") % 25, C("role"), C("history")))
+    return turns.select("conv_id", "turn", (violation == "").alias("is_valid"), violation.alias("violation"))
+
+
+@query(f"""{cte('vaults', 'sessions')} SELECT 'vault' AS what, vault_id AS id, length(trim(name)) BETWEEN 1 AND 255 AS is_valid FROM vaults_v UNION ALL SELECT 'session', session_id, length(trim(title)) BETWEEN 1 AND 40 FROM sessions_v""")
+def validate_names(spark, sf_dir):
+    """Names of vaults, and titles of sessions with a lower limit of 40, which some exceed."""
+    one = lambda df, what, key, name, most=255: df.select(F.lit(what).alias("what"), C(key).alias("id"), D.name_check(C(name), most).alias("is_valid"))
+    return one(read(spark, sf_dir, "vaults"), "vault", "vault_id", "name").unionByName(one(read(spark, sf_dir, "sessions"), "session", "session_id", "title", 40))
 
 
 @query(f"{cte('chunks', 'doc_meta')} SELECT chunk_id, original_filename, d.status AS doc_status FROM chunks_v c JOIN doc_meta_v d USING (doc_id)")
@@ -270,8 +280,26 @@ def paginate(spark, sf_dir):
 @query(f"""{cte('doc_meta')}, e AS (SELECT o_orderkey AS doc_id, min(l_shipdate) AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1)
   SELECT d.doc_id, CASE WHEN e.at IS NOT NULL AND deleted_at IS NULL THEN 'deleted' ELSE status END AS status, CASE WHEN e.at IS NOT NULL AND deleted_at IS NULL THEN e.at ELSE deleted_at END AS deleted_at FROM doc_meta_v d LEFT JOIN e USING (doc_id)""")
 def apply_deletes(spark, sf_dir):
-    events = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(C("l_orderkey").alias("doc_id"), C("l_shipdate").cast("timestamp").alias("at"))
-    return D.apply_deletes(read(spark, sf_dir, "doc_meta"), events).select("doc_id", "status", "deleted_at")
+    return D.apply_deletes(read(spark, sf_dir, "doc_meta"), _delete_events(spark, sf_dir)).select("doc_id", "status", "deleted_at")
+
+
+def _delete_events(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(C("l_orderkey").alias("doc_id"), C("l_shipdate").cast("timestamp").alias("at"))
+
+
+_HIT = "e AS (SELECT l_orderkey AS doc_id, min(l_shipdate)::TIMESTAMP AS at FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), hit AS (SELECT d.doc_id, d.vault_id, e.at FROM doc_meta_v d JOIN e USING (doc_id) WHERE deleted_at IS NULL)"
+
+
+@query(f"{cte('doc_meta', 'chunks')}, {_HIT} SELECT chunk_id, is_deleted OR h.doc_id IS NOT NULL AS is_deleted FROM chunks_v c LEFT JOIN hit h ON h.doc_id = c.doc_id")
+def delete_chunks(spark, sf_dir):
+    hit = D.deletions(read(spark, sf_dir, "doc_meta"), _delete_events(spark, sf_dir))
+    return D.delete_chunks(read(spark, sf_dir, "chunks"), hit).select("chunk_id", "is_deleted")
+
+
+@query(f"{cte('doc_meta', 'vaults')}, {_HIT} SELECT v.vault_id, greatest(v.updated_at, coalesce(max(h.at), v.updated_at)) AS updated_at FROM vaults_v v LEFT JOIN hit h ON h.vault_id = v.vault_id GROUP BY v.vault_id, v.updated_at")
+def touch_vaults(spark, sf_dir):
+    hit = D.deletions(read(spark, sf_dir, "doc_meta"), _delete_events(spark, sf_dir))
+    return D.touch_vaults(read(spark, sf_dir, "vaults"), hit).select("vault_id", "updated_at")
 
 
 @query(f"""{cte('doc_meta')} SELECT d.doc_id, CASE WHEN status IN ('pending', 'ingesting') AND deleted_at IS NULL AND p.doc_id IS NOT NULL THEN CASE WHEN trim(coalesce(p.text, '')) = '' THEN 'failed' ELSE 'active' END ELSE status END AS status

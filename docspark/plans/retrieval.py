@@ -183,7 +183,7 @@ def lookup_tool(spark, sf_dir):
     return asked.select("query_id").join(got, "query_id", "left").select("query_id", F.when(C("n").isNull(), "No documents found with these IDs.").otherwise(F.concat(C("n").cast("string"), F.lit(" results"))).alias("message"))
 
 
-@query(f"""{cte('chunks', 'doc_meta')}, found AS (SELECT doc_id // 50 AS output_id, doc_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY chunk_id) - 1 AS position, content_with_header AS block FROM chunks_v WHERE content_with_header IS NOT NULL),
+@query(rf"""{cte('chunks', 'doc_meta')}, found AS (SELECT doc_id // 50 AS output_id, doc_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY chunk_id) - 1 AS position, content_with_header AS block FROM chunks_v WHERE content_with_header IS NOT NULL),
   searched AS (SELECT output_id, position, trim(regexp_extract(block, '\[Source:\s*(.+?)\]', 1)) AS title, regexp_extract(block, '\[Source:\s*(.+?)\]', 0) AS tag, block FROM found WHERE regexp_matches(block, '\[Source:\s*(.+?)\]')),
   quoted AS (SELECT output_id, position, title, coalesce(list_filter(list_transform(string_split(substr(block, strpos(block, tag) + length(tag)), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS quote FROM searched),
   listed AS (SELECT 1000000000 + doc_id // 40 AS output_id, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) - 1 AS position, original_filename AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE document_type || ', ' || customer_id END AS quote FROM doc_meta_v),

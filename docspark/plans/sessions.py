@@ -178,13 +178,22 @@ def format_history(spark, sf_dir):
     return read(spark, sf_dir, "turns").select("conv_id", "turn", F.md5(T.history_line(C("role"), C("text"))).alias("line"))
 
 
-@query(f"{cte('turns')}, h AS (SELECT conv_id, string_agg({_HISTORY}, chr(10) ORDER BY turn) AS history, max_by(text, turn) AS last_text, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns_v) WHERE back <= 20 GROUP BY 1) SELECT conv_id, md5(CASE WHEN n = 1 THEN {_NORM.format('trim(last_text)')} ELSE coalesce(history, '') END) AS prompt FROM h")
+_UNQUOTED = _NORM.format("trim(made, '\"''')")
+
+
+@query(rf"""{cte('turns')}, h AS (SELECT conv_id, string_agg({_HISTORY}, chr(10) ORDER BY turn) AS prompt, max_by(text, turn) AS last_text, count(*) AS n, string_agg({_HISTORY}, chr(10) ORDER BY turn) FILTER (back > 1) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns_v) WHERE back <= 20 GROUP BY 1),
+  m AS (SELECT *, {_NORM.format('trim(last_text)')} AS plain, trim('"' || last_text || ' of ' || regexp_extract(history, '[a-z]{{7,}}') || '"') AS made FROM h)
+  SELECT conv_id, md5(CASE WHEN n = 1 THEN plain ELSE coalesce(prompt, '') END) AS prompt, md5(CASE WHEN trim(coalesce(last_text, '')) = '' THEN last_text WHEN made <> '' AND length(made) <= 300 AND trim(coalesce(history, '')) <> '' THEN {_UNQUOTED} ELSE plain END) AS rewritten FROM m""")
 def rewrite_queries(spark, sf_dir):
+    """A rewriter that names the first long word of the history, in quotes; answers above 300 characters are not used."""
+    from docspark.operators.verify import rewrite_query
+
     turns = read(spark, sf_dir, "turns").withColumn("_back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("_back <= 20")
     line = T.history_line(C("role"), C("text"))
-    lines = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), lambda x: x.isNotNull())
-    h = turns.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("history"), F.max_by("text", "turn").alias("last"), F.count("*").alias("n"))
-    return h.select("conv_id", F.md5(F.when(C("n") == 1, T.normalize_numbers(F.trim("last"))).otherwise(C("history"))).alias("prompt"))
+    lines = lambda when: F.filter(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("turn", line.alias("line"))))), lambda x: x["line"]), lambda x: x.isNotNull())
+    h = turns.groupBy("conv_id").agg(F.array_join(lines(F.lit(True)), "\n").alias("prompt"), F.array_join(lines(C("_back") > 1), "\n").alias("history"), F.max_by("text", "turn").alias("last"), F.count("*").alias("n"))
+    rewriter = lambda q, old: F.concat(F.lit('"'), q, F.lit(" of "), F.regexp_extract(old, "[a-z]{7,}", 0), F.lit('"'))
+    return h.select("conv_id", F.md5(F.when(C("n") == 1, T.normalize_numbers(F.trim("last"))).otherwise(C("prompt"))).alias("prompt"), F.md5(rewrite_query(C("last"), C("history"), rewriter, 300)).alias("rewritten"))
 
 
 @query(f"{cte('turns')} SELECT conv_id, CASE WHEN length(q) > 60 THEN substr(q, 1, 60) ELSE q END AS title FROM (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS q FROM turns_v GROUP BY 1)")
