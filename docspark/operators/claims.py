@@ -134,6 +134,22 @@ def parse_statements(raw: Column) -> Column:
     return F.transform(some, lambda x: F.struct(F.trim(x["text"]).alias("text"), F.coalesce(x["speaker"], F.lit(0)).alias("speaker"), F.coalesce(x["context"], F.lit("")).alias("context")))
 
 
+# The sections of the prompt for statement extraction.
+ENTITIES, CONTEXT, SEGMENTS = "KNOWN ENTITIES IN THIS CONVERSATION:\n", "PRIOR CONTEXT:\n", "TRANSCRIPT:\n"
+
+
+def extraction_prompt(entities: Column, context: Column, segments: Column) -> Column:
+    """The prompt for one batch of segments: what is known, what was said before and what is new; sections without content are left out."""
+    some = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c)
+    return F.concat_ws("\n\n", F.concat(F.lit(ENTITIES), some(entities)), F.concat(F.lit(CONTEXT), some(context)), F.concat(F.lit(SEGMENTS), segments))
+
+
+def extract_statements(prompts: DataFrame, extractor: Callable[[Column], Column]) -> DataFrame:
+    """prompts (prompt, ...) with text, speaker and context of each statement in the JSON that `extractor` answers; an answer that can't be read has none."""
+    others = [c for c in prompts.columns if c != "prompt"]
+    return prompts.select(*others, F.explode(parse_statements(extractor(F.col("prompt")))).alias("_s")).select(*others, "_s.text", "_s.speaker", "_s.context")
+
+
 def is_cacheable(explanation: Column) -> Column:
     low = F.lower(F.coalesce(explanation, F.lit("")))
     return ~low.startswith("verification timed out") & ~low.startswith("verification failed")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
+from docspark.operators import events as E
+from docspark.sources.shared import written
 
 SIZE, OVERLAP = 512, 50
 # Separators by rank, and the patterns of file names and contents.
@@ -21,11 +25,29 @@ STOCK_MONTH = r"(?i)StockReport[_\s-]*(\d{4}-\d{2})"
 PRICES = (r"(?i)TotalPrice\s*\|?\s*\$?([\d,]+\.?\d*)", r"(?i)\|\s*\|?\s*TotalPrice\s*\|\s*\$?([\d,]+\.?\d*)", r"(?i)Total\s+Price:?\s*\$?([\d,]+\.?\d*)")
 
 
+def decoded_text(content: Column) -> Column:
+    """The text of UTF-8 bytes, null if they aren't. Line ends become line feeds."""
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8"))
+    return F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n")
+
+
+#: Parsers by file type: text of the bytes of a file. Others can be added or given.
+PARSERS: dict[str, Callable[[Column], Column]] = {"md": decoded_text, "txt": decoded_text}
+
+
+def parse_files(files: DataFrame, parsers: dict[str, Callable[[Column], Column]] = PARSERS) -> DataFrame:
+    """files (file_type, content) with text and error: each type by its parser, in any case of its name."""
+    kind = F.lower("file_type")
+    text = F.coalesce(*[F.when(kind == k, parser(F.col("content"))) for k, parser in parsers.items()])
+    unknown = F.concat(F.lit("Unsupported file type '"), kind, F.lit(f"'. Supported: {', '.join(sorted(parsers))}"))
+    error = F.when(~F.coalesce(kind.isin(*parsers), F.lit(False)), F.coalesce(unknown, F.lit("No file type"))).when(F.col("text").isNull(), "No text content could be extracted")
+    return files.withColumn("text", text).withColumn("error", error)
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n_bytes, sha256, text) of text files; text is null where the bytes aren't UTF-8. Line ends become line feeds."""
+    """(path, n_bytes, sha256, text) of text files; text is null where the bytes aren't UTF-8."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8"))
-    return files.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n").alias("text"))
+    return files.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), decoded_text(F.col("content")).alias("text"))
 
 
 def count_words(text: str) -> int:
@@ -147,6 +169,20 @@ def hashed_embedder(texts: list[str]) -> list[np.ndarray]:
     return [hashed_vector(t) for t in texts]
 
 
+def retrying(embedder: Callable[[list[str]], list[np.ndarray]], attempts: int = 3, base_delay: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[np.ndarray]]:
+    """The embedder, tried `attempts` times with twice the delay after each; the last error is raised."""
+
+    def run(texts: list[str]) -> list[np.ndarray]:
+        for attempt in range(attempts - 1):
+            try:
+                return embedder(texts)
+            except Exception:  # whatever a provider raises may pass
+                sleep(base_delay * 2**attempt)
+        return embedder(texts)
+
+    return run
+
+
 def embed(rows: DataFrame, column: str, embedder: Callable[[list[str]], list[np.ndarray]] = hashed_embedder, batch: int = 2048) -> DataFrame:
     """rows with `embedding` and `error`: texts go to the embedder in batches; a batch that fails is tried text by text."""
     schema = rows.withColumns({"embedding": F.lit(None).cast("array<float>"), "error": F.lit(None).cast("string")}).schema
@@ -172,17 +208,54 @@ def embed_distinct(rows: DataFrame, column: str, embedder: Callable[[list[str]],
     return keyed.join(embed(keyed.groupBy("_sha").agg(F.first(column).alias("_text")), "_text", embedder).select("_sha", "embedding", "error"), "_sha").drop("_sha")
 
 
-def ingest(documents: DataFrame, embedder: Callable[[list[str]], list[np.ndarray]] = hashed_embedder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chunks, audit) of (doc_id, vault_id, original_filename, text): blank texts fail, others get metadata, chunks and vectors."""
-    kind, number = metadata_from_filename(F.col("original_filename"))
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    out = documents.select(
-        "doc_id", "vault_id", "original_filename", F.when(blank, "failed").otherwise("active").alias("status"), kind.alias("document_type"), number.alias("entity_id"),
-        metadata_date(F.col("text"), F.col("original_filename")).alias("order_date"), metadata_customer(F.col("text")).alias("customer_id"), metadata_price(F.col("text")).alias("total_price"),
-    )
-    chunks = chunk_records(chunk_recursive(documents.where(~blank)), documents).join(documents.select("doc_id", "vault_id"), "doc_id")
-    chunks = embed(chunks, "content_with_header", embedder)
-    n = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    payload = F.to_json(F.struct("status", F.coalesce("chunks", F.lit(0)).alias("chunks")))
-    audit = out.join(n, "doc_id", "left").select(F.lit("document.ingested").alias("event_type"), "vault_id", "doc_id", payload.alias("payload"))
-    return out, chunks, audit
+class Ingested(NamedTuple):
+    documents: DataFrame
+    chunks: DataFrame
+    audit: DataFrame
+    dead_letters: DataFrame
+
+
+#: The values that a model may add to a document's metadata, by default none.
+NO_MODEL = {"summary": "string", "keywords": "array<string>", "questions": "array<string>"}
+
+
+def ingest(
+    documents: DataFrame, embedder: Callable[[list[str]], list[np.ndarray]] = hashed_embedder, model: Callable[[Column, Column], dict[str, Column]] | None = None,
+    chunker: Callable[[DataFrame], DataFrame] = chunk_recursive, as_of: Column | None = None,
+) -> Ingested:
+    """The tables that (doc_id, vault_id, original_filename, text, and perhaps status and deleted_at) become.
+
+    Documents deleted meanwhile are passed over. Those without text, or with a chunk that can't be embedded, fail as a
+    whole: none of their chunks is kept, and a dead letter says why. The others get metadata by rules and by `model` (of
+    file name and text), child chunks, and a last chunk of their metadata.
+    """
+    gone = F.lit(False)
+    if "status" in documents.columns:
+        gone |= F.coalesce(F.col("status").isin("pending_delete", "deleted"), F.lit(False))
+    if "deleted_at" in documents.columns:
+        gone |= F.col("deleted_at").isNotNull()
+    name, text = F.col("original_filename"), F.col("text")
+    kind, number = metadata_from_filename(name)
+    rule = {"document_type": kind, "entity_id": number, "order_date": metadata_date(text, name), "customer_id": metadata_customer(text), "total_price": metadata_price(text)}
+    extra = {k: F.lit(None).cast(t) for k, t in NO_MODEL.items()}
+    made = {**rule, **extra} if model is None else merge_metadata(rule, {**{k: F.lit(None).cast("string") for k in rule}, **extra, **model(name, text)})
+    own = written(documents.where(~gone).select("doc_id", "vault_id", "original_filename", "text", *[c.alias(k) for k, c in made.items()]))
+    child = written(chunk_records(chunker(own.where(text.rlike(r"\S")).select("doc_id", "text")), own).withColumn("chunk_type", F.lit("child")))
+    counts = child.groupBy("doc_id").agg(F.count("*").alias("n_child"))
+    about = metadata_chunk({k: F.col(k) for k in made}, name)
+    last = own.join(counts, "doc_id").select("doc_id", F.col("n_child").cast("int").alias("chunk_index"), *[c.alias(k) for k, c in about.items()], F.lit("metadata").alias("chunk_type")).where("content is not null")
+    embedded = written(embed(child.unionByName(last), "content_with_header", embedder))
+    broken = embedded.groupBy("doc_id").agg(F.max("error").alias("_error"), F.count("*").alias("_n"))
+    message = F.when(F.col("_n").isNull(), "No text content could be extracted").when(F.col("_error").isNotNull(), F.substring(F.concat(F.lit("Embedding failed: "), "_error"), 1, 500))
+    out = own.join(broken, "doc_id", "left").withColumn("error_message", message).withColumn("status", F.when(F.col("error_message").isNull(), "active").otherwise("failed"))
+    out = written(out.withColumn("n_chunks", F.when(F.col("status") == "active", F.col("_n")).otherwise(0)).drop("text", "_error", "_n"))
+    chunks = embedded.drop("error").join(out.where("status = 'active'").select("doc_id", "vault_id"), "doc_id")
+    audit = E.audit_rows(out.select(F.lit("document.ingested").alias("event_type"), "vault_id", "doc_id", F.create_map(F.lit("status"), "status", F.lit("chunks"), F.col("n_chunks").cast("string")).alias("payload")))
+    failed = out.where("status = 'failed'").select(F.to_json(F.struct("doc_id", "vault_id", "original_filename")).alias("value"), "error_message")
+    letters = E.dead_letters(failed, "file.events", F.col("error_message"), F.lit("IngestError"), F.current_timestamp() if as_of is None else as_of)
+    return Ingested(out, chunks, audit, letters)
+
+
+def write_chunks(chunks: DataFrame, folder: str) -> None:
+    """Chunks into folder, by vault; documents that are written again replace nothing but come beside: a batch has a folder of its own."""
+    chunks.write.mode("overwrite").partitionBy("vault_id").parquet(folder)

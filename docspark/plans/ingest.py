@@ -109,11 +109,31 @@ def _norms(rows):
     return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 5).alias("norm"), "error")
 
 
+def _files(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", (C("doc_id") % 4).alias("vault_id"), F.concat(F.lit("invoice_"), C("doc_id").cast("string"), F.lit(".txt")).alias("original_filename"), "text", F.when(C("doc_id") % 25 == 3, "deleted").otherwise("pending").alias("status"))
+
+
 @query(None)
 def ingest(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", (C("doc_id") % 4).alias("vault_id"), F.concat(F.lit("invoice_"), C("doc_id").cast("string"), F.lit(".txt")).alias("original_filename"), "text")
-    _, chunks, _ = I.ingest(docs)
-    return chunks.groupBy("doc_id", "vault_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("tokens"), F.count("error").alias("errors"))
+    return I.ingest(_files(spark, sf_dir)).chunks.groupBy("doc_id", "vault_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("tokens"), F.count_if(C("chunk_type") == "metadata").alias("n_metadata"))
+
+
+@query(rf"""{_WINDOWS}, c AS (SELECT doc_id, count(*) AS n, sum(len(words[chunk_index * 462 + 1 : chunk_index * 462 + 512])) AS tokens FROM k GROUP BY 1)
+  SELECT d.doc_id, CASE WHEN c.n IS NULL THEN 'failed' ELSE 'active' END AS status, CASE WHEN c.n IS NULL THEN 'No text content could be extracted' END AS error_message, coalesce(c.n + 1, 0) AS n_chunks,
+    coalesce(c.tokens + length('Structured Metadata:' || chr(10) || '- Document Type: invoice' || chr(10) || '- Entity ID: ' || d.doc_id) // 4, 0)::BIGINT AS tokens
+  FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id WHERE d.doc_id % 25 <> 3""")
+def ingest_by_windows(spark, sf_dir):
+    done = I.ingest(_files(spark, sf_dir), chunker=I.chunk_windows)
+    tokens = done.chunks.groupBy("doc_id").agg(F.sum("token_count").alias("tokens"))
+    return done.documents.join(tokens, "doc_id", "left").select("doc_id", "status", "error_message", "n_chunks", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE md5(replace(text, chr(13), chr(10))) END AS text, CASE WHEN doc_id % 5 = 4 THEN 'Unsupported file type ''docx''. Supported: md, txt' WHEN text IS NULL THEN 'No text content could be extracted' END AS error FROM documents""")
+def parse_files(spark, sf_dir):
+    kind = F.when(C("doc_id") % 5 == 4, "docx").when(C("doc_id") % 2 == 0, "TXT").otherwise("md")
+    files = read(spark, sf_dir, "documents").select("doc_id", kind.alias("file_type"), F.encode("text", "UTF-8").alias("content"))
+    return I.parse_files(files).select("doc_id", F.md5("text").alias("text"), "error")
 
 
 def _raw(spark, sf_dir):

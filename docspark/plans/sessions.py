@@ -234,10 +234,27 @@ def dedup_claims(spark, sf_dir):
     return K.dedup_claims(_segments(spark, sf_dir).select("session_id", "segment_index", "event_id", "text"))
 
 
-@query(f"{_SEG} SELECT event_id, CASE WHEN speaker = 0 THEN 'point' ELSE 'x' END AS k, md5('Entities:' || chr(10) || coalesce(array_to_string(list(text) OVER (PARTITION BY session_id ORDER BY segment_index ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), chr(10)), '') || chr(10) || 'Segments:' || chr(10) || 'Speaker ' || speaker || ': ' || text) AS prompt FROM seg")
+_PROMPTS = f"""m AS (SELECT *, regexp_extract_all(text, {_Q(T.REFERENCE)}, 1) AS r FROM seg), p AS (SELECT event_id, speaker, text, CASE WHEN len({_FOUND.format('r')}) > 0 THEN 'KNOWN ENTITIES IN THIS CONVERSATION:' || chr(10) || array_to_string({_FOUND.format('r')}, ', ') || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN count(*) OVER w > 0 THEN 'PRIOR CONTEXT:' || chr(10) || array_to_string(list(text) OVER w, chr(10)) || chr(10) || chr(10) ELSE '' END || 'TRANSCRIPT:' || chr(10) || 'Speaker ' || speaker || ': ' || text AS prompt FROM m WINDOW w AS (PARTITION BY session_id ORDER BY segment_index ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"""
+
+
+def _prompts(spark, sf_dir):
+    known = X.entity_summary(_segments(spark, sf_dir)).select("event_id", F.array_join("reference_numbers", ", ").alias("known"))
+    heard = X.claim_context(_segments(spark, sf_dir)).join(known, "event_id")
+    said = F.concat(F.lit("Speaker "), C("speaker").cast("string"), F.lit(": "), "text")
+    return heard.select("event_id", K.extraction_prompt(C("known"), C("context"), said).alias("prompt"))
+
+
+@query(f"{_SEG}, {_PROMPTS} SELECT event_id, md5(prompt) AS prompt FROM p")
 def extraction_prompt(spark, sf_dir):
-    p = F.concat(F.lit("Entities:\n"), C("context"), F.lit("\nSegments:\nSpeaker "), C("speaker").cast("string"), F.lit(": "), C("text"))
-    return X.claim_context(_segments(spark, sf_dir)).select("event_id", F.when(C("speaker") == 0, "point").otherwise("x").alias("k"), F.md5(p).alias("prompt"))
+    return _prompts(spark, sf_dir).withColumn("prompt", F.md5("prompt"))
+
+
+@query(f"{_SEG}, {_PROMPTS} SELECT event_id, trim(text) AS text, 0 AS speaker, '' AS context FROM p WHERE trim(text) <> ''")
+def extract_statements(spark, sf_dir):
+    """An extractor that answers with the last line of its prompt."""
+    said = lambda p: F.regexp_extract(p, r"Speaker \d+: ([^\n]*)$", 1)
+    return K.extract_statements(_prompts(spark, sf_dir), lambda p: F.to_json(F.struct(F.array(F.struct(said(p).alias("text"))).alias("statements"))))
 
 
 @query(f"{_SEG} SELECT event_id, session_id, speaker, text FROM seg WHERE is_final AND confidence >= 0.5 AND {ANCHOR_SQL} AND len(string_split(trim(text), ' ')) >= 3")

@@ -15,6 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from docspark.operators import events as E
 
 
+#: How long the stream remembers what has arrived.
+REPEATS = "1 day"
+
+
 def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 20) -> DataFrame:
     return spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(folder)
 
@@ -39,21 +43,27 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def run(raw: DataFrame, folder: str, handle: Callable[[DataFrame], DataFrame] = latest, as_of: str | None = None, once: bool = True) -> StreamingQuery:
-    """Start the stream: folder/events has handle()'s rows, folder/dead_letters and folder/audit what their names say."""
+    """Start the stream: folder/events has handle()'s rows, folder/dead_letters and folder/audit what their names say.
+
+    An event, or a malformed message, that comes again within REPEATS of its first arrival is passed over, in whatever batch.
+    """
     now = F.expr(f"TIMESTAMP '{as_of}'") if as_of else F.current_timestamp()
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.persist()
         try:
             good, bad = rows.where("not malformed"), rows.where("malformed")
-            handle(good.drop("malformed", "value").dropDuplicates(["doc_id", "event_type"])).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+            handle(good.drop("malformed", "value")).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
             E.dead_letters(bad, "file.events", F.lit("not a file event"), F.lit("ValidationError"), now).write.mode("overwrite").text(f"{folder}/dead_letters/batch={number}")
             audit = good.select("event_type", "vault_id", "doc_id", F.create_map(F.lit("name"), F.coalesce("original_filename", F.lit(""))).alias("payload"))
             E.audit_rows(audit).write.mode("overwrite").parquet(f"{folder}/audit/batch={number}")
         finally:
             rows.unpersist()
 
-    writer = E.decode(raw).writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint")
+    arrived = E.decode(raw).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", REPEATS)
+    arrived = arrived.withColumn("_letter", F.when(F.col("malformed"), F.sha2("value", 256)))
+    once_each = arrived.dropDuplicatesWithinWatermark(["doc_id", "event_type", "_letter"]).drop("_arrived", "_letter")
+    writer = once_each.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 

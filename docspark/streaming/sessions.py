@@ -7,8 +7,10 @@ a segment arrives when it ends. In a stream, a session's state ends with its exp
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docspark.functions.text import REFERENCE
+
 IDLE, INTERVAL, CHARS, CAP, CONTEXT = 2.0, 6.0, 20, 100, 10
 SCHEMA = "session_id long, batch int, fired_at double, first_segment int, last_segment int, n_segments int, n_context int"
 STATE = "state string"
@@ -116,7 +120,83 @@ def stream_claim_batches(segments: DataFrame, expire_ms: int | None = 30_000) ->
     return grouped.applyInPandasWithState(step, SCHEMA, STATE, "append", timeout)
 
 
+LIVE_SCHEMA = "session_id long, batch int, fired_at double, texts array<string>, context array<string>, entities array<string>, n_repeats int"
+_ENTITY = re.compile(REFERENCE)
+
+
+class LiveSession(Buffer):
+    """A Buffer that keeps the texts: of unchecked segments, of the last CONTEXT checked ones, the bags of what was sent, and the entities named.
+
+    A text whose words are those of one sent before in the session is left out as a repeat.
+    """
+
+    def __init__(self, saved: str | None = None):
+        super().__init__(saved)
+        s = json.loads(saved) if saved else {}
+        self.texts = {int(k): v for k, v in s.get("texts", {}).items()}
+        self.context, self.entities = s.get("context", []), set(s.get("entities", []))
+        self.sent = set(s.get("sent", []))
+
+    def save(self) -> str:
+        more = {"texts": self.texts, "context": self.context, "entities": sorted(self.entities), "sent": sorted(self.sent)}
+        return json.dumps(json.loads(super().save()) | more)
+
+    def hear(self, index: int, arrival: float, text: str) -> list[tuple]:
+        """Batches that were due before this segment, with what they say; the segment joins the unchecked ones."""
+        rows = [self._told(r) for r in self.tick_to(arrival)]
+        self.texts[int(index)] = text
+        rows += [self._told(r) for r in self.add(index, arrival, len(text))]
+        waiting = {x[0] for x in self.unchecked}
+        self.texts = {i: t for i, t in self.texts.items() if i in waiting}
+        return rows
+
+    def end(self) -> list[tuple]:
+        return [self._told(r) for r in self.tick_to(math.inf)]
+
+    def _told(self, row: tuple) -> tuple:
+        batch, fired, first, last = row[:4]
+        said = [self.texts.pop(i) for i in sorted(self.texts) if first <= i <= last]
+        new, context = [], list(self.context)
+        for text in said:
+            self.entities.update(m.group(1) for m in _ENTITY.finditer(text))
+            bag = hashlib.md5(" ".join(sorted(set(text.lower().split()))).encode()).hexdigest()
+            if bag not in self.sent:
+                self.sent.add(bag)
+                new.append(text)
+        self.context = (self.context + said)[-CONTEXT:]
+        return batch, fired, new, context, sorted(self.entities), len(said) - len(new)
+
+
+def stream_live_sessions(segments: DataFrame, expire_ms: int | None = 30_000) -> DataFrame:
+    """As stream_claim_batches, with each batch's new texts, the context before it, the entities named so far and the number of repeats."""
+    names = [f.split()[0] for f in LIVE_SCHEMA.split(", ")]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, rows = LiveSession(state.get[0] if state.exists else None), []
+        ended = state.hasTimedOut
+        if not ended:
+            joined = pd.concat(list(frames)).sort_values("segment_index")
+            for i, end, text in joined[["segment_index", "end_s", "text"]].itertuples(index=False):
+                if text is None:
+                    ended = True
+                else:
+                    rows += session.hear(i, end, text)
+        if ended:
+            rows += session.end()
+            if state.exists:
+                state.remove()
+        else:
+            state.update((session.save(),))
+            if expire_ms is not None:
+                state.setTimeoutDuration(expire_ms)
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
+
+    grouped = segments.select("session_id", "segment_index", "end_s", "text").groupBy("session_id")
+    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return grouped.applyInPandasWithState(step, LIVE_SCHEMA, STATE, "append", timeout)
+
+
 def session_totals(segments: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Running totals of each session in a stream; state older than `late` may go."""
+    """Running totals of each session in a stream, its few speakers counted exactly; state older than `late` may go."""
     timed = segments.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    return timed.groupBy("session_id").agg(F.count("*").alias("segment_count"), F.approx_count_distinct("speaker").alias("speaker_count"), F.max(time).alias("last_heard"))
+    return timed.groupBy("session_id").agg(F.count("*").alias("segment_count"), F.size(F.collect_set("speaker")).alias("speaker_count"), F.max(time).alias("last_heard"))

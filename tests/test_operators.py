@@ -195,3 +195,61 @@ def test_hot_session_is_not_one_group(spark):
     aligned = transcripts.align_statements(spark.createDataFrame(asked, "statement_id int, session_id long, speaker int, text string"), df)
     assert {r["statement_id"]: (r["start_s"], r["end_s"]) for r in aligned.collect()} == expected
     assert "array_intersect" not in aligned._jdf.queryExecution().toString()
+
+
+def test_ingest_fails_whole_documents(spark):
+    """A chunk that can't be embedded takes its document's other chunks along; deleted documents are passed over."""
+    from docspark.operators import ingest as I
+
+    def embedder(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no vector")
+        return I.hashed_embedder(texts)
+
+    long = "\n\n".join(f"part {i} " + "word " * 400 for i in range(4))
+    docs = [(1, 1, "invoice_7.txt", long, "pending"), (2, 1, "b.txt", long + "\n\nbad", "pending"), (3, 2, "c.txt", " \n\t", "pending"), (4, 2, "d.txt", "text", "deleted"), (5, 2, "e.txt", None, "pending")]
+    done = I.ingest(spark.createDataFrame(docs, "doc_id long, vault_id long, original_filename string, text string, status string"), embedder, model=lambda name, text: {"summary": F.lit("short")})
+    got = {r.doc_id: (r.status, r.error_message, r.n_chunks) for r in done.documents.collect()}
+    parts = I.split_text(long)
+    assert got == {1: ("active", None, len(parts) + 1), 2: ("failed", "Embedding failed: no vector", 0), 3: ("failed", "No text content could be extracted", 0), 5: ("failed", "No text content could be extracted", 0)}
+    chunks = done.chunks.orderBy("chunk_index").collect()
+    assert [r.content for r in chunks[:-1]] == parts and [r.chunk_type for r in chunks] == ["child"] * len(parts) + ["metadata"]
+    assert chunks[-1].content == "Structured Metadata:\n- Document Type: invoice\n- Entity ID: 7\nSummary: short" and all(len(r.embedding) == 64 for r in chunks)
+    assert done.audit.count() == 4 and done.dead_letters.count() == 3
+
+
+def test_retries_wait_longer_each_time():
+    from docspark.operators import ingest as I
+
+    waits, tries = [], []
+
+    def flaky(texts):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return [np.zeros(2)]
+
+    assert len(I.retrying(flaky, 4, 0.5, waits.append)(["x"])) == 1 and waits == [0.5, 1.0]
+    with pytest.raises(OSError):
+        tries.clear()
+        I.retrying(flaky, 2, 0.5, waits.append)(["x"])
+
+
+def test_corrective_searches_again_for_what_found_nothing(spark):
+    from docspark.operators import verify as V
+
+    chunks = spark.createDataFrame([(1, 1, 1, 0, "invoice 12345 total $900", False, "active"), (2, 2, 1, 0, "order 67890 was shipped", False, "active")], "chunk_id long, doc_id long, vault_id long, chunk_index int, content_with_header string, is_deleted boolean, status string")
+    queries = spark.createDataFrame([(1, 1, "invoice 12345 is $900"), (2, 1, "44444 or order 67890"), (3, 1, "nothing 99999 and 88888")], "query_id long, vault_id long, query_text string")
+    got = {r.query_id: (r.attempts, r.relevant, r.context and r.context.split("\n")[1]) for r in V.corrective(queries, chunks, 2, 5, V.next_id, V.by_first_id).collect()}
+    assert got == {1: (1, True, "invoice 12345 total $900"), 2: (2, True, "order 67890 was shipped"), 3: (2, False, None)}
+
+
+def test_near_duplicate_pairs_of_literal_boost_marks(spark):
+    """Words that look like boosted copies neither lose nor add a pair."""
+    texts = ["alpha alpha__1 alpha__2 beta", "alpha beta", "alpha__1 alpha__2 ab", "alpha__1 alpha__2", "ab alpha__1 alpha__2 alpha"]
+    df = spark.createDataFrame(list(enumerate(texts)), "statement_id long, text string")
+    bags = {r.statement_id: set(r.b) for r in df.select("statement_id", T.boosted_bag(F.col("text")).alias("b")).collect()}
+    want = {(a, b) for a in bags for b in bags if a < b and bags[a] != bags[b] and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])}
+    got = {(r.a, r.b) for r in claims.near_duplicate_pairs(df).collect()}
+    first = {b: min(i for i in bags if bags[i] == bags[b]) for b in bags}
+    assert got == {(first[a], first[b]) for a, b in want if first[a] != first[b]}
