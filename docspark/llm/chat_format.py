@@ -25,6 +25,8 @@ from docspark.llm.textbytes import buffers, lead_mask
 
 OPEN, MIDDLE, CLOSE = b"<turn>", b"\n", b"</turn>\n"
 SCHEMA = "conv_id long, formatted string, loss_spans array<struct<begin:long,end:long>>"
+#: Bytes of text that are assembled at once.
+TOGETHER = 16_000_000
 _SLASH, _LESS, _FEED = 92, 60, 10
 
 
@@ -91,6 +93,19 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             formatted, spans = assemble(role, text, firsts)
             return pa.RecordBatch.from_arrays([conv.take(pa.array(firsts)).cast(pa.int64()), formatted, spans], names=names)
 
+        def parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """made() of runs of whole conversations of about TOGETHER bytes of text: the index arrays are some 20 times as large."""
+            conv = table.column("conv_id").combine_chunks()
+            number, null = (conv.fill_null(0).to_numpy() if conv.null_count else conv.to_numpy()), np.asarray(conv.is_null())
+            begins = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (null[1:] != null[:-1])])
+            size = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.binary_length(table.column("text")), 0).to_numpy())]
+            at = 0
+            while at < len(begins):
+                end = max(at + 1, int(np.searchsorted(size[begins], size[begins[at]] + TOGETHER, "right")) - 1)
+                stop = begins[end] if end < len(begins) else table.num_rows
+                yield made(table.slice(begins[at], stop - begins[at]))
+                at = end
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -101,10 +116,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             same = np.asarray(conv.is_null() if last is None else pa.compute.fill_null(pa.compute.equal(conv, last), False))
             cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield made(rows.slice(0, cut))
+                yield from parts(rows.slice(0, cut))
             held = rows.slice(cut)
         if held is not None:
-            yield made(held)
+            yield from parts(held)
 
     return sorted_turns.mapInArrow(run, SCHEMA)
 

@@ -34,6 +34,8 @@ from docspark.llm.textbytes import Spans, buffers, lowered, mix, slices, tidy, w
 
 #: A hash in one set of HOT or more is hot, as its tasks count it.
 HOT = 128
+#: Shingles of a range of hashes, about, which a task holds at once.
+RANGE = 4_000_000
 #: Shingles of a candidate group that a task takes as one block.
 BLOCK = 1_000_000
 _STEP = 0x9E3779B97F4A7C15
@@ -373,11 +375,11 @@ def set_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     spark = docs.sparkSession
     seen = materialize(_heads(docs, size), "set-heads")
     heads = seen.where("n is not null").select("doc_id", "row_key", "n", "key")
-    total = heads.count()
+    total, shingles = heads.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = seen.where("hot is not null").groupBy("hot").agg(F.sum("n_hot").alias("n")).where(F.col("n") >= max(1000, total / HOT))
     # At most HOT times the mean set size, since each stands in one set of HOT at least.
     hot = spark.sparkContext.broadcast(np.sort(np.array([r["hot"] for r in often.collect()], np.int64).view(np.uint64)))
-    parts = 4 * partitions(spark)
+    parts = max(4 * partitions(spark), shingles // RANGE)  # so that what a task holds of a range doesn't grow with the data
     sets = materialize(_survivors(_shared_hashes(_hash_blocks(docs, size, parts, hot), parts), percent), "shared-sets")
     groups = _candidate_groups(sets)
     members = sets.join(groups, "key").select("key", "root", "n", "tokens")

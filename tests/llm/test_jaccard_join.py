@@ -138,3 +138,24 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     alone = {x for x in up if all(x not in e or e[0] == e[1] for e in edges)}
     assert got == {k: v for k, v in up.items() if k not in alone}
+
+
+def test_texts_repeated_in_shuffled_order(spark):
+    """200 texts and near copies, again and again in another order over eight partitions, against all pairs."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(60)) for _ in range(rng.choice([3, 30, 60]))) for _ in range(100)]
+    texts += [t + " tail" for t in texts]
+    docs = []
+    for part in range(8):
+        docs += [(len(docs) + k, t) for k, t in enumerate(rng.sample(texts, 60))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    want = brute(docs, 5, 80)
+    assert run(spark, df, 5, 80) == want
+    kept = sorted(r.doc_id for r in jaccard_join.keep_one(df, 5, 80).collect())
+    assert kept == sorted({c for _, n, c in want if n})
+
+
+def test_ranges_grow_with_the_data(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RANGE", 20)
+    docs = corpus(random.Random(8))
+    assert run(spark, docs, 4, 85) == brute(docs, 4, 85)

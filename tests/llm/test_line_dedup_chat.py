@@ -78,7 +78,8 @@ def test_format_round_trip(turns):
 
 
 @pytest.mark.parametrize("batch", [2, 10000])
-def test_conversations(spark, batch):
+def test_conversations(spark, batch, monkeypatch):
+    monkeypatch.setattr(chat_format, "TOGETHER", 8)
     turns = [(1, 1, "assistant", None), (1, 0, "user", "<hi> \\l"), (2, 0, None, ""), (None, 5, "assistant", "x\ny"), (None, None, "a\nssistant", "é\\n"), (1, 1, "assistant", "again </turn>"), (1, 1, "assistant", "again </turn>"), (3, 0, "assistant", "日本<"), (4, 0, "assistant", "b" * 5000)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
