@@ -5,18 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written under spark.checkpoint.dir and read back: it is computed once, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """This application's own folder under spark.checkpoint.dir; where that is unset, and only on one machine, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all its machines share")
-        folder = f"file://{tempfile.mkdtemp(prefix='docspark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+        base = f"file://{tempfile.mkdtemp(prefix='docspark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/docspark-{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written so far, once no result of it is to be read any more."""
+    delete(spark, folder(spark))
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, written to the shared folder and read back: it is computed once, and a lost executor costs nothing. It stays until clear()."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docspark_path = path
+    return out
