@@ -58,6 +58,15 @@ ANCHOR_NUMBER, ANCHOR_MONEY = r"\b\d{4,}\b", r"[$€£¥][\d,.]+"
 NAMED_ID = r"(?i)(?:invoice|order|po|purchase\s*order|shipping|delivery|receipt|ticket|case)\s*(?:number|#|id|no\.?)?\s*:?\s*([A-Z]*-?\d{3,})"
 REFERENCE = r"(?i)(?:invoice|order|po|purchase\s*order|contract|ticket|case|serial|batch|lot|ref|shipment|delivery|receipt)\s*(?:number|#|id|no\.?)?\s*:?\s*([A-Z]*-?\d{3,})"
 MONEY = r"(?i)[$€£¥][\d,]+\.?\d*|\d+[\d,]*\.?\d*\s*(?:dollars|usd|eur|gbp)"
+JOINED_NUMBER = r"(\d),(\d)"
+QUERY_SYMBOLS = r"[^\p{L}\p{N}_\s\-.$#@/]"
+WORD_SYMBOLS = r"[^\p{L}\p{N}_\s]"
+SUFFIX = r"\.[^.]*$"
+YEAR = r"\b(20\d{2})\b"
+QUARTER = r"\bq([1-4])\b"
+CUSTOMER = r"\b([A-Z]{3,10})\b"
+BARE_ID = r"\b(\d{4,})\b"
+NUMERIC_ID = r"\b(\d{5,})\b"
 STATUS_LABELS = {"pending": "Queued", "ingesting": "Processing", "active": "Ready", "failed": "Failed", "pending_delete": "Deleting", "deleted": "Deleted"}
 SESSION_LABELS = {"recording": "Recording", "completed": "Completed", "failed": "Failed"}
 VERDICT_LABELS = {"pending": "Verifying", "supported": "Supported", "contradicted": "Contradicted", "unverifiable": "Unverifiable"}
@@ -65,7 +74,7 @@ VERDICT_LABELS = {"pending": "Verifying", "supported": "Supported", "contradicte
 
 def normalize_numbers(text: Column) -> Column:
     """10,248 -> 10248; matches don't overlap, so 1,2,3 -> 12,3."""
-    return F.regexp_replace(text, r"(\d),(\d)", "$1$2")
+    return F.regexp_replace(text, JOINED_NUMBER, "$1$2")
 
 
 def squeeze(text: Column) -> Column:
@@ -74,11 +83,11 @@ def squeeze(text: Column) -> Column:
 
 def sanitize_query(text: Column, most: int = 500) -> Column:
     """A query for keyword search: cut, numbers joined, other than word characters and -.$#@/ blanked."""
-    return squeeze(F.regexp_replace(normalize_numbers(F.substring(F.trim(text), 1, most)), r"[^\p{L}\p{N}_\s\-.$#@/]", " "))
+    return squeeze(F.regexp_replace(normalize_numbers(F.substring(F.trim(text), 1, most)), QUERY_SYMBOLS, " "))
 
 
 def fingerprint(text: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", ""))
+    return squeeze(F.regexp_replace(F.lower(text), WORD_SYMBOLS, ""))
 
 
 def cache_normal_form(text: Column) -> Column:
@@ -90,7 +99,7 @@ def verdict_cache_key(vault_id: Column, version: Column, text: Column) -> Column
 
 
 def source_label(filename: Column) -> Column:
-    return F.translate(F.regexp_replace(filename, r"\.[^.]*$", ""), "_-", "  ")
+    return F.translate(F.regexp_replace(filename, SUFFIX, ""), "_-", "  ")
 
 
 def file_extension(filename: Column) -> Column:
@@ -115,7 +124,7 @@ def parse_document_type(text: Column) -> Column:
 
 
 def parse_year(text: Column) -> Column:
-    found = F.regexp_extract(F.lower(text), r"\b(20\d{2})\b", 1)
+    found = F.regexp_extract(F.lower(text), YEAR, 1)
     return F.when(found != "", found.cast("int"))
 
 
@@ -125,7 +134,7 @@ def parse_month(text: Column) -> Column:
 
 
 def parse_quarter(text: Column) -> Column:
-    found = F.regexp_extract(F.lower(text), r"\bq([1-4])\b", 1)
+    found = F.regexp_extract(F.lower(text), QUARTER, 1)
     return F.when(found != "", found.cast("int"))
 
 
@@ -140,7 +149,7 @@ def parse_date_range(text: Column, month_first: bool = False) -> tuple[Column, C
 
 def parse_customer_id(text: Column) -> Column:
     """The first word of 3 to 10 capitals; null if that one is a common word."""
-    found = F.regexp_extract(text, r"\b([A-Z]{3,10})\b", 1)
+    found = F.regexp_extract(text, CUSTOMER, 1)
     return F.when((found != "") & ~found.isin(*SKIPPED_IDS), found)
 
 
@@ -188,7 +197,7 @@ def entity_anchor(text: Column) -> Column:
 
 
 def bare_ids(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b(\d{4,})\b"), 1)
+    return F.regexp_extract_all(text, F.lit(BARE_ID), 1)
 
 
 def extract_entity_ids(text: Column, most: int = 10) -> Column:
@@ -199,13 +208,13 @@ def extract_entity_ids(text: Column, most: int = 10) -> Column:
 def extract_mentions(text: Column) -> Column:
     """Distinct reference numbers, ids of five digits or more, and amounts."""
     found = lambda pattern, group: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), group)))
-    return F.struct(found(REFERENCE, 1).alias("reference_numbers"), found(r"\b(\d{5,})\b", 1).alias("numeric_ids"), found(MONEY, 0).alias("amounts"))
+    return F.struct(found(REFERENCE, 1).alias("reference_numbers"), found(NUMERIC_ID, 1).alias("numeric_ids"), found(MONEY, 0).alias("amounts"))
 
 
 def entity_boost(text: Column) -> Column:
     """The text after "ID x" for each of its first three ids."""
     plain = normalize_numbers(text)
-    ids = F.slice(F.regexp_extract_all(plain, F.lit(r"\b(\d{4,})\b"), 1), 1, 3)
+    ids = F.slice(F.regexp_extract_all(plain, F.lit(BARE_ID), 1), 1, 3)
     return F.concat_ws(" ", F.transform(ids, lambda x: F.concat(F.lit("ID "), x)), plain)
 
 

@@ -16,6 +16,17 @@ from docspark.sources.shared import written
 
 FILTERS = ["vault_id", "doc_type", "date_from", "date_to", "customer"]
 LISTED = 50
+# What answers say.
+INVENTORY_HEAD = "Available document types in this vault:\n"
+CANNOT = "Cannot verify an exact result for: "
+MISSING = ".\nMissing metadata:\n"
+BACKFILL = "\nRe-ingest documents or run metadata backfill to fill the gaps."
+NO_DATE = " document(s) missing order date metadata"
+NO_TOTAL = " document(s) missing total price metadata"
+EMPTY_VAULT = "No documents found in the vault."
+NO_FILTER = "No structured filters could be parsed from the statement."
+NONE_FOUND = "No documents found matching: "
+NO_PRICES = "One or more documents are missing total prices for this query."
 
 
 def parse(statements: DataFrame, month_first: bool = False) -> DataFrame:
@@ -90,7 +101,7 @@ def type_inventory(documents: DataFrame) -> DataFrame:
 def inventory_text(documents: DataFrame) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("document_type", "doc_count")))
     text = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("- "), x["document_type"], F.lit(": "), x["doc_count"].cast("string"))), "\n")
-    return type_inventory(documents).groupBy("vault_id").agg(lines.alias("lines")).select("vault_id", F.concat(F.lit("Available document types in this vault:\n"), text).alias("inventory"))
+    return type_inventory(documents).groupBy("vault_id").agg(lines.alias("lines")).select("vault_id", F.concat(F.lit(INVENTORY_HEAD), text).alias("inventory"))
 
 
 def verify(statements: DataFrame, documents: DataFrame) -> DataFrame:
@@ -112,11 +123,11 @@ def verify(statements: DataFrame, documents: DataFrame) -> DataFrame:
     t = t.join(inventory, t["vault_id"] == inventory["_vault"], "left")
     filtered = F.col("doc_type").isNotNull() | F.col("date_from").isNotNull() | F.col("customer").isNotNull()
     asks_money = F.col("intent").isin("sum", "average")
-    no_dates = F.when(F.col("date_from").isNotNull() & (F.col("undated") > 0), F.concat(F.lit("- "), F.col("undated").cast("string"), F.lit(" document(s) missing order date metadata")))
-    no_totals = F.when(asks_money & (F.col("unpriced") > 0), F.concat(F.lit("- "), F.col("unpriced").cast("string"), F.lit(" document(s) missing total price metadata")))
+    no_dates = F.when(F.col("date_from").isNotNull() & (F.col("undated") > 0), F.concat(F.lit("- "), F.col("undated").cast("string"), F.lit(NO_DATE)))
+    no_totals = F.when(asks_money & (F.col("unpriced") > 0), F.concat(F.lit("- "), F.col("unpriced").cast("string"), F.lit(NO_TOTAL)))
     gaps = F.concat_ws("\n", no_dates, no_totals)
     described = T.filter_description(*[F.col(c) for c in ("doc_type", "date_from", "date_to", "customer")])
-    gap_text = F.concat(F.lit("Cannot verify an exact result for: "), described, F.lit(".\nMissing metadata:\n"), gaps, F.lit("\nRe-ingest documents or run metadata backfill to fill the gaps."))
+    gap_text = F.concat(F.lit(CANNOT), described, F.lit(MISSING), gaps, F.lit(BACKFILL))
     value = F.when(F.col("intent") == "average", F.concat(F.lit("Average Total: "), T.money(F.col("average_total")))).when(F.col("intent") == "sum", F.concat(F.lit("Total Sum: "), T.money(F.col("sum_total"))))
     count = F.col("doc_count").cast("string")
     more = F.when(F.col("doc_count") > LISTED, F.concat(F.lit(f"... (showing first {LISTED} of "), count, F.lit(")")))
@@ -124,11 +135,11 @@ def verify(statements: DataFrame, documents: DataFrame) -> DataFrame:
     asks_inventory = T.is_inventory_question(F.col("text"))
     ladder = [
         (~filtered & asks_inventory & F.col("inventory").isNotNull(), "supported", F.col("inventory")),
-        (~filtered & asks_inventory, "unverifiable", F.lit("No documents found in the vault.")),
-        (~filtered, "unverifiable", F.lit("No structured filters could be parsed from the statement.")),
+        (~filtered & asks_inventory, "unverifiable", F.lit(EMPTY_VAULT)),
+        (~filtered, "unverifiable", F.lit(NO_FILTER)),
         (gaps != "", "unverifiable", gap_text),
-        (F.col("doc_count") == 0, "supported", F.concat(F.lit("No documents found matching: "), described, F.lit(".\nCount: 0"))),
-        (asks_money & F.col("sum_total").isNull(), "unverifiable", F.lit("One or more documents are missing total prices for this query.")),
+        (F.col("doc_count") == 0, "supported", F.concat(F.lit(NONE_FOUND), described, F.lit(".\nCount: 0"))),
+        (asks_money & F.col("sum_total").isNull(), "unverifiable", F.lit(NO_PRICES)),
         (F.lit(True), "supported", found),
     ]
     verdict, explanation = _ladder(ladder, 1), _ladder(ladder, 2)

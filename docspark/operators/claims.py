@@ -13,7 +13,8 @@ from docspark.sources.shared import written
 DUPLICATE = 0.8
 EVIDENCE = "array<struct<doc_title:string,section:string,page:int,quote:string,relevance_score:double>>"
 VERDICTS = ("supported", "contradicted", "unverifiable")
-# The document types that a model may name.
+# The code fence around a model's answer, and the document types that it may name.
+FENCE = (r"^```(?:json)?\s*\n?", r"\n?```\s*$")
 TYPES = ("invoice", "purchase_order", "shipping_order", "stock_report", "contract", "report", "memo", "letter", "receipt", "other")
 
 
@@ -96,7 +97,7 @@ def dedup_claims(claims: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
 
 def clean_fences(text: Column) -> Column:
     """A model's response without the code fence around it."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*\n?", ""), r"\n?```\s*$", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(text), FENCE[0], ""), FENCE[1], "")
 
 
 def parse_verdict(raw: Column) -> Column:

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPLOADED = "event_type string, doc_id string, vault_id string, file_type string, storage_path string, original_filename string, uploaded_by string, timestamp timestamp"
-DELETED = "event_type string, doc_id string, vault_id string, deleted_by string, timestamp timestamp"
+FIELDS = "event_type string, doc_id string, vault_id string, file_type string, storage_path string, original_filename string, uploaded_by string, deleted_by string, timestamp timestamp"
 NEEDED = {"file.uploaded": ("doc_id", "vault_id", "file_type", "storage_path", "original_filename", "uploaded_by", "timestamp"), "file.deleted": ("doc_id", "vault_id", "deleted_by", "timestamp")}
 
 
 def decode(raw: DataFrame) -> DataFrame:
     """raw (value) with event (the union of both kinds' fields) and `malformed`: no JSON, another type or a field that's missing."""
-    up, down = F.from_json("value", UPLOADED), F.from_json("value", DELETED)
-    kind = F.coalesce(up["event_type"], F.lit(""))
-    whole = lambda e, k: F.array_size(F.array_compact(F.array(*[e[c].cast("string") for c in NEEDED[k]]))) == len(NEEDED[k])
-    good = F.when(kind == "file.uploaded", whole(up, "file.uploaded")).when(kind == "file.deleted", whole(down, "file.deleted")).otherwise(False)
-    fields = ("doc_id", "vault_id", "file_type", "storage_path", "original_filename", "uploaded_by", "timestamp")
-    return raw.withColumns({"event_type": up["event_type"], **{c: up[c] for c in fields}, "deleted_by": down["deleted_by"], "malformed": ~F.coalesce(good, F.lit(False))})
+    event = F.col("_event")
+    whole = lambda k: reduce(lambda a, b: a & b, [event[c].isNotNull() for c in NEEDED[k]])
+    good = F.when(event["event_type"] == "file.uploaded", whole("file.uploaded")).when(event["event_type"] == "file.deleted", whole("file.deleted")).otherwise(False)
+    parsed = raw.withColumn("_event", F.from_json("value", FIELDS))
+    return parsed.select(*[F.col(c) for c in raw.columns], "_event.*", (~F.coalesce(good, F.lit(False))).alias("malformed"))
 
 
 def encode(rows: DataFrame, columns: list[str], key: str = "vault_id") -> DataFrame:
