@@ -257,5 +257,5 @@ def ingest(
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:
-    """Chunks into folder, by vault; documents that are written again replace nothing but come beside: a batch has a folder of its own."""
+    """The chunks of one batch into its folder, by vault; the same batch again replaces itself and no other."""
     chunks.write.mode("overwrite").partitionBy("vault_id").parquet(folder)

@@ -369,10 +369,11 @@ def tool_budget(spark, sf_dir):
     return read(spark, sf_dir, "turns").select("conv_id", "turn", calls.alias("iterations"), ((calls > 6) | (full > 3)).alias("over_budget"))
 
 
-@query(f"{cte('statements')}, c AS (SELECT *, {CLASS_SQL} AS class FROM (SELECT *, {_NORM.format('lower(text)')} AS low FROM statements_v)) SELECT statement_id, class, CASE class WHEN 'point' THEN 2 ELSE 3 END AS n_messages FROM c")
+@query(f"{cte('statements')}, c AS (SELECT *, {CLASS_SQL} AS class FROM (SELECT *, {_NORM.format('lower(text)')} AS low FROM statements_v)) SELECT statement_id, class, 'system: Answer from the vault.' || chr(10) || CASE class WHEN 'point' THEN '' ELSE 'system: Plan for a question of class ' || class || chr(10) END || 'user: ' || text AS messages FROM c")
 def build_messages(spark, sf_dir):
     kind = T.classify_query(C("text"))
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     hint = F.when(kind != "point", F.array(message("system", F.concat(F.lit("Plan for a question of class "), kind))))
     messages = F.concat(F.array(message("system", F.lit("Answer from the vault."))), F.coalesce(hint, F.array().cast("array<struct<role:string,content:string>>")), F.array(message("user", C("text"))))
-    return read(spark, sf_dir, "statements").select("statement_id", kind.alias("class"), F.size(messages).alias("n_messages"))
+    said = F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return read(spark, sf_dir, "statements").select("statement_id", kind.alias("class"), said.alias("messages"))
