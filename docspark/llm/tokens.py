@@ -1,11 +1,11 @@
 """Token counts and token ids of whole texts, as the `tokenizers` library gives them, from counted pre-tokens.
 
 Both tokenizers here cut a text into pre-tokens by a pattern and merge bytes within each pre-token only, so a pre-token
-has the same tokens wherever it stands. A text is first cut into chunks at white space where no pre-token can reach
-across; chunks repeat, and each task keeps what it has found for them in a table of bounded size. Only a chunk with a
-character whose class or lower case could differ between Unicode versions, or with a special string, goes through the
-library, by itself. (Where white space makes tokens, a text with a special string goes as a whole: the library takes
-what stands on either side of it as texts of their own.)
+has the same tokens wherever it stands. Words repeat: each task keeps what it has merged in a table of bounded size.
+A text with a character whose class or lower case could differ between Unicode versions, or with a special string, is
+first cut into chunks at white space that no pre-token reaches across, and only the chunks that hold such go through
+the library, each by itself. (Where white space makes tokens, a text with a special string goes as a whole: the library
+takes what stands on either side of it as texts of their own.)
 """
 
 from __future__ import annotations
@@ -25,13 +25,11 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside these have a class or a lower case that isn't as old as Unicode itself.
 UNSURE = regex.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€]")
-#: Chunks that a task remembers, and their longest; beyond the number it starts anew. About 150 bytes each.
-REMEMBERED, LONGEST = 200_000, 64
-#: White space beyond ASCII, and controls that Python counts as such.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Pre-tokens that a task remembers, and their longest; beyond the number it starts anew. About 100 bytes each.
+REMEMBERED, LONGEST = 300_000, 64
 _CHUNKS = re.compile(r"[^\t-\r ]+")
 #: A space before a character that is surely none begins a pre-token, whatever comes before it.
-_BEGINS, _OTHER_SPACE = re.compile(" (?=[!-~\xa1-\xac\xae-\u024f])"), re.compile(" (?![!-~\xa1-\xac\xae-\u024f])")
+_BEGINS = re.compile(" (?=[!-~\xa1-\xac\xae-\u024f])")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -116,33 +114,36 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, columns: list[str]) -> Da
 def token_counter(tokenizer_json: str, whole: frozenset[str]) -> Callable[[str], int]:
     """A function from text to its number of tokens, for use within a task. White space makes no tokens and ends pre-tokens."""
     merger, cut = Merger(tokenizer_json), regex.compile(WORD_PATTERN).findall
+    merged = _Memory(lambda piece: len(merger.ids(piece)))
 
-    def made(chunk: str) -> int:
-        if merger.unsure(chunk):
-            return len(merger.library(chunk))
-        return sum(1 if p in whole else len(merger.ids(p)) for p in cut(chunk.lower()))
+    def sure(text: str) -> int:
+        pieces = cut(text.lower())
+        rest = [p for p in pieces if p not in whole]
+        return len(pieces) - len(rest) + sum(map(merged.__getitem__, rest))
 
-    found = _Memory(made).__getitem__
-    return lambda text: sum(map(found, _CHUNKS.findall(text) if _ODD_SPACE.search(text) else text.split()))
+    def count(text: str) -> int:
+        if not merger.unsure(text):
+            return sure(text)
+        return sum(len(merger.library(c)) if merger.unsure(c) else sure(c) for c in _CHUNKS.findall(text))
+
+    return count
 
 
 def token_ids(tokenizer_json: str) -> Callable[[str], bytes]:
     """A function from text to its ids as little-endian unsigned 32-bit numbers; for use within a task."""
     merger, cut = Merger(tokenizer_json), regex.compile(BYTE_PATTERN).findall
+    merged = _Memory(lambda piece: np.array(merger.ids(piece), "<u4").tobytes())
 
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def made(chunk: str) -> bytes:
-        return packed(merger.library(chunk) if merger.unsure(chunk) else [i for p in cut(chunk) for i in merger.ids(p)])
-
-    found = _Memory(lambda chunk: made(" " + chunk)).__getitem__
+    def library(text: str) -> bytes:
+        return np.array(merger.library(text), "<u4").tobytes()
 
     def encode(text: str) -> bytes:
         if any(s in text for s in merger.special):
-            return packed(merger.library(text))
-        first, *rest = _BEGINS.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
-        return made(first) + b"".join(map(found, rest))
+            return library(text)
+        if not merger.unsure(text):
+            return b"".join(map(merged.__getitem__, cut(text)))
+        first, *rest = _BEGINS.split(text)
+        return b"".join(library(c) if merger.unsure(c) else b"".join(map(merged.__getitem__, cut(c))) for c in [first, *[" " + c for c in rest]])
 
     return encode
 
