@@ -253,3 +253,14 @@ def test_near_duplicate_pairs_of_literal_boost_marks(spark):
     got = {(r.a, r.b) for r in claims.near_duplicate_pairs(df).collect()}
     first = {b: min(i for i in bags if bags[i] == bags[b]) for b in bags}
     assert got == {(first[a], first[b]) for a, b in want if first[a] != first[b]}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from docspark.sources import shared
+
+    session = lambda master, conf: SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+    assert shared.folder(session("spark://host:7077", {"spark.checkpoint.dir": "hdfs:///shared/"})) == "hdfs:///shared/docspark-app-1"
+    with pytest.raises(ValueError):
+        shared.folder(session("spark://host:7077", {"spark.checkpoint.dir": None}))
