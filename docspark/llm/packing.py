@@ -64,6 +64,8 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, columns: list[str], end_i
                     out, held = [], 0
             if out:
                 yield made(batch, out)
+        del encode  # with all the pre-tokens that it remembers
+        tidy()
 
     return picked.mapInArrow(run, schema)
 

@@ -41,7 +41,7 @@ LEAST_SPREAD = 0.02
 #: Parts of a model, and bytes of parts that are broadcast at once; further parts are scored in passes of their own.
 PARTS, BROADCAST_BYTES = 256, 100_000_000
 #: N-grams that a task holds before it merges them; it sends them if more than half of that are left.
-HELD = 1_000_000
+HELD = 300_000
 #: Bytes of text that are taken apart at once; the arrays that this needs are some 150 times as large.
 SLICE = 300_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -188,6 +188,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         if held:
             merge()
             yield from sent()
+        tidy()
 
     return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

@@ -19,8 +19,9 @@ _BYTES = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64
 
 
 def tidy() -> None:
-    """Give back what earlier tasks of this Python worker left on the heap: workers are reused by stage after stage."""
+    """Give back what earlier tasks of this Python worker left on the heap and in Arrow's pool: workers are reused by stage after stage."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     if hasattr(_C, "malloc_trim"):
         _C.malloc_trim(0)
 
