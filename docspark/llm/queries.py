@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import chat_format, jaccard_join, language_id, line_dedup, merkle, mixing, packing, quality, sketch, suffix_dedup, tokens, vector_codes
+from docspark.llm import chat_format, jaccard_join, language_id, line_dedup, merkle, mixing, packing, pitman_yor, quality, sketch, suffix_dedup, tokens, vector_codes
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_pitman_yor": pitman_yor.op11_pitman_yor,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
