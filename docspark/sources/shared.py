@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []
+
 
 def folder(spark: SparkSession) -> str:
     """This application's own folder under spark.checkpoint.dir; where that is unset, and only on one machine, a temporary one."""
@@ -36,4 +40,30 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docspark_path = path
+    if _open:
+        _open[-1].append(path)
     return out
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written within goes at its end, but for the tables that were passed to the function it gives.
+
+    For operators that write several tables on the way to one: whatever is kept must be written itself, and read no other.
+    """
+    paths: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._docspark_path)
+        return df
+
+    _open.append(paths)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path in set(paths) - set(kept):
+            delete(spark, path)
+        if _open:  # whoever is around this one may let go of them
+            _open[-1].extend(kept)

@@ -7,20 +7,23 @@ a segment arrives when it ends. In a stream, a session's state ends with its exp
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import MapState
 
-from docspark.functions.text import REFERENCE
+from docspark.functions import text as T
+from docspark.operators.claims import DUPLICATE
 
 IDLE, INTERVAL, CHARS, CAP, CONTEXT = 2.0, 6.0, 20, 100, 10
+#: A session that is silent for so long has ended.
+EXPIRE_MS = 4 * 3600 * 1000
 SCHEMA = "session_id long, batch int, fired_at double, first_segment int, last_segment int, n_segments int, n_context int"
 STATE = "state string"
 
@@ -63,6 +66,9 @@ class Buffer:
 
     def add(self, index: int, arrival: float, chars: int) -> Iterator[tuple]:
         yield from self.tick_to(arrival)
+        self.append(index, arrival, chars)
+
+    def append(self, index: int, arrival: float, chars: int) -> None:
         self.unchecked.append((int(index), float(arrival), int(chars)))
         excess = len(self.unchecked) + self.before - CAP
         if excess > 0:
@@ -88,7 +94,7 @@ def claim_batches(segments: DataFrame) -> DataFrame:
     return segments.select("session_id", "segment_index", "end_s", "text").groupBy("session_id").applyInPandas(one, SCHEMA)
 
 
-def stream_claim_batches(segments: DataFrame, expire_ms: int | None = 30_000) -> DataFrame:
+def stream_claim_batches(segments: DataFrame, expire_ms: int | None = EXPIRE_MS) -> DataFrame:
     """The same over a stream of final segments. A row whose text is null ends its session: what is left goes out, and the state goes.
 
     A session that is silent for expire_ms of processing time ends too; with None, only end rows end one. Expiry wakes
@@ -121,82 +127,214 @@ def stream_claim_batches(segments: DataFrame, expire_ms: int | None = 30_000) ->
 
 
 LIVE_SCHEMA = "session_id long, batch int, fired_at double, texts array<string>, context array<string>, entities array<string>, n_repeats int"
-_ENTITY = re.compile(REFERENCE)
+_LIVE_NAMES = [f.split()[0] for f in LIVE_SCHEMA.split(", ")]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class LiveSession(Buffer):
-    """A Buffer that keeps the texts: of unchecked segments, of the last CONTEXT checked ones, the bags of what was sent, and the entities named.
+def _state_in_columns(df: DataFrame) -> None:
+    """State variables of a processor are column families of the state store, which the default store hasn't got."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
-    A text whose words are those of one sent before in the session is left out as a repeat.
-    """
 
-    def __init__(self, saved: str | None = None):
-        super().__init__(saved)
-        s = json.loads(saved) if saved else {}
-        self.texts = {int(k): v for k, v in s.get("texts", {}).items()}
-        self.context, self.entities = s.get("context", []), set(s.get("entities", []))
-        self.sent = set(s.get("sent", []))
+class KeptClaims:
+    """The claims of a session that were kept, as sets of words, in two maps of the state: word -> claims, claim -> set.
 
-    def save(self) -> str:
-        more = {"texts": self.texts, "context": self.context, "entities": sorted(self.entities), "sent": sorted(self.sent)}
-        return json.dumps(json.loads(super().save()) | more)
-
-    def hear(self, index: int, arrival: float, text: str) -> list[tuple]:
-        """Batches that were due before this segment, with what they say; the segment joins the unchecked ones."""
-        rows = [self._told(r) for r in self.tick_to(arrival)]
-        self.texts[int(index)] = text
-        rows += [self._told(r) for r in self.add(index, arrival, len(text))]
-        waiting = {x[0] for x in self.unchecked}
-        self.texts = {i: t for i, t in self.texts.items() if i in waiting}
-        return rows
-
-    def end(self) -> list[tuple]:
-        return [self._told(r) for r in self.tick_to(math.inf)]
-
-    def _told(self, row: tuple) -> tuple:
-        batch, fired, first, last = row[:4]
-        said = [self.texts.pop(i) for i in sorted(self.texts) if first <= i <= last]
-        new, context = [], list(self.context)
-        for text in said:
-            self.entities.update(m.group(1) for m in _ENTITY.finditer(text))
-            bag = hashlib.md5(" ".join(sorted(set(text.lower().split()))).encode()).hexdigest()
-            if bag not in self.sent:
-                self.sent.add(bag)
-                new.append(text)
-        self.context = (self.context + said)[-CONTEXT:]
-        return batch, fired, new, context, sorted(self.entities), len(said) - len(new)
+    Sets stand in one order, so two sets of a Jaccard similarity of `threshold` share an element among the first
+    n - ceil(threshold * n) + 1 of each: a new set looks up its first ones alone, takes the claims found there whose size
+    can do, and compares those. What a claim reads and writes depends on its words, not on how many claims there are.
+    """
 
+    def __init__(self, words: MapState, sets: MapState, threshold: float = DUPLICATE):
+        self.words, self.sets, self.threshold = words, sets, threshold
+        self.compared = 0
 
-def stream_live_sessions(segments: DataFrame, expire_ms: int | None = 30_000) -> DataFrame:
-    """As stream_claim_batches, with each batch's new texts, the context before it, the entities named so far and the number of repeats."""
-    names = [f.split()[0] for f in LIVE_SCHEMA.split(", ")]
+    def _first(self, bag: list[str]) -> list[str]:
+        # Numbers, and what boosting repeats, tell claims apart: they stand first.
+        order = sorted(bag, key=lambda w: ("__" not in w, not w[:1].isdigit(), w))
+        return order[: len(order) - math.ceil(self.threshold * len(order) - 1e-9) + 1]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, rows = LiveSession(state.get[0] if state.exists else None), []
-        ended = state.hasTimedOut
-        if not ended:
-            joined = pd.concat(list(frames)).sort_values("segment_index")
-            for i, end, text in joined[["segment_index", "end_s", "text"]].itertuples(index=False):
-                if text is None:
-                    ended = True
-                else:
-                    rows += session.hear(i, end, text)
+    def keep(self, bag: list[str], number: int) -> bool:
+        """Whether no kept claim is similar; if so, this one is kept as `number`. Claims without a word are always kept."""
+        if not bag:
+            return True
+        n, own, first, seen = len(bag), set(bag), self._first(bag), set()
+        found = {w: self.words.getValue((w,))[0] if self.words.containsKey((w,)) else [] for w in first}
+        for number_and_size in (x for w in first for x in found[w]):
+            other, m = number_and_size["claim"], number_and_size["size"]
+            if other in seen or min(n, m) < self.threshold * max(n, m) - 1e-9:
+                continue
+            seen.add(other)
+            self.compared += 1
+            shared = len(own.intersection(self.sets.getValue((other,))[0]))
+            if shared >= self.threshold * (n + m - shared) - 1e-9:
+                return False
+        self.sets.updateValue((number,), (list(bag),))
+        for w in first:
+            self.words.updateValue((w,), ([*[(x["claim"], x["size"]) for x in found[w]], (number, n)],))
+        return True
+
+
+class LiveSession(StatefulProcessor):
+    """A session as state variables: unchecked segments and context as lists, clocks as a value, kept claims and entities as maps.
+
+    The lists hold CAP and CONTEXT entries at most and are rewritten; of the maps only what a trigger names is. A session
+    ends with a row whose text is null, or `expire_ms` after its last row: what is unchecked goes out, and all of it goes.
+    """
+
+    def __init__(self, expire_ms: int | None):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.unchecked = handle.getListState("unchecked", "segment int, arrival double, text string, bag array<string>, entities array<string>")
+        self.context = handle.getListState("context", "text string")
+        self.clock = handle.getValueState("clock", "checked double, batch int, before int, claims long")
+        self.words = handle.getMapState("words", "word string", "claims array<struct<claim:long,size:int>>")
+        self.sets = handle.getMapState("sets", "claim long", "bag array<string>")
+        self.entities = handle.getMapState("entities", "entity string", "claim long")
+
+    def _load(self) -> tuple[Buffer, dict, list, int]:
+        buffer, waiting = Buffer(), {}
+        if (clock := self.clock.get()) is not None:
+            buffer.checked, buffer.batch, buffer.before = clock[0], clock[1], clock[2]
+        for segment, arrival, text, bag, entities in self.unchecked.get():
+            buffer.unchecked.append((segment, arrival, len(text)))
+            waiting[segment] = (text, list(bag or []), list(entities or []))
+        return buffer, waiting, [c[0] for c in self.context.get()], clock[3] if clock is not None else 0
+
+    def _save(self, buffer: Buffer, waiting: dict, context: list, claims: int) -> None:
+        self.clock.update((buffer.checked, buffer.batch, buffer.before, claims))
+        for state, rows in ((self.unchecked, [(i, at, *waiting[i]) for i, at, _ in buffer.unchecked]), (self.context, [(c,) for c in context])):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+
+    def _clear(self) -> None:
+        for state in (self.unchecked, self.context, self.clock, self.words, self.sets, self.entities):
+            state.clear()
+        self._no_timers()
+
+    def _no_timers(self) -> None:
+        if self.expire_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+
+    def _told(self, fire: tuple, waiting: dict, context: list, claims: int) -> tuple[tuple, list, int]:
+        """The output row of a batch, and the context and number of claims after it."""
+        batch, at, first, last = fire[:4]
+        said = [waiting.pop(i) for i in sorted(waiting) if first <= i <= last]
+        kept, new = KeptClaims(self.words, self.sets), []
+        for text, bag, entities in said:
+            for e in entities:
+                if not self.entities.containsKey((e,)):
+                    self.entities.updateValue((e,), (claims,))
+            if kept.keep(bag, claims):
+                new.append(text)
+            claims += 1
+        named = sorted(k[0] for k in self.entities.keys())
+        return (batch, at, new, context, named, len(said) - len(new)), (context + [t for t, _, _ in said])[-CONTEXT:], claims
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        buffer, waiting, context, claims = self._load()
+        out, ended = [], False
+        for i, end, text, bag, entities in pd.concat(list(rows)).sort_values("segment_index")[["segment_index", "end_s", "text", "bag", "entities"]].itertuples(index=False):
+            fires = buffer.tick_to(math.inf) if text is None else buffer.tick_to(end)
+            for fire in fires:
+                row, context, claims = self._told(fire, waiting, context, claims)
+                out.append(row)
+            if text is None:
+                ended = True
+                continue
+            waiting[int(i)] = (text, list(bag), list(entities))
+            buffer.append(int(i), float(end), len(text))
+            held = {x[0] for x in buffer.unchecked}
+            waiting = {k: v for k, v in waiting.items() if k in held}
         if ended:
-            rows += session.end()
-            if state.exists:
-                state.remove()
+            self._clear()
         else:
-            state.update((session.save(),))
-            if expire_ms is not None:
-                state.setTimeoutDuration(expire_ms)
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
-
-    grouped = segments.select("session_id", "segment_index", "end_s", "text").groupBy("session_id")
-    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return grouped.applyInPandasWithState(step, LIVE_SCHEMA, STATE, "append", timeout)
-
-
-def session_totals(segments: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Running totals of each session in a stream, its few speakers counted exactly; state older than `late` may go."""
-    timed = segments.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    return timed.groupBy("session_id").agg(F.count("*").alias("segment_count"), F.size(F.collect_set("speaker")).alias("speaker_count"), F.max(time).alias("last_heard"))
+            self._save(buffer, waiting, context, claims)
+            if self.expire_ms is not None:
+                self._no_timers()
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expire_ms)
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=_LIVE_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        buffer, waiting, context, claims = self._load()
+        out = []
+        for fire in buffer.tick_to(math.inf):
+            row, context, claims = self._told(fire, waiting, context, claims)
+            out.append(row)
+        self._clear()
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=_LIVE_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_live_sessions(segments: DataFrame, expire_ms: int | None = EXPIRE_MS) -> DataFrame:
+    """Claim batches of a stream of final segments, as stream_claim_batches cuts them, with what they say.
+
+    texts are the batch's segments less those similar to one kept before in the session, as dedup_claims would drop them,
+    n_repeats their number; context is what was said just before; entities all reference numbers named so far.
+    """
+    _state_in_columns(segments)
+    said = segments.select(
+        "session_id", "segment_index", "end_s", "text", F.coalesce(T.boosted_bag(F.col("text")), F.array().cast("array<string>")).alias("bag"),
+        F.coalesce(T.extract_mentions(F.col("text"))["reference_numbers"], F.array().cast("array<string>")).alias("entities"),
+    )
+    return said.groupBy("session_id").transformWithStateInPandas(LiveSession(expire_ms), LIVE_SCHEMA, "append", "none" if expire_ms is None else "processingTime")
+
+
+TOTALS_SCHEMA = "session_id long, segment_count long, speaker_count long, first_heard timestamp, last_heard timestamp, ended boolean"
+_TOTALS_NAMES = [f.split()[0] for f in TOTALS_SCHEMA.split(", ")]
+
+
+class RunningTotals(StatefulProcessor):
+    """A session's totals, told again with every trigger that adds to them; `gap_ms` of event time after its last segment they are told once more, ended, and go."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", "n long, first timestamp, last timestamp")
+        self.speakers = handle.getMapState("speakers", "speaker int", "n long")
+
+    def _row(self, key, ended: bool) -> pd.DataFrame:
+        n, first, last = self.totals.get()
+        return pd.DataFrame([(key[0], n, sum(1 for _ in self.speakers.keys()), first, last, ended)], columns=_TOTALS_NAMES)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        old = self.totals.get()
+        first, last = frame["at"].min().to_pydatetime(), frame["at"].max().to_pydatetime()
+        if old is not None:
+            first, last = min(old[1], first), max(old[2], last)
+        self.totals.update(((old[0] if old is not None else 0) + len(frame), first, last))
+        for speaker, n in frame["speaker"].dropna().astype(int).value_counts().items():
+            had = self.speakers.getValue((int(speaker),))[0] if self.speakers.containsKey((int(speaker),)) else 0
+            self.speakers.updateValue((int(speaker),), (had + int(n),))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(pd.Timestamp(last, tz="UTC").timestamp() * 1000) + self.gap_ms if last.tzinfo is None else int(last.timestamp() * 1000) + self.gap_ms)
+        yield self._row(key, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, True)
+        self.totals.clear()
+        self.speakers.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def session_totals(segments: DataFrame, time: str = "ts", late: str = "10 minutes", gap_s: int = 4 * 3600) -> DataFrame:
+    """Running totals of each session (session_id, speaker, `time`) of a stream, in update mode.
+
+    A session that has no segment for `gap_s` of event time, behind a watermark of `late`, has a last row with `ended` and
+    leaves the state; what comes for it later begins anew.
+    """
+    _state_in_columns(segments)
+    timed = segments.select("session_id", F.col("speaker").cast("int").alias("speaker"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", late)
+    return timed.groupBy("session_id").transformWithStateInPandas(RunningTotals(1000 * gap_s), TOTALS_SCHEMA, "update", "eventTime")

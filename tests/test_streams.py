@@ -99,16 +99,113 @@ def test_live_sessions_keep_texts_context_and_entities(spark, tmp_path):
     assert other.texts == ["hello there all of you"] and other.fired_at == 3.0
 
 
-def test_flush_and_totals(spark, tmp_path):
+def put(tmp_path, df, parts, folder="in"):
+    """A file for each condition of `parts`, read in this order."""
+    import os
+    import shutil
+
+    (tmp_path / folder).mkdir(exist_ok=True)
+    for i, part in enumerate(parts):
+        df.where(part).coalesce(1).write.json(str(tmp_path / f"{folder}-{i}"))
+        for f in sorted((tmp_path / f"{folder}-{i}").glob("*.json")):
+            os.utime(shutil.copy(f, tmp_path / f"{folder}/{i}-{f.name}"), (1_700_000_000 + 60 * i,) * 2)
+    return str(tmp_path / folder)
+
+
+SAID = "session_id long, segment_index int, end_s double, text string"
+
+
+def live(spark, tmp_path, name, df, parts, **more):
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(put(tmp_path, df, parts, name))
+    query = sessions.stream_live_sessions(stream, **more).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c-{name}"))
+    return query
+
+
+def finished(spark, query, name):
+    query = query.trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    return sorted(spark.table(name).collect(), key=lambda r: (r.session_id, r.batch)), query
+
+
+def test_a_pause_of_minutes_keeps_claims_entities_and_context(spark, tmp_path):
+    said = [(1, 0, 1.0, "invoice 12345 is due in march 2016"), (1, 1, 700.0, "so invoice 12345 is due in march 2016"), (1, 2, 1400.0, "order 777 was shipped to berlin"), (1, 3, 1500.0, None)]
+    df = spark.createDataFrame(said, SAID)
+    got, _ = finished(spark, live(spark, tmp_path, "paused", df, [f"segment_index = {i}" for i in range(4)], expire_ms=None), "paused")
+    assert [(r.batch, r.texts, r.n_repeats) for r in got] == [(0, ["invoice 12345 is due in march 2016"], 0), (1, [], 1), (2, ["order 777 was shipped to berlin"], 0)]
+    assert got[1].context == ["invoice 12345 is due in march 2016"] and got[2].entities == ["12345", "777"]
+
+
+def test_stream_keeps_the_claims_that_dedup_claims_keeps(spark, tmp_path):
+    from docspark.operators.claims import dedup_claims
+
+    rows = read(spark, D, "segments").where("is_final").withColumn("end_s", F.col("start_s") + 2).select("session_id", "segment_index", "end_s", "text")
+    last = rows.groupBy("session_id").agg((F.max("segment_index") + 1).alias("segment_index"), (F.max("end_s") + 10).alias("end_s")).withColumn("text", F.lit(None).cast("string"))
+    df = rows.unionByName(last)
+    want = sorted((r.session_id, r.text) for r in dedup_claims(rows.select("session_id", "segment_index", "text")).collect())
+    got, _ = finished(spark, live(spark, tmp_path, "same", df, ["segment_index < 2", "segment_index >= 2"], expire_ms=None), "same")
+    assert sorted((r.session_id, t) for r in got for t in r.texts) == want and 0 < len(want) < rows.count()
+    assert sum(r.n_repeats for r in got) == rows.count() - len(want)
+
+
+def test_state_of_a_trigger_does_not_grow_with_the_session(spark, tmp_path):
+    """Six triggers of equal size: rows written to the state are as many in the last as in the second; sessions that ended leave none."""
+    said = [(s, 10 * t + k, 60.0 * t + k, f"shipment {1000 * t + 100 * k + s} left harbour {chr(97 + k) * 5} {chr(97 + t) * 6}") for s in range(3) for t in range(6) for k in range(4)]
+    df = spark.createDataFrame([*said, *[(s, 900, 9000.0, None) for s in range(3)]], SAID)
+    _, query = finished(spark, live(spark, tmp_path, "steady", df, [*[f"segment_index div 10 = {t}" for t in range(6)], "segment_index = 900"], expire_ms=None), "steady")
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]]
+    total = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(written) == 7 and written[3] == written[4] == written[5]  # the context has been full since the third
+    assert total[5] > total[1] and total[6] == 0
+
+
+def test_a_silent_session_expires(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame([(1, 0, 1.0, "invoice 12345 is due"), (1, 1, 5.0, "invoice 12345 is due")], SAID)
+    source = put(tmp_path, df, ["segment_index = 0"], "silent")
+    stream = spark.readStream.schema(df.schema).json(source)
+    query = sessions.stream_live_sessions(stream, expire_ms=3000).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        until = time.time() + 100
+        while time.time() < until and not spark.table("silent").count():
+            time.sleep(1)
+        put(tmp_path, df, ["segment_index = 1"], "later")
+        import os
+        import shutil
+
+        for f in (tmp_path / "later").glob("*.json"):
+            shutil.copy(f, tmp_path / "silent/second.json")
+        while time.time() < until and spark.table("silent").count() < 2:
+            time.sleep(1)
+    finally:
+        query.stop()
+    # What was unchecked went out with the expiry; what came after it met no memory of it.
+    assert [(r.batch, r.texts, r.n_repeats) for r in spark.table("silent").collect()] == [(0, ["invoice 12345 is due"], 0)] * 2
+    assert os.path.exists(tmp_path / "silent/second.json")
+
+
+def test_flush(spark, tmp_path):
     rows = read(spark, D, "segments")
     rows.unionByName(rows.limit(5)).coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).json(str(tmp_path / "in"))
     sessions_folder = str(tmp_path / "out")
     files.flush_segments(stream, sessions_folder).awaitTermination()
     assert spark.read.parquet(f"{sessions_folder}/segments").count() == rows.count()
-    timed = stream.withColumn("ts", F.timestamp_seconds(F.col("start_s")))
-    sessions.session_totals(timed).writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert spark.table("totals").agg(F.sum("segment_count")).first()[0] == rows.count() + 5
+
+
+def test_totals_end_behind_the_gap(spark, tmp_path):
+    said = [(1, 1, "2024-01-01 10:00:00"), (1, 2, "2024-01-01 10:05:00"), (2, 1, "2024-01-01 10:06:00"), (1, 1, "2024-01-01 10:20:00"), (3, 5, "2024-01-01 20:00:00"), (3, 5, "2024-01-01 20:01:00")]
+    df = spark.createDataFrame(said, "session_id long, speaker int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    source = put(tmp_path, df, ["ts < '2024-01-01 10:10'", "ts between '2024-01-01 10:10' and '2024-01-01 12:00'", "ts = '2024-01-01 20:00'", "ts = '2024-01-01 20:01'"])
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(source)
+    query = sessions.session_totals(stream, gap_s=3600).writeStream.format("memory").queryName("totals").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    got = [(r.session_id, r.segment_count, r.speaker_count, str(r.first_heard)[11:16], str(r.last_heard)[11:16], r.ended) for r in spark.table("totals").collect()]
+    assert [g for g in got if g[0] == 1] == [(1, 2, 2, "10:00", "10:05", False), (1, 3, 2, "10:00", "10:20", False), (1, 3, 2, "10:00", "10:20", True)]
+    assert sorted(g for g in got if g[0] == 2) == [(2, 1, 1, "10:06", "10:06", False), (2, 1, 1, "10:06", "10:06", True)]
+    assert [g[1] for g in got if g[0] == 3 and not g[5]] == [1, 2]
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(rows) > rows[-1]  # two of three sessions have left
 
 
 def test_encode_decode(spark):
