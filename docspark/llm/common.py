@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.sources import shared
+from docspark.sources.shared import temporary as temporary
 
 #: ASCII white space, as a character class and as the pattern of a separator.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,6 +36,17 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def look_up(rows: DataFrame, found: DataFrame, key: str, total: int, share: int = 256) -> DataFrame:
+    """rows joined with found (key, n_rows, ...), a row for each key: n_rows is how many rows have it, total the number of rows.
+
+    Keys that one row in `share` has, so at most `share` keys, are sent to all tasks: their rows aren't shuffled.
+    """
+    hot = F.col("n_rows") * share >= total
+    many, few = found.where(hot).drop("n_rows"), found.where(~hot).drop("n_rows")
+    out = rows.join(F.broadcast(many), key)
+    return out.unionByName(rows.join(F.broadcast(many.select(key)), key, "left_anti").join(few, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

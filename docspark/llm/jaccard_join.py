@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialize, partitions
+from docspark.llm.common import WORD, free, look_up, materialize, partitions, temporary
 from docspark.llm.components import components
 from docspark.llm.textbytes import Spans, buffers, lowered, mix, slices, tidy, words
 
@@ -375,6 +375,7 @@ def set_components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     spark = docs.sparkSession
     seen = materialize(_heads(docs, size), "set-heads")
     heads = seen.where("n is not null").select("doc_id", "row_key", "n", "key")
+    heads._docspark_path = seen._docspark_path
     total, shingles = heads.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = seen.where("hot is not null").groupBy("hot").agg(F.sum("n_hot").alias("n")).where(F.col("n") >= max(1000, total / HOT))
     # At most HOT times the mean set size, since each stands in one set of HOT at least.
@@ -402,25 +403,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component_id is the smallest doc_id that the row is connected with. keeper is true for the rows of the component's
     one text that stays, the smallest by (doc_id, row_key) with null ids last; equal rows share it.
     """
-    heads, roots = set_components(docs, size, percent)
-    named = heads.join(roots.withColumnRenamed("key", "_key"), heads["key"] == F.col("_key"), "left")
-    named = named.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("group"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("row"))
-    best = named.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("low"), F.min(rank).alias("best")).withColumnRenamed("group", "_group")
+    with temporary(docs.sparkSession) as keep:
+        heads, roots = set_components(docs, size, percent)
+        keep(heads)
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("row"))
+        sets = heads.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min(rank).alias("best"))
+        sets = materialize(sets.join(roots.withColumnRenamed("root", "_root"), "key", "left").withColumn("group", F.coalesce("_root", "key")).drop("_root"), "named-sets")
+        # Of a component the smallest, over its sets; each set looks it up, then each row looks up its set.
+        first = sets.groupBy("group").agg(F.count("*").alias("n_rows"), F.min("low").alias("low"), F.min("best").alias("best"))
+        found = look_up(sets.select("key", "group", "copies"), first, "group", sets.count())
+        found = keep(materialize(found.select("key", F.col("copies").alias("n_rows"), "low", "best"), "set-components"))
+    own = look_up(heads.where("n > 0"), found, "key", heads.count())
     keeper = (F.col("best.row") == F.col("row_key")) & F.col("best.id").eqNullSafe(F.col("doc_id"))
-    return named.join(best, named["group"] == best["_group"], "left").select(
-        "doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, keeper).otherwise(True).alias("keeper")
-    )
+    own = own.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), keeper.alias("keeper"))
+    return own.unionByName(heads.where("n = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keeper")))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near duplicates; rows without a word all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), size, percent).where("keeper")
-    kept = found.groupBy("doc_id", "row_key").agg(F.max("n_shingles").alias("_n")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row"), "_n")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_row"]))
-    again = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy(F.lit(1)))
-    return joined.withColumn("_again", again).where("_again = 1 or _n = 0").select(*docs.columns)
+    """docs with one row of each group of near duplicates; rows without a word all stay, of equal texts of one id one row.
+
+    Null text has no word; null ids are the last choice. Columns of any other name and type pass through.
+    """
+    key, own, n = (free(x, docs.columns) for x in ("_key", "_id", "_n"))
+    found = near_duplicates(docs.select("doc_id", "text"), size, percent).where("keeper and n_shingles > 0")
+    kept = found.groupBy("doc_id", "row_key").agg(F.count("*").alias(n)).withColumnsRenamed({"doc_id": own, "row_key": key})
+    word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    keyed = docs.where(word).withColumn(free("_hash", docs.columns), F.xxhash64(F.coalesce("text", F.lit(""))))
+    hashed = keyed[keyed.columns[-1]]
+    joined = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[own]) & (hashed == kept[key]))
+    # Where several rows have the text and the id, tasks keep one each and the first of those stays.
+    once = joined.where(F.col(n) > 1).groupBy(own, key).agg(F.first(F.struct(*[keyed[c] for c in docs.columns])).alias(n)).select(f"{n}.*")
+    return docs.where(~word).unionByName(joined.where(F.col(n) == 1).select(*docs.columns)).unionByName(once)
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

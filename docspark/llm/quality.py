@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import free, materialize
+from docspark.llm.common import free, materialize, temporary
 from docspark.llm.textbytes import Spans, buffers, code_points, lead_mask, mix, repeats, slices, space_mask, strings, tidy, total, words
 
 ORDER = 5
@@ -272,8 +272,9 @@ def build_model(counts: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> DataFrame:
-    """The model of docs' own reference texts, as a written table."""
-    return materialize(build_model(materialize(gram_counts(docs), "gram-counts")), "kneser-ney")
+    """The model of docs' own reference texts, as a written table; the n-grams that it is made of go."""
+    with temporary(docs.sparkSession) as keep:
+        return keep(materialize(build_model(materialize(gram_counts(docs), "gram-counts")), "kneser-ney"))
 
 
 class HashArray:
@@ -446,7 +447,8 @@ def judged(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """docs, written with their measures and verdicts; the names of these two columns."""
     name = free("_measured", docs.columns)
     kept = free("_kept", [*docs.columns, name])
-    scored = materialize(score(docs, fit(docs), name), "quality-scores")
+    with temporary(docs.sparkSession) as keep:
+        scored = keep(materialize(score(docs, fit(docs), name), "quality-scores"))
     return verdict(scored, bands(scored, name), name, kept), name, kept
 
 
@@ -455,7 +457,8 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     name = "_measured"
-    scored = materialize(score(docs, fit(docs), name).drop("text"), "quality-scores")
+    with temporary(spark) as keep:
+        scored = keep(materialize(score(docs, fit(docs), name).drop("text"), "quality-scores"))
     m = F.col(name)
     out = verdict(scored, bands(scored, name), name, "kept")
     return out.select("doc_id", *[m[s].alias(s) for s in STATS], m["base_failed"].alias("base_failed"), "kept", F.exp(m["log_perplexity"]).alias("perplexity"))
