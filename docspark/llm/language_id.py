@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.common import free
 from docspark.llm.textbytes import buffers, code_points, mix, slices
 
 DIM = 1024
@@ -131,7 +132,10 @@ def bundles(codes: np.ndarray, rows: np.ndarray, n: int, seed: int = 17) -> np.n
 
 
 def predict(docs: DataFrame, model: DataFrame, columns: list[str], seed: int = 17) -> DataFrame:
-    """`columns` of docs, lang_pred and score. model: prototypes(), DIM rows for each language."""
+    """`columns` of docs, lang_pred and score, with `_` behind a name that is one of columns. model: prototypes(), DIM rows for each language.
+
+    A language has a name, so what comes to the driver grows with the number of languages, not of texts.
+    """
     spark = docs.sparkSession
     rows = model.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", F.col("v.value").alias("v")).collect()
     rows = sorted(rows, key=lambda r: r["lang"])
@@ -139,8 +143,9 @@ def predict(docs: DataFrame, model: DataFrame, columns: list[str], seed: int = 1
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     # A vector of DIM numbers for each language that has a name.
     shared = spark.sparkContext.broadcast(([r["lang"] for r in rows], vectors))
-    picked = docs.select(*columns, F.col("text").alias("_text"))
-    schema = picked.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    text, made = free("_text", columns), [free(c, columns) for c in ("lang_pred", "score")]
+    picked = docs.select(*columns, F.col("text").alias(text))
+    schema = picked.drop(text).withColumns({made[0]: F.lit(""), made[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors = shared.value
@@ -160,7 +165,7 @@ def predict(docs: DataFrame, model: DataFrame, columns: list[str], seed: int = 1
                 best = cosine.argmax(1)
                 for k in np.flatnonzero(letter):
                     found[i + k], score[i + k] = names[best[k]], min(1.0, max(0.0, float(cosine[k, best[k]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(score)], names=[*columns, *made])
 
     return picked.mapInArrow(run, schema)
 

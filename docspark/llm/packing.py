@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import materialize, ranked
+from docspark.llm.common import free, materialize, ranked
 from docspark.llm.textbytes import tidy
 
 SIZE = 2048
@@ -34,12 +34,14 @@ def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer_json: str, columns: list[str], end_id: int = 0, size: int = SIZE) -> DataFrame:
     """`columns` of docs, piece, start, length and ids (little-endian unsigned 32-bit) of each piece; null text is empty.
 
-    Every row has one piece at least, since `end_id` closes each text.
+    Every row has one piece at least, since `end_id` closes each text. A new name that is one of `columns` has `_` behind it.
     """
     spark = docs.sparkSession
     source = spark.sparkContext.broadcast(tokenizer_json)
-    picked = docs.select(*columns, F.col("text").alias("_text"))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in picked.schema.fields[:-1])}, piece int, start long, length long, ids binary"
+    text, made_names = free("_text", columns), [free(c, columns) for c in ("piece", "start", "length", "ids")]
+    picked = docs.select(*columns, F.col("text").alias(text))
+    kinds = zip(made_names, ("int", "long", "long", "binary"), strict=True)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]], *[f"`{n}` {k}" for n, k in kinds]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -50,7 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, columns: list[str], end_i
         def made(batch: pa.RecordBatch, out: list) -> pa.RecordBatch:
             row, piece, start, length, ids = zip(*out, strict=True)
             own = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]]
-            return pa.RecordBatch.from_arrays([*own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[*columns, "piece", "start", "length", "ids"])
+            return pa.RecordBatch.from_arrays([*own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[*columns, *made_names])
 
         for batch in batches:
             out, held = [], 0

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from docspark.llm.common import free
+
 #: The pre-token patterns of the two tokenizer files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -95,18 +97,20 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, columns: list[str]) -> Da
     """`columns` of docs and n_tokens of `text` under a lower-casing tokenizer with word ends; null text has none.
 
     Rows are independent: repeated rows, ties and columns of any name change nothing, and an empty table gives an empty one.
+    If one of `columns` is called n_tokens, the new column is n_tokens_.
     """
     spark = docs.sparkSession
     # The proof runs once, here; both broadcasts are bounded by the tokenizer file.
     shared = spark.sparkContext.broadcast((tokenizer_json, whole_tokens(tokenizer_json)))
-    picked = docs.select(*columns, F.col("text").alias("_text"))
-    schema = picked.drop("_text").withColumn("n_tokens", F.lit(0).cast("long")).schema
+    text, made = free("_text", columns), free("n_tokens", columns)
+    picked = docs.select(*columns, F.col("text").alias(text))
+    schema = picked.drop(text).withColumn(made, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = token_counter(*shared.value)
         for batch in batches:
             counts = [count(text) if text else 0 for text in batch.column(len(columns)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*columns, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*columns, made])
 
     return picked.mapInArrow(run, schema)
 

@@ -22,5 +22,16 @@ def documents(spark):
     return spark.createDataFrame(rows(), SCHEMA)
 
 
+#: Names that operators use within, or give to what they make.
+TAKEN = ["_id", "_row", "_n", "_key", "_again", "_text", "_hash", "_lines", "_measured", "_kept", "n_tokens", "lang_pred", "score", "piece", "start", "length", "ids", "n", "row_key", "component_id", "keeper", "kept_text"]
+
+
+def clashing(spark):
+    """documents() with a column of each of TAKEN."""
+    from pyspark.sql import functions as F
+
+    return documents(spark).withColumns({c: F.lit(c) for c in TAKEN})
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import test_jaccard_join, test_line_dedup_chat, test_quality_language
-from tests.llm.odd import documents
+from tests.llm.odd import TAKEN, clashing, documents
 
 from docspark.llm.common import materialize, table
 
@@ -71,6 +71,33 @@ def test_each_stage_on_odd_and_empty(spark, pipeline):
         assert stage(spark, documents(spark).where(F.lit(False)), D).count() == 0
 
 
+def test_stages_with_clashing_columns(spark, pipeline, tmp_path):
+    """Columns of any name change no stage's rows."""
+    for name, df in (("plain", documents(spark)), ("clashing", clashing(spark))):
+        df.write.parquet(f"{tmp_path}/{name}")
+    plain, more = spark.read.parquet(f"{tmp_path}/plain"), spark.read.parquet(f"{tmp_path}/clashing")
+    for name, stage in pipeline.STAGES[:-1]:
+        want, got = (sorted(map(str, stage(spark, d, D).collect())) for d in (plain, more))
+        assert got == want, name
+    assert pipeline.STAGES[-1][1](spark, more, D).count() == pipeline.STAGES[-1][1](spark, plain, D).count()
+
+
+def test_operators_pass_clashing_columns(spark, tmp_path):
+    import public_tokenizers
+
+    from docspark.llm import jaccard_join, language_id, packing, tokens
+
+    docs = clashing(spark)
+    docs.write.parquet(f"{tmp_path}/d")
+    docs, word, byte = spark.read.parquet(f"{tmp_path}/d"), *(open(public_tokenizers.path(f), encoding="utf-8").read() for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and all(r[c] == c for r in kept.collect() for c in TAKEN)
+    made = [(tokens.count_tokens(docs, word, docs.columns), ["n_tokens_"]), (packing.token_pieces(docs, byte, docs.columns), ["piece_", "start_", "length_", "ids_"]), (language_id.predict(docs, language_id.prototypes(docs), docs.columns), ["lang_pred_", "score_"])]
+    for out, names in made:
+        assert out.columns == [*docs.columns, *names]
+        assert all(r[c] == c for r in out.collect() for c in TAKEN)
+
+
 def test_query(spark, pipeline):
     import __spark_entry__
 
