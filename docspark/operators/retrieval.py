@@ -13,18 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
+from docspark.operators import keyword_index
+from docspark.operators.keyword_index import KeywordIndex, in_use, terms
 from docspark.sources.shared import written
 
-K1, B = 1.2, 0.75
 #: Numbers in query vectors that are sent to every task at once; more queries go by a join.
 SENT = 20_000_000
-SPLIT = r"[^\p{L}\p{N}]+"
 #: Characters of a needle by which it is looked up.
 KEY = 12
 
 
 def live(chunks: DataFrame) -> DataFrame:
-    return chunks.where(~F.col("is_deleted") & (F.col("status") == "active"))
+    return chunks.where(in_use())
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -70,26 +70,6 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     return top(scope.mapInPandas(run, "query_id long, chunk_id long, score double"), k)
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SPLIT), lambda t: t != "")
-
-
-def bm25_stats(chunks: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunk_id, term, tf, length), (term, df) and one row (n, avgdl), over all chunks, in or out of use.
-
-    only: (term) that matter; others count for lengths alone and aren't shuffled. Texts are split once for the terms,
-    whose counts are written, and their words counted once more for the mean length.
-    """
-    text = F.lower("content_with_header")
-    sizes = chunks.agg(F.count("*").alias("n"), F.avg(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))).alias("avgdl"))
-    split = chunks.select("chunk_id", terms(F.col("content_with_header")).alias("words"))
-    each = split.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    if only is not None:
-        each = each.join(only.select("term").distinct(), "term", "left_semi")
-    tf = written(each.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf")))
-    return tf, tf.groupBy("term").agg(F.count("*").alias("df")), sizes
-
-
 def containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str, by: list[str]) -> DataFrame:
     """Rows of texts beside the needles that their `text` holds, in any case, where the columns `by` agree; a row for each such pair.
 
@@ -115,15 +95,9 @@ def containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str, by:
     return hit.drop("_cut", "_key", *[f"_by_{c}" for c in by])
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: DataFrame | None = None) -> DataFrame:
-    """Best chunks by Okapi BM25 of (query_id, vault_id, query_text); scope: the chunks that may be found."""
-    asked = queries.select("query_id", "vault_id", F.explode(F.array_distinct(terms(T.sanitize_query(F.col("query_text"))))).alias("term"))
-    tf, df, sizes = bm25_stats(chunks, asked)
-    found = (live(chunks) if scope is None else scope).select("chunk_id", "vault_id")
-    hits = tf.join(df, "term").join(asked, "term").join(found, ["chunk_id", "vault_id"]).crossJoin(F.broadcast(sizes))  # one row
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    return top(hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), k)
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, index: KeywordIndex | None = None) -> DataFrame:
+    """Best chunks by Okapi BM25 of (query_id, vault_id, query_text), from a stored index; without one, it is built for this call."""
+    return keyword_index.search(queries, index or keyword_index.build(chunks), k)
 
 
 def entity_search(asked: DataFrame, chunks: DataFrame, k: int = 20, ids: int = 10, mode: str = "contains") -> DataFrame:
@@ -192,10 +166,10 @@ def diversify(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, k: int =
     return rows.groupBy("query_id").applyInPandas(one, "query_id long, chunk_id long, score double, rank long")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, weight: float = 0.7) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, weight: float = 0.7, index: KeywordIndex | None = None) -> DataFrame:
     """Dense and keyword search, 6k or 40 each, fused, then diversified."""
     fetch = max(6 * k, 40)
-    return diversify(fuse(dense(queries, chunks, fetch), bm25(queries, chunks, fetch)), queries, chunks, k, weight)
+    return diversify(fuse(dense(queries, chunks, fetch), bm25(queries, chunks, fetch, index)), queries, chunks, k, weight)
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -211,11 +185,11 @@ def exact_first(exact: DataFrame, other: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_room", room).withColumn("rank", F.row_number().over(order) - 1).where("rank < _room").select("query_id", "chunk_id", "score", "rank")
 
 
-def point_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
+def point_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 8, index: KeywordIndex | None = None) -> DataFrame:
     """Retrieval for a statement about one entity: its ids lead the query, and chunks that hold an id come first."""
     boosted = queries.withColumn("query_text", T.entity_boost(F.col("query_text")))
     ids = queries.select("query_id", "vault_id", T.bare_ids(T.normalize_numbers(F.col("query_text"))).alias("entity_ids"))
-    return exact_first(entity_search(ids, chunks, ids=3), hybrid(boosted, chunks, k, 1.0), k)
+    return exact_first(entity_search(ids, chunks, ids=3), hybrid(boosted, chunks, k, 1.0, index), k)
 
 
 def multipass(first: DataFrame, second: DataFrame, chunks: DataFrame, k: int = 50, docs: int = 20) -> DataFrame:

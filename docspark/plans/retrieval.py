@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
+from docspark.operators import keyword_index
 from docspark.operators import retrieval as R
 from docspark.plans.scalars import _FINGER, _NORM
 from docspark.sources.tables import cte, read
@@ -24,6 +25,17 @@ def query(sql: str | None):
     return add
 
 
+_INDEXES: dict[tuple[str, str], keyword_index.KeywordIndex] = {}
+
+
+def index_of(spark, sf_dir):
+    """The keyword index of the given chunks, built once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = keyword_index.build(read(spark, sf_dir, "chunks"))
+    return _INDEXES[key]
+
+
 def _both(spark, sf_dir):
     return read(spark, sf_dir, "queries"), read(spark, sf_dir, "chunks")
 
@@ -64,13 +76,35 @@ def dense_topk(spark, sf_dir):
 
 @query(f"{cte('queries', 'chunks')}, {_bm25_sql(20)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def bm25_topk(spark, sf_dir):
-    return R.bm25(*_both(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return R.bm25(*_both(spark, sf_dir), index=index_of(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"{cte('queries', 'chunks')}, {_bm25_sql(20)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
+def bm25_after_update(spark, sf_dir):
+    """An index of a third less chunks, some of them with other texts and other states, after the others came in."""
+    chunks = read(spark, sf_dir, "chunks")
+    changed = chunks.where(C("chunk_id") % 3 == 0)
+    before = chunks.where(C("chunk_id") % 6 != 0).withColumns({"content_with_header": F.when(C("chunk_id") % 3 == 0, "an old text").otherwise(C("content_with_header")), "is_deleted": F.when(C("chunk_id") % 9 == 0, ~C("is_deleted")).otherwise(C("is_deleted"))})
+    index = keyword_index.update(keyword_index.build(before), changed.select("chunk_id"), chunks)
+    return keyword_index.search(read(spark, sf_dir, "queries"), index).withColumn("score", F.round("score", 6))
+
+
+@query(f"{cte('queries', 'chunks')}, {_bm25_sql(20)} SELECT a.query_id, count(*) AS postings FROM sparse_asked a JOIN sparse_tf t USING (term, vault_id) WHERE live GROUP BY 1")
+def bm25_reads(spark, sf_dir):
+    """The postings that a scan would read for each query; how many a search reads is in bm25_read_share."""
+    return keyword_index.reads(read(spark, sf_dir, "queries"), index_of(spark, sf_dir)).select("query_id", "postings")
+
+
+@query(None)
+def bm25_read_share(spark, sf_dir):
+    return keyword_index.reads(read(spark, sf_dir, "queries"), index_of(spark, sf_dir))
 
 
 @query(f"{cte('queries', 'chunks')}, {_bm25_sql(20)} SELECT term, df, (SELECT n FROM sparse_size) AS n, (SELECT round(avgdl, 6) FROM sparse_size) AS avgdl, (SELECT sum(tf)::BIGINT FROM sparse_tf t WHERE t.term = d.term) AS total FROM sparse_df d")
 def bm25_stats(spark, sf_dir):
-    tf, _, sizes = R.bm25_stats(read(spark, sf_dir, "chunks"))
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(sizes.withColumn("avgdl", F.round("avgdl", 6))))
+    index = index_of(spark, sf_dir)
+    counts = index.bounds.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    return counts.withColumns({"n": F.lit(index.n).cast("long"), "avgdl": F.round(F.lit(index.mean_length), 6)})
 
 
 _IDS = r"asked AS (SELECT event_id AS query_id, event_id // 4 % 4 AS vault_id, list_distinct(regexp_extract_all(text, '\b\d{4,}\b')) AS ids FROM segments_v)"
@@ -96,30 +130,30 @@ def entity_search_token(spark, sf_dir):
 def rank_lists(spark, sf_dir):
     q, c = _both(spark, sf_dir)
     keep = ["query_id", "chunk_id", "rank"]
-    return R.dense(q, c, 40).select(F.lit("dense").alias("list"), *keep).unionByName(R.bm25(q, c, 40).select(F.lit("sparse").alias("list"), *keep))
+    return R.dense(q, c, 40).select(F.lit("dense").alias("list"), *keep).unionByName(R.bm25(q, c, 40, index_of(spark, sf_dir)).select(F.lit("sparse").alias("list"), *keep))
 
 
 @query(f"{cte('queries', 'chunks')}, {_dense_sql(40)}, {_bm25_sql(40)}, {_RRF} SELECT query_id, chunk_id, round(score, 12) AS score, rank FROM fused")
 def rrf(spark, sf_dir):
     q, c = _both(spark, sf_dir)
-    return R.fuse(R.dense(q, c, 40), R.bm25(q, c, 40)).withColumn("score", F.round("score", 12))
+    return R.fuse(R.dense(q, c, 40), R.bm25(q, c, 40, index_of(spark, sf_dir))).withColumn("score", F.round("score", 12))
 
 
 @query(None)
 def mmr(spark, sf_dir):
     q, c = _both(spark, sf_dir)
-    return R.diversify(R.fuse(R.dense(q, c, 40), R.bm25(q, c, 40)), q, c, 5, 0.7)
+    return R.diversify(R.fuse(R.dense(q, c, 40), R.bm25(q, c, 40, index_of(spark, sf_dir))), q, c, 5, 0.7)
 
 
 @query(f"{cte('queries', 'chunks')}, {_dense_sql(40)}, {_bm25_sql(40)}, {_RRF}, {_mmr1(5)} SELECT query_id, chunk_id, round(score, 12) AS score, rank FROM picked")
 def mmr_lambda1(spark, sf_dir):
     q, c = _both(spark, sf_dir)
-    return R.diversify(R.fuse(R.dense(q, c, 40), R.bm25(q, c, 40)), q, c, 5, 1.0).withColumn("score", F.round("score", 12))
+    return R.diversify(R.fuse(R.dense(q, c, 40), R.bm25(q, c, 40, index_of(spark, sf_dir))), q, c, 5, 1.0).withColumn("score", F.round("score", 12))
 
 
 @query(f"{cte('queries', 'chunks')}, {_dense_sql(48)}, {_bm25_sql(48)}, {_RRF}, {_mmr1(8)} SELECT query_id, chunk_id, round(score, 12) AS score, rank FROM picked")
 def hybrid_search(spark, sf_dir):
-    return R.hybrid(*_both(spark, sf_dir), k=8, weight=1.0).withColumn("score", F.round("score", 12))
+    return R.hybrid(*_both(spark, sf_dir), k=8, weight=1.0, index=index_of(spark, sf_dir)).withColumn("score", F.round("score", 12))
 
 
 _BOOSTED = rf"b AS (SELECT query_id, vault_id, query_vec, regexp_extract_all({_NORM.format('query_text')}, '\b\d{{4,}}\b') AS ids, list_aggregate(list_transform(list_slice(regexp_extract_all({_NORM.format('query_text')}, '\b\d{{4,}}\b'), 1, 3), lambda x: 'ID ' || x) || [{_NORM.format('query_text')}], 'string_agg', ' ') AS query_text FROM queries_v)"
@@ -129,14 +163,14 @@ _MERGED = "SELECT query_id, chunk_id, round(score, 12) AS score, place - 1 AS ra
 
 @query(f"{cte('queries', 'chunks')}, {_BOOSTED}, {_dense_sql(48, queries='b')}, {_bm25_sql(48, queries='b')}, {_RRF}, {_mmr1(8, queries='b')}, {_EXACT} {_MERGED.format(8, 'picked')}")
 def point_retrieve(spark, sf_dir):
-    return R.point_retrieve(*_both(spark, sf_dir)).withColumn("score", F.round("score", 12))
+    return R.point_retrieve(*_both(spark, sf_dir), index=index_of(spark, sf_dir)).withColumn("score", F.round("score", 12))
 
 
 @query(f"{cte('queries', 'chunks')}, b AS (SELECT query_id, vault_id, query_vec, query_text, ['1', '20'] AS ids FROM queries_v), {_bm25_sql(8)}, {_EXACT} {_MERGED.format(8, 'sparse')}".replace("round(score, 12)", "round(score, 6)"))
 def merge_exact_hybrid(spark, sf_dir):
     q, c = _both(spark, sf_dir)
     ids = q.select("query_id", "vault_id", F.array(F.lit("1"), F.lit("20")).alias("entity_ids"))
-    return R.exact_first(R.entity_search(ids, c, ids=3), R.bm25(q, c, 8), 8).withColumn("score", F.round("score", 6))
+    return R.exact_first(R.entity_search(ids, c, ids=3), R.bm25(q, c, 8, index_of(spark, sf_dir)), 8).withColumn("score", F.round("score", 6))
 
 
 _PASSES = f"""pooled AS (SELECT query_id, chunk_id, score, rank, 0 AS source FROM dense UNION ALL SELECT query_id, chunk_id, score, rank, 1 FROM sparse),
@@ -150,13 +184,13 @@ _PASSES = f"""pooled AS (SELECT query_id, chunk_id, score, rank, 0 AS source FRO
 @query(f"{cte('queries', 'chunks')}, {_dense_sql(20)}, {_bm25_sql(20)}, {_PASSES}")
 def multipass_union(spark, sf_dir):
     q, c = _both(spark, sf_dir)
-    return R.multipass(R.dense(q, c), R.bm25(q, c), c).withColumn("score", F.round("score", 6))
+    return R.multipass(R.dense(q, c), R.bm25(q, c, index=index_of(spark, sf_dir)), c).withColumn("score", F.round("score", 6))
 
 
 @query(f"{cte('queries', 'chunks')}, {_bm25_sql(10)} SELECT query_id, md5(string_agg('--- Document Chunk ' || rank + 1 || ' (relevance: ' || format('{{:.3f}}', round(score, 3)) || ') ---' || chr(10) || content_with_header || chr(10), chr(10) ORDER BY rank)) AS context FROM sparse JOIN chunks_v USING (chunk_id) GROUP BY 1")
 def retrieval_context(spark, sf_dir):
     q, c = _both(spark, sf_dir)
-    return R.context(R.bm25(q, c, 10), c).withColumn("context", F.md5("context"))
+    return R.context(R.bm25(q, c, 10, index_of(spark, sf_dir)), c).withColumn("context", F.md5("context"))
 
 
 @query(f"""{cte('doc_meta', 'chunks')}, t AS (SELECT '_' || CAST(10000 + doc_id AS VARCHAR) AS title FROM documents), hit AS (SELECT * FROM (SELECT title, doc_id, original_filename, row_number() OVER (PARTITION BY title ORDER BY original_filename, doc_id) AS n FROM t JOIN doc_meta_v ON contains(lower(original_filename), lower(title))) WHERE n = 1),
@@ -171,7 +205,7 @@ def full_document(spark, sf_dir):
 def search_tool(spark, sf_dir):
     q, c = _both(spark, sf_dir)
     plain = q.withColumn("query_text", T.normalize_numbers(C("query_text")))
-    got = R.hybrid(plain, c, 5, 1.0).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    got = R.hybrid(plain, c, 5, 1.0, index_of(spark, sf_dir)).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
     n = F.size("chunk_ids")
     return q.select("query_id").join(got, "query_id", "left").select("query_id", F.when(C("chunk_ids").isNull(), "No relevant documents found.").otherwise(F.concat(n.cast("string"), F.lit(" results"))).alias("message"), "chunk_ids")
 
