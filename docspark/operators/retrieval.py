@@ -19,8 +19,8 @@ from docspark.sources.shared import written
 
 #: Numbers in query vectors that are sent to every task at once; more queries go by a join.
 SENT = 20_000_000
-#: Characters of a needle by which it is looked up.
-KEY = 12
+#: Characters of the runs by which needles are looked up.
+KEY = 5
 
 
 def live(chunks: DataFrame) -> DataFrame:
@@ -73,26 +73,35 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
 def containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str, by: list[str]) -> DataFrame:
     """Rows of texts beside the needles that their `text` holds, in any case, where the columns `by` agree; a row for each such pair.
 
-    Texts aren't compared with all needles: each needle has a key, its first KEY characters, and meets the texts that
-    have the key among their substrings of that length, of runs of digits alone if all needles are numbers. Only longer
-    needles are then looked for. An empty needle is in every text of its group.
+    Texts aren't compared with all needles: both are cut into runs of KEY characters (a shorter needle is one run, of its
+    own length), the runs that needles have are counted over the texts, and each needle is looked up by the one that the
+    fewest texts hold, then looked for in those. A needle with a run that no text has is nowhere. If all needles are
+    numbers, texts give runs of their digits alone. An empty needle is nowhere, and so is a null one.
     """
-    n = F.char_length("_key")
-    keyed = wanted.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(needle).alias("_needle"), F.lower(F.substring(needle, 1, KEY)).alias("_key")).where("_needle is not null").distinct()
-    kinds = keyed.groupBy(n.alias("n")).agg(F.bool_and(F.rlike("_key", F.lit("^[0-9]*$"))).alias("digits")).collect()  # KEY + 1 rows
-    low = F.lower(text)
+    low, none = F.lower(text), F.array().cast("array<string>")
+    keyed = wanted.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(needle).alias("_needle"), F.lower(needle).alias("_low")).where("_low <> ''").distinct()
+    short = F.least(F.char_length("_low"), F.lit(KEY))
+    kinds = keyed.groupBy(short.alias("n")).agg(F.bool_and(F.rlike("_low", F.lit("^[0-9]+$"))).alias("digits")).collect()  # KEY rows
     runs = F.regexp_extract_all(low, F.lit("[0-9]+"), 0) if all(r["digits"] for r in kinds) else F.array(low)
 
-    def cuts(run: Column) -> Column:
-        none = F.array().cast("array<string>")
-        of = lambda k: F.transform(F.sequence(F.lit(1), F.char_length(run) - (k - 1)), lambda i: F.substr(run, i, F.lit(k)))
-        each = [F.when(F.char_length(run) >= k, of(k)).otherwise(none) for k in sorted({r["n"] for r in kinds} - {0})]
-        return F.concat(F.array(F.lit("")), *each) if any(r["n"] == 0 for r in kinds) else F.concat(*each) if each else none
-
-    found = texts.withColumn("_cut", F.explode(F.array_distinct(F.flatten(F.transform(runs, cuts)))))
-    on = [found[c] == keyed[f"_by_{c}"] for c in by] + [found["_cut"] == keyed["_key"]]
-    hit = found.join(keyed, on).where((F.char_length("_needle") <= KEY) | F.contains(low, F.lower("_needle")))
-    return hit.drop("_cut", "_key", *[f"_by_{c}" for c in by])
+    def cut(of: Column, size: Column | int) -> Column:
+        """The distinct runs of `size` characters."""
+        last = F.char_length(of) - size + 1
+        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(of, i, F.lit(size) if isinstance(size, int) else size)))).otherwise(none)
+
+    grams = keyed.withColumn("_run", F.explode(cut(F.col("_low"), short)))
+    asked = grams.select(F.col("_run").alias("_asked")).distinct()
+    of_size = lambda n: F.flatten(F.transform(runs, lambda r: cut(r, n)))
+    each = [of_size(r["n"]) for r in kinds]
+    cuts = F.array_distinct(F.concat(*each)) if each else none
+    met = texts.withColumn("_cut", F.explode(cuts)).join(asked, F.col("_cut") == F.col("_asked"), "left_semi")
+    on = lambda a, b: [a[c] == b[f"_by_{c}"] for c in by]
+    often = written(met.groupBy(*by, "_cut").agg(F.count("*").alias("_n")), "runs").withColumnsRenamed({c: f"_in_{c}" for c in by})
+    counted = grams.join(often, [*[F.col(f"_by_{c}") == F.col(f"_in_{c}") for c in by], F.col("_run") == F.col("_cut")], "left")
+    rarest = counted.groupBy(*[f"_by_{c}" for c in by], "_needle", "_low").agg(F.min(F.coalesce("_n", F.lit(0))).alias("_n"), F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), "_run")).alias("_key"))
+    rarest = rarest.where("_n > 0").drop("_n")
+    hit = met.join(rarest, [*on(met, rarest), met["_cut"] == rarest["_key"]]).where(F.contains(low, F.col("_low")))
+    return hit.drop("_cut", "_key", "_low", *[f"_by_{c}" for c in by])
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, index: KeywordIndex | None = None) -> DataFrame:
@@ -238,7 +247,8 @@ def citations(outputs: DataFrame) -> DataFrame:
     have up to 300 characters. Other tools cite nothing.
     """
     rows = outputs.where(F.col("text").isNotNull())
-    block = rows.where(F.col("tool").isin("search_documents", "lookup_entity")).select("output_id", F.posexplode(F.slice(F.split("text", CHUNK_HEAD), 2, 1_000_000)).alias("position", "block"))
+    blocks = rows.where(F.col("tool").isin("search_documents", "lookup_entity")).withColumn("_blocks", F.split("text", CHUNK_HEAD))
+    block = blocks.select("output_id", F.posexplode(F.expr("slice(_blocks, 2, size(_blocks))")).alias("position", "block"))
     tag = F.regexp_extract("block", SOURCE_TAG, 0)
     body = F.expr("substring(block, locate(_tag, block) + length(_tag))")
     line = F.try_element_at(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != ""), F.lit(1))

@@ -217,6 +217,16 @@ def lookup_tool(spark, sf_dir):
     return asked.select("query_id").join(got, "query_id", "left").select("query_id", F.when(C("n").isNull(), "No documents found with these IDs.").otherwise(F.concat(C("n").cast("string"), F.lit(" results"))).alias("message"))
 
 
+@query(f"""{cte('doc_meta')}, t AS (SELECT DISTINCT regexp_replace(upper(original_filename), '\\.PDF$', '') AS title FROM doc_meta_v)
+  SELECT title, doc_id FROM (SELECT title, doc_id, row_number() OVER (PARTITION BY title ORDER BY original_filename, doc_id) AS n FROM t JOIN doc_meta_v ON contains(lower(original_filename), lower(title))) WHERE n = 1""")
+def find_by_file_name(spark, sf_dir):
+    """Every file name, less its suffix and in capitals, as a title: names that begin alike must not meet."""
+    docs = read(spark, sf_dir, "doc_meta").select("doc_id", "original_filename")
+    titles = docs.select(F.regexp_replace(F.upper("original_filename"), "\\.PDF$", "").alias("title")).distinct()
+    hit = R.containing(docs, "original_filename", titles, "title", []).withColumnRenamed("_needle", "title")
+    return R.first_of(hit, ["title"], [C("original_filename"), C("doc_id")]).select("title", "doc_id")
+
+
 @query(rf"""{cte('chunks', 'doc_meta')}, found AS (SELECT doc_id // 50 AS output_id, doc_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY chunk_id) - 1 AS position, content_with_header AS block FROM chunks_v WHERE content_with_header IS NOT NULL),
   searched AS (SELECT output_id, position, trim(regexp_extract(block, '\[Source:\s*(.+?)\]', 1)) AS title, regexp_extract(block, '\[Source:\s*(.+?)\]', 0) AS tag, block FROM found WHERE regexp_matches(block, '\[Source:\s*(.+?)\]')),
   quoted AS (SELECT output_id, position, title, coalesce(list_filter(list_transform(string_split(substr(block, strpos(block, tag) + length(tag)), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS quote FROM searched),
