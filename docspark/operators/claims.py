@@ -11,6 +11,8 @@ from docspark.functions import text as T
 from docspark.sources.shared import written
 
 DUPLICATE = 0.8
+#: Bags of one prefix word and one class of sizes that a task takes as one side of its pairs.
+TOGETHER = 2_000
 EVIDENCE = "array<struct<doc_title:string,section:string,page:int,quote:string,relevance_score:double>>"
 VERDICTS = ("supported", "contradicted", "unverifiable")
 # The code fence around a model's answer, and the document types that it may name.
@@ -56,13 +58,21 @@ def _similar(bags: DataFrame, threshold: float, word_of: Callable[[Column], Colu
     rarest = Window.partitionBy("id").orderBy("df", "word").rowsBetween(Window.unboundedPreceding, 0)
     ranked = words.join(often, "word").withColumn("upto", F.sum("weight").over(rarest))
     prefix = ranked.where(F.col("upto") - F.col("weight") <= F.col("n") - F.ceil(F.col("n") * threshold)).select("id", "n", "upto", "weight", "word")
-    a, b = [prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("upto").alias(f"upto_{x}"), F.col("weight").alias(f"w_{x}"), "word") for x in "ab"]
+    # Sizes of similar bags differ by a factor of 1 / threshold at most, so they are in the same class of sizes or the next.
+    prefix = prefix.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold))).cast("int"))
+    hot = prefix.groupBy("word", "size").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts")).where("salts > 1")
+    dealt = prefix.join(hot, ["word", "size"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)).cast("long")))
+    side = lambda df, x: df.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("upto").alias(f"upto_{x}"), F.col("weight").alias(f"w_{x}"), "word", "size", "salt")
+    # A bag of the other side goes to the class below, its own and the one above, and to every salt of each.
+    near_sizes = prefix.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).join(hot, ["word", "size"], "left")
+    every = near_sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)))
+    a, b = side(dealt, "a"), side(every, "b")
     rest = F.least(F.col("na") - F.col("upto_a"), F.col("nb") - F.col("upto_b"))
     both = F.least("w_a", "w_b")
     needed = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
     # Whatever both share before this word they share among what comes up to it.
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (F.least("upto_a", "upto_b") + rest >= needed)
-    met = a.join(b, "word").where(near).groupBy("a", "b", "na", "nb").agg(F.sum(both).alias("met"), F.max("upto_a").alias("upto_a"), F.max("upto_b").alias("upto_b"))
+    met = a.join(b, ["word", "size", "salt"]).where(near).groupBy("a", "b", "na", "nb").agg(F.sum(both).alias("met"), F.max("upto_a").alias("upto_a"), F.max("upto_b").alias("upto_b"))
     pairs = met.where(F.col("met") + rest >= needed).select("a", "b")
     sets = bags.select("id", "bag")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")

@@ -70,12 +70,28 @@ def claim_context(segments: DataFrame, n: int = CONTEXT) -> DataFrame:
     return segments.withColumn("context", F.array_join(F.collect_list("text").over(w), "\n"))
 
 
+KINDS = ("reference_numbers", "numeric_ids", "amounts")
+
+
+def entity_mentions(segments: DataFrame) -> DataFrame:
+    """(session_id, kind, value, segment_index) of the first mention of each value in its session: it holds from that segment on."""
+    m = T.extract_mentions(F.col("text"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), m[k].alias("values")) for k in KINDS])
+    each = segments.select("session_id", "segment_index", F.explode(kinds).alias("_k")).select("session_id", "segment_index", "_k.kind", F.explode("_k.values").alias("value"))
+    return each.groupBy("session_id", "kind", "value").agg(F.min("segment_index").alias("segment_index"))
+
+
 def entity_summary(segments: DataFrame) -> DataFrame:
-    """segments with what the session has named so far: reference_numbers, numeric_ids and amounts, ascending."""
-    w = Window.partitionBy("session_id").orderBy("segment_index").rowsBetween(Window.unboundedPreceding, 0)
-    found = segments.withColumn("_m", T.extract_mentions(F.col("text")))
-    kinds = ("reference_numbers", "numeric_ids", "amounts")
-    return found.withColumns({k: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col(f"_m.{k}")).over(w)))) for k in kinds}).drop("_m")
+    """segments with what the session has named so far: reference_numbers, numeric_ids and amounts, ascending.
+
+    Only first mentions are gathered, once a session; a segment takes those that its place has come to.
+    """
+    own = {k: f"_{k}" for k in KINDS}
+    pairs = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("value", "segment_index"))))
+    named = entity_mentions(segments).groupBy(F.col("session_id").alias("_session")).agg(*[pairs(k).alias(c) for k, c in own.items()])
+    joined = segments.join(named, segments["session_id"].eqNullSafe(F.col("_session")), "left")
+    so_far = lambda c: F.transform(F.filter(c, lambda x: x["segment_index"] <= F.col("segment_index")), lambda x: x["value"])
+    return joined.withColumns({k: F.coalesce(so_far(c), F.array().cast("array<string>")) for k, c in own.items()}).drop("_session", *own.values())
 
 
 def session_stats(segments: DataFrame, claims: DataFrame) -> DataFrame:

@@ -234,6 +234,14 @@ def dedup_claims(spark, sf_dir):
     return K.dedup_claims(_segments(spark, sf_dir).select("session_id", "segment_index", "event_id", "text"))
 
 
+_MENTIONS = " UNION ALL ".join(f"SELECT session_id, segment_index, '{k}' AS kind, unnest(regexp_extract_all(text, {_Q(p)}, {g})) AS value FROM seg" for k, p, g in (("reference_numbers", T.REFERENCE, 1), ("numeric_ids", T.NUMERIC_ID, 1), ("amounts", T.MONEY, 0)))
+
+
+@query(f"{_SEG} SELECT session_id, kind, value, min(segment_index) AS segment_index FROM ({_MENTIONS}) GROUP BY ALL")
+def entity_mentions(spark, sf_dir):
+    return X.entity_mentions(_segments(spark, sf_dir))
+
+
 _PROMPTS = f"""m AS (SELECT *, regexp_extract_all(text, {_Q(T.REFERENCE)}, 1) AS r FROM seg), p AS (SELECT event_id, speaker, text, CASE WHEN len({_FOUND.format('r')}) > 0 THEN 'KNOWN ENTITIES IN THIS CONVERSATION:' || chr(10) || array_to_string({_FOUND.format('r')}, ', ') || chr(10) || chr(10) ELSE '' END
   || CASE WHEN count(*) OVER w > 0 THEN 'PRIOR CONTEXT:' || chr(10) || array_to_string(list(text) OVER w, chr(10)) || chr(10) || chr(10) ELSE '' END || 'TRANSCRIPT:' || chr(10) || 'Speaker ' || speaker || ': ' || text AS prompt FROM m WINDOW w AS (PARTITION BY session_id ORDER BY segment_index ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"""
 

@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,10 +20,13 @@ from pyspark.sql.streaming.stateful_processor import MapState
 
 from docspark.functions import text as T
 from docspark.operators.claims import DUPLICATE
+from docspark.sources.shared import written
 
 IDLE, INTERVAL, CHARS, CAP, CONTEXT = 2.0, 6.0, 20, 100, 10
 #: A session that is silent for so long has ended.
 EXPIRE_MS = 4 * 3600 * 1000
+#: After a silence of so many seconds nothing of a session but counts matters to what comes.
+PAUSE = IDLE + INTERVAL + 2
 SCHEMA = "session_id long, batch int, fired_at double, first_segment int, last_segment int, n_segments int, n_context int"
 STATE = "state string"
 
@@ -81,17 +84,63 @@ def _frame(session_id: int, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(session_id, *r) for r in rows], columns=["session_id", "batch", "fired_at", "first_segment", "last_segment", "n_segments", "n_context"])
 
 
-def claim_batches(segments: DataFrame) -> DataFrame:
-    """Batches of finished sessions (session_id, segment_index, end_s, text), as the live rule would have cut them."""
+class Piece(Buffer):
+    """A Buffer that doesn't know how many checked segments it began with: that number is min(most, it + shift) by now."""
+
+    def __init__(self):
+        super().__init__()
+        self.most, self.shift = CAP, 0
+
+    def append(self, index: int, arrival: float, chars: int) -> None:
+        super().append(index, arrival, chars)
+        self.most = min(self.most, max(0, CAP - len(self.unchecked)))
+
+    def fire(self, t: float) -> tuple:
+        row = (*super().fire(t)[:5], self.most, self.shift)
+        self.before, self.most, self.shift = 0, min(CAP, self.most + row[4]), self.shift + row[4]
+        return row
+
+
+_PIECES = "session_id long, piece long, batch int, fired_at double, first_segment int, last_segment int, n_segments int, most int, shift int"
+
+
+def claim_batches(segments: DataFrame, pause: float = PAUSE) -> DataFrame:
+    """Batches of finished sessions (session_id, segment_index, end_s, text), as the live rule would have cut them.
+
+    After a silence of `pause` all has been checked, and so long ago that the rule asks no more when: sessions are cut
+    there, and pieces are replayed each by itself. What they hand on is how many batches there were and how many checked
+    segments the buffer still has; each piece turns the latter into min(most, it + shift), so sums and minima over the
+    pieces of a session, in order, give both. A session without a pause is one piece.
+    """
+    order = Window.partitionBy("session_id").orderBy("segment_index")
+    heard = F.max("end_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce(F.col("end_s") - heard >= pause, F.lit(False)).cast("long")
+    pieces = segments.select("session_id", "segment_index", "end_s", "text", cut.alias("cut"))
+    pieces = pieces.withColumn("piece", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        buffer, rows = Buffer(), []
-        for i, end, text in part.sort_values("segment_index")[["segment_index", "end_s", "text"]].itertuples(index=False):
+        buffer, rows, part = Piece(), [], part.sort_values("segment_index")
+        if key[1]:  # the last check was before this, or at the latest then
+            buffer.checked = part["end_s"].iloc[0] - pause + IDLE + 1
+        for i, end, text in part[["segment_index", "end_s", "text"]].itertuples(index=False):
             rows += buffer.add(i, end, len(text))
         rows += buffer.tick_to(math.inf)
-        return _frame(key[0], rows)
-
-    return segments.select("session_id", "segment_index", "end_s", "text").groupBy("session_id").applyInPandas(one, SCHEMA)
+        return pd.DataFrame([(key[0], key[1], *r) for r in rows], columns=[f.split()[0] for f in _PIECES.split(", ")])
+
+    fires = written(pieces.groupBy("session_id", "piece").applyInPandas(one, _PIECES), "claim-pieces")
+    last = F.struct("batch", "most", "shift", "n_segments")
+    ends = fires.groupBy("session_id", "piece").agg(F.count("*").alias("n"), F.max(last).alias("last"))
+    ends = ends.select("session_id", "piece", "n", F.least(F.lit(CAP), F.col("last.most") + F.col("last.n_segments")).alias("most"), (F.col("last.shift") + F.col("last.n_segments")).alias("shift"))
+    by_piece = Window.partitionBy("session_id").orderBy("piece")
+    before = by_piece.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("upto", F.sum("shift").over(by_piece.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.select(
+        F.col("session_id").alias("_session"), F.col("piece").alias("_piece"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_batches"),
+        (F.col("upto") - F.col("shift") + F.least(F.lit(0), F.coalesce(F.min(F.col("most") - F.col("upto")).over(before), F.lit(0)))).alias("_begin"),
+    )
+    rows = fires.join(ends, fires["session_id"].eqNullSafe(F.col("_session")) & (fires["piece"] == F.col("_piece")))
+    kept = F.least(F.lit(CONTEXT), F.col("most"), F.col("_begin") + F.col("shift")).cast("int")
+    return rows.select("session_id", (F.col("batch") + F.col("_batches")).cast("int").alias("batch"), "fired_at", "first_segment", "last_segment", "n_segments", kept.alias("n_context"))
 
 
 def stream_claim_batches(segments: DataFrame, expire_ms: int | None = EXPIRE_MS) -> DataFrame:

@@ -264,3 +264,28 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared.folder(session("spark://host:7077", {"spark.checkpoint.dir": "hdfs:///shared/"})) == "hdfs:///shared/docspark-app-1"
     with pytest.raises(ValueError):
         shared.folder(session("spark://host:7077", {"spark.checkpoint.dir": None}))
+
+
+def test_near_duplicate_pairs_of_a_hot_word(spark, monkeypatch):
+    """A word in every prefix, and bags of all sizes, with few bags to a task: the pairs are those of all bags."""
+    monkeypatch.setattr(claims, "TOGETHER", 7)
+    rng = random.Random(4)
+    texts = [" ".join(["rarestword", *rng.sample([f"w{chr(97 + j)}{chr(97 + j)}{chr(97 + j)}" for j in range(9)], rng.randint(1, 9)), *[str(100 + rng.randrange(6)) for _ in range(rng.randrange(3))]]) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "statement_id long, text string")
+    bags = {}
+    for r in sorted(rows.select("statement_id", T.boosted_bag(F.col("text")).alias("bag")).collect()):
+        bags.setdefault(frozenset(r.bag), r.statement_id)
+    items = sorted((i, b) for b, i in bags.items())
+    want = {(i, j) for i, x in items for j, y in items if i < j and len(x & y) / len(x | y) >= 0.8}
+    assert {(r.a, r.b) for r in claims.near_duplicate_pairs(rows).collect()} == want and len(want) > 20
+
+
+def test_needles_are_looked_up_by_their_rarest_run(spark):
+    """Names that all begin alike, short needles, none at all; each needle's key is in few names."""
+    from docspark.operators.retrieval import containing
+
+    names = spark.createDataFrame([(i, f"purchase_orders_{10000 + i}.pdf") for i in range(400)] + [(900, "É straße.txt"), (901, None)], "doc_id long, name string")
+    wanted = spark.createDataFrame([(f"Purchase_Orders_{10000 + i}",) for i in range(0, 400, 7)] + [("",), (None,), ("é",), ("STRASSE",), ("0.pdf",), ("orders_99",)], "title string")
+    got = sorted((r.doc_id, r._needle) for r in containing(names, "name", wanted, "title", []).collect())
+    want = sorted((n.doc_id, w.title) for n in names.collect() for w in wanted.collect() if n.name and w.title and w.title.lower() in n.name.lower())
+    assert got == want and len(want) > 90

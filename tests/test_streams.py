@@ -78,6 +78,39 @@ def test_live_batches_are_those_of_the_replay(spark, tmp_path):
     assert len(missing) <= rows.select("session_id").distinct().count()
 
 
+def test_pieces_of_sessions_are_the_whole(spark):
+    """Sessions with pauses, bursts beyond the buffer and none, against one buffer for each; replayed in several groups."""
+    import math
+    import random
+
+    rows, want = [], set()
+    for session in range(12):
+        rng, t, buffer = random.Random(session), 0.5, sessions.Buffer()
+        for i in range(400):
+            burst = session % 3 == 1 and 100 < i % 200 < 190 or session == 5
+            t = round(t + (rng.choice([0.001, 0.002]) if burst else rng.choice([0.2, 0.7, 1.3, 2.0, 5, 9, 9.99, 10, 10.01, 30])), 3)
+            text = "x" * rng.choice([0, 3, 10, 40])
+            rows.append((session, i, t, text))
+            want |= {(session, *r) for r in buffer.add(i, t, len(text))}
+        want |= {(session, *r) for r in buffer.tick_to(math.inf)}
+    df = spark.createDataFrame(rows, "session_id long, segment_index int, end_s double, text string")
+    got = [tuple(r) for r in sessions.claim_batches(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len({r[-1] for r in want}) > 5  # the number of context segments does vary
+    assert sessions.claim_batches(df.limit(0)).collect() == []
+
+
+def test_one_session_of_all_rows_is_replayed_in_many_groups(spark):
+    import math
+
+    rows = read(spark, "/root/testdata/sf0.01", "segments").where("is_final").selectExpr("0L AS session_id", "event_id AS segment_index", "event_id * 1.7D + (event_id div 40) * 12 AS end_s", "text")
+    buffer, want = sessions.Buffer(), []
+    for r in sorted(rows.collect(), key=lambda r: r.segment_index):
+        want += [(0, *x) for x in buffer.add(r.segment_index, r.end_s, len(r.text))]
+    want += [(0, *x) for x in buffer.tick_to(math.inf)]
+    assert sorted(tuple(r) for r in sessions.claim_batches(rows).collect()) == sorted(want)
+
+
 def test_live_sessions_keep_texts_context_and_entities(spark, tmp_path):
     said = [(1, 0, 1.0, "invoice 12345 is due"), (1, 1, 2.0, "the total is right"), (1, 2, 30.0, "Total the is right"), (1, 3, 31.0, "order 777 too"), (1, 4, 60.0, None), (2, 0, 1.0, "hello there all of you"), (2, 1, 40.0, None)]
     df = spark.createDataFrame(said, "session_id long, segment_index int, end_s double, text string")
