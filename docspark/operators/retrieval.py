@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.operators import keyword_index
+from docspark.operators import dense_index, keyword_index
+from docspark.operators.dense_index import DenseIndex
 from docspark.operators.keyword_index import KeywordIndex, in_use, terms
 from docspark.sources.shared import written
 
-#: Numbers in query vectors that are sent to every task at once; more queries go by a join.
+#: Numbers in query vectors that are sent to every task at once; more queries meet the chunks in blocks.
 SENT = 20_000_000
 #: Characters of the runs by which needles are looked up.
 KEY = 5
@@ -33,19 +34,18 @@ def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dense(queries: DataFrame, chunks: DataFrame, k: int = 20, index: DenseIndex | None = None) -> DataFrame:
+    """Exact nearest chunks by cosine, within the query's vault, for queries that have a vector.
 
-
-def dense(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """Exact nearest chunks by cosine, within the query's vault, for queries that have a vector. Every task multiplies its chunks with all queries and keeps k of each."""
+    Up to SENT numbers in query vectors, every task multiplies its chunks with all queries and keeps k of each; more
+    queries, and those that come with an index, meet the chunks in blocks.
+    """
     queries = queries.where("query_vec is not null")
+    if index is None and (queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0) > SENT:
+        index = dense_index.build(chunks)
+    if index is not None:
+        return dense_index.search(queries, index, k)
     scope = live(chunks).where("embedding is not null").select("chunk_id", "vault_id", "embedding")
-    wide = queries.agg(F.sum(F.size("query_vec"))).first()[0] or 0
-    if wide > SENT:
-        q = queries.select("query_id", "vault_id", "query_vec")
-        return top(scope.join(q, "vault_id").select("query_id", "chunk_id", cosine(F.col("query_vec"), F.col("embedding")).alias("score")), k)
     rows = queries.select("query_id", "vault_id", "query_vec").collect()  # at most SENT numbers
     ids, vaults = np.array([r["query_id"] for r in rows]), np.array([r["vault_id"] for r in rows])
     matrix = np.array([r["query_vec"] for r in rows], np.float64)

@@ -74,6 +74,27 @@ def dense_topk(spark, sf_dir):
     return R.dense(*_both(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
+def _every_chunk_asks(spark, sf_dir):
+    """All chunks with a vector as queries for their own vault."""
+    return read(spark, sf_dir, "chunks").where("embedding is not null").select(C("chunk_id").alias("query_id"), "vault_id", C("embedding").alias("query_vec"))
+
+
+@query(f"{cte('chunks')}, asks AS (SELECT chunk_id AS query_id, vault_id, embedding AS query_vec FROM chunks_v WHERE embedding IS NOT NULL), {_dense_sql(10, queries='asks')} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM dense")
+def dense_by_blocks(spark, sf_dir):
+    return R.dense_index.search(_every_chunk_asks(spark, sf_dir), R.dense_index.build(read(spark, sf_dir, "chunks")), 10).withColumn("score", F.round("score", 9))
+
+
+@query(f"{cte('chunks')} SELECT a.chunk_id AS query_id, count(*) AS chunks FROM chunks_v a JOIN chunks_v c ON a.vault_id = c.vault_id WHERE a.embedding IS NOT NULL AND c.embedding IS NOT NULL AND NOT c.is_deleted AND c.status = 'active' GROUP BY 1")
+def dense_reads(spark, sf_dir):
+    """The chunks that each query of dense_by_blocks may meet; how many it is compared with is in dense_read_share."""
+    return R.dense_index.reads(_every_chunk_asks(spark, sf_dir), R.dense_index.build(read(spark, sf_dir, "chunks")), 10).select("query_id", "chunks")
+
+
+@query(None)
+def dense_read_share(spark, sf_dir):
+    return R.dense_index.reads(_every_chunk_asks(spark, sf_dir), R.dense_index.build(read(spark, sf_dir, "chunks")), 10)
+
+
 @query(f"{cte('queries', 'chunks')}, {_bm25_sql(20)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def bm25_topk(spark, sf_dir):
     return R.bm25(*_both(spark, sf_dir), index=index_of(spark, sf_dir)).withColumn("score", F.round("score", 6))
