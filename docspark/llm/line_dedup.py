@@ -47,7 +47,7 @@ def _row_key(df: DataFrame) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """(h1, h2, doc_id, row_key, pos) of each line whose key has min_chars code points; `again` marks a key's later lines in a row."""
+    """(h1, h2, doc_id, row_key, pos) of each line whose key has min_chars code points."""
     lines = docs.select("doc_id", _row_key(docs).alias("row_key"), F.posexplode(_lines(docs["text"])).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"), "doc_id", "row_key", "pos")

@@ -2,10 +2,14 @@
 
 A text's shingles are its runs of five words (all its words, if fewer). Each has a hash below 2**31 - 1; the sketch
 keeps every hash below a fixed fraction of that, so the sketch of a union is the union of sketches, and the share of
-one sketch in another estimates containment however unequal the texts are. A short text may have no hash below. Then
-there is nothing to estimate from, and likeness and containment with it are those of the whole shingle sets, exactly.
-The fingerprint writes the hashes in order, eight hex digits each; a text without a hash below has `=` and its smallest
-hash instead, and a text without a word has none.
+one sketch in another estimates containment however unequal the texts are. The fingerprint writes the hashes in order,
+eight hex digits each. Of a text of fewer than WHOLE shingles, and of one without a hash below the fraction, it writes
+`=` and all hashes; a text without a word has the empty one.
+
+Likeness and containment follow from two fingerprints alone: if both are whole, they are those of the sets, exactly; else
+a whole one is first cut down to its hashes below the fraction, as the union's sketch would have it, and both are compared
+as sketches. What has no hash left is like nothing, and contained in nothing. A print has eight bytes for every
+KEEP shingles: about a third of the bytes of a text of six-letter words.
 
 Everything is DataFrame code. To pair each document with the next by id, ids are cut into ranges: quantiles of the ids,
 each cut evenly. A window within each range leads to the next text; a range's last document takes the first of the next
@@ -24,6 +28,8 @@ SHINGLE = 5
 PRIME = 2**31 - 1
 #: One shingle hash in KEEP is retained.
 KEEP = 4
+#: Texts of fewer shingles have all hashes in their fingerprint.
+WHOLE = 64
 #: The multipliers of the five words' hashes.
 FACTORS = (1103515245, 1664525019, 1812433253, 1566083941, 1597334677)
 #: Quantiles of the ids whose gaps are cut evenly.
@@ -52,22 +58,29 @@ def _digits(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
 
 
+def whole(shingles: Column) -> Column:
+    """Whether the fingerprint of a set has all of it."""
+    return (F.size(shingles) < WHOLE) | (F.size(sketch(shingles)) == 0)
+
+
 def fingerprint(shingles: Column, kept: Column) -> Column:
-    return F.when(F.size(kept) > 0, _digits(kept)).when(F.size(shingles) > 0, F.concat(F.lit("="), _digits(F.slice(shingles, 1, 1)))).otherwise("")
+    """kept: sketch(shingles)."""
+    all_of_it = (F.size(shingles) < WHOLE) | (F.size(kept) == 0)
+    return F.when(F.size(shingles) == 0, "").when(all_of_it, F.concat(F.lit("="), _digits(shingles))).otherwise(_digits(kept))
 
 
 def with_likeness(df: DataFrame, a: str, b: str, near: str, inside: str) -> DataFrame:
-    """df with estimates, from shingle columns a and b, of the sets' Jaccard likeness and of the share of a's shingles that b has.
+    """df with estimates, from the fingerprints of shingle columns a and b, of the sets' Jaccard likeness and of the share of a's shingles that b has.
 
-    The sketches are compared, or all shingles if one sketch is empty. Both are 1 if a (and for likeness b too) has no shingle.
+    Both are 1 if a (and for likeness b too) has no shingle.
     """
     x, y, n = (f"_{near}_{k}" for k in ("a", "b", "n"))
-    df = df.withColumns({x: sketch(F.col(a)), y: sketch(F.col(b))})
-    both = (F.size(x) > 0) & (F.size(y) > 0)
-    df = df.withColumns({x: F.when(both, F.col(x)).otherwise(F.col(a)), y: F.when(both, F.col(y)).otherwise(F.col(b))})
+    both = whole(F.col(a)) & whole(F.col(b))
+    df = df.withColumns({x: F.when(both, F.col(a)).otherwise(sketch(F.col(a))), y: F.when(both, F.col(b)).otherwise(sketch(F.col(b)))})
     df = df.withColumn(n, F.size(F.array_intersect(x, y)))
     union = F.size(x) + F.size(y) - F.col(n)
-    return df.withColumns({near: F.when(union == 0, 1.0).otherwise(F.col(n) / union), inside: F.when(F.size(x) == 0, 1.0).otherwise(F.col(n) / F.size(x))}).drop(x, y, n)
+    share = F.when(F.size(a) == 0, 1.0).when(F.size(x) == 0, 0.0).otherwise(F.col(n) / F.size(x))
+    return df.withColumns({near: F.when(union == 0, 1.0).otherwise(F.col(n) / union), inside: share}).drop(x, y, n)
 
 
 def _range(docs: DataFrame, n: int) -> Column:
@@ -136,11 +149,14 @@ def _sql_kept(a: str) -> str:
     return f"list_filter({a}, lambda x: x < {PRIME // KEEP})"
 
 
-_PRINT = "CASE WHEN len({0}) > 0 THEN list_aggregate(list_transform({0}, lambda x: printf('%08x', x)), 'string_agg', '') WHEN len({1}) > 0 THEN printf('=%08x', {1}[1]) ELSE '' END"
+_DIGITS = "list_aggregate(list_transform({0}, lambda x: printf('%08x', x)), 'string_agg', '')"
+_WHOLE = f"(len({{0}}) < {WHOLE} OR len(k{{0}}) = 0)"
+_PRINT = f"CASE WHEN len({{0}}) = 0 THEN '' WHEN {_WHOLE} THEN '=' || {_DIGITS} ELSE {_DIGITS.replace('{0}', 'k{0}')} END"
 _JACCARD = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
-_CONTAINED = "CASE WHEN len({0}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / len({0}) END"
-#: Two sets as they are compared: by their sketches, unless one is empty.
-_PAIRED = "CASE WHEN len(k{0}) > 0 AND len(k{1}) > 0 THEN k{0} ELSE {0} END AS {0}_{1}, CASE WHEN len(k{0}) > 0 AND len(k{1}) > 0 THEN k{1} ELSE {1} END AS {1}_{0}"
+_CONTAINED = "CASE WHEN len({2}) = 0 THEN 1.0 WHEN len({0}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / len({0}) END"
+#: Two sets as they are compared: by their sketches, unless both fingerprints are whole.
+_BOTH = f"{_WHOLE} AND {_WHOLE.replace('{0}', '{1}')}"
+_PAIRED = f"CASE WHEN {_BOTH} THEN {{0}} ELSE k{{0}} END AS {{0}}_{{1}}, CASE WHEN {_BOTH} THEN {{1}} ELSE k{{1}} END AS {{1}}_{{0}}"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id)) AS next_text FROM d),
@@ -148,7 +164,7 @@ e AS (SELECT *, length(text) AS n_chars, substr(text, 1, length(text) - length(t
 s AS (SELECT *, {_sql_shingles('text')} AS a, {_sql_shingles('edited')} AS b, {_sql_shingles('next_text')} AS c FROM e),
 k AS (SELECT *, {_sql_kept('a')} AS ka, {_sql_kept('b')} AS kb, {_sql_kept('c')} AS kc FROM s),
 p AS (SELECT *, {_PAIRED.format('a', 'b')}, {_PAIRED.format('a', 'c')} FROM k)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_PRINT.format('ka', 'a')} AS fingerprint, {_PRINT.format('kb', 'b')} AS edited_fingerprint,
-  {_JACCARD.format('a_b', 'b_a')} AS near_edited, {_JACCARD.format('a_c', 'c_a')} AS near_next, {_CONTAINED.format('a_b', 'b_a')} AS kept_in_edited, {_CONTAINED.format('a_c', 'c_a')} AS kept_in_next
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_PRINT.format('a')} AS fingerprint, {_PRINT.format('b')} AS edited_fingerprint,
+  {_JACCARD.format('a_b', 'b_a')} AS near_edited, {_JACCARD.format('a_c', 'c_a')} AS near_next, {_CONTAINED.format('a_b', 'b_a', 'a')} AS kept_in_edited, {_CONTAINED.format('a_c', 'c_a', 'a')} AS kept_in_next
 FROM p
 """

@@ -1,4 +1,4 @@
-"""Removal of every byte that a repeated string of `length` bytes covers, by prefix-free parsing.
+"""Removal of every byte that a repeated string of `length` bytes covers, by a parse into phrases.
 
 A rolling hash over WIDTH bytes triggers phrases: of each run of REACH positions, the one with the smallest hash starts
 a phrase. So a string of `length` bytes has its first phrase at a place that follows from its own bytes, wherever it

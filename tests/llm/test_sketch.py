@@ -14,11 +14,38 @@ def brute(text):
     return sorted({sum(f * h for f, h in zip(sketch.FACTORS, words[i : i + 5])) % sketch.PRIME for i in range(max(1, len(words) - 4))}) if words else []
 
 
+def printed(text):
+    hashes = brute(text)
+    kept = [s for s in hashes if s < sketch.PRIME // sketch.KEEP]
+    digits = lambda x: "".join(f"{s:08x}" for s in x)
+    return "" if not hashes else "=" + digits(hashes) if len(hashes) < sketch.WHOLE or not kept else digits(kept)
+
+
+def from_prints(x, y):
+    """Likeness and containment from two fingerprints and nothing else."""
+    hashes = [{int(p.lstrip("=")[i : i + 8], 16) for i in range(0, len(p.lstrip("=")), 8)} for p in (x, y)]
+    a, b = hashes
+    if not all(p == "" or p[0] == "=" for p in (x, y)):
+        a, b = ({s for s in h if s < sketch.PRIME // sketch.KEEP} for h in hashes)
+    return (len(a & b) / len(a | b) if a | b else 1.0, 1.0 if not hashes[0] else len(a & b) / len(a) if a else 0.0)
+
+
 def compared(a, b):
-    a, b = set(brute(a)), set(brute(b))
-    small = [{s for s in x if s < sketch.PRIME // sketch.KEEP} for x in (a, b)]
-    a, b = small if all(small) else (a, b)
-    return (len(a & b) / len(a | b) if a | b else 1.0, len(a & b) / len(a) if a else 1.0)
+    return from_prints(printed(a), printed(b))
+
+
+def test_measures_follow_from_the_fingerprints(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    rows = {r.doc_id: r for r in sketch.op3_document_sketch(spark, "/root/testdata/sf0.01").collect()}
+    for d, after in zip(docs, docs[1:] + docs[:1]):
+        r, following = rows[d.doc_id], rows[after.doc_id]
+        assert r.fingerprint == printed(d.text or "")
+        assert (r.near_edited, r.kept_in_edited) == from_prints(r.fingerprint, r.edited_fingerprint)
+        assert (r.near_next, r.kept_in_next) == from_prints(r.fingerprint, following.fingerprint)
+    # Estimates are near the truth: half of each text is kept.
+    true = lambda a, b: len(set(brute(a)) & set(brute(b))) / len(set(brute(a)) | set(brute(b)) or {0})
+    off = [abs(rows[d.doc_id].near_next - true(d.text or "", n.text or "")) for d, n in zip(docs, docs[1:]) if (d.text or n.text)]
+    assert sum(off) / len(off) < 0.02
 
 
 def test_odd_documents(spark):
@@ -62,13 +89,16 @@ def test_many_null_ids_are_ranged(spark):
 
 
 def test_short_texts_are_compared_whole(spark):
-    """A text without a hash below the threshold is still found within a longer one."""
+    """Two texts of few shingles are compared by all of them; with a longer one, by those below the fraction."""
     long = [" ".join(f"w{i * k}" for i in range(200)) for k in range(1, 40)]
-    df = spark.createDataFrame([(" ".join(t.split()[7:12]), t) for t in long], "s string, t string")
-    df = sketch.with_shingles(sketch.with_shingles(df, "s", "a"), "t", "b")
-    df = sketch.with_likeness(df, "a", "b", "near", "c").withColumn("k", sketch.sketch(F.col("a")))
-    got = df.select("c", F.size("k").alias("n"), sketch.fingerprint(F.col("a"), F.col("k")).alias("f")).collect()
-    assert {r.c for r in got} == {1.0} and {r.n for r in got} == {0, 1} and all(r.f.startswith("=") == (r.n == 0) for r in got)
+    short = [" ".join(t.split()[7:30]) for t in long]
+    df = spark.createDataFrame([(" ".join(s.split()[3:]), s, t) for s, t in zip(short, long)], "r string, s string, t string")
+    for c in "rst":
+        df = sketch.with_shingles(df, c, f"h{c}")
+    df = sketch.with_likeness(sketch.with_likeness(df, "hr", "hs", "near", "within"), "hr", "ht", "far", "share")
+    got = df.select("*", sketch.fingerprint(F.col("hr"), sketch.sketch(F.col("hr"))).alias("f")).collect()
+    assert {r.within for r in got} == {1.0} and {round(r.near, 6) for r in got} == {round(16 / 19, 6)}
+    assert all(r.share == 1.0 for r in got if r.share) and sum(r.share > 0 for r in got) > 30 and all(r.f[0] == "=" and len(r.f) == 1 + 8 * 16 for r in got)
 
 
 def test_unions_merge(spark):
