@@ -17,12 +17,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the plain rules or lie outside their language's perplexity band go."""
+    """Documents that fail the plain rules or lie outside their language's perplexity band go.
+
+    Null and empty texts fail the plain rules; a null lang is a language of its own; repeated rows are judged alike; other
+    columns, whatever their names, aren't read. An empty table gives an empty one, here and in all stages.
+    """
     return quality.filter_documents(docs).select(*COLUMNS)
 
 
 def line_level_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 characters or more that three documents share stay in the last one only; every document stays, if only as empty text."""
+    """Lines of 20 characters or more that three documents share stay in the last one only; every document stays, if only as empty text.
+
+    Null text stays null unless a line goes, which it hasn't got; rows of one doc_id, repeated rows among them, are
+    documents of one id; the largest doc_id decides, null ids being smaller than all others. Columns of other names aren't read.
+    """
     name = free("_lines", docs.columns)
     out = line_dedup.apply_bitmaps(docs, line_dedup.dropped_bitmaps(docs), name)
     made = F.col(name)
@@ -31,7 +39,11 @@ def line_level_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are connected by a likeness of 0.8 or more on five words, the one with the smallest id stays."""
+    """Of documents that are connected by a likeness of 0.8 or more on five words, the one with the smallest id stays.
+
+    Texts without a word, null ones too, all stay; equal rows are one; of equal ids the text decides by its hash, and null
+    ids are the last choice. Columns of other names aren't read.
+    """
     return jaccard_join.keep_one(docs, size=5, percent=80).select(*COLUMNS)
 
 

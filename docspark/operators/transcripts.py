@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
+from docspark.sources.shared import written
 
 LEAST_CONFIDENCE, LEAST_WORDS, CONTEXT, BUFFER = 0.5, 3, 10, 100
 
@@ -105,6 +106,33 @@ def transcript_summary(segments: DataFrame) -> DataFrame:
     return segments.groupBy("session_id").agg(F.count("*").alias("n_segments"), F.greatest(F.count_distinct("speaker"), F.lit(1)).alias("n_speakers"), said.alias("full_text"), F.max("end_s").alias("duration"))
 
 
+def alignment_candidates(asked: DataFrame, heard: DataFrame) -> DataFrame:
+    """(_a, segment_index, times, score) of the segments that may be a statement's best: score is the words in common, two more for the same speaker.
+
+    asked (_a, session_id, _speaker, _words) and heard (_h, session_id, speaker, words, segment_index, times) are written
+    tables. A statement meets the segments that hold its rarest word first. Whoever is to reach the best score found must
+    share so many words that one of them is among the rarest m - score + 1 of the statement's m words that were said at
+    all, or m - score + 3 for the same speaker; only by those does it meet more. What everyone says comes last, and as a rule isn't looked up.
+    """
+    said = heard.select("session_id", "_h", "speaker", F.explode("words").alias("word"))
+    often = said.groupBy("session_id", "word").agg(F.count("*").alias("df"))
+    mine = Window.partitionBy("_a")
+    own = asked.select("_a", "session_id", "_speaker", F.explode("_words").alias("word")).join(often, ["session_id", "word"])
+    own = written(own.withColumn("place", F.row_number().over(mine.orderBy("df", "word"))).withColumn("m", F.count("*").over(mine)).drop("df"), "asked-words")
+
+    bonus = F.when(F.col("speaker") == F.col("_speaker"), 2).otherwise(0)
+
+    def met(words: DataFrame, last: Column) -> DataFrame:
+        pairs = words.join(said, ["session_id", "word"]).where(F.col("place") <= last).select("_a", "_h").distinct()
+        both = pairs.join(asked.select("_a", "_speaker", "_words"), "_a").join(heard.select("_h", "speaker", "words", "segment_index", "times"), "_h")
+        score = F.size(F.array_intersect("_words", "words")) + bonus
+        return both.select("_a", "segment_index", "times", score.cast("long").alias("score"))
+
+    first = written(met(own.where("place = 1"), F.lit(1)), "aligned")
+    least = first.groupBy("_a").agg(F.max("score").alias("least"))
+    return first.unionByName(met(own.join(least, "_a").where("place > 1"), F.col("m") - F.col("least") + 1 + bonus))
+
+
 def align_statements(statements: DataFrame, segments: DataFrame) -> DataFrame:
     """(statement_id, start_s, end_s) of the segment with most words in common, two more for the same speaker; the first on ties.
 
@@ -114,17 +142,14 @@ def align_statements(statements: DataFrame, segments: DataFrame) -> DataFrame:
     s = statements.select("statement_id", "session_id", F.col("speaker").alias("_speaker"), bag("text").alias("_words"))
     g = segments.select("session_id", "segment_index", "start_s", "end_s", "speaker", bag("text").alias("words"))
     # Of segments that score alike for any statement, and of statements that ask alike, one is enough.
-    asked = s.select("session_id", "_speaker", "_words").distinct()
+    asked = written(s.select("session_id", "_speaker", "_words").distinct().withColumn("_a", F.monotonically_increasing_id()), "asked")
     times = F.struct("start_s", "end_s")
     heard = g.groupBy("session_id", "speaker", "words").agg(F.min("segment_index").alias("segment_index"), F.min_by(times, "segment_index").alias("times"))
-    shared = asked.withColumn("word", F.explode("_words")).join(heard.select("session_id", "speaker", "segment_index", "times", F.explode("words").alias("word")), ["session_id", "word"])
-    shared = shared.groupBy("session_id", "_speaker", "_words", "speaker", "segment_index", "times").agg(F.count("*").alias("score"))
-    shared = shared.withColumn("score", F.col("score") + F.when(F.col("speaker") == F.col("_speaker"), 2).otherwise(0))
+    shared = alignment_candidates(asked, written(heard.withColumn("_h", F.monotonically_increasing_id()), "heard"))
     own = g.where("speaker IS NOT NULL").groupBy("session_id", F.col("speaker").alias("_speaker")).agg(F.min("segment_index").alias("segment_index"), F.min_by(times, "segment_index").alias("times"), F.lit(2).cast("long").alias("score"))
-    picked = ["session_id", "_speaker", "_words", "segment_index", "times", "score"]
-    best = shared.select(*picked).unionByName(asked.join(own, ["session_id", "_speaker"]).select(*picked))
-    best = best.groupBy("session_id", "_speaker", "_words").agg(F.max_by("times", F.struct("score", -F.col("segment_index"))).alias("best"))
-    best = best.select(F.col("session_id").alias("_s"), F.col("_speaker").alias("_p"), F.col("_words").alias("_w"), "best")
+    best = shared.unionByName(asked.join(own, ["session_id", "_speaker"]).select("_a", "segment_index", "times", "score"))
+    best = best.groupBy("_a").agg(F.max_by("times", F.struct("score", -F.col("segment_index"))).alias("best"))
+    best = asked.join(best, "_a").select(F.col("session_id").alias("_s"), F.col("_speaker").alias("_p"), F.col("_words").alias("_w"), "best")
     spans = g.groupBy("session_id").agg(F.min_by("start_s", "segment_index").alias("first"), F.max_by("end_s", "segment_index").alias("last"))
     rows = s.join(spans, "session_id")
     rows = rows.join(best, (rows["session_id"] == best["_s"]) & rows["_speaker"].eqNullSafe(best["_p"]) & (rows["_words"] == best["_w"]), "left")

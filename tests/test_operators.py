@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -289,3 +290,89 @@ def test_needles_are_looked_up_by_their_rarest_run(spark):
     got = sorted((r.doc_id, r._needle) for r in containing(names, "name", wanted, "title", []).collect())
     want = sorted((n.doc_id, w.title) for n in names.collect() for w in wanted.collect() if n.name and w.title and w.title.lower() in n.name.lower())
     assert got == want and len(want) > 90
+
+
+def test_alignment_skips_what_everyone_says(spark):
+    """A session where each segment says "the": rows as by all pairs, met by few of them."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(60)]
+    segs = [(1, i, float(i), i + 0.5, rng.choice([0, 1, None]), "the " + " ".join(rng.sample(words, 5))) for i in range(120)]
+    asks = [(i, 1, rng.choice([0, 1, 2, None]), rng.choice(["the", "The the", "", "nothing said", "the " + " ".join(rng.sample(words, 4)), segs[rng.randrange(120)][5]])) for i in range(80)]
+    segments = spark.createDataFrame(segs, "session_id long, segment_index int, start_s double, end_s double, speaker int, text string")
+    statements = spark.createDataFrame(asks, "statement_id long, session_id long, speaker int, text string")
+    want = set()
+    for i, _, speaker, text in asks:
+        scores = [(len(set(text.lower().split()) & set(s[5].split())) + (2 if speaker is not None and s[4] == speaker else 0), -s[1]) for s in segs]
+        score, at = max(scores)
+        want.add((i, segs[-at][2], segs[-at][3]) if score > 0 else (i, segs[0][2], segs[-1][3]))
+    assert {tuple(r) for r in transcripts.align_statements(statements, segments).collect()} == want
+    split = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
+    asked = statements.join(segments.select("text").distinct(), "text", "left_semi").select(F.col("statement_id").alias("_a"), "session_id", F.col("speaker").alias("_speaker"), split("text").alias("_words"))
+    heard = segments.select(F.col("segment_index").alias("_h"), "session_id", "speaker", split("text").alias("words"), "segment_index", F.struct("start_s", "end_s").alias("times"))
+    assert transcripts.alignment_candidates(asked, heard).count() < asked.count() * heard.count() / 3
+
+
+def test_dense_blocks_equal_the_scan(spark, monkeypatch):
+    """Many small blocks, ties, copies, zero vectors, a vault with nearly all chunks; far clusters are skipped."""
+    from docspark.operators import dense_index
+
+    monkeypatch.setattr(dense_index, "BLOCK", 40)
+    monkeypatch.setattr(dense_index, "TOGETHER", 16)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 8)) * 4
+    vectors = [(centers[i % 12] + rng.normal(size=8) * 0.1).astype(np.float32) for i in range(900)]
+    rows = [(i, 1 if i % 10 else i % 3, [float(x) for x in vectors[i if i % 50 else 0]] if i % 97 else [0.0] * 8, i % 41 == 0, "active") for i in range(900)] + [(2000, 1, None, False, "active")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vault_id long, embedding array<float>, is_deleted boolean, status string")
+    asks = [(i, v, [float(x) for x in vectors[i]]) for i in range(0, 900, 23) for v in (0, 1)]
+    asks = [(2 * k, v, q) for k, (_, v, q) in enumerate(asks)] + [(1001, 1, [0.0] * 8), (1003, 1, None), (1005, 77, [1.0] * 8)]
+    queries = spark.createDataFrame(asks, "query_id long, vault_id long, query_vec array<float>")
+    plain = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 7)) for r in df.collect())
+    want = plain(retrieval.dense(queries, chunks, 15))
+    assert plain(retrieval.dense(queries, chunks, 15, dense_index.build(chunks))) == want
+    monkeypatch.setattr(retrieval, "SENT", 0)
+    assert plain(retrieval.dense(queries, chunks, 15)) == want
+    read = {r.query_id: (r.chunks, r.compared) for r in dense_index.reads(queries, dense_index.build(chunks), 15).collect()}
+    assert sum(c for _, c in read.values()) < 0.5 * sum(n for n, _ in read.values())
+    assert plain(retrieval.dense(queries, chunks.limit(0), 15, dense_index.build(chunks.limit(0)))) == []
+
+
+def test_keyword_index_equals_the_formula(spark, monkeypatch):
+    """Scores by the formula over all chunks, in small segments; after updates too; few postings are read."""
+    from collections import Counter
+
+    from docspark.operators import keyword_index
+
+    monkeypatch.setattr(keyword_index, "SEGMENT", 20)
+    rng = random.Random(6)
+    common, rare = [f"c{i}" for i in range(8)], [f"r{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choices(common, k=rng.randint(1, 30)) + rng.sample(rare, rng.randint(0, 4)))
+    rows = [(i, i % 2, i % 13 == 0, "failed" if i % 17 == 0 else "active", text() if i % 19 else None) for i in range(400)]
+    later = [(i, v, d, s, text() if i % 5 == 0 else t) for i, v, d, s, t in rows if i % 7] + [(500 + i, 1, False, "active", text()) for i in range(9)]
+    schema = "chunk_id long, vault_id long, is_deleted boolean, status string, content_with_header string"
+    asks = [(q, q % 2, " ".join(rng.sample(rare, 3) + rng.sample(common, 4))) for q in range(30)] + [(90, 0, ""), (91, 1, "nowhere"), (92, 7, "c1")]
+    queries = spark.createDataFrame(asks, "query_id long, vault_id long, query_text string")
+
+    def formula(rows):
+        words = {r[0]: re.split(r"[^\w]+", r[4]) if r[4] is not None else None for r in rows}
+        words = {i: None if w is None else [x for x in w if x] for i, w in words.items()}
+        mean, df = sum(len(w) for w in words.values() if w is not None) / sum(w is not None for w in words.values()), Counter(x for w in words.values() for x in set(w or ()))
+        out = []
+        for q, v, said in asks:
+            found = []
+            for i, vault, deleted, status, _ in rows:
+                tf = Counter(words[i] or ())
+                s = sum(math.log1p((len(rows) - df[x] + 0.5) / (df[x] + 0.5)) * tf[x] * 2.2 / (tf[x] + 1.2 * (0.25 + 0.75 * sum(tf.values()) / mean)) for x in set(said.split()) if tf[x])
+                if s and vault == v and not deleted and status == "active":
+                    found.append((-round(s, 9), i))
+            out += [(q, k, i, round(-s, 6)) for k, (s, i) in enumerate(sorted(found)[:7])]
+        return sorted(out)
+
+    plain = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
+    index = keyword_index.build(spark.createDataFrame(rows, schema))
+    assert plain(keyword_index.search(queries, index, 7)) == formula(rows)
+    read = keyword_index.reads(queries, index, 3).agg(F.sum("postings"), F.sum("postings_read")).first()
+    assert read[1] < 0.8 * read[0]
+    gone = [(r[0],) for r in rows if r[0] % 7 == 0] + [(r[0],) for r in later if r[0] % 5 == 0 or r[0] >= 500]
+    after = keyword_index.update(index, spark.createDataFrame(gone, "chunk_id long"), spark.createDataFrame(later, schema))
+    assert plain(keyword_index.search(queries, after, 7)) == formula(later)
+    assert keyword_index.build(spark.createDataFrame([], schema)).n == 0
