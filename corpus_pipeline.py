@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import jaccard_join, line_dedup, mixing, packing, quality
-from docspark.llm.common import free, materialize, table
+from docspark.llm.common import free, materialize, table, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,7 +32,9 @@ def line_level_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     documents of one id; the largest doc_id decides, null ids being smaller than all others. Columns of other names aren't read.
     """
     name = free("_lines", docs.columns)
-    out = line_dedup.apply_bitmaps(docs, line_dedup.dropped_bitmaps(docs), name)
+    with temporary(spark) as keep:  # the lines' hashes are larger than what is left of them
+        bitmaps = keep(materialize(line_dedup.dropped_bitmaps(docs), "bitmaps"))
+    out = line_dedup.apply_bitmaps(docs, bitmaps, name)
     made = F.col(name)
     changed = made["n_dropped"] > 0
     return out.withColumns({"text": F.when(changed, made["kept_text"]).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(made["kept_text"]).cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
