@@ -256,6 +256,31 @@ def ingest(
     return Ingested(out, chunks, audit, letters)
 
 
-def write_chunks(chunks: DataFrame, folder: str) -> None:
-    """The chunks of one batch into its folder, by vault; the same batch again replaces itself and no other."""
+def storable(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks of the documents that can be stored, and (doc_id, n_chunks, error_message) of those that can't.
+
+    A document is stored whole or not at all: not if it went or is going away (no row in documents, status deleted or
+    pending_delete, or a deleted_at), and not if a chunk has no vault, index or content, or two have one index.
+    """
+    gone = F.col("status").isin("pending_delete", "deleted") | F.col("deleted_at").isNotNull()
+    state = documents.groupBy(F.col("doc_id").alias("_doc")).agg(F.bool_or(F.coalesce(gone, F.lit(False))).alias("_gone"))
+    lacking = F.col("vault_id").isNull() | F.col("chunk_index").isNull() | F.col("content").isNull()
+    each = chunks.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("_n"), F.count_if(lacking).alias("_lacking"))
+    found = each.groupBy("doc_id").agg(F.sum("_n").alias("n_chunks"), F.max("_n").alias("_most"), F.sum("_lacking").alias("_lacking"))
+    found = found.join(state, found["doc_id"] == F.col("_doc"), "left")
+    message = F.when(F.col("_gone").isNull(), "No such document").when(F.col("_gone"), "Deleted during ingestion").when(F.col("_lacking") > 0, "A chunk lacks its vault, index or content").when(F.col("_most") > 1, "Two chunks of one index")
+    found = written(found.select("doc_id", "n_chunks", message.alias("error_message")), "storable")
+    good = chunks.join(found.where("error_message is null").select("doc_id"), "doc_id", "left_semi")
+    return good, found.where("error_message is not null")
+
+
+def write_chunks(chunks: DataFrame, folder: str, documents: DataFrame | None = None) -> DataFrame | None:
+    """The chunks of one batch into its folder, by vault; the same batch again replaces itself and no other.
+
+    With documents, only those that can be stored; the others come back as failures, and hold nobody up.
+    """
+    failed = None
+    if documents is not None:
+        chunks, failed = storable(chunks, documents)
     chunks.write.mode("overwrite").partitionBy("vault_id").parquet(folder)
+    return failed

@@ -25,6 +25,10 @@ K1, B = 1.2, 0.75
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Chunks of a segment; folders at least; terms of a query that set its first threshold.
 SEGMENT, FOLDERS, LEAD = 256, 64, 4
+SCHEMA = (
+    "segment int, term string, vault_id long, df long, total long, words long, counted long, max_tf int, min_length int,"
+    " postings array<struct<chunk_id:long,tf:int,length:int>>, folder int"
+)
 #: Scores closer than this may be equal but for the order of their sums.
 SLACK = 1e-6
 
@@ -55,21 +59,21 @@ class KeywordIndex:
 
 def _blocks(chunks: DataFrame, segments: int, folders: int) -> DataFrame:
     segment = F.pmod(F.xxhash64("chunk_id"), F.lit(segments)).cast("int")
-    dealt = chunks.select("chunk_id", "vault_id", F.coalesce(in_use(), F.lit(False)).alias("live"), "content_with_header", segment.alias("segment")).withColumn("folder", F.pmod("segment", F.lit(folders)).cast("int"))
+    dealt = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "vault_id", F.coalesce(in_use(), F.lit(False)).alias("live"), "content_with_header", segment.alias("segment")).withColumn("folder", F.pmod("segment", F.lit(folders)).cast("int"))
     dealt = dealt.repartition(folders, "folder")
     words = dealt.select("folder", "segment", "chunk_id", "vault_id", "live", terms(F.col("content_with_header")).alias("words"))
     length = F.when(F.col("words").isNotNull(), F.size("words"))
     each = words.select("folder", "segment", "chunk_id", "vault_id", "live", length.alias("length"), F.explode(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
     tf = each.groupBy("folder", "segment", "chunk_id", "vault_id", "live", "length", "term").agg(F.count("*").cast("int").alias("tf"))
     used = lambda c: F.when(F.col("live"), c)
-    return tf.groupBy("folder", "segment", "term", "vault_id").agg(
+    return tf.withColumn("vault_id", F.col("vault_id").cast("long")).groupBy("folder", "segment", "term", "vault_id").agg(
         F.count("*").alias("df"), F.sum("tf").alias("total"), F.sum("length").alias("words"), F.count("length").alias("counted"),
         F.max(used(F.col("tf"))).alias("max_tf"), F.min(used(F.col("length"))).alias("min_length"), F.sort_array(F.collect_list(used(F.struct("chunk_id", "tf", "length")))).alias("postings"),
     )
 
 
 def _opened(spark, path: str, segments: int, folders: int) -> KeywordIndex:
-    blocks = spark.read.parquet(path)
+    blocks = spark.read.schema(SCHEMA).parquet(path)
     bounds = written(blocks.groupBy("term", "vault_id").agg(*[F.sum(c).alias(c) for c in ("df", "total", "words", "counted")], F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length")), "keyword-bounds")
     n, words, counted = bounds.where("term = ''").agg(F.sum("df"), F.sum("words"), F.sum("counted")).first()
     return KeywordIndex(path, segments, folders, blocks.where("term <> ''"), bounds.where("term <> ''"), n or 0, (words or 0) / max(1, counted or 0))
@@ -105,7 +109,7 @@ def update(index: KeywordIndex, changed: DataFrame, chunks: DataFrame) -> Keywor
     emptied = spark.createDataFrame([(f,) for f in touched], "folder int").join(renewed.select("folder").distinct(), "folder", "left_anti")
     rows = written(renewed, "keyword-blocks").unionByName(emptied, allowMissingColumns=True)
     rows = rows.withColumn("term", F.coalesce("term", F.lit(""))).repartition(index.folders, "folder").sortWithinPartitions("folder", "term")
-    rows.select(*spark.read.parquet(index.path).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(index.path)
+    rows.select(*spark.read.schema(SCHEMA).parquet(index.path).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(index.path)
     spark.catalog.refreshByPath(index.path)
     return _opened(spark, index.path, index.segments, index.folders)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docspark.functions import text as T
 from docspark.operators import events as E
 from docspark.operators import ingest as I
+from docspark.operators import models
 from docspark.operators import retrieval as R
 from docspark.plans.documents import _VERIFY
 from docspark.plans.retrieval import _RRF, _bm25_sql, _dense_sql, _mmr1
@@ -235,3 +236,44 @@ def claim_batches(spark, sf_dir):
 
     segments = read(spark, sf_dir, "segments").withColumn("end_s", C("start_s") + 2)
     return run(segments.where("is_final"))
+
+
+@query(f"""{cte('chunks', 'doc_meta')}, c AS (SELECT chunk_id, doc_id, CASE WHEN chunk_id % 23 <> 5 THEN vault_id END AS vault_id, chunk_index, CASE WHEN chunk_id % 29 <> 6 THEN content END AS content FROM chunks_v UNION ALL SELECT chunk_id, doc_id, vault_id, chunk_index, content FROM chunks_v WHERE doc_id % 31 = 7),
+  d AS (SELECT doc_id, bool_or(status IN ('pending_delete', 'deleted') OR deleted_at IS NOT NULL) AS gone FROM doc_meta_v GROUP BY 1),
+  e AS (SELECT doc_id, chunk_index, count(*) AS n, count_if(vault_id IS NULL OR chunk_index IS NULL OR content IS NULL) AS lacking FROM c GROUP BY ALL),
+  f AS (SELECT doc_id, sum(n)::BIGINT AS n_chunks, max(n) AS most, sum(lacking) AS lacking FROM e GROUP BY 1)
+  SELECT f.doc_id, n_chunks, CASE WHEN gone IS NULL THEN 'No such document' WHEN gone THEN 'Deleted during ingestion' WHEN lacking > 0 THEN 'A chunk lacks its vault, index or content' WHEN most > 1 THEN 'Two chunks of one index' ELSE 'stored' END AS outcome FROM f LEFT JOIN d USING (doc_id)""")
+def chunk_inserts(spark, sf_dir):
+    """Chunks against the documents they belong to; some lack a field, some come twice, some have lost their document."""
+    c = read(spark, sf_dir, "chunks").select("chunk_id", "doc_id", "vault_id", "chunk_index", "content")
+    broken = c.withColumns({"vault_id": F.when(C("chunk_id") % 23 != 5, C("vault_id")), "content": F.when(C("chunk_id") % 29 != 6, C("content"))})
+    good, failed = I.storable(broken.unionByName(c.where(C("doc_id") % 31 == 7)), read(spark, sf_dir, "doc_meta"))
+    stored = good.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.lit("stored").alias("outcome"))
+    return stored.unionByName(failed.withColumnRenamed("error_message", "outcome"))
+
+
+def _refusing(prompt: str) -> str:
+    if "march" in prompt:
+        raise ValueError("too busy")
+    return f"said: {prompt}"
+
+
+@query(f"{cte('segments')} SELECT event_id, CASE WHEN contains(text, 'march') THEN NULL ELSE 'said: ' || text END AS answer, CASE WHEN contains(text, 'march') THEN 'too busy' END AS error, CASE WHEN contains(text, 'march') THEN 4 ELSE 1 END AS attempts FROM segments_v")
+def ask_with_retries(spark, sf_dir):
+    """A model that never answers some prompts; the pauses between tries are none here."""
+    return models.ask(read(spark, sf_dir, "segments").select("event_id", C("text").alias("prompt")), _refusing, delay=0.0).drop("prompt")
+
+
+@query(f"{cte('turns')} SELECT conv_id, turn, unnest(range(len(w))) AS position, unnest(w) AS piece FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM turns_v WHERE text IS NOT NULL)")
+def answer_pieces(spark, sf_dir):
+    """A generator that says each turn again, word by word."""
+    return models.pieces(read(spark, sf_dir, "turns").select("conv_id", "turn", C("text").alias("prompt")), lambda p: iter(p.split(" "))).select("conv_id", "turn", C("position").cast("long").alias("position"), "piece")
+
+
+@query(None)
+def answer_mixed(spark, sf_dir):
+    """All statements at once, of every class; the routes are compared with their own queries in the tests."""
+    from docspark.operators.verify import answer
+
+    q = read(spark, sf_dir, "statements").select(C("statement_id").alias("query_id"), "vault_id", C("text").alias("query_text"), F.lit(None).cast("array<float>").alias("query_vec"))
+    return answer(q, read(spark, sf_dir, "chunks"), read(spark, sf_dir, "doc_meta")).select("query_id", "query_class", "route", F.md5("answer").alias("answer"), "confidence")
