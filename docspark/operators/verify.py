@@ -115,12 +115,13 @@ def quote_context(query: Column, context: Column) -> Column:
 
 def answer(
     queries: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, k: int = 5,
-    rewriter: Callable[[Column, Column], Column] | None = None, generate: Callable[[Column, Column], Column] = quote_context,
+    rewriter: Callable[[Column, Column], Column] | None = None, generate: Callable[[Column, Column], Column] = quote_context, index: R.KeywordIndex | None = None,
 ) -> DataFrame:
     """(query_id, query_class, route, answer, n_citations, confidence) of (query_id, vault_id, query_text, query_vec, and history if there is one).
 
     A query is reworded to stand alone, then routed by its class: aggregates are answered from document metadata, if given,
     or told what is missing there; all else from chunks of a hybrid search, by `generate` of the query and what was found.
+    index: of the chunks; without one, it is built for this call.
     """
     history = F.col("history") if "history" in queries.columns else F.lit(None).cast("string")
     q = written(queries.withColumn("query_text", rewrite_query(F.col("query_text"), history, rewriter)).withColumn("query_class", T.classify_query(F.col("query_text"))))
@@ -129,7 +130,7 @@ def answer(
         asked = q.where("query_class <> 'point'").select(F.col("query_id").alias("statement_id"), "vault_id", F.col("query_text").alias("text"))
         facts = written(A.verify(asked, documents).select(F.col("statement_id").alias("query_id"), F.col("explanation").alias("fact")))
         search = q.join(facts, "query_id", "left_anti")
-    found = written(R.context(R.hybrid(search, chunks, k, 1.0), chunks, k))
+    found = written(R.context(R.hybrid(search, chunks, k, 1.0, index), chunks, k))
     outputs = found.select(F.col("query_id").alias("output_id"), F.lit("search_documents").alias("tool"), F.col("context").alias("text"))
     joined = q.join(found, "query_id", "left")
     text, route = F.when(F.col("context").isNotNull(), generate(F.col("query_text"), F.col("context"))), F.lit("search")

@@ -10,7 +10,7 @@ from docspark.operators import ingest as I
 from docspark.operators import models
 from docspark.operators import retrieval as R
 from docspark.plans.documents import _VERIFY
-from docspark.plans.retrieval import _RRF, _bm25_sql, _dense_sql, _mmr1
+from docspark.plans.retrieval import _RRF, _bm25_sql, _dense_sql, _mmr1, index_of
 from docspark.plans.scalars import CLASS_SQL, _FINGER, _NORM, _Q
 from docspark.sources.tables import cte, read
 
@@ -178,14 +178,15 @@ def grade_retrieval(spark, sf_dir):
     q, c = read(spark, sf_dir, "queries"), read(spark, sf_dir, "chunks")
     from docspark.operators.verify import grade
 
-    return grade(R.bm25(q, c, 10), q, c)
+    return grade(R.bm25(q, c, 10, index_of(spark, sf_dir)), q, c)
 
 
 @query(None)
 def corrective_retrieve(spark, sf_dir):
     from docspark.operators.verify import corrective
 
-    return corrective(read(spark, sf_dir, "queries"), read(spark, sf_dir, "chunks")).drop("context")
+    index = index_of(spark, sf_dir)
+    return corrective(read(spark, sf_dir, "queries"), read(spark, sf_dir, "chunks"), retrieve=lambda q, c, k: R.point_retrieve(q, c, k, index)).drop("context")
 
 
 _POINT = rf"""pt AS (SELECT statement_id, vault_id, plain, regexp_extract_all(plain, '\b\d{{4,}}\b') AS ids, regexp_extract_all(plain, '\$(\d+(?:\.\d+)?)', 1) AS amounts FROM (SELECT *, {CLASS_SQL} AS class, {_NORM.format('text')} AS plain FROM s) WHERE class = 'point'),
@@ -196,7 +197,7 @@ _POINT = rf"""pt AS (SELECT statement_id, vault_id, plain, regexp_extract_all(pl
   ctx AS (SELECT statement_id, string_agg({_NORM.format('content_with_header')}, ' ' ORDER BY n) AS seen FROM best JOIN chunks_v USING (chunk_id) GROUP BY 1),
   k AS (SELECT *, vault_id || ':' || sha256({_FINGER.format(_NORM.format('text'))}) AS cache_key FROM statements_v), cached AS (SELECT cache_key, min(statement_id) AS id FROM k GROUP BY 1), fresh AS (SELECT cache_key, CASE WHEN id % 2 = 0 THEN 'supported' ELSE 'unverifiable' END AS verdict FROM cached WHERE id % 600 <= 300),
   judged AS (SELECT statement_id, verdict, 'aggregate_fast' AS verification_path, 0 AS attempts FROM v UNION ALL SELECT statement_id, CASE WHEN seen IS NULL OR len(list_filter(ids, lambda x: contains(seen, x))) = 0 THEN 'unverifiable' WHEN len(amounts) = 0 OR len(list_filter(amounts, lambda x: contains(seen, x))) > 0 THEN 'supported' ELSE 'contradicted' END, 'crag', coalesce(attempt, 2) FROM pt LEFT JOIN ctx USING (statement_id) LEFT JOIN used USING (statement_id))
-  SELECT k.statement_id, coalesce(fresh.verdict, judged.verdict) AS verdict, CASE WHEN fresh.verdict IS NULL THEN verification_path ELSE 'cache' END AS verification_path, fresh.verdict IS NOT NULL AS cache_hit, CASE WHEN fresh.verdict IS NULL THEN attempts ELSE 0 END AS attempts FROM k JOIN judged USING (statement_id) LEFT JOIN fresh USING (cache_key)"""
+  SELECT k.statement_id, coalesce(fresh.verdict, judged.verdict) AS verdict, CASE WHEN fresh.verdict IS NOT NULL THEN 0.5::DOUBLE WHEN verification_path = 'crag' THEN CASE WHEN judged.verdict = 'unverifiable' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END WHEN judged.verdict = 'supported' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN fresh.verdict IS NULL THEN verification_path ELSE 'cache' END AS verification_path, fresh.verdict IS NOT NULL AS cache_hit, CASE WHEN fresh.verdict IS NULL THEN attempts ELSE 0 END AS attempts FROM k JOIN judged USING (statement_id) LEFT JOIN fresh USING (cache_key)"""
 
 
 @query(_VERIFY.rsplit("SELECT statement_id, vault_id", 1)[0].replace(cte("statements", "doc_meta"), cte("statements", "doc_meta", "chunks")).rstrip() + ", " + _POINT)
@@ -207,7 +208,7 @@ def verify_claims(spark, sf_dir):
     statements, now = read(spark, sf_dir, "statements"), F.expr("TIMESTAMP '2024-01-01 00:10:00'")
     keys = statements.select(T.verdict_cache_key(C("vault_id"), F.lit(""), C("text")).alias("cache_key"), "statement_id").groupBy("cache_key").agg(F.min("statement_id").alias("id"))
     cache = keys.select("cache_key", F.when(C("id") % 2 == 0, "supported").otherwise("unverifiable").alias("verdict"), F.lit(0.5).alias("confidence"), F.timestamp_seconds(F.unix_timestamp(now) - C("id") % 600).alias("cached_at"))
-    return run(statements, read(spark, sf_dir, "doc_meta"), read(spark, sf_dir, "chunks"), cache=cache, as_of=now).drop("confidence")
+    return run(statements, read(spark, sf_dir, "doc_meta"), read(spark, sf_dir, "chunks"), cache=cache, as_of=now)
 
 
 @query(rf"""{cte('queries', 'chunks')}, n AS (SELECT query_id, vault_id, query_vec, {_NORM.format('trim(query_text)')} AS query_text FROM queries_v), {_dense_sql(40, queries='n')}, {_bm25_sql(40, queries='n')}, {_RRF}, {_mmr1(5, queries='n')},
@@ -217,7 +218,7 @@ def verify_claims(spark, sf_dir):
 def answer_queries(spark, sf_dir):
     from docspark.operators.verify import answer
 
-    return answer(read(spark, sf_dir, "queries"), read(spark, sf_dir, "chunks")).withColumn("answer", F.md5("answer"))
+    return answer(read(spark, sf_dir, "queries"), read(spark, sf_dir, "chunks"), index=index_of(spark, sf_dir)).withColumn("answer", F.md5("answer"))
 
 
 @query(_VERIFY.rsplit("SELECT statement_id, vault_id", 1)[0].rstrip() + " SELECT statement_id AS query_id, class AS query_class, 'metadata' AS route, md5(explanation) AS answer, 0.8::DOUBLE AS confidence FROM v")
@@ -227,7 +228,7 @@ def answer_aggregates(spark, sf_dir):
 
     q = read(spark, sf_dir, "statements").select(C("statement_id").alias("query_id"), "vault_id", C("text").alias("query_text"), F.lit(None).cast("array<float>").alias("query_vec"))
     aggregate = q.where(T.classify_query(C("query_text")) != "point")
-    return answer(aggregate, read(spark, sf_dir, "chunks"), read(spark, sf_dir, "doc_meta")).select("query_id", "query_class", "route", F.md5("answer").alias("answer"), "confidence")
+    return answer(aggregate, read(spark, sf_dir, "chunks"), read(spark, sf_dir, "doc_meta"), index=index_of(spark, sf_dir)).select("query_id", "query_class", "route", F.md5("answer").alias("answer"), "confidence")
 
 
 @query(None)
@@ -276,4 +277,4 @@ def answer_mixed(spark, sf_dir):
     from docspark.operators.verify import answer
 
     q = read(spark, sf_dir, "statements").select(C("statement_id").alias("query_id"), "vault_id", C("text").alias("query_text"), F.lit(None).cast("array<float>").alias("query_vec"))
-    return answer(q, read(spark, sf_dir, "chunks"), read(spark, sf_dir, "doc_meta")).select("query_id", "query_class", "route", F.md5("answer").alias("answer"), "confidence")
+    return answer(q, read(spark, sf_dir, "chunks"), read(spark, sf_dir, "doc_meta"), index=index_of(spark, sf_dir)).select("query_id", "query_class", "route", F.md5("answer").alias("answer"), "confidence")

@@ -432,3 +432,24 @@ def test_grades_by_words_and_ids(spark):
     chunks = spark.createDataFrame([(10, "red and green"), (11, "only red"), (12, "number 12345")], "chunk_id long, content_with_header string")
     results = spark.createDataFrame([(1, 10, 1.0, 0), (2, 11, 1.0, 0), (3, 12, 1.0, 0), (5, 11, 1.0, 0)], "query_id long, chunk_id long, score double, rank int")
     assert {r.query_id: r.relevant for r in verify.grade(results, queries, chunks).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_embedded_chunks_have_their_texts_vectors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for embed in (ingest.embed, ingest.embed_distinct):
+        got = {r.doc_id: r.embedding for r in embed(docs, "text").collect()}
+        assert got.keys() == texts.keys()
+        assert all(np.allclose(got[i], ingest.hashed_vector(t), atol=1e-6) for i, t in texts.items())
+
+
+def test_a_mixed_table_is_answered_as_each_route_answers(spark):
+    """Statements of every class at once: aggregates by metadata as alone, the others by search, and a line for each."""
+    from docspark.plans.ingest import answer_aggregates, answer_mixed
+
+    d = "/root/testdata/sf0.001"
+    mixed = {r.query_id: (r.query_class, r.route, r.answer, r.confidence) for r in answer_mixed(spark, d).collect()}
+    alone = {r.query_id: (r.query_class, r.route, r.answer, r.confidence) for r in answer_aggregates(spark, d).collect()}
+    assert len(mixed) == spark.read.parquet(f"{d}/orders.parquet").count() and alone.items() <= mixed.items()
+    rest = [v for i, v in mixed.items() if i not in alone]
+    assert rest and {v[1] for v in rest} == {"search"} and {v[0] for v in rest} == {"point"}
