@@ -157,11 +157,21 @@ def metadata_chunk(m: dict[str, Column], filename: Column) -> dict[str, Column]:
 
 
 def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
-    """A unit vector of hashed words: an embedder that needs no model."""
-    v = np.zeros(dim)
-    for word in text.lower().split():
+    """A unit vector of hashed words: an embedder that needs no model.
+
+    Words may cancel each other, and a text may have none between odd spaces: then the whole text counts as one word, so
+    that only blank texts have no direction.
+    """
+    v, low = np.zeros(dim), text.lower()
+
+    def add(word: str) -> None:
         h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         v[h % dim] += 1 if h >> 63 else -1
+
+    for word in low.split():
+        add(word)
+    if not v.any() and low.strip(" \t\n\f\r"):
+        add(low)
     return v / max(np.linalg.norm(v), 1e-12)
 
 
