@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -118,16 +119,28 @@ def claim_batches(segments: DataFrame, pause: float = PAUSE) -> DataFrame:
     pieces = segments.select("session_id", "segment_index", "end_s", "text", cut.alias("cut"))
     pieces = pieces.withColumn("piece", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        buffer, rows, part = Piece(), [], part.sort_values("segment_index")
-        if key[1]:  # the last check was before this, or at the latest then
-            buffer.checked = part["end_s"].iloc[0] - pause + IDLE + 1
-        for i, end, text in part[["segment_index", "end_s", "text"]].itertuples(index=False):
-            rows += buffer.add(i, end, len(text))
-        rows += buffer.tick_to(math.inf)
-        return pd.DataFrame([(key[0], key[1], *r) for r in rows], columns=[f.split()[0] for f in _PIECES.split(", ")])
-
-    fires = written(pieces.groupBy("session_id", "piece").applyInPandas(one, _PIECES), "claim-pieces")
+    names = [f.split()[0] for f in _PIECES.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f.split()[1]] for f in _PIECES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole pieces one after another; one may go on in the next batch. Most are short, so none has a frame of its own."""
+        key, buffer, rows = None, Piece(), []
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
+        for batch in batches:
+            for session, piece, i, end, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (session, piece) != key:
+                    rows += [(*key, *r) for r in buffer.tick_to(math.inf)] if key else []
+                    key, buffer = (session, piece), Piece()
+                    if piece:  # the last check was before this, or at the latest then
+                        buffer.checked = end - pause + IDLE + 1
+                rows += [(*key, *r) for r in buffer.add(i, end, chars)]
+            yield told()
+            rows.clear()
+        rows += [(*key, *r) for r in buffer.tick_to(math.inf)] if key else []
+        yield told()
+
+    dealt = pieces.select("session_id", "piece", "segment_index", "end_s", F.char_length("text").alias("n_chars")).repartition("session_id", "piece")
+    fires = written(dealt.sortWithinPartitions("session_id", "piece", "segment_index").mapInArrow(run, _PIECES), "claim-pieces")
     last = F.struct("batch", "most", "shift", "n_segments")
     ends = fires.groupBy("session_id", "piece").agg(F.count("*").alias("n"), F.max(last).alias("last"))
     ends = ends.select("session_id", "piece", "n", F.least(F.lit(CAP), F.col("last.most") + F.col("last.n_segments")).alias("most"), (F.col("last.shift") + F.col("last.n_segments")).alias("shift"))
