@@ -26,7 +26,8 @@ from docspark.llm.common import free
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside these have a class or a lower case that isn't as old as Unicode itself.
-UNSURE = regex.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€]")
+SURE = r"\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€"
+UNSURE = re.compile(f"[^{SURE}]")
 #: Pre-tokens that a task remembers, and their longest; beyond the number it starts anew. About 100 bytes each.
 REMEMBERED, LONGEST = 300_000, 64
 _CHUNKS = re.compile(r"[^\t-\r ]+")
@@ -34,6 +35,25 @@ _CHUNKS = re.compile(r"[^\t-\r ]+")
 _BEGINS = re.compile(" (?=[!-~\xa1-\xac\xae-\u024f])")
 
 
+def sure_pattern(pattern: str) -> str:
+    """A pre-token pattern for texts of SURE characters alone, its classes spelled out: the standard library cuts by it faster."""
+    known = regex.findall(f"[{SURE}]", "".join(map(chr, range(0x2100))))
+
+    def spelled(kind: str) -> str:
+        runs: list[list[int]] = []
+        for c in map(ord, (c for c in known if regex.match(kind, c))):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
+
+    letters, numbers, space = spelled(r"\p{L}"), spelled(r"\p{N}"), r"\t-\r "
+    for old, new in ((r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]"), (r"[\p{L}]", f"[{letters}]"), (r"[\p{N}]", f"[{numbers}]"), (r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{space}]"), (r"\S", f"[^{space}]")):
+        pattern = pattern.replace(old, new)
+    return pattern
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable bytes as themselves and the others, in order, as the characters from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -135,7 +155,7 @@ def token_counter(tokenizer_json: str, whole: frozenset[str]) -> Callable[[str],
 
 def token_ids(tokenizer_json: str) -> Callable[[str], bytes]:
     """A function from text to its ids as little-endian unsigned 32-bit numbers; for use within a task."""
-    merger, cut = Merger(tokenizer_json), regex.compile(BYTE_PATTERN).findall
+    merger, cut = Merger(tokenizer_json), re.compile(sure_pattern(BYTE_PATTERN)).findall
     merged = _Memory(lambda piece: np.array(merger.ids(piece), "<u4").tobytes())
 
     def library(text: str) -> bytes:
@@ -144,7 +164,7 @@ def token_ids(tokenizer_json: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if any(s in text for s in merger.special):
             return library(text)
-        if not merger.unsure(text):
+        if UNSURE.search(text) is None:
             return b"".join(map(merged.__getitem__, cut(text)))
         first, *rest = _BEGINS.split(text)
         return b"".join(library(c) if merger.unsure(c) else b"".join(map(merged.__getitem__, cut(c))) for c in [first, *[" " + c for c in rest]])
